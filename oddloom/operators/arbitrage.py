@@ -15,6 +15,7 @@ from ..constants import NEAR_HIGH, NEAR_LOW  # noqa: F401
 from ..functions import odds as O
 from ..functions import text
 from ..schemas import MARKET_KEYS
+from .running import middle_values
 
 LEG = "struct<selection:string,bookmaker:string,odds:double,seq:bigint>"
 
@@ -408,7 +409,11 @@ def intra_book_margin(quotes: DataFrame) -> DataFrame:
         F.avg("overround_pct").alias("mean_pct"),
         F.min("overround_pct").alias("min_pct"),
         F.max("overround_pct").alias("max_pct"),
-        F.median("overround_pct").alias("median_pct"),
+    ).join(
+        middle_values(own, ["bookmaker", "market_type"], "overround_pct").select(
+            "bookmaker", "market_type", ((F.col("lower_middle") + F.col("upper_middle")) / 2).alias("median_pct")
+        ),
+        ["bookmaker", "market_type"],
     )
 
 

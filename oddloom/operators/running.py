@@ -84,3 +84,48 @@ def last_before(
         .withColumn(output, F.coalesce("__w", "__c"))
         .drop("__v", "__b", "__w", "__c")
     )
+
+
+def middle_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Lower and upper middle of the sorted ``value``s per key, exactly.
+
+    Equal values are counted first and the counts accumulated in order, so a
+    hot key is spread over tasks by its values; nothing is collected.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    ranked = running_sums(counts, [value], {"__upto": F.col("__n")}, by=by)
+    low, high = F.floor((F.col("__total") - 1) / 2) + 1, F.floor(F.col("__total") / 2) + 1
+
+    def holds(rank: Column) -> Column:
+        return (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
+
+    return (
+        ranked.join(totals, by)
+        .filter(holds(low) | holds(high))
+        .groupBy(*by)
+        .agg(F.min(value).alias("lower_middle"), F.max(value).alias("upper_middle"))
+    )
+
+
+def trailing_window(
+    df: DataFrame, by: list[str], ts: str, size_s: int, aggs: dict[str, Column],
+    include_edge: bool = True, include_self: bool = True,
+) -> DataFrame:
+    """Add aggregates over the last ``size_s`` seconds of every row's key.
+
+    Time is cut into buckets of the window's length; a row is a result in its
+    own bucket and context in the next one, so a hot key becomes many window
+    partitions. ``include_edge`` keeps rows exactly ``size_s`` old.
+    """
+    size = size_s * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    staged = df.withColumn("__t", at).withColumn("__b", F.floor(F.col("__t") / size))
+    spread = staged.withColumn("__k", F.explode(F.array(F.col("__b"), F.col("__b") + 1)))
+    span = (
+        Window.partitionBy(*by, "__k").orderBy("__t")
+        .rangeBetween(-(size if include_edge else size - 1), 0 if include_self else -1)
+    )
+    for name, expr in aggs.items():
+        spread = spread.withColumn(name, expr.over(span))
+    return spread.filter(F.col("__k") == F.col("__b")).drop("__t", "__b", "__k")

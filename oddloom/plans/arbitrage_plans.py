@@ -16,10 +16,7 @@ AS_OF = "2000-01-01 00:00:00"
 
 
 def _owned(spark, sf_dir):
-    """Quotes with the brands of one owner named as the fixed owner table does."""
-    brand = F.when(F.col("bookmaker") == "book_0", "1xBet").when(F.col("bookmaker") == "book_1", "MelBet").when(
-        F.col("bookmaker") == "book_2", "Line Bet").otherwise(F.col("bookmaker"))
-    return src.quotes(spark, sf_dir).withColumn("bookmaker", brand)
+    return src.branded(src.quotes(spark, sf_dir))
 
 
 BRANDS = "CASE {c} WHEN 'book_0' THEN '1xBet' WHEN 'book_1' THEN 'MelBet' WHEN 'book_2' THEN 'Line Bet' ELSE {c} END"

@@ -64,9 +64,9 @@ three_way AS (
         FROM trio WHERE mixed) WHERE pick = 1),
 combos AS (
   SELECT *, 1 / odds1 + 1 / odds2 + coalesce(1 / odds3, 0) AS margin,
-    CASE WHEN bk1 IN ('book_0', 'book_1', 'book_2') THEN 'north' ELSE bk1 END AS op1,
-    CASE WHEN bk2 IN ('book_0', 'book_1', 'book_2') THEN 'north' ELSE bk2 END AS op2,
-    CASE WHEN bk3 IN ('book_0', 'book_1', 'book_2') THEN 'north' ELSE bk3 END AS op3
+    CASE WHEN bk1 IN ('book_0', 'book_1', 'book_2', '1xBet', 'MelBet', 'Line Bet') THEN 'north' ELSE bk1 END AS op1,
+    CASE WHEN bk2 IN ('book_0', 'book_1', 'book_2', '1xBet', 'MelBet', 'Line Bet') THEN 'north' ELSE bk2 END AS op2,
+    CASE WHEN bk3 IN ('book_0', 'book_1', 'book_2', '1xBet', 'MelBet', 'Line Bet') THEN 'north' ELSE bk3 END AS op3
   FROM (SELECT * FROM two_way UNION ALL SELECT * FROM three_way))"""
 
 # Playable opportunities with the returns and whole-unit stakes.
@@ -89,3 +89,62 @@ def flat_legs(df: DataFrame, legs: str = "legs") -> list[Column]:
         leg = F.get(F.col(legs), F.lit(i))
         cols += [leg["bookmaker"].alias(f"bk{i + 1}"), leg["odds"].alias(f"odds{i + 1}")]
     return cols
+
+
+BRANDED_SQL = QUOTES_SQL.replace("quotes AS (", "plain_quotes AS (")
+SEASON_SQL = BRANDED_SQL + """,
+branded AS (SELECT * REPLACE (CASE bookmaker WHEN 'book_0' THEN '1xBet' WHEN 'book_1' THEN 'MelBet'
+    WHEN 'book_2' THEN 'Line Bet' ELSE bookmaker END AS bookmaker), CAST(match_id AS BIGINT) // 20 AS fixture FROM plain_quotes),
+quotes AS (
+  SELECT * REPLACE (concat(fixture, '@', year(scraped_at)) AS match_id,
+    CASE WHEN fixture % 4 = 0 THEN 'basketball' ELSE 'football' END AS sport,
+    concat('Home ', fixture) AS home_team, concat('Away ', fixture) AS away_team,
+    concat('https://x.example/?a=1&b=', bookmaker) AS url,
+    TIMESTAMP '1996-01-01 18:00:00' + to_days(CAST(fixture % 2000 AS INTEGER)) AS start_time)
+  FROM branded)"""
+
+
+def _label(i: int) -> str:
+    return (f"CASE WHEN bk{i} IS NOT NULL THEN concat(market_type, ' ', sel{i}, "
+            f"CASE WHEN line IS NOT NULL THEN concat(' ', line) ELSE '' END) END")
+
+
+STAKES_SQL = """
+  CASE WHEN odds1 >= odds2 AND odds1 >= coalesce(odds3, 0) THEN 1000 - r2 - coalesce(r3, 0) ELSE r1 END AS mise_a,
+  CASE WHEN odds2 > odds1 AND odds2 >= coalesce(odds3, 0) THEN 1000 - r1 - coalesce(r3, 0) ELSE r2 END AS mise_b,
+  CASE WHEN odds3 > odds1 AND odds3 > odds2 THEN 1000 - r1 - r2 ELSE r3 END AS mise_c"""
+
+SEASON_OPPS_SQL = SEASON_SQL + "," + COMBOS_SQL + "," + OPPS_SQL + f""",
+numbered AS (
+  SELECT *, CAST(split_part(match_id, '@', 1) AS BIGINT) AS fixture, CAST(split_part(match_id, '@', 2) AS BIGINT) AS yr,
+    {", ".join(f"round_even(1000 / (odds{i} * margin), 0) AS r{i}" for i in (1, 2, 3))}
+  FROM opps),
+dated AS (
+  SELECT *, ((fixture * 100 + (yr - 1990)) * 4 + CASE market_type WHEN '1x2' THEN 0 WHEN 'goals_total' THEN 1
+      WHEN 'corners_total' THEN 2 ELSE 3 END) * 64 + CAST(coalesce(line * 2, 0) AS BIGINT) * 4
+    + CASE team_scope WHEN 'home' THEN 1 WHEN 'away' THEN 2 ELSE 0 END AS id, {STAKES_SQL},
+    1000 * (1 / margin - 1) AS profit, CASE WHEN fixture % 4 = 0 THEN 'basketball' ELSE 'football' END AS sport,
+    concat('Home ', fixture, ' - Away ', fixture) AS match,
+    TIMESTAMP '1996-01-01 18:00:00' + to_days(CAST(fixture % 2000 AS INTEGER)) AS match_date
+  FROM numbered),
+scored AS (
+  SELECT *, make_timestamp(yr, 1, 1, 0, 0, 0) + to_days(CAST(id % 300 AS INTEGER)) + to_seconds(id % 86400) AS seen_at,
+    CAST(round_even(100 * greatest(0, least(1, (0.30 * CASE WHEN id % 120 <= 15 THEN 1.0::DOUBLE
+        WHEN id % 120 <= 60 THEN 1 - 0.5::DOUBLE * (id % 120 - 15) / 45
+        ELSE greatest(0, 0.5::DOUBLE - (id % 120 - 60) / 120) END
+      + 0.35::DOUBLE * 0.85 + 0.20::DOUBLE * 0.85 + 0.15)
+      * CASE WHEN market_type IN ('1x2', 'goals_total') AND roi_pct > 25 THEN 0 WHEN roi_pct > 40 THEN 0.15 ELSE 1 END)), 0)
+      AS INTEGER) AS score_ia,
+    CASE id % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'partie' WHEN 2 THEN 'fausse' WHEN 3 THEN 'marche' WHEN 4 THEN 'match'
+      WHEN 5 THEN 'doute' ELSE 'detected' END AS statut
+  FROM dated)"""
+
+HISTORY_SQL = SEASON_OPPS_SQL + f""",
+hist AS (
+  SELECT id * 2 + copy AS id, copy, CASE WHEN copy = 1 THEN seen_at + INTERVAL 2 HOURS ELSE seen_at END AS date_detection,
+    match, sport, match_date, n_outcomes AS n_issues, bk1 AS bookmaker_a, {_label(1)} AS event_a,
+    CASE WHEN copy = 1 AND id % 2 = 0 THEN round(odds1 + 0.05, 2) ELSE odds1 END AS cote_a,
+    bk2 AS bookmaker_b, {_label(2)} AS event_b, odds2 AS cote_b, bk3 AS bookmaker_c, {_label(3)} AS event_c,
+    odds3 AS cote_c, mise_a, mise_b, mise_c, margin AS marge_m, roi_pct, profit, 1000.0 AS init_balance,
+    1000 + profit AS final_balance, score_ia, statut
+  FROM scored CROSS JOIN (VALUES (0), (1)) c(copy) WHERE copy = 0 OR id % 3 = 0)"""

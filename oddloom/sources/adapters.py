@@ -316,3 +316,68 @@ def canonical_mail_sql(col: str) -> str:
     )
 
 
+
+
+BRAND_NAMES = {"book_0": "1xBet", "book_1": "MelBet", "book_2": "Line Bet"}
+
+
+def branded(quotes_df: DataFrame) -> DataFrame:
+    """Quotes with three bookmakers named as the fixed owner table names them."""
+    name = F.col("bookmaker")
+    for book, brand in BRAND_NAMES.items():
+        name = F.when(F.col("bookmaker") == book, brand).otherwise(name)
+    return quotes_df.withColumn("bookmaker", name)
+
+
+def season_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes pooled by fixture (twenty parts) and year: one detection cycle a year."""
+    number = F.floor(F.col("match_id").cast("bigint") / 20).cast("bigint")
+    q = branded(quotes(spark, sf_dir)).withColumn("fixture", number)
+    fixture, name = F.col("fixture"), F.col("fixture").cast("string")
+    return (
+        q.withColumn("sport", F.when(fixture % 4 == 0, "basketball").otherwise("football"))
+        .withColumn("match_id", F.concat(name, F.lit("@"), F.year("scraped_at").cast("string")))
+        .withColumn("home_team", F.concat(F.lit("Home "), name))
+        .withColumn("away_team", F.concat(F.lit("Away "), name))
+        .withColumn("url", F.concat(F.lit("https://x.example/?a=1&b="), F.col("bookmaker")))
+        .withColumn("start_time", F.timestamp_seconds(F.lit(820454400) + (fixture % 2000) * 86400 + 64800))
+        .drop("fixture")
+    )
+
+
+def season_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opportunities of the yearly pools with an id, a time, stakes and a score."""
+    from ..operators.alerts import score_opportunity
+    from ..operators.arbitrage import evaluate
+
+    opp = evaluate(season_quotes(spark, sf_dir), bankroll=1000.0, reconcile=False)
+    fixture = F.split_part(F.col("match_id"), F.lit("@"), F.lit(1)).cast("bigint")
+    year = F.split_part(F.col("match_id"), F.lit("@"), F.lit(2)).cast("bigint")
+    market = F.when(F.col("market_type") == "1x2", 0).when(F.col("market_type") == "goals_total", 1).when(
+        F.col("market_type") == "corners_total", 2).otherwise(3)
+    line = F.coalesce(F.col("line") * 2, F.lit(0.0)).cast("bigint") * 4
+    scope = F.when(F.col("team_scope") == "home", 1).when(F.col("team_scope") == "away", 2).otherwise(0)
+    ident = ((fixture * 100 + (year - 1990)) * 4 + market) * 64 + line + scope
+    at = F.make_timestamp(year.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(
+        F.col("id") % 300, F.lit(0), F.lit(0), (F.col("id") % 86400).cast("decimal(18,6)"))
+    dated = opp.withColumn("id", ident).withColumn("detected_at", at)
+    age = F.make_dt_interval(secs=(F.col("id") % 120).cast("decimal(18,6)"))
+    scored = score_opportunity(dated, F.col("detected_at") + age)
+    verdicts = F.array(*[F.lit(v) for v in ("ok", "partie", "fausse", "marche", "match", "doute", "detected")])
+    return scored.withColumn("status", F.get(verdicts, (F.col("id") % 7).cast("int")))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History rows: every detection, a third seen again, half of those at a new price."""
+    from ..operators.history import legs_to_wide
+
+    first = legs_to_wide(season_opportunities(spark, sf_dir), ["id"]).withColumn("copy", F.lit(0))
+    twice = F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    again = first.drop("copy").withColumn("copy", twice)
+    moved = (F.col("copy") == 1) & (F.col("id") % 2 == 0)
+    return (
+        again.withColumn("cote_a", F.when(moved, F.round(F.col("cote_a") + 0.05, 2)).otherwise(F.col("cote_a")))
+        .withColumn("date_detection", F.when(
+            F.col("copy") == 1, F.col("date_detection") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("date_detection")))
+        .withColumn("id", F.col("id") * 2 + F.col("copy"))
+    )
