@@ -91,7 +91,8 @@ def cycle_counters(
     kept = stored.agg(
         F.count("*").alias("stored"), F.count_if(~F.col("alertable")).alias("silent"), F.count_if(hit).alias("alerted")
     )
-    return new.agg(F.count("*").alias("detected")).join(kept).select(
+    detected = new.agg(F.count("*")).scalar()
+    return kept.select(detected.alias("detected"), "stored", "silent", "alerted").select(
         "detected", (F.col("detected") - F.col("stored")).alias("duplicates"), "silent", "alerted"
     )
 

@@ -141,10 +141,10 @@ def bookmaker_value(history: DataFrame, as_of: Column, days: int = 30) -> DataFr
     per = _book_rows(rows).groupBy("bookmaker").agg(
         F.count("*").alias("present"), F.count_if(needed).alias("indispensable")
     )
-    total = rows.agg(F.count("*").alias("total"))
-    return per.join(total).select(
-        "bookmaker", "present", (100.0 * F.col("present") / F.col("total")).alias("present_pct"),
-        "indispensable", (100.0 * F.col("indispensable") / F.col("total")).alias("indispensable_pct"),
+    total = rows.agg(F.count("*")).scalar()
+    return per.select(
+        "bookmaker", "present", (100.0 * F.col("present") / total).alias("present_pct"),
+        "indispensable", (100.0 * F.col("indispensable") / total).alias("indispensable_pct"),
         (F.col("indispensable") / F.lit(days)).alias("loss_per_day"),
     )
 

@@ -70,15 +70,14 @@ def operator_of(df: DataFrame, groups: dict[str, str] | None = None) -> DataFram
 
 def scan_stats(quotes: DataFrame, ranked: DataFrame) -> DataFrame:
     """One row of headline counts of a scan."""
-    pool = quotes.agg(
+    found = ranked.agg(
+        F.struct(F.count_if(F.col("is_arbitrage")).alias("arbitrages"), F.count("*").alias("combos"))
+    ).scalar()
+    return quotes.agg(
         F.count_distinct("match_id").alias("matches_analysed"),
         F.array_join(F.sort_array(F.collect_set("bookmaker")), ",").alias("bookmakers"),
         F.count_distinct("bookmaker").alias("bookmakers_count"),
-    )
-    found = ranked.agg(
-        F.count_if(F.col("is_arbitrage")).alias("surebets"), F.count("*").alias("combos")
-    )
-    return pool.join(found)  # one row each
+    ).select("*", found["arbitrages"].alias("arbitrages"), found["combos"].alias("combos"))
 
 
 def reject_report(scan_log: DataFrame) -> DataFrame:

@@ -65,8 +65,8 @@ def hot_bookmakers(opportunities: DataFrame, top_n: int = 5) -> DataFrame:
 def scrape_priority(opportunities: DataFrame) -> DataFrame:
     """Q05: each bookmaker's share of all legs."""
     counts = leg_counts(opportunities)
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(total).select("bookmaker", (F.col("n") / F.col("total")).alias("share"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("bookmaker", (F.col("n") / total).alias("share"))
 
 
 def template_explanation(opportunities: DataFrame) -> DataFrame:

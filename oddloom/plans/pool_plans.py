@@ -81,7 +81,7 @@ def owners(spark, sf_dir):
 SELECT (SELECT count(DISTINCT match_id) FROM quotes) AS matches_analysed,
   (SELECT string_agg(DISTINCT bookmaker, ',' ORDER BY bookmaker) FROM quotes) AS bookmakers,
   (SELECT count(DISTINCT bookmaker) FROM quotes) AS bookmakers_count,
-  count(*) FILTER (margin < 1) AS surebets, count(*) AS combos FROM combos"""))
+  count(*) FILTER (margin < 1) AS arbitrages, count(*) AS combos FROM combos"""))
 def headline(spark, sf_dir):
     q = src.quotes(spark, sf_dir)
     ranked = A.with_margin(A.best_combos(q)).withColumn("is_arbitrage", F.col("margin") < 1.0)
