@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _MEMO = 1 << 16
 
@@ -76,31 +76,32 @@ def _over_pairs(score, a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
-def _token_sort_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _token_sort(a: pd.Series, b: pd.Series) -> pd.Series:
     return _over_pairs(_sort_score, a, b)
 
 
-@F.pandas_udf("double")
-def _similar_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return _over_pairs(lambda x, y: max(_set_score(x, y), _sort_score(x, y)), a, b)
 
 
-@F.pandas_udf("double")
-def _partial_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
     return _over_pairs(_partial_score, a, b)
 
 
+def _scored(function, a: Column, b: Column) -> Column:
+    return F.pandas_udf(function, T.DoubleType())(a, b)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Score of the two names with their words sorted."""
-    return _token_sort_udf(a, b)
+    return _scored(_token_sort, a, b)
 
 
 def similar_ratio(a: Column, b: Column) -> Column:
     """The better of the word-set score and the sorted-word score."""
-    return _similar_udf(a, b)
+    return _scored(_similar, a, b)
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
     """Best score of the shorter text against any window of the longer one."""
-    return _partial_udf(a, b)
+    return _scored(_partial, a, b)
