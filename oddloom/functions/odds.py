@@ -43,6 +43,12 @@ def counter_odd(odd: Column) -> Column:
     return F.when((odd > 1) & (rest > 0), F.try_divide(F.lit(1.0), rest))
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Half-even rounding of the scaled value, which keeps 4.515 (just below in binary) at 4.51."""
+    scale = float(10 ** digits)
+    return F.bround(value * scale, 0) / scale if digits else F.bround(value, 0)
+
+
 def residual_adjust(stakes: Column, odds: Column, bankroll) -> Column:
     """The leg with the highest price (first on ties) takes what is left."""
     top = F.array_position(odds, F.array_max(odds)) - 1
@@ -61,7 +67,7 @@ def split_stakes(odds: Column, bankroll, round_to: int | None = 1) -> Column:
     raw = F.transform(odds, lambda o: F.try_divide(_col(bankroll), o * margin))
     if round_to is None:
         return raw
-    rounded = F.transform(raw, lambda s: F.bround(s, round_to))
+    rounded = F.transform(raw, lambda s: half_even(s, round_to))
     if round_to != 0:
         return rounded
     return F.when(F.size(odds) > 1, residual_adjust(rounded, odds, bankroll)).otherwise(rounded)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import ALERT_SCORE, REPORT_COLUMNS, VERDICT_ERRORS
+from ..functions.odds import half_even
 from .arbitrage import null_safe
 from .running import middle_values, running_sums
 
@@ -49,7 +50,7 @@ def bankroll_curve(history: DataFrame) -> DataFrame:
 def alert_pass_rate(history: DataFrame, threshold: int = ALERT_SCORE) -> DataFrame:
     """Share of scored rows at or over the threshold, one decimal."""
     rate = 100.0 * F.count_if(F.col("score_ia") >= threshold) / F.nullif(F.count("score_ia"), F.lit(0))
-    return history.agg(F.coalesce(F.bround(rate, 1), F.lit(0.0)).alias("pass_rate"))
+    return history.agg(F.coalesce(half_even(rate, 1), F.lit(0.0)).alias("pass_rate"))
 
 
 def distinct_detections(history: DataFrame, sport: str | None = None, only_open: bool = False) -> DataFrame:
@@ -161,12 +162,12 @@ def report_columns(opportunities: DataFrame) -> DataFrame:
         return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit(""))
 
     values = [
-        day("detected_at"), day("match_date"), F.bround("bankroll", 2), F.bround(F.col("bankroll") + F.col("profit"), 2),
-        F.bround("roi_pct", 2), F.bround("profit", 2), F.col("sport"), F.col("match_label"),
+        day("detected_at"), day("match_date"), half_even(F.col("bankroll"), 2),
+        half_even(F.col("bankroll") + F.col("profit"), 2), half_even(F.col("roi_pct"), 2), half_even(F.col("profit"), 2), F.col("sport"), F.col("match_label"),
     ]
     for i in range(3):
         leg = F.get(F.col("legs"), F.lit(i))
-        cells = [leg["bookmaker"], leg["event_label"], leg["odds"], F.bround(leg["stake"], 2)]
+        cells = [leg["bookmaker"], leg["event_label"], leg["odds"], half_even(leg["stake"], 2)]
         values += [F.coalesce(c.cast("string"), F.lit("")) for c in cells] if i == 2 else cells
     return opportunities.select(*[v.alias(name) for v, name in zip(values, REPORT_COLUMNS)])
 
@@ -175,5 +176,5 @@ def boost_listing(valuations: DataFrame) -> DataFrame:
     """Valuations by edge, incomplete ones last, display rounding."""
     return (
         valuations.orderBy(F.col("edge_pct").desc_nulls_last(), "boost_id")
-        .withColumn("fair_odds", F.bround("fair_odds", 2)).withColumn("edge_pct", F.bround("edge_pct", 1))
+        .withColumn("fair_odds", half_even(F.col("fair_odds"), 2)).withColumn("edge_pct", half_even(F.col("edge_pct"), 1))
     )
