@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = [
-    "pool_plans", "arbitrage_plans", "stake_plans", "scout_plans", "alert_plans", "history_plans", "membership_plans", "quality_plans", "source_plans", "normalize_plans", "resolve_plans", "boost_plans",
+    "pool_plans", "arbitrage_plans", "stake_plans", "scout_plans", "alert_plans", "history_plans", "membership_plans", "quality_plans", "source_plans", "normalize_plans", "resolve_plans", "boost_plans", "stream_plans", "sink_plans",
 ]
 
 
