@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import MAX_AGE_S, NEVER_OK_FAILURES, OUTAGE_AFTER_S, TRAJECTORY_KEEP
@@ -188,8 +188,8 @@ def outage_stream(stream: DataFrame, path: str, checkpoint: str, after_s: int =
         health = alerted = None
         if batch_id > 0:
             health = spark.read.parquet(f"{path}/health/v={batch_id - 1}")
-            alerted = spark.read.schema("bookmaker string, since timestamp, alert_ts timestamp").parquet(
-                *[f"{path}/alerts/v={i}" for i in range(batch_id)])
+            alerted = spark.read.schema("bookmaker string, since timestamp, alert_ts timestamp, v int").parquet(
+                f"{path}/alerts").filter(F.col("v") < batch_id).drop("v")
         outage_alert_once(batch, after_s, health, alerted).write.mode("overwrite").parquet(f"{path}/alerts/v={batch_id}")
         fold(batch, batch_id)
 
@@ -220,10 +220,10 @@ def stream_dedup(stream: DataFrame, path: str, checkpoint: str, interval: str |
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        history = (
-            spark.read.parquet(*[f"{path}/batch={i}" for i in range(batch_id)]) if batch_id > 0
-            else spark.createDataFrame([], batch.schema)
-        )
+        history = batch.limit(0)
+        if batch_id > 0:
+            stored = T.StructType([*batch.schema.fields, T.StructField("alertable", T.BooleanType()), T.StructField("batch", T.IntegerType())])
+            history = spark.read.schema(stored).parquet(path).filter(F.col("batch") < batch_id)
         kept = first_signal_per_match(drop_exact_duplicates(batch, history), history)
         kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
