@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as C
 from ..schemas import MAPPING_TYPE
 from .similarity import partial_ratio
-from .text import canonical_name, resolve_alias
+from .text import canonical_name, once, resolve_alias
 
 
 def _has(col: Column, pattern: str) -> Column:
@@ -85,11 +85,12 @@ def normalize_market_label(
     """
     m, s = F.coalesce(F.col(market), F.lit("")), F.coalesce(F.col(selection), F.lit(""))
     n_or_more = F.regexp_extract(s, "(?iuU)" + C.LABEL_N_OR_MORE, 1).try_cast("int")
-    staged = (
-        df.withColumn("__family", _family(m))
-        .withColumn("__pick", F.when(n_or_more.isNotNull(), "over").otherwise(_over_under(s)))
-        .withColumn("__line", F.coalesce(n_or_more - 0.5, _first_number(s)))
-    )
+    parts = F.struct(
+        _family(m).alias("family"), F.when(n_or_more.isNotNull(), "over").otherwise(_over_under(s)).alias("pick"),
+        F.coalesce(n_or_more - 0.5, _first_number(s)).alias("line"))
+    staged = once(df, "__parts", parts).select(
+        "*", F.col("__parts.family").alias("__family"), F.col("__parts.pick").alias("__pick"), F.col("__parts.line").alias("__line")
+    ).drop("__parts")
     ready = F.col("__family").isNotNull() & F.col("__pick").isNotNull() & F.col("__line").isNotNull()
     staged = staged.withColumn(
         "__scope", team_scope_score(F.when(ready, m), F.col(home), F.col(away))
@@ -148,4 +149,4 @@ def normalize_market_label(
             ).otherwise(_mapping(base, "over", 2, F.col("__line"), None, 0.5)),
         )
     )
-    return staged.withColumn(output, mapping).drop("__family", "__pick", "__line", "__scope")
+    return once(staged, output, mapping).drop("__family", "__pick", "__line", "__scope")

@@ -38,7 +38,9 @@ def strip_accents(col: Column) -> Column:
         spread = F.replace(spread, F.lit(char), F.lit(plain))
     present = col.rlike("[" + "".join(_EXPANDED) + "]")
     # translate drops the source characters that have no counterpart
-    return F.translate(F.when(present, spread).otherwise(col), _SOURCE + _MARKS, _TARGET)
+    folded = F.translate(F.when(present, spread).otherwise(col), _SOURCE + _MARKS, _TARGET)
+    # plain ASCII, by far the most frequent case, is left as it is
+    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(folded)
 
 
 def normalize_team_name(col: Column) -> Column:
@@ -153,8 +155,28 @@ def unescape_markup(col: Column) -> Column:
     return text
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_tags(col: Column) -> Column:
     """Visible text of a markup fragment, whitespace collapsed."""
-    bare = F.regexp_replace(col, r"(?s)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"</?[a-zA-Z!][^>]*>", " ")
-    return F.trim(F.regexp_replace(unescape_markup(bare), r"\s+", " "))
+    def bare(c: Column) -> Column:
+        text = F.regexp_replace(c, r"(?s)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->", " ")
+        return F.when(c.contains("<"), F.regexp_replace(text, r"</?[a-zA-Z!][^>]*>", " ")).otherwise(c)
+
+    def plain(c: Column) -> Column:
+        text = F.when(c.contains("&"), unescape_markup(c)).otherwise(c)
+        return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    return let(let(col, bare), plain)
+
+
+def once(df, name: str, value: Column):
+    """Add a column that is computed once per row wherever it is used later.
+
+    Filters and projections above are not rewritten into copies of the
+    expression, because a generated column is opaque to them.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))

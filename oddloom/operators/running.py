@@ -92,7 +92,7 @@ def middle_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
     Equal values are counted first and the counts accumulated in order, so a
     hot key is spread over tasks by its values; nothing is collected.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    counts = cut_lineage(df.groupBy(*by, value).agg(F.count("*").alias("__n")), "counts")
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     ranked = running_sums(counts, [value], {"__upto": F.col("__n")}, by=by)
     low, high = F.floor((F.col("__total") - 1) / 2) + 1, F.floor(F.col("__total") / 2) + 1

@@ -17,7 +17,7 @@ from .registry import query, with_ctes
 @query("n01_normalize_team_name", """
 SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents""")
 def fold(spark, sf_dir):
-    d = src.table(spark, sf_dir, "documents")
+    d = src.spread(src.table(spark, sf_dir, "documents"), "doc_id")
     return d.select("doc_id", F.md5(X.normalize_team_name(F.col("text"))).alias("folded"))
 
 
@@ -68,7 +68,7 @@ CASE_SQL = f"cases AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {sql
 def _labelled(spark, sf_dir):
     """Every line item shown under one of the label cases (a fixed list, broadcast)."""
     cases = values_dim(spark, ["i", "market_label", "selection_label"], [(i, c[0], c[1]) for i, c in enumerate(CASES)])
-    li = src.table(spark, sf_dir, "lineitem").withColumn("i", (F.col("l_partkey") + F.col("l_linenumber")) % len(CASES))
+    li = src.spread(src.table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("i", (F.col("l_partkey") + F.col("l_linenumber")) % len(CASES))
     return li.join(F.broadcast(cases), "i").withColumn("home_team", F.lit(HOME)).withColumn("away_team", F.lit(AWAY)).withColumn(
         "sport", F.lit("football"))
 

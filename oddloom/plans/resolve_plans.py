@@ -96,7 +96,7 @@ def best(spark, sf_dir):
 
 def spelled_quotes(spark, sf_dir):
     """Quotes whose home team is spelled the bookmaker's way, two of them alike."""
-    li = src.table(spark, sf_dir, "lineitem")
+    li = src.spread(src.table(spark, sf_dir, "lineitem"), "l_orderkey")
     p = src.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_name", F.concat_ws(" ", F.col("p_brand"), F.col("p_type")).alias("away"))
     joined = src.quote_projection(li).alias("q").join(p, F.col("q.match_id").cast("bigint") == p["l_partkey"])

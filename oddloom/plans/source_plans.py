@@ -26,7 +26,7 @@ def _rows(q):
 
 def _line_payload(spark, sf_dir):
     """One coded-feed document per quote: the quote, an excluded code and a worthless price."""
-    q = src.quotes(spark, sf_dir)
+    q = src.spread_quotes(spark, sf_dir)
     m, s, sc = F.col("market_type"), F.col("selection"), F.col("team_scope")
     over = s == "over"
     g = F.when(m == "1x2", 1).when(m == "goals_total", 17).when(sc == "home", 15).when(sc == "away", 62).otherwise(99)
@@ -75,7 +75,7 @@ def _map1(key, value):
 @query("s02_tree_flatten", with_ctes(QUOTES_SQL, KEYED_SQL, f"""
 SELECT 'Golcash' AS bookmaker, {OUT_SQL}, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS starts FROM keyed"""))
 def tree(spark, sf_dir):
-    q = src.quotes(spark, sf_dir)
+    q = src.spread_quotes(spark, sf_dir)
     m, sc, s = F.col("market_type"), F.col("team_scope"), F.col("selection")
     kind = (
         F.when(m == "1x2", "P1XP2").when(m == "goals_total", "OverUnder").when(sc == "home", "HomeTeamCornersOverUnder")
@@ -128,7 +128,7 @@ def tree_market(spark, sf_dir):
 @query("s04_grouped_feed_flatten", with_ctes(QUOTES_SQL, KEYED_SQL, f"""
 SELECT 'Paryaj Pam' AS bookmaker, {OUT_SQL}, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS starts FROM keyed"""))
 def grouped(spark, sf_dir):
-    q = src.quotes(spark, sf_dir)
+    q = src.spread_quotes(spark, sf_dir)
     m, sc, s = F.col("market_type"), F.col("team_scope"), F.col("selection")
     tp = F.when(m == "1x2", 2).when(m == "goals_total", 4).when(sc == "home", 68).when(sc == "away", 69).otherwise(67)
     name = F.when(s == "home", "Win1").when(s == "draw", "Draw").when(s == "away", "Win2").otherwise(F.initcap(s))
@@ -174,7 +174,7 @@ def code_market(spark, sf_dir):
 SELECT home_team, concat('corners', CASE WHEN team_scope IS NULL THEN '_total' ELSE '_team' END) AS market_type, selection, line, team_scope, odds
 FROM quotes WHERE market_type LIKE 'corners%'"""))
 def stats(spark, sf_dir):
-    q = src.quotes(spark, sf_dir).filter(F.col("market_type").startswith("corners"))
+    q = src.spread_quotes(spark, sf_dir).filter(F.col("market_type").startswith("corners"))
     part = src.table(spark, sf_dir, "part")
     key = F.col("p_partkey")
 
@@ -205,7 +205,7 @@ def stats(spark, sf_dir):
 
 def _event_pages(spark, sf_dir):
     """An event page per line item: two markets, three selections."""
-    li = src.table(spark, sf_dir, "lineitem")
+    li = src.spread(src.table(spark, sf_dir, "lineitem"), "l_orderkey")
     price = F.translate(F.format_string("%.2f", F.col("l_quantity") / 10), ".", ",")
 
     def item(name, odds):

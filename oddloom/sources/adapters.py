@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core rows when a table comes in fewer files than there are cores.
+
+    For jobs that spend their time per row (text, nested payloads). A table of
+    many files is read in parallel already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def _ts(col: Column) -> Column:
     return col.cast("timestamp")
 
@@ -67,6 +77,10 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_projection(table(spark, sf_dir, "lineitem"))
 
 
+def spread_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_projection(spread(table(spark, sf_dir, "lineitem"), "l_orderkey"))
+
+
 # The same projection for the SQL engine that checks results.
 QUOTES_SQL = """
 quotes AS (

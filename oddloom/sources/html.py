@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import strip_tags
+from ..functions.text import let, once, strip_tags
 from .feeds import split_pair
 
 
@@ -21,7 +21,8 @@ def _open(tag: str, name: str) -> str:
 def _inner(col: Column, name: str) -> Column:
     """Text of the first element of a class, NULL when absent."""
     pattern = rf'(?s)<([a-z][a-z0-9-]*)\b[^>]*\bclass="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
-    return F.when(col.rlike(pattern), strip_tags(F.regexp_extract(col, pattern, 2)))
+    return let(
+        F.regexp_extract(col, pattern, 0), lambda e: F.when(e != "", strip_tags(F.regexp_extract(e, pattern, 2))))
 
 
 def _blocks(col: Column, opening: str) -> Column:
@@ -33,14 +34,13 @@ def _blocks(col: Column, opening: str) -> Column:
 def html_market_extract(pages: DataFrame) -> DataFrame:
     """(page_id, position, title, selection label, odds text) of event pages."""
     markets = pages.select("page_id", F.posexplode(_blocks(F.col("html"), _open("div", "bet-type"))).alias("m", "block"))
-    items = markets.withColumn("title", _inner(F.col("block"), "bet-type-infos")).filter(F.col("title").isNotNull())
+    items = once(markets, "title", _inner(F.col("block"), "bet-type-infos")).filter(F.col("title").isNotNull())
     cells = items.select(
         "page_id", "m", "title", F.posexplode(_blocks(F.col("block"), r"<hg-event-bet-type-item\b[^>]*>")).alias("i", "item")
     )
-    return cells.select(
-        "page_id", "m", "i", "title", _inner(F.col("item"), "name").alias("selection_label"),
-        _inner(F.col("item"), "odds").alias("odds_text"),
-    ).filter(F.col("selection_label").isNotNull() & F.col("odds_text").isNotNull())
+    both = F.struct(_inner(F.col("item"), "name").alias("selection_label"), _inner(F.col("item"), "odds").alias("odds_text"))
+    return once(cells, "cell", both).select("page_id", "m", "i", "title", "cell.selection_label", "cell.odds_text").filter(
+        F.col("selection_label").isNotNull() & F.col("odds_text").isNotNull())
 
 
 def page_start_time(text: Column, as_of: Column) -> Column:
