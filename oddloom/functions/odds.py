@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import lookup  # noqa: F401  (re-exported for plan modules)
-
 
 def _col(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)

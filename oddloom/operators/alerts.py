@@ -9,7 +9,6 @@ from ..functions import odds as O
 from ..functions import scoring as S
 from ..functions.text import escape_markup
 from .arbitrage import leg_odds, null_safe
-from .history import legs_to_wide  # noqa: F401
 from .running import trailing_window
 
 # Identity of a detection: same match, same legs, same prices.

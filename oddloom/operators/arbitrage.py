@@ -11,14 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..constants import NEAR_HIGH, NEAR_LOW  # noqa: F401
 from ..functions import odds as O
 from ..functions import text
 from ..schemas import MARKET_KEYS
 from .running import middle_values
 
-LEG = "struct<selection:string,bookmaker:string,odds:double,seq:bigint>"
-
 
 def null_safe(left: str, right: str, keys: list[str]) -> Column:
     """Equality of ``keys`` between two aliased frames, NULL equal to NULL."""

@@ -8,7 +8,7 @@ from ..operators import arbitrage as A
 from ..operators import pool as B
 from ..sources import adapters as src
 from ..sources.adapters import stamp
-from .common import COMBOS_SQL, QUOTES_SQL, r6
+from .common import COMBOS_SQL, QUOTES_SQL
 from .registry import query, with_ctes
 
 AS_OF = "2000-01-01 00:00:00"
@@ -99,5 +99,3 @@ def rejects(spark, sf_dir):
         F.concat(F.lit("book_"), (F.col("user_id") % 5).cast("string")).alias("bookmaker"), status.alias("status"))
     return B.reject_report(log)
 
-
-__all__ = ["as_of", "r6"]

@@ -79,7 +79,7 @@ def test_hedge_accepts(spark):
     assert o["n_outcomes"] == 2
 
 
-@pytest.mark.parametrize("odds,conds,pool,word", [
+REFUSED = [
     (50.0, TWO, [(b, m, s, li, 1.15, x) for b, m, s, li, _, x in POOL], "il manque"),
     (1.6, TWO, POOL[:1], "pas de cote inverse"),
     (1.6, TWO, [("Paryaj Lakay", *r[1:]) for r in POOL], "pas de cote inverse"),
@@ -91,10 +91,25 @@ def test_hedge_accepts(spark):
     (1.6, [threshold("shots", 3, None, raw="Marseille reussit 4 tirs")], [("1xBet", "shots_total", "under", 3.0, 8.0)], "nomme une equipe"),
     (1.6, [threshold("shots", 3), threshold("shots", 3)], POOL, ""),
     (1.6, [threshold("shots", i) for i in range(4)], POOL, "4 conditions"),
-])
-def test_hedge_refuses(spark, odds, conds, pool, word):
-    o, reason = hedge(spark, odds, conds, pool)
-    assert o is None and word in reason
+]
+TEAMS = [("Lyon", "Marseille"), ("Bordeaux", "Strasbourg"), ("Chelsea", "Everton"), ("Valencia", "Getafe"), ("Napoli", "Udinese"),
+         ("Ajax", "Utrecht"), ("Benfica", "Braga"), ("Celtic", "Dundee"), ("Bochum", "Freiburg"), ("Genk", "Antwerp"), ("Boca", "Huracan")]
+
+
+def test_hedge_refuses(spark):
+    """Every refusal in one run: one offer per case, each on a match of its own."""
+    offers, conds, rows = [], [], []
+    for i, ((odds, cs, pool, _), (home, away)) in enumerate(zip(REFUSED, TEAMS)):
+        offers.append((i, f"{home} - {away}", "d", float(odds), "/e"))
+        conds += [(i, j, c["kind"], home if c["team"] else None, c["each_team"], c["stat"], c["line"], c["raw"].replace("Marseille", away), c["unknown"])
+                  for j, c in enumerate(cs)]
+        rows += [(*r[:5], {**(r[5] if len(r) > 5 else {}), "home_team": home, "away_team": away, "match_id": str(i)}) for r in pool]
+    o = spark.createDataFrame(offers, "boost_id int, match string, description string, boosted_odds double, event_url string")
+    c, q = spark.createDataFrame(conds, COND), quotes(spark, rows)
+    assert B.find_boost_arbitrage(o, q, 10_000.0, conditions=c).isEmpty()
+    reasons = {r["boost_id"]: r["reason"] for r in B.diagnose_boost(o, q, conditions=c).collect()}
+    for i, case in enumerate(REFUSED):
+        assert case[3] in reasons[i], (i, reasons[i])
 
 
 def test_wanted_stats(spark):

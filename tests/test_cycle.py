@@ -171,13 +171,14 @@ def test_stream_dedup_over_batches(spark, tmp_path):
 
 def test_evict_stale_drops_late_rows(spark, tmp_path):
     folder = str(tmp_path / "in")
-    times = [AS_OF, AS_OF + timedelta(seconds=200), AS_OF + timedelta(seconds=10), AS_OF + timedelta(seconds=190)]
+    # the watermark a batch applies is the one the batch before it started with
+    times = [AS_OF + timedelta(seconds=x) for x in (0, 200, 201, 10, 190)]
     for i, t in enumerate(times):
         quotes(spark, [("a", "1x2", "home", None, 2.0 + i, {"scraped_at": t, "ingest_seq": i})]).coalesce(1).write.mode("append").parquet(folder)
     schema = spark.read.parquet(folder).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     T.append_files(T.evict_stale(stream, ["bookmaker", "ingest_seq"]), str(tmp_path / "o"), str(tmp_path / "oc")).awaitTermination()
-    assert sorted(r["ingest_seq"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [0, 1, 3]
+    assert sorted(r["ingest_seq"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [0, 1, 2, 4]
 
 
 def test_snapshot_and_cache(spark, tmp_path):
