@@ -30,9 +30,15 @@ def market_groups(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy(*MARKET_KEYS).agg(F.count("*").alias("n_quotes"))
 
 
+# The line as text: a floating-point key is normalised anew in every operator,
+# which would hide that the rows are already partitioned on it.
+POINT_KEYS = ["match_id", "market_type", "line_key", "team_scope"]
+
+
 def price_points(quotes: DataFrame) -> DataFrame:
     """Distinct prices per market, selection and bookmaker with their first position."""
-    return quotes.groupBy(*MARKET_KEYS, "n_outcomes", "selection", "bookmaker", "odds").agg(
+    keyed = quotes.withColumn("line_key", (F.col("line") + 0.0).cast("string"))
+    return keyed.groupBy(*POINT_KEYS, "n_outcomes", "selection", "bookmaker", "odds").agg(
         F.min("ingest_seq").alias("seq")
     )
 
@@ -54,11 +60,10 @@ def side_tops(quotes: DataFrame) -> DataFrame:
     ``d2`` the highest price outside the first one's bookmaker. The first
     quote of a market decides its number of outcomes.
     """
-    points = price_points(quotes).repartition(*MARKET_KEYS)
-    first = Window.partitionBy(*MARKET_KEYS).orderBy("seq", "n_outcomes")
-    ranked = Window.partitionBy(*MARKET_KEYS, "side").orderBy(F.desc("odds"), "seq", "bookmaker")
+    first = Window.partitionBy(*POINT_KEYS).orderBy("seq", "n_outcomes")
+    ranked = Window.partitionBy(*POINT_KEYS, "side").orderBy(F.desc("odds"), "seq", "bookmaker")
     sided = (
-        points.withColumn("n_group", F.first("n_outcomes").over(first))
+        price_points(quotes).withColumn("n_group", F.first("n_outcomes").over(first))
         .withColumn("side", _side(F.col("n_group"), F.col("selection")))
         .filter(F.col("side").isNotNull())
         .withColumn("rank", F.row_number().over(ranked))
@@ -71,7 +76,8 @@ def side_tops(quotes: DataFrame) -> DataFrame:
         aggs.append(F.min_by("leg", F.when(mine, F.col("rank"))).alias(side + "1"))
         other = mine & (F.col("bookmaker") != F.col("top_book"))
         aggs.append(F.min_by("leg", F.when(other, F.col("rank"))).alias(side + "2"))
-    return sided.groupBy(*MARKET_KEYS).agg(F.max("n_group").alias("n_outcomes"), *aggs)
+    tops = sided.groupBy(*POINT_KEYS).agg(F.max("n_group").alias("n_outcomes"), *aggs)
+    return tops.withColumn("line", F.col("line_key").cast("double")).drop("line_key")
 
 
 def _two_way_legs() -> Column:
