@@ -176,3 +176,16 @@ def test_match_lookup_takes_the_first_in_feed_order(spark):
         "start_time", F.current_timestamp()).withColumn("competition", F.lit("L"))
     req = spark.createDataFrame([(1, "Arges", "Como"), (2, "Como", "Arges")], "request_id int, home_team string, away_team string")
     assert {r["request_id"]: r["event_id"] for r in R.match_lookup(req, ev).collect()} == {1: 11, 2: None}
+
+
+def test_match_lookup_equals_brute_force(spark):
+    rng = random.Random(8)
+    pool = noisy_names(rng, 50) + ["Arges", "FC Arges", "F.C. Arges", "Arges U-23"]
+    events = [(i, i, rng.choice(pool), rng.choice(pool)) for i in range(300)]
+    asked = [(i, rng.choice(pool), rng.choice(pool)) for i in range(200)]
+    ev = spark.createDataFrame(events, "event_id int, pos int, home_team string, away_team string").withColumn(
+        "start_time", F.lit("2026-07-24").cast("timestamp")).withColumn("competition", F.lit("L"))
+    req = spark.createDataFrame(asked, "request_id int, home_team string, away_team string")
+    got = {r["request_id"]: r["event_id"] for r in R.match_lookup(req, ev).collect()}
+    want = {i: next((e for e, _, h, a in events if python_similar(h, home) and python_similar(a, away)), None) for i, home, away in asked}
+    assert got == want and any(want.values())
