@@ -57,3 +57,34 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select("doc_id", *[count(k) for k in kinds], F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+@query("op6_hash_prefix_forest")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op10_p_stable_embedding_dedup", sql="""
+    WITH unit AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    fine AS (
+      SELECT vec_id, label, e FROM unit WHERE label IS NOT NULL AND e IS NOT NULL
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    pairs AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (
+      WITH RECURSIVE r(a, b) AS (
+        SELECT vec_id, vec_id FROM embeddings
+        UNION
+        SELECT r.a, p.b FROM r JOIN pairs p ON p.a = r.b)
+      SELECT a, min(b) AS component_id FROM r GROUP BY a),
+    counted AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+    SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN reach ON reach.a = e.vec_id LEFT JOIN counted ON counted.a = e.vec_id""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
