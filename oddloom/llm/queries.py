@@ -88,3 +88,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query("op4_seed_and_extend")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import mark
+
+    marked = mark(table(spark, sf_dir, "documents"), window=35)
+    return marked.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("repeats").alias("n_repeats"))
