@@ -96,3 +96,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     marked = mark(table(spark, sf_dir, "documents"), window=35)
     return marked.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("repeats").alias("n_repeats"))
+
+
+@query("op5_min_max_hashing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import mark
+
+    return mark(table(spark, sf_dir, "documents"), words=4, percent=80)
