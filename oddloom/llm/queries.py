@@ -103,3 +103,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import mark
 
     return mark(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op2_merkle_fixity_audit", sql="""
+    WITH records AS (
+      SELECT page_id, coalesce(url, '') AS url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+        || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '
+        || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+        || chr(13) || chr(10) || chr(13) || chr(10) AS record
+      FROM pages),
+    placed AS (
+      SELECT page_id, strlen(record) AS rec_length,
+        sum(strlen(record)) OVER (ORDER BY page_id NULLS FIRST, url, sha256(record)
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - strlen(record) AS pos
+      FROM records)
+    SELECT page_id, CAST(pos // 16777216 AS BIGINT) AS file_no, CAST(pos % 16777216 AS BIGINT) AS rec_offset,
+      CAST(rec_length AS BIGINT) AS rec_length, CASE WHEN page_id % 89 = 1 THEN 'missing' ELSE 'changed' END AS damage
+    FROM placed WHERE page_id % 89 = 1 OR page_id % 97 = 3""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive, against a replica that lost some records and holds a changed byte in others."""
+    from ..session import cut_lineage
+    from .fixity import AT, audit, laid_out, warc_record
+
+    record = warc_record("url", "html")
+    spoilt = F.when(F.col("page_id") % 97 == 3, F.concat(F.lit("?"), F.substring("record", 2, 1 << 30))).otherwise(F.col("record"))
+    slim = table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), record.alias("record")).select(
+        "page_id", "url", F.octet_length("record").cast("long").alias("rec_length"), F.sha2("record", 256).alias("digest"),
+        F.sha2(spoilt, 256).alias("held"))
+    archive = cut_lineage(laid_out(slim, ["page_id", "url", "digest"], "rec_length"), "archive")
+    replica = archive.filter(~F.coalesce(F.col("page_id") % 89 == 1, F.lit(False))).select(*AT, "rec_length", F.col("held").alias("digest"))
+    found = audit(archive.select(*AT, "rec_length", "digest"), replica)
+    return found.join(archive.select(*AT, "page_id"), AT, "left").select("page_id", *AT, "rec_length", "damage")
