@@ -134,3 +134,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica = archive.filter(~F.coalesce(F.col("page_id") % 89 == 1, F.lit(False))).select(*AT, "rec_length", F.col("held").alias("digest"))
     found = audit(archive.select(*AT, "rec_length", "digest"), replica)
     return found.join(archive.select(*AT, "page_id"), AT, "left").select("page_id", *AT, "rec_length", "damage")
+
+
+@query("op1_bootstrapped_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, extract
+
+    return _span_digest(extract(table(spark, sf_dir, "documents")), KINDS)
