@@ -1,4 +1,7 @@
-"""Corpus cleaning and packing, stage by stage."""
+"""Corpus cleaning and packing, stage by stage.
+
+Every stage works on all rows that its predecessor kept, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +10,46 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from oddloom.llm.packing import pack
+from oddloom.llm import minhash_dedup, packing, secrets, substring_dedup, toxicity
 from oddloom.session import scratch_path, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-or model rejects go; it learns from the table of labels."""
+    ship_package(spark)
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    ship_package(spark)
+    return minhash_dedup.keep_one(docs, words=5, percent=80)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words and more that occur elsewhere are cut out; the documents stay."""
+    ship_package(spark)
+    return substring_dedup.dedup(docs, window=35)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    ship_package(spark)
+    return secrets.redact(docs, secrets.train(docs))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, with their ids, ready for training."""
     ship_package(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, max_len=4096)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, max_len=4096)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack_sequences)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("repeated passages", drop_repeats),
+    ("secrets", redact_secrets), ("packing", pack_sequences),
+]
 
 #: Trained scores and a library's tokenizer have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -29,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each stage's rows are written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
