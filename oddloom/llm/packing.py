@@ -12,6 +12,7 @@ row; other columns are left out; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -23,7 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow import lists, slices
-from .words import WordIds
+from .words import WORD_CHARS, WordIds
+#: Outside these characters the order of composing and lower-casing, or the rule for it, could matter.
+BEYOND_LATIN = re.compile(r"[^\x00-\u012f\u0131-\u017f]")
+
 
 class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space and lower-cases.
@@ -37,16 +41,47 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
-        self.words = WordIds(lambda new: [
-            array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        self.tokenizer = tokenizer
+        suffix = tokenizer.model.end_of_word_suffix or "\0"
+        self.closes = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        self.closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.words = WordIds(self._encode_words)
+        self.marks = {m: array("I", tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         return self.words.join([self._split(t) for t in texts])
 
+    def _encode_words(self, new: list[str]) -> list[bytes]:
+        """A stop or comma after a letter is a token of its own, so the word before it is encoded without it."""
+        known = self.words.known
+        cores = [w[:-1] if w[-1:] in self.marks and w[-2:-1].isalpha() else w for w in new]
+        missing = [c for c in dict.fromkeys(cores) if c not in known]
+        letters = [c for c in missing if c.isalpha() and not BEYOND_LATIN.search(c)]
+        fresh = dict(zip(letters, self._encode_letters(letters)))
+        others = [c for c in missing if c not in fresh]
+        made = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        fresh.update((c, array("I", e.ids).tobytes()) for c, e in zip(others, made))
+        known.update({c: b for c, b in fresh.items() if len(c) <= WORD_CHARS})
+        return [(fresh.get(c) or known.get(c, b"")) + (b"" if c is w else self.marks[w[-1]]) for c, w in zip(cores, new)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone are one run each, so that the token that closes a run parts them in a joined text."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 256):
+            part = words[at:at + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.nonzero(self.closes[ids])[0] + 1
+            if len(ends) != len(part):
+                out += [array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in part]
+                continue
+            raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return out
+
     @staticmethod
     def _split(text: str) -> list[str]:
-        if "<|" not in text and text.isascii():  # special tokens are matched before letters are lowered
+        if "<|" not in text and not BEYOND_LATIN.search(text):  # special tokens are matched before letters are lowered
             text = text.lower()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Longest word kept in memory, and how many are kept before the long, hence rare, ones are let go.
-WORD_CHARS, WORDS, SHORT = 48, 900_000, 9
+WORD_CHARS, WORDS, SHORT = 48, 1_200_000, 9
 
 
 class WordIds:
