@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from .arrow import map_texts
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS, BEGINNINGS = 1 << 18, (4, 5, 6, 7)
-FIT_ROWS, FIT_CHARS = 3000, 100_000
+FIT_ROWS, FIT_CHARS = 1500, 50_000
 WORDS = 400_000
 
 
@@ -80,20 +81,22 @@ class Scorer:
         return 1 - math.exp(clean) if sentences else 1 / (1 + math.exp(-self.bias))
 
 
-def _log_odds(seen: np.ndarray, y: np.ndarray, lists: list[list[int]]) -> np.ndarray:
-    """Where the climb starts: document-level log odds of the features, as far as they are beyond chance."""
-    word, doc = seen // len(y), seen % len(y)
-    sizes = np.array([len(x) for x in lists])
-    row = np.repeat(np.arange(len(word)), sizes[word])
-    first = (np.cumsum(sizes) - sizes)[word]
-    flat = np.array([b for x in lists for b in x], np.int64)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word]) + first[row]
-    pairs = np.unique(flat[at] * len(y) + doc[row])  # feature and document, once
-    toxic = y[pairs % len(y)] > 0
-    a = np.bincount(pairs[toxic] // len(y), minlength=BUCKETS) + 0.5
-    b = np.bincount(pairs[~toxic] // len(y), minlength=BUCKETS) + 0.5
+def _log_odds(seen: np.ndarray, y: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every feature its number of documents, and where the climb starts: log odds as far as they are beyond chance.
+
+    ``seen`` holds word and document, once each; word w has ``sizes[w]`` features, one after another in ``flat``.
+    """
+    first, hits = np.cumsum(sizes) - sizes, np.zeros((2, BUCKETS))
+    order = np.argsort(seen % len(y), kind="stable")
+    word, doc = (seen // len(y))[order], (seen % len(y))[order]
+    for d, begin, end in zip(*np.unique(doc, return_index=True), [*np.nonzero(np.diff(doc))[0] + 1, len(doc)]):
+        own = word[begin:end]
+        at = np.repeat(first[own], sizes[own]) + np.arange(sizes[own].sum())
+        at -= np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        hits[int(y[d] > 0), np.unique(flat[at])] += 1
+    a, b = hits[1] + 0.5, hits[0] + 0.5
     odds = np.log(a / (y.sum() + 1)) - np.log(b / (len(y) - y.sum() + 1))
-    return np.maximum(odds - 3 * np.sqrt(1 / a + 1 / b), 0)
+    return hits.sum(0), np.maximum(odds - 3 * np.sqrt(1 / a + 1 / b), 0)
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.05, decay: float = 3e-4,
@@ -102,35 +105,38 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.0
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), -8.0)
     known: dict[str, int] = {}
-    words, sentence_of, document_of = [], [], []
+    words, sentence_of, document_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for sentence in SENTENCE.findall(text):
             own = [known.setdefault(w, len(known)) for w in sentence.split()]
-            words += own
-            sentence_of += [len(document_of)] * len(own)
+            words.extend(own)
+            sentence_of.extend([len(document_of)] * len(own))
             document_of.append(d)
     y = np.array(labels, float)
     words, sentence_of, document_of = (np.array(a, np.int32) for a in (words, sentence_of, document_of))
-    lists = [features(w) for w in known]
-    word_of = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    buckets = np.array([b for x in lists for b in x], np.int64)
+    sizes, flat = array("i"), array("i")
+    for w in known:
+        own = features(w)
+        sizes.append(len(own))
+        flat.extend(own)
+    count, sizes, buckets = len(known), np.array(sizes), np.array(flat)
+    del known
+    word_of = np.repeat(np.arange(count, dtype=np.int32), sizes)
     seen = np.unique(words.astype(np.int64) * len(y) + document_of[sentence_of])  # word and document, once
-    spread = np.zeros(BUCKETS, np.int64)
-    np.add.at(spread, buckets, np.bincount(seen // len(y), minlength=len(lists))[word_of])
-    word_of, buckets = word_of[spread[buckets] >= least], buckets[spread[buckets] >= least]
-    start = _log_odds(seen, y, lists)
-    word_of, buckets = word_of[start[buckets] > 0], buckets[start[buckets] > 0]
+    spread, start = _log_odds(seen, y, sizes, buckets)
+    use = (spread >= least)[buckets] & (start > 0)[buckets]
+    word_of, buckets = word_of[use], buckets[use]
     used, feature = np.unique(buckets, return_inverse=True)
     theta, bias = start[used], -6.0
     balance = (len(y) - y.sum()) / y.sum()  # both classes weigh alike
     m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     for step in range(1, rounds + 1):
-        per_word = np.bincount(word_of, theta[feature], len(lists))
+        per_word = np.bincount(word_of, theta[feature], count)
         z = bias + np.bincount(sentence_of, per_word[words], len(document_of))
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
         toxic = np.clip(1 - np.exp(np.bincount(document_of, np.log1p(-p), len(y))), 1e-9, 1 - 1e-9)
         pull = np.where(y[document_of] > 0, balance * (1 / toxic - 1)[document_of], -1.0) * p
-        grad_word = np.bincount(words, pull[sentence_of], len(lists))
+        grad_word = np.bincount(words, pull[sentence_of], count)
         grad = np.bincount(feature, grad_word[word_of], len(used)) / len(y) - decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
