@@ -60,6 +60,12 @@ def _partial_score(a: str, b: str) -> float:
         return 100.0
     if not short:
         return 0.0
+    if len(a) == len(b):  # neither text is the shorter one: both directions count
+        return max(_best_window(a, b), _best_window(b, a))
+    return _best_window(short, long)
+
+
+def _best_window(short: str, long: str) -> float:
     n, best = len(short), 0.0
     for start in range(1 - n, len(long)):
         score = _ratio(short, long[max(0, start):start + n])

@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
 from .. import constants as C
 
 
+@lru_cache(1)
 def _accent_rule() -> tuple[str, str, str, dict[str, str]]:
-    """Compatibility decomposition of the Latin blocks, derived from Unicode."""
-    source, target, expanded = [], [], {}
-    blocks = [(0xA0, 0x24F), (0x1E00, 0x1EFF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
-    for low, high in blocks:
-        for code in range(low, high + 1):
-            char = chr(code)
-            plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-            if plain == char:
-                continue
-            if len(plain) == 1:
-                source.append(char)
-                target.append(plain)
-            else:
-                expanded[char] = plain
-    marks = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
-    return "".join(source), "".join(target), marks, expanded
-
-
-_SOURCE, _TARGET, _MARKS, _EXPANDED = _accent_rule()
+    """Compatibility decomposition without combining marks, derived from all of Unicode.
+
+    Only characters that turn into ASCII letters, digits or blanks matter to the rules on names and labels.
+    """
+    source, target, marks, expanded = [], [], [], {}
+    for code in range(0xA0, sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(char)
+            continue
+        if not unicodedata.decomposition(char):
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain == char or not any(c.isascii() for c in plain):
+            if not plain:
+                marks.append(char)
+            continue
+        if len(plain) == 1:
+            source.append(char)
+            target.append(plain)
+        else:
+            expanded[char] = plain
+    return "".join(source), "".join(target), "".join(marks), expanded
 
 
 def strip_accents(col: Column) -> Column:
-    """Fold accented letters; letters that expand are only touched when present."""
-    spread = col
-    for char, plain in _EXPANDED.items():
-        spread = F.replace(spread, F.lit(char), F.lit(plain))
-    present = col.rlike("[" + "".join(_EXPANDED) + "]")
+    """Fold accented letters; characters that expand are only looked up when present."""
+    source, target, marks, expanded = _accent_rule()
+    table = F.create_map(*[F.lit(x) for pair in expanded.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    ranges = "".join(f"\\x{{{ord(c):X}}}" for c in expanded)
     # translate drops the source characters that have no counterpart
-    folded = F.translate(F.when(present, spread).otherwise(col), _SOURCE + _MARKS, _TARGET)
+    folded = F.translate(F.when(col.rlike(f"[{ranges}]"), spread).otherwise(col), source + marks, target)
     # plain ASCII, by far the most frequent case, is left as it is
     return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(folded)
 

@@ -60,8 +60,14 @@ def should_alert(
 
 
 def drop_exact_duplicates(new: DataFrame, history: DataFrame) -> DataFrame:
-    """Rows that history does not hold with the same prices, once each."""
-    kept = new.dropDuplicates(DUPLICATE_KEYS).alias("n")
+    """Rows that history does not hold with the same prices, once each: the earliest, best, lowest-numbered one.
+
+    The kept row is a minimum per key, folded before the shuffle, so that a
+    replay with other partitions keeps the same rows.
+    """
+    whole = F.struct(*new.columns)
+    first = F.struct("date_detection", -F.col("roi_pct"), "id")
+    kept = new.groupBy(*DUPLICATE_KEYS).agg(F.min_by(whole, first).alias("row")).select("row.*").alias("n")
     seen = history.select(*DUPLICATE_KEYS).distinct().alias("h")
     return kept.join(seen, null_safe("n", "h", DUPLICATE_KEYS), "left_anti")
 

@@ -235,7 +235,7 @@ def _margin() -> Column:
 
 def find_boost_arbitrage(
     boosts: DataFrame, quotes: DataFrame, bankroll: float = 0.0, min_roi: float = 1.0, excluded: str = C.BOOST_BOOKMAKER,
-    conditions: DataFrame | None = None,
+    conditions: DataFrame | None = None, max_conditions: int = C.BOOST_MAX_CONDITIONS,
 ) -> DataFrame:
     """offers that distinct opposite quotes cover completely at a profit."""
     conds = conditions if conditions is not None else parse_condition(parse_boost(boosts))
@@ -245,7 +245,7 @@ def find_boost_arbitrage(
         c["cover"]["bookmaker"].alias("a"), c["cover"]["market_type"].alias("b"), c["cover"]["line"].alias("c"),
         c["cover"]["team_scope"].alias("d")))
     ok = (
-        (size >= 1) & (size <= C.BOOST_MAX_CONDITIONS) & (F.col("boosted_odds") > 1)
+        (size >= 1) & (size <= max_conditions) & (F.col("boosted_odds") > 1)
         & F.forall("conds", lambda c: ~c["unknown"] & ~c["ambiguous"] & c["cover"].isNotNull())
         & (F.size(F.array_distinct(marks)) == size)
     )
@@ -274,23 +274,24 @@ def find_boost_arbitrage(
 
 
 def diagnose_boost(
-    boosts: DataFrame, quotes: DataFrame, excluded: str = C.BOOST_BOOKMAKER, conditions: DataFrame | None = None
+    boosts: DataFrame, quotes: DataFrame, excluded: str = C.BOOST_BOOKMAKER, conditions: DataFrame | None = None,
+    max_conditions: int = C.BOOST_MAX_CONDITIONS,
 ) -> DataFrame:
-    """one sentence on why an offer cannot be covered, or its margin."""
+    """all reasons why an offer cannot be covered, or its margin; a display may shorten them."""
     conds = conditions if conditions is not None else parse_condition(parse_boost(boosts))
     rows = _covered(boosts, conds, quotes, excluded)
     missing = F.array_compact(F.transform("conds", lambda c: F.when(
         c["kind"] == "win", "une condition de victoire (son inverse demande 2 paris)"
     ).when(c["each_team"], "un « chaque equipe » (inverse non unitaire)").when(
-        c["ambiguous"], F.concat(F.lit("« "), F.substring(c["raw"], 1, 34), F.lit(" » nomme une equipe mais est lue comme un total de match"))
-    ).when(c["cover"].isNull(), F.concat(F.lit("pas de cote inverse pour « "), F.substring(c["raw"], 1, 40), F.lit(" »")))))
+        c["ambiguous"], F.concat(F.lit("« "), c["raw"], F.lit(" » nomme une equipe mais est lue comme un total de match"))
+    ).when(c["cover"].isNull(), F.concat(F.lit("pas de cote inverse pour « "), c["raw"], F.lit(" »")))))
     size, m = F.size("conds"), _margin()
     unknown = F.exists("conds", lambda c: c["unknown"])
     reason = (
         F.when((size == 0) | unknown, "libelle non analysable")
         .when(~F.coalesce(F.col("boosted_odds") > 1, F.lit(False)), "cote absente ou invalide")
-        .when(size > C.BOOST_MAX_CONDITIONS, F.concat(size.cast("string"), F.lit(" conditions : trop pour une couverture utile")))
-        .when(F.size(missing) > 0, F.array_join(F.slice(missing, 1, 2), "; "))
+        .when(size > max_conditions, F.concat(size.cast("string"), F.lit(" conditions : trop pour une couverture utile")))
+        .when(F.size(missing) > 0, F.array_join(missing, "; "))
         .when(m < 1.0, F.concat(F.lit("COUVRABLE : marge "), F.format_string("%.3f", m)))
         .otherwise(F.concat(
             F.format_string("marge %.3f (il manque %.3f) : ", m, m - 1.0),

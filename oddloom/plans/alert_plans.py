@@ -85,14 +85,10 @@ SELECT id FROM hist n WHERE copy = 1 AND NOT EXISTS (SELECT 1 FROM hist h WHERE
   AND h.event_c IS NOT DISTINCT FROM n.event_c AND h.cote_c IS NOT DISTINCT FROM n.cote_c
   AND h.bookmaker_c IS NOT DISTINCT FROM n.bookmaker_c)
 QUALIFY row_number() OVER (PARTITION BY match, n_issues, event_a, cote_a, bookmaker_a, event_b, cote_b, bookmaker_b,
-  event_c, cote_c, bookmaker_c ORDER BY id) = 1"""))
+  event_c, cote_c, bookmaker_c ORDER BY date_detection, roi_pct DESC, id) = 1"""))
 def duplicates(spark, sf_dir):
     h = src.history(spark, sf_dir)
-    fresh = P.drop_exact_duplicates(h.filter("copy = 1"), h.filter("copy = 0"))
-    # which copy of an equal set is kept is free; its lowest id names it
-    keys = P.DUPLICATE_KEYS
-    n, k = h.filter("copy = 1").alias("n"), fresh.select(*keys).alias("k")
-    return n.join(k, P.null_safe("n", "k", keys), "left_semi").groupBy(*keys).agg(F.min("id").alias("id")).select("id")
+    return P.drop_exact_duplicates(h.filter("copy = 1"), h.filter("copy = 0")).select("id")
 
 
 FIRST_SQL = """
@@ -117,7 +113,7 @@ def first(spark, sf_dir):
 
 @query("p10_cycle_counters", with_ctes(HISTORY_SQL, FIRST_SQL, """
 kept AS (SELECT * FROM late l QUALIFY row_number() OVER (PARTITION BY match, n_issues, event_a, cote_a, bookmaker_a, event_b,
-  cote_b, bookmaker_b, event_c, cote_c, bookmaker_c ORDER BY id) = 1),
+  cote_b, bookmaker_b, event_c, cote_c, bookmaker_c ORDER BY date_detection, roi_pct DESC, id) = 1),
 fresh AS (SELECT * FROM kept n WHERE NOT EXISTS (SELECT 1 FROM early h WHERE h.match = n.match
   AND h.n_issues = n.n_issues AND h.event_a = n.event_a AND h.cote_a = n.cote_a AND h.bookmaker_a = n.bookmaker_a
   AND h.event_b = n.event_b AND h.cote_b = n.cote_b AND h.bookmaker_b = n.bookmaker_b

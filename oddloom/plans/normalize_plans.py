@@ -62,18 +62,17 @@ def parse(spark, sf_dir):
     return rows.select("l_quantity", "form", F.round(X.parse_odds_value(F.col("raw")), 6).alias("odds")).distinct()
 
 
-CASE_SQL = f"cases AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {sql_values(CASES)}) t(m, s, market, pick, line, scope))"
+CASE_SQL = f"cases AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {sql_values(CASES)}) t(m, s, market, pick, line, scope, sport))"
 
 
 def _labelled(spark, sf_dir):
     """Every line item shown under one of the label cases (a fixed list, broadcast)."""
-    cases = values_dim(spark, ["i", "market_label", "selection_label"], [(i, c[0], c[1]) for i, c in enumerate(CASES)])
-    li = src.spread(src.table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("i", (F.col("l_partkey") + F.col("l_linenumber")) % len(CASES))
-    return li.join(F.broadcast(cases), "i").withColumn("home_team", F.lit(HOME)).withColumn("away_team", F.lit(AWAY)).withColumn(
-        "sport", F.lit("football"))
+    cases = values_dim(spark, ["i", "market_label", "selection_label", "sport"], [(i, c[0], c[1], c[6]) for i, c in enumerate(CASES)])
+    li = src.spread(src.table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("i", (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(CASES))
+    return li.join(F.broadcast(cases), "i").withColumn("home_team", F.lit(HOME)).withColumn("away_team", F.lit(AWAY))
 
 
-SURE = f"(SELECT l.*, c.* FROM lineitem l JOIN cases c ON c.i = (l_partkey + l_linenumber) % {len(CASES)})"
+SURE = f"(SELECT l.*, c.* FROM lineitem l JOIN cases c ON c.i = (l_orderkey * 7 + l_linenumber) % {len(CASES)})"
 
 
 @query("n06_normalize_market_label", with_ctes(CASE_SQL, f"""
@@ -90,7 +89,7 @@ def label(spark, sf_dir):
 
 @query("n05_raw_to_quotes", with_ctes(CASE_SQL, f"""
 SELECT market AS market_type, pick AS selection, line, scope AS team_scope, round(l_quantity / 20, 6) AS odds,
-  substr(sha1(concat('ghana|colombie|', strftime(l_shipdate, '%Y-%m-%d'))), 1, 16) AS match_id
+  substr(sha1(concat('{HOME.lower()}|{AWAY.lower()}|', strftime(l_shipdate, '%Y-%m-%d'))), 1, 16) AS match_id
 FROM {SURE} WHERE market IS NOT NULL AND l_quantity / 20 > 1"""))
 def raw_quotes(spark, sf_dir):
     raw = _labelled(spark, sf_dir).select(
@@ -120,9 +119,9 @@ SELECT m AS market_label, s AS selection_label, CASE WHEN market IS NULL AND i %
 FROM {SURE} GROUP BY ALL"""))
 def cache(spark, sf_dir):
     labels = normalize_market_label(_labelled(spark, sf_dir))
-    known = values_dim(spark, ["i", "market_label", "selection_label"], [(i, c[0], c[1]) for i, c in enumerate(CASES) if i % 2 == 0])
+    known = values_dim(spark, ["i", "market_label", "selection_label", "sport"], [(i, c[0], c[1], c[6]) for i, c in enumerate(CASES) if i % 2 == 0])
     stored = N.with_cache_key(known.select(
-        "*", F.lit("football").alias("sport"), F.lit(HOME).alias("home_team"), F.lit(AWAY).alias("away_team"))).select(
+        "*", F.lit(HOME).alias("home_team"), F.lit(AWAY).alias("away_team"))).select(
         F.col("cache_key"), F.concat(F.lit("cached_"), F.col("i").cast("string")).alias("market_type"), F.lit("over").alias("selection"),
         F.lit(1.5).alias("line"), F.lit(None).cast("string").alias("team_scope"), F.lit(0.8).alias("confidence"))
     out = N.normalization_cache_join(labels, stored)
@@ -198,7 +197,7 @@ def labels(spark, sf_dir):
 
 
 @query("n13_ambiguous_queue", with_ctes(CASE_SQL, f"""
-SELECT concat('football|', lower(m), '|', lower(s), '|ghana|colombie') AS cache_key, m AS market_label, s AS selection_label, count(*) AS n
+SELECT concat('football|', lower(m), '|', lower(s), '|{HOME.lower()}|{AWAY.lower()}') AS cache_key, m AS market_label, s AS selection_label, count(*) AS n
 FROM {SURE} WHERE market IS NULL GROUP BY ALL"""))
 def queue(spark, sf_dir):
     return N.ambiguous_queue(normalize_market_label(_labelled(spark, sf_dir)))

@@ -120,14 +120,14 @@ DUP = "match, n_issues, event_a, cote_a, bookmaker_a, event_b, cote_b, bookmaker
 
 
 @query("t08_stream_dedup", with_ctes(HISTORY_SQL, f"""
-kept AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY {DUP} ORDER BY copy, id) = 1),
+kept AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY {DUP} ORDER BY copy, date_detection, roi_pct DESC, id) = 1),
 flagged AS (SELECT *, row_number() OVER (PARTITION BY match, sport ORDER BY copy, date_detection, roi_pct DESC, id) = 1 AS alertable FROM kept)""", """
 SELECT match, sport, event_a, cote_a, event_b, cote_b, count(*) AS n, count(*) FILTER (alertable) AS alertable FROM flagged GROUP BY ALL"""))
 def dedup(spark, sf_dir):
     landed = scratch_path(spark, "landed")
     rows = src.history(spark, sf_dir)
-    for copy in (0, 1):  # two landings, the second one after the first
-        rows.filter(F.col("copy") == copy).coalesce(1).write.mode("append").parquet(landed)
+    for copy in (0, 1):  # two landings of several files, a match in one file of each, the second one after the first
+        rows.filter(F.col("copy") == copy).repartition(3, "match").write.mode("append").parquet(landed)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     out, mark = _paths(spark, "history")
     T.stream_dedup(stream, out, mark).awaitTermination()

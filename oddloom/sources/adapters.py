@@ -21,13 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core rows when a table comes in fewer files than there are cores.
+    """Deal the rows over the session's shuffle partitions.
 
-    For jobs that spend their time per row (text, nested payloads). A table of
-    many files is read in parallel already and is left as it is.
+    For jobs that spend their time per row (text, nested payloads), whatever
+    the files and row groups are like.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _ts(col: Column) -> Column:

@@ -7,6 +7,8 @@ is flattened in the scan's own tasks without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
@@ -26,13 +28,17 @@ def values_dim(spark: SparkSession, columns: list[str], rows: list[tuple]) -> Da
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
 
 
-def _seq(*parts: Column) -> Column:
-    """Arrival order: the document's number, then the positions inside it (24 bits in all)."""
-    bits = 24 // len(parts)
-    out = F.col("feed_seq").cast("bigint")
-    for part in parts:
-        out = F.shiftleft(out, bits) + part
-    return out
+def _seq(place: Column) -> Column:
+    """Arrival order: the document's number, then the entry's place among all entries of the document.
+
+    A place is an array position and so below 2^31, however many levels the document has.
+    """
+    return F.shiftleft(F.col("feed_seq").cast("bigint"), 31) + place
+
+
+def _leaves(outer: Column, inner: Callable[[Column], Column]) -> Column:
+    """The entries of ``inner`` over all elements of ``outer`` in order; missing ones have none."""
+    return F.flatten(F.filter(F.transform(outer, inner), lambda x: x.isNotNull()))
 
 
 def _has(col: Column, pattern: str) -> Column:
@@ -47,14 +53,12 @@ def linefeed_explode(
     codes = values_dim(
         raw.sparkSession, ["g", "t", "market_type", "n_outcomes", "selection", "team_scope"], C.LINE_FEED_CODES
     )
-    events = raw.select(
-        "feed_seq", F.posexplode(F.from_json("payload", LINE_FEED)["Value"]).alias("i", "ev")
-    ).filter(
-        (F.coalesce("ev.O1", F.lit("")) != "") & (F.coalesce("ev.O2", F.lit("")) != "")
-        & (F.coalesce("ev.S", F.lit(0)) != 0)
-    )
-    entries = events.select("feed_seq", "i", "ev", F.posexplode("ev.E").alias("j", "e")).filter(
-        ~F.col("e.G").isin(C.LINE_FEED_EXCLUDED_GROUPS) & (F.col("e.C") > 1.0)
+    placed = _leaves(F.col("root"), lambda ev: F.transform(ev["E"], lambda e: F.struct(ev.dropFields("E").alias("ev"), e.alias("e"))))
+    entries = raw.select("feed_seq", F.from_json("payload", LINE_FEED)["Value"].alias("root")).select(
+        "feed_seq", F.posexplode(placed).alias("place", "leaf")
+    ).select("feed_seq", "place", "leaf.ev", "leaf.e").filter(
+        (F.coalesce("ev.O1", F.lit("")) != "") & (F.coalesce("ev.O2", F.lit("")) != "") & (F.coalesce("ev.S", F.lit(0)) != 0)
+        & ~F.col("e.G").isin(C.LINE_FEED_EXCLUDED_GROUPS) & (F.col("e.C") > 1.0)
     )
     start = F.timestamp_seconds("ev.S")
     rows = entries.join(F.broadcast(codes), (F.col("e.G") == F.col("g")) & (F.col("e.T") == F.col("t")))
@@ -66,7 +70,7 @@ def linefeed_explode(
         "market_type", "n_outcomes", "selection", F.col("e.P").alias("line"), "team_scope", F.col("e.C").alias("odds"),
         F.concat(F.lit(base_url + "/line/football/"), F.coalesce(F.col("ev.I").cast("string"), F.lit(""))).alias("url"),
         (scraped_at if scraped_at is not None else F.lit(None)).alias("scraped_at"),
-        _seq(F.col("i"), F.col("j")).alias("ingest_seq"),
+        _seq(F.col("place")).alias("ingest_seq"),
     ))
 
 
@@ -107,29 +111,23 @@ def tree_flatten(
     scraped_at: Column | None = None,
 ) -> DataFrame:
     """Feed of maps keyed by id, sport -> competition -> game -> market -> event."""
-
-
-    root = raw.select("feed_seq", F.from_json("payload", TREE_FEED)["sport"].alias("root"))
-    sports = root.select("feed_seq", F.explode(F.map_values("root")).alias("sp"))
-    comps = sports.select("feed_seq", F.posexplode(F.map_values("sp.competition")).alias("c", "comp"))
-    games = comps.select(
-        "feed_seq", "c", F.coalesce("comp.name", F.lit("")).alias("competition"),
-        F.posexplode(F.map_values("comp.game")).alias("g", "game"),
-    ).filter(
-        (F.coalesce("game.team1_name", F.lit("")) != "") & (F.coalesce("game.team2_name", F.lit("")) != "")
-        & (F.coalesce("game.start_ts", F.lit(0)) != 0)
-    )
-    markets = games.select(
-        "feed_seq", "c", "g", "competition", F.col("game.id").alias("game_id"), F.col("game.team1_name").alias("home_team"),
-        F.col("game.team2_name").alias("away_team"), F.timestamp_seconds("game.start_ts").alias("start_time"),
-        F.posexplode(F.map_values("game.market")).alias("m", "market"),
-    ).withColumn("type", F.col("market.type"))
-    resolved = tree_market_resolve(markets).filter(F.col("resolved").isNotNull())
-    events = resolved.select(
-        *[c for c in resolved.columns if c != "market"], F.posexplode(F.map_values("market.event")).alias("e", "ev")
-    )
+    def of_game(comp: Column, game: Column) -> Column:
+        return _leaves(F.map_values(game["market"]), lambda market: F.transform(F.map_values(market["event"]), lambda ev: F.struct(
+            F.coalesce(comp["name"], F.lit("")).alias("competition"), game["id"].alias("game_id"),
+            game["team1_name"].alias("home_team"), game["team2_name"].alias("away_team"), game["start_ts"].alias("start_ts"),
+            market["type"].alias("type"), ev.alias("ev"))))
+
+    placed = _leaves(F.map_values("root"), lambda sp: _leaves(F.map_values(sp["competition"]), lambda comp: _leaves(
+        F.map_values(comp["game"]), lambda game: of_game(comp, game))))
+    events = raw.select("feed_seq", F.from_json("payload", TREE_FEED)["sport"].alias("root")).select(
+        "feed_seq", F.posexplode(placed).alias("place", "leaf")
+    ).select("feed_seq", "place", "leaf.*").filter(
+        (F.coalesce("home_team", F.lit("")) != "") & (F.coalesce("away_team", F.lit("")) != "")
+        & (F.coalesce("start_ts", F.lit(0)) != 0)
+    ).withColumn("start_time", F.timestamp_seconds("start_ts"))
+    resolved = tree_market_resolve(events).filter(F.col("resolved").isNotNull())
     selection = lookup(C.TREE_SELECTIONS, F.col("ev.type"))
-    rows = events.withColumn("selection", selection).filter(F.col("selection").isNotNull() & (F.col("ev.price") > 1.0))
+    rows = resolved.withColumn("selection", selection).filter(F.col("selection").isNotNull() & (F.col("ev.price") > 1.0))
     return as_quotes(rows.select(
         F.lit(bookmaker).alias("bookmaker"), F.lit(sport).alias("sport"), "competition",
         make_match_id(F.col("home_team"), F.col("away_team"), F.col("start_time")).alias("match_id"),
@@ -138,7 +136,7 @@ def tree_flatten(
         F.col("ev.price").alias("odds"),
         F.concat(F.lit(base_url + "/fr/sports/event/"), F.col("game_id").cast("string")).alias("url"),
         (scraped_at if scraped_at is not None else F.lit(None)).alias("scraped_at"),
-        _seq(F.col("g"), F.col("m"), F.col("e")).alias("ingest_seq"),
+        _seq(F.col("place")).alias("ingest_seq"),
     ))
 
 
@@ -182,31 +180,29 @@ def grouped_feed_flatten(
     base_url: str = "https://grouped.example", scraped_at: Column | None = None,
 ) -> DataFrame:
     """Feed of event groups per sport id, outcomes in lists of one-key maps."""
-    groups = raw.select(
-        "feed_seq", F.posexplode(F.try_element_at(F.from_json("payload", GROUPED_FEED), F.lit(str(sport_id)))).alias("g", "grp")
-    )
     blank = F.lit("")
-    events = groups.select(
-        "feed_seq", "g",
-        F.coalesce(F.nullif("grp.trn", blank), F.nullif("grp.ctn", blank), blank).alias("competition"),
-        F.posexplode("grp.events").alias("v", "ev"),
-    )
+
+    def of_market(grp: Column, ev: Column, market: Column) -> Column:
+        return _leaves(market["ou"], lambda o: F.transform(F.map_values(o), lambda out: F.struct(
+            F.coalesce(F.nullif(grp["trn"], blank), F.nullif(grp["ctn"], blank), blank).alias("competition"),
+            ev.dropFields("mr").alias("ev"), market.dropFields("ou").alias("market"), out.alias("out"))))
+
+    placed = _leaves(F.col("root"), lambda grp: _leaves(grp["events"], lambda ev: _leaves(
+        F.map_values(ev["mr"]), lambda market: of_market(grp, ev, market))))
+    outs = raw.select(
+        "feed_seq", F.try_element_at(F.from_json("payload", GROUPED_FEED), F.lit(str(sport_id))).alias("root")
+    ).select("feed_seq", F.posexplode(placed).alias("place", "leaf")).select("feed_seq", "place", "leaf.*")
     left, right = split_pair(F.col("ev.nm"))
     teams = F.col("ev.cms")
     named = (F.size(teams) == 2) & F.forall(teams, lambda t: F.coalesce(t, blank) != "")
-    events = events.select(
-        "feed_seq", "g", "v", "competition", F.col("ev.id").alias("event_id"), F.col("ev.mr").alias("mr"),
+    events = outs.select(
+        "feed_seq", "place", "competition", "market", "out", F.col("ev.id").alias("event_id"),
         F.when(named, F.get(teams, F.lit(0))).otherwise(left).alias("home_team"),
         F.when(named, F.get(teams, F.lit(1))).otherwise(right).alias("away_team"),
         F.col("ev.tm").try_cast("timestamp").alias("start_time"),
     ).filter(F.col("home_team").isNotNull() & F.col("away_team").isNotNull() & F.col("start_time").isNotNull())
-    markets = events.select(
-        *[c for c in events.columns if c != "mr"], F.posexplode(F.map_values("mr")).alias("m", "market")
-    ).select("*", F.col("market.tp").alias("tp"), F.col("market.nm").alias("nm"), F.col("market.pn").alias("pn"))
-    resolved = code_market_resolve(markets)
-    outcomes = resolved.select(
-        *resolved.columns, F.posexplode(F.flatten(F.transform("market.ou", lambda o: F.map_values(o)))).alias("o", "out")
-    )
+    outcomes = code_market_resolve(
+        events.select("*", F.col("market.tp").alias("tp"), F.col("market.nm").alias("nm"), F.col("market.pn").alias("pn")))
     selection = lookup(C.GROUPED_SELECTIONS, F.col("out.nm"))
     line = F.coalesce(
         F.nullif("out.vl", blank).try_cast("double"), F.nullif("market.vl", blank).try_cast("double"))
@@ -218,7 +214,7 @@ def grouped_feed_flatten(
         line.alias("line"), "resolved.team_scope", F.col("out.kf").alias("odds"),
         F.concat(F.lit(base_url + "/en/sport/event/"), F.col("event_id")).alias("url"),
         (scraped_at if scraped_at is not None else F.lit(None)).alias("scraped_at"),
-        _seq(F.col("v"), F.col("m"), F.col("o")).alias("ingest_seq"),
+        _seq(F.col("place")).alias("ingest_seq"),
     ))
 
 

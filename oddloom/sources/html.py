@@ -44,12 +44,12 @@ def html_market_extract(pages: DataFrame) -> DataFrame:
 
 
 def page_start_time(text: Column, as_of: Column) -> Column:
-    """Kick-off from the first 2000 characters of a page's text.
+    """Kick-off from a page's text.
 
     An explicit day wins when it is a real date; otherwise today, or tomorrow
     when the text says so.
     """
-    head = F.substring(text, 1, 2000)
+    head = text
     clock = r"\b([01]?\d|2[0-3])[:h]([0-5]\d)\b"
     date = r"\b(\d{1,2})[/.](\d{1,2})(?:[/.](\d{2,4}))?\b"
 
@@ -76,9 +76,10 @@ def event_links(pages: DataFrame, base_url: str) -> DataFrame:
     return found.select(F.concat(F.lit(base_url), F.col("path")).alias("url")).distinct()
 
 
-def event_link_harvest(pages: DataFrame, base_url: str, limit: int = 60) -> DataFrame:
-    """The first ``limit`` event addresses in order."""
-    return event_links(pages, base_url).orderBy("url").limit(limit)
+def event_link_harvest(pages: DataFrame, base_url: str, limit: int | None = None) -> DataFrame:
+    """All event addresses, or the first ``limit`` in order for a bounded crawl."""
+    links = event_links(pages, base_url)
+    return links if limit is None else links.orderBy("url").limit(limit)
 
 
 def boost_html_extract(pages: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def page_meta(pages: DataFrame, as_of: Column) -> DataFrame:
     parts = pages.select(
         "page_id", "url", strip_tags(F.regexp_extract("html", title, 1)).alias("name"),
         strip_tags(F.regexp_extract("html", rival, 1)).alias("competition"),
-        F.substring(strip_tags(F.col("html")), 1, 2000).alias("head"),
+        strip_tags(F.col("html")).alias("head"),
     )
     home, away = split_pair(F.col("name"))
     return parts.select(

@@ -15,10 +15,10 @@ def mapped(spark, rows):
 
 
 def test_accepted_labels(spark):
-    got = mapped(spark, [(m, s, HOME, AWAY) for m, s, *_ in ACCEPTED])
-    assert [(g["market_type"], g["selection"], g["line"], g["team_scope"]) for g in got] == [c[2:] for c in ACCEPTED]
+    got = mapped(spark, [(c[0], c[1], HOME, AWAY, c[6]) for c in ACCEPTED])
+    assert [(g["market_type"], g["selection"], g["line"], g["team_scope"]) for g in got] == [c[2:6] for c in ACCEPTED]
     assert all(g["confidence"] >= 0.9 for g in got)
-    assert all(g["n_outcomes"] == (3 if g["market_type"].startswith("1x2") else 2) for g in got)
+    assert all(g["n_outcomes"] == (3 if g["market_type"].startswith(("1x2", "bb_result")) else 2) for g in got)
 
 
 def test_open_labels_stay_open(spark):
