@@ -9,9 +9,6 @@ is compared with one bucket mate, the pivot (smallest under that round's order)
 confirmed links are joined to components. Then only bucket mates of different components are left; of these, all pairs
 whose signatures agree within five deviations of the threshold are confirmed, so no link between components is lost.
 
-Where a large side is to be narrowed to a set of keys, a bitmap of fixed size (``BITS``) is sent ahead of the exact join:
-its size does not grow with the data, and what it lets through wrongly the join removes.
-
 Cases: a null or empty text has the empty set and links with nothing; texts of fewer words than a shingle are one
 shingle; repeated rows are one class; null ids take part but never name a component unless alone; other columns are
 left out (``mark``) or kept (``keep_one``); an empty table gives no rows.
@@ -28,10 +25,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .arrow import slices
+from .bitmap import narrowed
 from .components import components
 from .substring_dedup import Sums, WordHashes, content_key
 
-WORDS, PERMUTATIONS, PER_BAND, SEED, ROUNDS, BITS = 4, 90, 5, 5, 3, 1 << 26
+WORDS, PERMUTATIONS, PER_BAND, SEED, ROUNDS = 4, 90, 5, 5, 3
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -88,19 +86,6 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
         run, f"doc_id {kind}, text_key binary, set_key binary, n_shingles long, bands array<long>, sketch binary")
 
 
-def narrowed(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows whose ``column`` is among ``keys`` (one column of that name): bitmap first, then the exact join."""
-    bit = F.pmod(F.xxhash64(column), F.lit(BITS))
-    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__map")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
-    place = F.bitmap_bit_position(bit)
-    placed = rows.withColumn("__map", F.bitmap_bucket_number(bit)).withColumn("__at", place)
-    byte = F.conv(F.hex(F.expr("substring(__bits, int(__at div 8) + 1, 1)")), 16, 10).cast("int")
-    held = F.expr("int(power(2, __at % 8))")
-    ahead = placed.join(F.broadcast(maps), "__map").filter(byte.bitwiseAND(held) != 0)  # at most BITS / 8 bytes
-    return ahead.drop("__map", "__at", "__bits").join(keys, column, "left_semi")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union."""
 

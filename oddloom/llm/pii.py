@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from ..session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,30 +41,36 @@ def placed(text: Column, pattern: str) -> Column:
 
     Lengths are summed within blocks of matches and over blocks, so the work stays near linear in the matches.
     """
-    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), words.alias("word"))
-
-    def size(x: Column) -> Column:
-        return F.length(x["gap"]) + F.length(x["word"])
-
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int")),
-                         lambda b: F.slice(zipped, b * BLOCK + 1, BLOCK))
+    zipped = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"))
     empty = "array<struct<start:int,end:int,word:string,gap:string>>"
 
+    def cut(z: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 2) / BLOCK).cast("int")),
+                           lambda b: F.slice(z, b * BLOCK + 1, F.least(F.lit(BLOCK), F.size(z) - 1 - b * BLOCK)))
+
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
-        span = F.struct(start.alias("start"), (start + F.length(x["word"])).alias("end"), x["word"].alias("word"), x["gap"].alias("gap"))
-        return F.struct((start + F.length(x["word"])).alias("at"), F.concat(state["done"], F.array(span)).alias("done"))
+        end = start + F.length(x["word"])
+        span = F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word"), x["gap"].alias("gap"))
+        return F.struct(end.alias("at"), F.concat(state["done"], F.array(span)).alias("done"))
 
     def block(b: Column, at: Column) -> Column:
         return F.aggregate(b, F.struct(at.alias("at"), F.array().cast(empty).alias("done")), step, lambda s: s["done"])
 
-    starts = F.aggregate(
-        blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("done")),
-        lambda s, b: F.struct((s["at"] + F.aggregate(F.filter(b, lambda x: x["word"].isNotNull()), F.lit(0), lambda n, x: n + size(x))).alias("at"),
-                              F.concat(s["done"], F.array(s["at"])).alias("done")), lambda s: s["done"])
-    spans = F.flatten(F.zip_with(F.transform(blocks, lambda b: F.filter(b, lambda x: x["word"].isNotNull())), starts, block))
-    return F.when(F.size(words) > 0, spans).otherwise(F.array().cast(empty))
+    def size(b: Column) -> Column:
+        return F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["word"]))
+
+    def starts(blocks: Column) -> Column:
+        return F.aggregate(
+            blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("done")),
+            lambda s, b: F.struct((s["at"] + size(b)).alias("at"), F.concat(s["done"], F.array(s["at"])).alias("done")),
+            lambda s: s["done"])
+
+    def spans(z: Column) -> Column:
+        return let(cut(z), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), block)))
+
+    return let(zipped, lambda z: F.when(F.size(z) > 1, spans(z)).otherwise(F.array().cast(empty)))
 
 
 def _digits(word: Column) -> Column:
@@ -102,25 +109,25 @@ def _rule(text: Column, n: int, kind: str, numbered: Column) -> Column:
 
 def mentions(text: Column) -> Column:
     """Identifier-like words as (start, end, word) with the words around them: one, two before, and one after."""
-    spans = placed(text, MENTION)
 
-    def last(gap: Column, n: int) -> Column:
-        return F.lower(F.regexp_replace(F.try_element_at(F.filter(F.split(gap, SPACE + "+"), lambda w: w != ""), F.lit(-n)), EDGE, ""))
+    def last(words: Column, n: int) -> Column:
+        return F.lower(F.regexp_replace(F.try_element_at(words, F.lit(-n)), EDGE, ""))
 
-    tail = F.element_at(F.split(text, MENTION, -1), -1)
-
-    def around(s: Column, i: Column) -> Column:
+    def around(spans: Column, tail: Column, s: Column, i: Column) -> Column:
         after = F.coalesce(F.get(spans, i + 1)["gap"], tail)
         head = F.regexp_extract(s["word"], r"^[^\p{L}\p{N}+@]+", 0)
         bare = F.regexp_replace(s["word"], EDGE, "")
         start = s["start"] + F.when(F.length(bare) > 0, F.length(head)).otherwise(0)
-        return F.struct(
+        return let(F.filter(F.split(s["gap"], SPACE + "+"), lambda w: w != ""), lambda words: F.struct(
             start.alias("start"), (start + F.length(bare)).alias("end"), F.lower(bare).alias("word"),
-            last(s["gap"], 1).alias("one"), last(s["gap"], 2).alias("two"),
-            F.lower(F.regexp_replace(F.regexp_extract(after, rf"^{SPACE}*([^\x20\x09-\x0D]+)", 1), EDGE, "")).alias("next"))
+            last(words, 1).alias("one"), last(words, 2).alias("two"),
+            F.lower(F.regexp_replace(F.regexp_extract(after, rf"^{SPACE}*([^\x20\x09-\x0D]+)", 1), EDGE, "")).alias("next")))
+
+    def made(spans: Column) -> Column:
+        return let(F.element_at(F.split(text, MENTION, -1), -1), lambda tail: F.filter(
+            F.transform(spans, lambda s, i: around(spans, tail, s, i)), lambda m: F.length(m["word"]) > 0))
 
-    made = F.filter(F.transform(spans, around), lambda m: F.length(m["word"]) > 0)
-    return F.when(text.rlike("[0-9@]"), made)
+    return F.when(text.rlike("[0-9@]"), let(placed(text, MENTION), made))
 
 
 def extract(docs: DataFrame, turns: int = TURNS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
