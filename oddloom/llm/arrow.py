@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 ROWS = 64
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most ``rows``."""
     for batch in batches:

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-from .arrow import slices
+from ..session import cut_lineage, scratch_path
+from .arrow import fresh, slices
+from .bitmap import flagged, narrowed
 
 WINDOW, SEED = 35, 12
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -168,19 +169,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[Da
     further repeated windows."""
     if not 0 < seed < window:
         raise ValueError("seed must be shorter than window")
-    texts = cut_lineage(_texts(docs), "texts")
+    path = scratch_path(docs.sparkSession, "texts")
+    _texts(docs).write.option("compression", "zstd").parquet(path)
+    texts = docs.sparkSession.read.parquet(path)
     # a text that occurs twice is a repeat as a whole; it still counts as a partner of others
     seeds = stretches(texts, window, seed)
-    kinds = cut_lineage(
-        seeds.groupBy("anchor", "s1", "s2").agg(
-            F.sum("copies").alias("times"), F.min(F.struct("key", "place")).alias("one")), "stretches")
+    met = seeds.groupBy("anchor").agg(F.sum("copies").alias("times")).filter("times > 1").select("anchor")
+    seeds = cut_lineage(narrowed(seeds, "anchor", cut_lineage(met, "anchors")), "stretches")
+    kinds = seeds.groupBy("anchor", "s1", "s2").agg(F.sum("copies").alias("times"), F.min(F.struct("key", "place")).alias("one"))
+    kinds = cut_lineage(kinds, "kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     twice = kinds.filter("times > 1").select("anchor", "s1", "s2")
     whole = seeds.filter("copies = 1").join(twice, ["anchor", "s1", "s2"], "left_semi").select("key", "place")
     # one copy of each of several stretches; a stretch that occurs twice weighs two, so that its windows are repeats
     picks = kinds.join(several, "anchor", "left_semi").select(
         "one.key", F.struct(F.col("one.place").alias("place"), F.least("times", F.lit(2)).alias("weight")).alias("pick"))
-    chosen = texts.select("key", "text").join(picks.groupBy("key").agg(F.collect_list("pick").alias("picks")), "key")
+    picks = cut_lineage(picks.groupBy("key").agg(F.collect_list("pick").alias("picks")), "picks")
+    chosen = narrowed(texts.select("key", "text"), "key", picks.select("key")).join(picks, "key")
     found = cut_lineage(windows(chosen, window, seed), "windows")
     again = found.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).filter("times > 1").drop("times")
     single = found.filter("weight = 1").join(again, ["w1", "w2"], "left_semi").select("key", "start")
@@ -196,7 +201,11 @@ def results(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     """key, n_words, n_removed, kept (null where nothing is removed), kept_sha256, repeats (start, end in words) of every
     distinct text."""
     texts, marks = repeats(docs, window, seed)
-    joined = texts.join(marks, "key", "left")
+    marks = cut_lineage(marks, "marks")
+    likely = flagged(texts, "key", marks.select("key"))  # texts that certainly have no marks need no shuffle
+    none = F.lit(None).cast("array<int>")
+    joined = likely.filter("__likely").join(marks, "key", "left").drop("__likely").unionByName(
+        likely.filter("NOT __likely").drop("__likely").withColumn("whole", none).withColumn("single", none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -241,7 +250,7 @@ def mark(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
 
 def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """All rows and columns; texts with repeats hold their kept words, joined by one space."""
-    changed = results(docs, window, seed).filter("kept IS NOT NULL").select(
-        F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    joined = docs.withColumn("__key", content_key("text")).join(changed, "__key", "left")
-    return joined.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    key, kept = fresh(docs.columns, "__key"), fresh(docs.columns, "__kept")
+    changed = results(docs, window, seed).filter("kept IS NOT NULL").select(F.col("key").alias(key), F.col("kept").alias(kept))
+    joined = docs.withColumn(key, content_key("text")).join(changed, key, "left")
+    return joined.select(*[F.coalesce(kept, "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
