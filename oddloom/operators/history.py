@@ -175,6 +175,6 @@ def report_columns(opportunities: DataFrame) -> DataFrame:
 def boost_listing(valuations: DataFrame) -> DataFrame:
     """Valuations by edge, incomplete ones last, display rounding."""
     return (
-        valuations.orderBy(F.col("edge_pct").desc_nulls_last(), "boost_id")
+        valuations.orderBy(F.desc("complete"), F.col("edge_pct").desc_nulls_last(), "boost_id")
         .withColumn("fair_odds", half_even(F.col("fair_odds"), 2)).withColumn("edge_pct", half_even(F.col("edge_pct"), 1))
     )

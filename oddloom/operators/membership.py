@@ -164,19 +164,19 @@ def passive_accounts(
 ) -> DataFrame:
     """Members who paid, are a week old and never placed a bet."""
     now = as_of.cast("timestamp")
-    idle = profiles.filter(
+    paid = profiles.filter(
         (F.col("role") == "user") & F.col("sub_expires_at").isNotNull() & (F.col("created_at") < _ago(as_of, days=7))
-    ).join(bets.select(F.col("user_id").alias("id")), "id", "left_anti")
+    )
 
     def count(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias(name))
 
     days = F.floor(_hours_between(as_of, F.col("created_at")) / 24)
     return (
-        idle.join(count(bankroll, "movements"), "id", "left").join(count(messages, "messages"), "id", "left")
+        paid.join(count(bets, "bets"), "id", "left").filter("bets IS NULL").join(count(bankroll, "movements"), "id", "left").join(count(messages, "messages"), "id", "left")
         .select(
             "id", "username", F.greatest(F.lit(0), days).cast("int").alias("days_since_signup"),
-            (F.col("sub_expires_at") > now).alias("subscribed"), F.lit(0).cast("bigint").alias("bets"),
+            (F.col("sub_expires_at") > now).alias("subscribed"), F.coalesce("bets", F.lit(0)).alias("bets"),
             F.coalesce("movements", F.lit(0)).alias("movements"), F.coalesce("messages", F.lit(0)).alias("messages"),
             "created_at",
         )

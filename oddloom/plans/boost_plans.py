@@ -151,11 +151,10 @@ def value(spark, sf_dir):
 
 
 @query("h12_boost_listing", with_ctes(POOL_SQL, CONDS_SQL, PRICED_SQL, VALUE_SQL, """
-SELECT boost_id, round_even(fair_odds, 2) AS fair_odds, round_even((boosted / fair_odds - 1) * 100, 1) AS edge_pct FROM val
-WHERE unpriced_count = 0"""))
+SELECT boost_id, unpriced_count = 0 AS complete, round_even(fair_odds, 2) AS fair_odds,
+  round_even((boosted / fair_odds - 1) * 100, 1) AS edge_pct FROM val"""))
 def listing(spark, sf_dir):
-    v = _valued(spark, sf_dir).filter("complete")
-    return H.boost_listing(v).select("boost_id", "fair_odds", "edge_pct")
+    return H.boost_listing(_valued(spark, sf_dir)).select("boost_id", "complete", "fair_odds", "edge_pct")
 
 
 @query("f07_complement_quote", with_ctes(POOL_SQL, CONDS_SQL, COVER_SQL, """

@@ -122,15 +122,14 @@ def tiers(spark, sf_dir):
 
 @query("m09_passive_accounts", with_ctes(BETS_SQL, PROFILES_SQL, MESSAGES_SQL, f"""
 SELECT id, username, CAST(date_diff('second', created_at, TIMESTAMP '{AS_OF}') // 86400 AS INTEGER) AS days_since_signup,
-  sub_expires_at > TIMESTAMP '{AS_OF}' AS subscribed, 0 AS bets,
+  sub_expires_at > TIMESTAMP '{AS_OF}' AS subscribed, (SELECT count(*) FROM bets b WHERE b.user_id = p.id) AS bets,
   (SELECT count(*) FROM events e WHERE e.user_id = p.id) AS movements,
   (SELECT count(*) FROM messages m WHERE m.user_id = p.id) AS messages
 FROM profiles p WHERE role = 'user' AND sub_expires_at IS NOT NULL AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS
-  AND NOT EXISTS (SELECT 1 FROM bets b WHERE b.user_id = p.id AND b.status = 'won')"""))
+  AND NOT EXISTS (SELECT 1 FROM bets b WHERE b.user_id = p.id)"""))
 def passive(spark, sf_dir):
-    won = src.bets(spark, sf_dir).filter("status = 'won'")
     p = M.passive_accounts(
-        src.profiles(spark, sf_dir), won, src.table(spark, sf_dir, "events"), src.messages(spark, sf_dir), _as_of())
+        src.profiles(spark, sf_dir), src.bets(spark, sf_dir), src.table(spark, sf_dir, "events"), src.messages(spark, sf_dir), _as_of())
     return p.drop("created_at")
 
 
