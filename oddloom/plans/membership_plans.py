@@ -125,11 +125,15 @@ SELECT id, username, CAST(date_diff('second', created_at, TIMESTAMP '{AS_OF}') /
   sub_expires_at > TIMESTAMP '{AS_OF}' AS subscribed, (SELECT count(*) FROM bets b WHERE b.user_id = p.id) AS bets,
   (SELECT count(*) FROM events e WHERE e.user_id = p.id) AS movements,
   (SELECT count(*) FROM messages m WHERE m.user_id = p.id) AS messages
-FROM profiles p WHERE role = 'user' AND sub_expires_at IS NOT NULL AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS
+FROM (SELECT * FROM profiles UNION ALL SELECT * REPLACE (id + 1000000000 AS id) FROM profiles) p
+WHERE role = 'user' AND sub_expires_at IS NOT NULL AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS
   AND NOT EXISTS (SELECT 1 FROM bets b WHERE b.user_id = p.id)"""))
 def passive(spark, sf_dir):
+    members = src.profiles(spark, sf_dir)
+    # every member again under an id that never placed a bet
+    members = members.unionByName(members.withColumn("id", F.col("id") + 1_000_000_000))
     p = M.passive_accounts(
-        src.profiles(spark, sf_dir), src.bets(spark, sf_dir), src.table(spark, sf_dir, "events"), src.messages(spark, sf_dir), _as_of())
+        members, src.bets(spark, sf_dir), src.table(spark, sf_dir, "events"), src.messages(spark, sf_dir), _as_of())
     return p.drop("created_at")
 
 
