@@ -318,13 +318,18 @@ def fit(texts: list[str], rounds: int = 80, rate: float = 0.1, decay: float = 1e
 
 
 def train(docs: DataFrame, rows: int = FIT_DOCS, chars: int = FIT_CHARS) -> Field | None:
-    """Fit on up to ``rows`` texts with a rule match and a third as many others, lowest text hash first."""
+    """Fit on up to ``rows`` distinct texts with a rule match and a third as many others, lowest text hash first.
+
+    The hashes are chosen first, so that only the sample's texts come to the driver.
+    """
     text = docs.select("text").filter((F.length("text") > 0) & (F.length("text") <= chars))
-    hit = F.col("text").rlike(f"(?i:{ASSIGN})|{ACCESS}{{16}}|[0-9a-f]{{{HEX_LEAST}}}".replace("]+{16}", "]{16}"))
-    found = text.select("text", hit.alias("hit"), F.xxhash64("text").alias("h"))
-    one = found.filter("hit").orderBy("h", "text").limit(rows)
-    two = found.filter("NOT hit").orderBy("h", "text").limit(rows // 3)
-    return fit([r["text"] for part in (one, two) for r in part.select("text").collect()])
+    hit = F.col("text").rlike(f"(?i:{ASSIGN})|{ACCESS[:-1]}{{{ACCESS_LEAST - 4}}}|{HEX[:-1]}{{{HEX_LEAST}}}")
+    found = text.select("text", F.xxhash64("text").alias("h"), hit.alias("hit"))
+    known = found.select("h", "hit").distinct()
+    cuts = [known.filter(F.col("hit") == h).orderBy("h").limit(n).agg(F.max("h")).first()[0] for h, n in ((True, rows), (False, rows // 3))]
+    sample = found.filter(" OR ".join(f"(hit = {h} AND h <= {cut})" for h, cut in zip(("true", "false"), cuts) if cut is not None) or "false")
+    picked = sample.groupBy("h", "hit").agg(F.min("text").alias("text")).orderBy(F.desc("hit"), "h").collect()
+    return fit([r["text"] for r in picked])
 
 
 def find(docs: DataFrame, field: Field | None) -> DataFrame:
