@@ -42,8 +42,10 @@ def test_all_queries(spark):
         theirs = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall())
         return None if mine == theirs else f"{name}: {len(mine)} rows and {len(theirs)}"
 
+    # the corpus queries have tests of their own in tests/llm
+    mine = {k: v for k, v in contract.queries().items() if not k.startswith("op") and k != "pipeline"}
     with ThreadPoolExecutor(4) as pool:
-        wrong = [w for w in pool.map(check, contract.queries().items()) if w]
+        wrong = [w for w in pool.map(check, mine.items()) if w]
     assert not wrong, wrong
 
 
