@@ -38,3 +38,17 @@ def test_stages_keep_columns_and_work_on_what_is_left(spark, tmp_path):
 def test_all_are_registered():
     names = contract.queries()
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == [] and "pipeline" in names
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["op2_merkle_fixity_audit", "op10_p_stable_embedding_dedup"])
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df = contract.queries()[name](spark, SF)
+    cur = con.execute(contract.oracle_sql()[name])
+    at = [[d[0] for d in cur.description].index(c) for c in df.columns]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
