@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow import map_texts
+from .arrow import map_texts, slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -191,7 +191,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 512):
             good = [scorer.document(scorer.sentences(t or "")) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(good, pa.bool_()))
 
