@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage, scratch_path
@@ -37,23 +38,38 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 KNOWN = 800_000
 
 
+class _Index(dict):
+    """Numbers words as they come and keeps the digests of the new ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.new.append(xxh3_128_digest(word))
+        return at
+
+
 class WordHashes:
     """Two independent 64-bit hashes per word."""
 
     def __init__(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.hashes = np.zeros((1024, 2), np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.hashes, self.filled = _Index(), np.zeros((1 << 16, 2), np.uint64), 0
+        self.index.new = []
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        index = self.index
-        if len(index) > KNOWN:
-            index.clear()
-        for w in set(words).difference(index):
-            at = index[w] = len(index)
-            if at >= len(self.hashes):
+        if len(self.index) > KNOWN:
+            self._forget()
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        new = self.index.new
+        if new:
+            end = self.filled + len(new)
+            while end > len(self.hashes):
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.hashes[at] = np.frombuffer(hashlib.blake2b(w, digest_size=16).digest(), "<u8")
-        return self.hashes[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
+            self.hashes[self.filled:end] = np.frombuffer(b"".join(new), "<u8").reshape(-1, 2)
+            self.filled = end
+            new.clear()
+        return self.hashes[at]
 
 
 class Sums:
@@ -62,18 +78,46 @@ class Sums:
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
         self.sums, self.back = [], []
-        for k, base in enumerate(BASES):
-            power = np.ones(n + 1, np.uint64)
-            np.multiply.accumulate(np.full(n, base, np.uint64), out=power[1:])
-            inverse = np.ones(n + 1, np.uint64)
-            np.multiply.accumulate(np.full(n, pow(base, -1, 1 << 64), np.uint64), out=inverse[1:])
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, k] * power[:-1], dtype=np.uint64)]))
+        for k in range(len(BASES)):
+            power, inverse = _powers(k, n)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(hashes[:, k] * power[:n], out=sums[1:])
+            self.sums.append(sums)
             self.back.append(inverse)
 
     def runs(self, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
         return _mix((self.sums[k][end] - self.sums[k][start]) * self.back[k][start])
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``n + 1`` powers of a base and of its inverse."""
+    known = _POWERS.get(k)
+    if known is None or len(known[0]) <= n:
+        size = max(4096, 1 << int(n + 1).bit_length())
+        made = []
+        for base in (BASES[k], pow(BASES[k], -1, 1 << 64)):
+            power = np.ones(size, np.uint64)
+            np.multiply.accumulate(np.full(size - 1, base, np.uint64), out=power[1:])
+            made.append(power)
+        known = _POWERS[k] = tuple(made)
+    return known
+
+
+def lowest(values: np.ndarray, span: int) -> np.ndarray:
+    """The place of the smallest of every ``span`` neighbours, rightmost among equals."""
+    place, size = np.arange(len(values)), 1
+    while size < span:
+        step = min(size, span - size)
+        right = values[step:] <= values[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        values = np.where(right, values[step:], values[:-step])
+        size += step
+    return place
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads the low bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,12 +128,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def anchors(sums: Sums, n: int, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, its place, and the first and last window start that chose it."""
     seeds = sums.runs(np.arange(n - seed + 1), np.arange(seed, n + 1), 0)
-    span = window - seed + 1
-    views = np.lib.stride_tricks.sliding_window_view(seeds, span)
-    chosen = np.empty(n - window + 1, np.int64)
-    for at in range(0, len(chosen), 1 << 16):  # bounded memory for long texts
-        part = views[at:at + (1 << 16), ::-1]
-        chosen[at:at + len(part)] = np.arange(at, at + len(part)) + span - 1 - part.argmin(1)
+    chosen = lowest(seeds, window - seed + 1)
     first = np.concatenate([[0], np.nonzero(np.diff(chosen))[0] + 1])
     last = np.concatenate([first[1:] - 1, [len(chosen) - 1]])
     place = chosen[first]
@@ -110,6 +149,24 @@ def content_key(column: str) -> Column:
     return F.unhex(F.md5(F.coalesce(column, F.lit(""))))
 
 
+def seeds_of(texts: DataFrame, window: int, seed: int) -> DataFrame:
+    """anchor, copies: the anchors of every text alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            rows, found = [], [np.zeros(0, np.uint64)]
+            for i, text in enumerate(part.column(0).to_pylist()):
+                words = text.encode().split()
+                if len(words) >= window:
+                    found.append(anchors(Sums(hashes(words)), len(words), window, seed)[0])
+                    rows += [i] * len(found[-1])
+            yield pa.RecordBatch.from_arrays(
+                [_signed(np.concatenate(found)), part.column(1).take(pa.array(rows, pa.int64()))], names=["anchor", "copies"])
+
+    return texts.select("text", "copies").mapInArrow(run, "anchor long, copies long")
+
+
 def stretches(texts: DataFrame, window: int, seed: int) -> DataFrame:
     """key, place, anchor, s1, s2, copies: the anchors of every text with the hash of their stretch."""
 
@@ -174,7 +231,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[Da
     texts = docs.sparkSession.read.parquet(path)
     # a text that occurs twice is a repeat as a whole; it still counts as a partner of others
     seeds = stretches(texts, window, seed)
-    met = seeds.groupBy("anchor").agg(F.sum("copies").alias("times")).filter("times > 1").select("anchor")
+    met = seeds_of(texts, window, seed).groupBy("anchor").agg(F.sum("copies").alias("times")).filter("times > 1").select("anchor")
     seeds = cut_lineage(narrowed(seeds, "anchor", cut_lineage(met, "anchors")), "stretches")
     kinds = seeds.groupBy("anchor", "s1", "s2").agg(F.sum("copies").alias("times"), F.min(F.struct("key", "place")).alias("one"))
     kinds = cut_lineage(kinds, "kinds")
