@@ -119,9 +119,7 @@ class Normalizer:
                     chars.append(mark if c == " " else c)
                     source.append(start)
                 spaced = piece.endswith(" ")
-                end = stop
-            if not self.trim:
-                end = stop
+            end = stop
         if self.trim:
             while chars and chars[-1] == mark:
                 chars.pop()
