@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .arrow import slices
+from .arrow import fresh, slices
 from .bitmap import narrowed
 from .components import components
 from .substring_dedup import Sums, WordHashes, content_key
@@ -63,7 +63,7 @@ def bands(signed: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, set_key, n_shingles, bands, sketch (one byte per signature value) of every row."""
+    """doc_id, text_key, set_key, n_shingles, bands, sketch (eight bits of every signature value) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -75,15 +75,15 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 signed = signature(own) if len(own) else None
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 buckets.append(bands(signed) if len(own) else None)
-                sketches.append((signed >> np.uint64(40)).astype(np.uint8).tobytes() if len(own) else None)
+                sketches.append((signed >> np.uint64(40)).astype(np.uint8).view(np.int8) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                 pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int8()))],
                 names=["doc_id", "text_key", "set_key", "n_shingles", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", content_key("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, text_key binary, set_key binary, n_shingles long, bands array<long>, sketch binary")
+        run, f"doc_id {kind}, text_key binary, set_key binary, n_shingles long, bands array<long>, sketch array<tinyint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,19 +129,29 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose signatures agree in at least the share expected at the threshold, less five deviations."""
+def _alike(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b: bucket mates of different components whose signatures agree in at least the share expected at the
+    threshold, less five deviations."""
     n, p = 2 * PERMUTATIONS, percent / 100
     least = n * (p - 5 * (p * (1 - p) / n) ** 0.5)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4096):
-            u, v = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, n) for i in (2, 3))
-            yield part.filter(pa.array((u == v).sum(1) >= least, pa.bool_())).select(["a", "b"])
-
-    one = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("u"))
-    two = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("v"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "u", "v").mapInArrow(run, "a long, b long")
+    drawn = apart.join(sketches.select("cid", "sketch"), "cid")
+    left, right = (drawn.select("bucket", F.col("cid").alias(c), F.col("root").alias(r), F.col("sketch").alias(v))
+                   for c, r, v in (("a", "ra", "u"), ("b", "rb", "v")))
+    agree = F.size(F.filter(F.zip_with("u", "v", lambda x, y: x == y), lambda t: t))
+    on = (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (agree >= least)
+    return left.join(right, on).select("a", "b").distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after ``links``: only the components that the links touch are looked at, as single nodes."""
+    at = roots.withColumnRenamed("node", "a").withColumnRenamed("root", "ra")
+    to = roots.withColumnRenamed("node", "b").withColumnRenamed("root", "rb")
+    drawn = links.join(at, "a", "left").join(to, "b", "left").select(
+        "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    drawn = cut_lineage(drawn, "drawn")
+    merged = components(drawn.select("ra", "rb").distinct(), "ra", "rb").toDF("root", "best")
+    nodes = roots.union(drawn.select("a", "ra")).union(drawn.select("b", "rb")).distinct()
+    return cut_lineage(nodes.join(merged, "root", "left").select("node", F.coalesce("best", "root").alias("root")), "roots")
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +168,6 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> tupl
     wanted = cut_lineage(wanted, "wanted")
     sets = cut_lineage(_sets(docs, wanted.select("cid", "text_key"), words), "sets")
     spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(ROUNDS):
         apart = cut_lineage(_apart(members, roots), "apart")
@@ -167,14 +176,10 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> tupl
         offers = (apart.join(pivot, "bucket").filter("root <> pivot.root")
                   .groupBy(F.col("cid").alias("a"), F.col("pivot.cid").alias("b")).agg(F.count("*").alias("n")))
         best = offers.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")
-        links = links.union(cut_lineage(_linked(cut_lineage(best, "offers"), sets, percent), "links"))
-        roots = components(links, "a", "b")
+        roots = _joined(roots, _linked(cut_lineage(best, "offers"), sets, percent))
     apart = cut_lineage(_apart(members, roots), "apart")
-    left, right = (apart.select("bucket", F.col("cid").alias(c), F.col("root").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
-    rest = left.join(right, "bucket").filter("a < b AND ra <> rb").select("a", "b").distinct()
-    rest = cut_lineage(_alike(rest, wanted.select("cid", "sketch"), percent), "rest")
-    links = links.union(cut_lineage(_linked(rest, sets, percent), "links"))
-    roots = components(links, "a", "b")
+    rest = cut_lineage(_alike(apart, wanted, percent), "rest")
+    roots = _joined(roots, _linked(rest, sets, percent))
     rooted = classes.select("set_key", "cid", "first_id").join(roots, F.col("cid") == F.col("node"), "left").select(
         "set_key", F.coalesce("root", "cid").alias("root"), "first_id")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -200,11 +205,11 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFram
     firsts = (rows.filter("set_key IS NOT NULL").join(named, "set_key")
               .groupBy(group.alias("g"), F.when(F.col("component").isNull(), F.col("set_key")).alias("s"))
               .agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("one.doc_id", "one.text_key"))
-    chosen = firsts.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    keyed = docs.withColumn("__key", content_key("text"))
-    kept = keyed.filter(~bare).join(
-        chosen.withColumnRenamed("__key", "__k"), (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    one = Window.partitionBy("__key", "doc_id").orderBy("__tie")
-    kept = kept.withColumn("__tie", F.monotonically_increasing_id()).withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(bare))
-
+    key, tie, number = (fresh(docs.columns, n) for n in ("__key", "__tie", "__n"))
+    chosen = firsts.select(F.col("doc_id").alias(fresh([*docs.columns, key], "__id")), F.col("text_key").alias(fresh([*docs.columns, key], "__k")))
+    ident, held = chosen.columns
+    keyed = docs.withColumn(key, content_key("text"))
+    kept = keyed.filter(~bare).join(chosen, (F.col(key) == F.col(held)) & F.col("doc_id").eqNullSafe(F.col(ident)))
+    one = Window.partitionBy(key, "doc_id").orderBy(tie)
+    kept = kept.withColumn(tie, F.monotonically_increasing_id()).withColumn(number, F.row_number().over(one)).filter(F.col(number) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(bare))
