@@ -12,7 +12,8 @@ def test_stages_keep_columns_and_work_on_what_is_left(spark, tmp_path):
     rows = [(i, f"clean words number {i} here " + " ".join(f"w{i}x{j}" for j in range(50)), "en", "s", 1) for i in range(20)]
     rows += [(30, rows[3][1], "en", "s", 1), (31, None, "en", "s", 1), (32, "", None, None, None)]
     shared = " ".join(f"p{j}" for j in range(60))
-    rows += [(40 + i, f"start{i} of text {shared} end{i}", "en", "s", 1) for i in range(2)]
+    own = [" ".join(f"{side}{i}x{j}" for j in range(20)) for i in range(2) for side in "se"]
+    rows += [(40 + i, f"{own[2 * i]} {shared} {own[2 * i + 1]}", "en", "s", 1) for i in range(2)]
     rows += [(50, 'my token = "0123456789abcdef0123456789abcdef" ok', "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -29,7 +30,7 @@ def test_stages_keep_columns_and_work_on_what_is_left(spark, tmp_path):
             assert ids == {r[0] for r in rows} - {30}
         if n == 3:
             texts = {r["doc_id"]: r["text"] for r in kept.collect()}
-            assert texts[40] == "start0 of text end0" and texts[50] == 'my [SECRET]" ok'
+            assert texts[40] == f"{own[0]} {own[1]}" and texts[50] == 'my [SECRET]" ok'
             assert texts[31] is None and texts[5] == rows[5][1]
     assert {"doc_id", "ids", "sequence_id"} <= set(kept.columns)
 
