@@ -1,8 +1,11 @@
 """Toxicity by multiple-instance learning.
 
 Only documents are labelled. A document is a bag of sentences; sentence i is toxic with probability p_i, a logistic
-score of its words and word beginnings, and the document with 1 - prod(1 - p_i) (noisy-or). The likelihood of the
-document labels trains the sentence scores, which then point at the offending sentences.
+score of its words and word beginnings, and the document by the noisy-or of its sentences' evidence. Evidence is what
+lies above the chance p_0 of a wordless sentence, 1 - (1 - p_i) / (1 - p_0) or 0; p_0 itself counts once a document, so
+that neutral sentences do not add up. The likelihood of the document labels trains the sentence scores, which then
+point at the offending sentences. Ordinary words keep some weight, so the evidence of sentences under a half counts as
+far as it is beyond what as many sentences of clean documents show; sentences from a half on always count in full.
 
 The fit uses a bounded sample of labelled rows (``FIT_ROWS`` per class, texts up to ``FIT_CHARS``), lowest hash of
 the id first; scoring reads every whole text.
@@ -32,6 +35,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS, BEGINNINGS = 1 << 18, (4, 5, 6, 7)
 FIT_ROWS, FIT_CHARS = 1500, 50_000
 WORDS = 400_000
+STRONG, BEYOND = 0.5, 3
 
 
 def features(word: str) -> list[int]:
@@ -47,6 +51,8 @@ def features(word: str) -> list[int]:
 class Model:
     weights: np.ndarray
     bias: float
+    usual: float = 0.0  # weak evidence of a clean sentence, its mean
+    spread: float = 0.0  # and how far a clean document is off, over the root of its sentences
 
 
 class _Scores(dict):
@@ -64,6 +70,8 @@ class _Scores(dict):
 class Scorer:
     def __init__(self, model: Model):
         self.words, self.bias = _Scores(model.weights), model.bias
+        self.neutral = 1 / (1 + math.exp(-model.bias))
+        self.usual, self.spread = model.usual, model.spread
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and probability of every sentence."""
@@ -74,11 +82,16 @@ class Scorer:
         return out
 
     def document(self, sentences: list[tuple[int, int, float]]) -> float:
-        """Noisy-or of the sentences."""
-        clean = 0.0
+        """Noisy-or of the evidence, never below the worst sentence."""
+        neutral, strong, weak, worst = math.log1p(-self.neutral), 0.0, 0.0, self.neutral
         for _, _, p in sentences:
-            clean += math.log1p(-min(p, 1 - 1e-12))
-        return 1 - math.exp(clean) if sentences else 1 / (1 + math.exp(-self.bias))
+            if p > self.neutral:
+                worst = max(worst, p)
+                own = neutral - math.log1p(-min(p, 1 - 1e-12))
+                strong, weak = (strong + own, weak) if p >= STRONG else (strong, weak + own)
+        n = len(sentences)
+        weak = max(weak - n * self.usual - BEYOND * self.spread * math.sqrt(n), 0)
+        return max(worst, 1 - math.exp(neutral - strong - weak))
 
 
 def _log_odds(seen: np.ndarray, y: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,20 +145,36 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.0
     m, v, mb, vb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     for step in range(1, rounds + 1):
         per_word = np.bincount(word_of, theta[feature], count)
-        z = bias + np.bincount(sentence_of, per_word[words], len(document_of))
-        p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
-        toxic = np.clip(1 - np.exp(np.bincount(document_of, np.log1p(-p), len(y))), 1e-9, 1 - 1e-9)
-        pull = np.where(y[document_of] > 0, balance * (1 / toxic - 1)[document_of], -1.0) * p
+        own = np.bincount(sentence_of, per_word[words], len(document_of))
+        above, neutral = own > 0, 1 / (1 + math.exp(-bias))
+        p = np.clip(1 / (1 + np.exp(-np.clip(bias + own, -30, 30))), 1e-9, 1 - 1e-9)
+        clean = np.bincount(document_of, np.where(above, np.log1p(-p) - math.log1p(-neutral), 0), len(y))
+        toxic = np.clip(1 - np.exp(math.log1p(-neutral) + clean), 1e-9, 1 - 1e-9)
+        side = np.where(y > 0, balance * (1 / toxic - 1), -1.0)
+        pull = side[document_of] * p * above
         grad_word = np.bincount(words, pull[sentence_of], count)
         grad = np.bincount(feature, grad_word[word_of], len(used)) / len(y) - decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        gb = pull.sum() / len(y)
+        gb = (neutral * side.sum() + (side[document_of] * (p - neutral) * above).sum()) / len(y)
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         bias += rate * (mb / (1 - 0.9**step)) / (math.sqrt(vb / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(BUCKETS)
     weights[used] = theta
-    return Model(weights, bias)
+    return _with_usual(Model(weights, bias), texts, labels)
+
+
+def _with_usual(model: Model, texts: list[str], labels: list[int]) -> Model:
+    """The model with the weak evidence that clean documents show."""
+    scorer, n, weak = Scorer(model), [], []
+    for text, label in zip(texts, labels):
+        if not label:
+            found = [p for _, _, p in scorer.sentences(text)]
+            n.append(len(found))
+            weak.append(sum(math.log1p(-scorer.neutral) - math.log1p(-p) for p in found if scorer.neutral < p < STRONG))
+    total, n, weak = max(sum(n), 1), np.array(n), np.array(weak)
+    usual = float(weak.sum()) / total
+    return Model(model.weights, model.bias, usual, math.sqrt(((weak - usual * n) ** 2).sum() / total))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:

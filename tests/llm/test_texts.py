@@ -224,6 +224,22 @@ def test_toxicity_awkward(spark, docs):
     assert toxicity.score(docs([]), toxicity.train(docs([]), none)).count() == 0
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_toxicity_of_long_clean_texts(spark, docs, known):
+    rows, labels = labelled(spark)
+    table = spark.createDataFrame(labels if known else [], "doc_id long, toxic int")
+    rng = random.Random(6)
+    clean = [s for (_, text), (_, bad) in zip(rows, labels) if not bad for s in text.split(". ")]
+    longer = [(1000 + n, ". ".join(rng.choice(clean) for _ in range(n))) for n in (300, 2100, 10_000, 40_000)]
+    longer += [(2000, "no. " * 50_000), (2001, "one of the words here\n" * 12_000)]
+    hidden = (3000, longer[2][1] + ". word1 vilecur gruntling word2. " + longer[1][1])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs([*longer, hidden]), toxicity.train(docs(rows), table)).collect()}
+    assert all(got[i] < 0.5 for i, _ in longer), got
+    assert (got[3000] >= 0.5) == known
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs([*rows, *longer, hidden]), table).collect()}
+    assert {i for i, _ in longer} <= kept and (3000 in kept) != known
+
+
 # personal data ---------------------------------------------------------------------------
 
 # The rules as stated.
