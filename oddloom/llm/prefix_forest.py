@@ -2,8 +2,8 @@
 
 A tree is a sorted array of long bit strings: the signs of a vector's projections on random directions. A query
 descends every tree to its longest matching prefix; then all trees ascend together, one bit at a time, and what lies
-under the shortened prefixes joins the candidates, until they are ``share`` of the shard. Candidates are ranked by
-exact inner product.
+under the shortened prefixes joins the candidates, until they are ``share`` of the shard and ``k`` besides the rows
+of the query's own id, or the whole shard. Candidates are ranked by exact inner product.
 
 Rows are dealt round-robin into shards of about ``SHARD`` rows, each with its own forest; the queries come in blocks,
 every block meets every shard, and the best of all shards are merged. One task holds one shard and one block.
@@ -57,21 +57,21 @@ class Forest:
                 best = max(best, self.bits - different.bit_length())
         return best
 
-    def candidates(self, queries: np.ndarray, share: float) -> list[np.ndarray]:
-        """For each query the rows under its prefixes, once at least ``share`` of all rows are."""
+    def candidates(self, queries: np.ndarray, share: float, least: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows under its prefixes, once at least ``share`` of all rows and its ``least`` are."""
         n = len(self.vectors)
-        wanted, asked = math.ceil(share * n), self.strings(queries)
+        wanted, asked = np.minimum(n, np.maximum(math.ceil(share * n), least)), self.strings(queries)
         out: list[np.ndarray | None] = [None] * len(queries)
         open_, length = np.arange(len(queries)), self.deepest(asked)
         while len(open_):
             low, high = self._ranges(asked[:, open_], length)
-            ready = np.nonzero((high - low).sum(0) >= wanted)[0]
+            ready = np.nonzero((high - low).sum(0) >= wanted[open_])[0]
             done = []
             for k in ready:
                 under = np.zeros(n, bool)
                 for t in range(self.trees):
                     under[self.order[t, low[t, k]:high[t, k]]] = True
-                if length == 0 or under.sum() >= wanted:
+                if length == 0 or under.sum() >= wanted[open_[k]]:
                     out[open_[k]] = np.nonzero(under)[0]
                     done.append(k)
             open_ = np.delete(open_, done)
@@ -105,7 +105,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(own) and len(queries):
             forest = Forest(own, trees, bits)
-            for q, vector, at in zip(query_ids, queries, forest.candidates(queries, share)):
+            kinds, counts = np.unique(own_ids, return_counts=True)
+            at = np.minimum(np.searchsorted(kinds, query_ids), len(kinds) - 1)
+            least = k + np.where(kinds[at] == query_ids, counts[at], 0)
+            for q, vector, at in zip(query_ids, queries, forest.candidates(queries, share, least)):
                 at = at[own_ids[at] != q]
                 score = own[at] @ vector
                 if len(at) > k:

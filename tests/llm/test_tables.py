@@ -89,6 +89,18 @@ def test_few_candidates_are_all_returned(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(4, 5.0), (3, 4.0), (2, 3.0), (1, 2.0)]
 
 
+def test_few_candidates_with_the_share_in_use(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)], 0, "", "") for i in range(1, 5)] + [(20, [1.0, 1.0], 0, "", "")], SCHEMA)
+    got = nearest(df, F.col("vec_id") % 20 == 0, k=20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(4, 5.0), (3, 4.0), (2, 3.0), (1, 2.0)]
+    rng = np.random.default_rng(5)
+    for n, copies in ((6, 1), (21, 1), (30, 1), (44, 8), (60, 30)):
+        rows = [(20 if i < copies else 100 * i + 1, [float(x) for x in rng.normal(size=8)], 0, "", "") for i in range(n)]
+        got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 20, k=20).collect()
+        assert sorted(r["rank"] for r in got) == list(range(1, min(20, copies * (n - copies)) + 1)), n
+        assert all(r["vec_id"] != 20 for r in got)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
