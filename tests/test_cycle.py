@@ -190,3 +190,22 @@ def test_snapshot_and_cache(spark, tmp_path):
     old = spark.createDataFrame([("a", "x")], "cache_key string, market_type string")
     new = spark.createDataFrame([("a", "y"), ("b", "z")], "cache_key string, market_type string")
     assert sorted(map(tuple, O.cache_insert_if_absent(old, new).collect())) == [("a", "x"), ("b", "z")]
+
+
+def test_two_way_signals_are_history(spark, monkeypatch):
+    import __spark_entry__ as contract
+    from oddloom.plans import alert_plans
+
+    early, late = datetime(1992, 5, 1), datetime(1999, 5, 1)
+    legs = "Over", 2.1, "a", "Under", 2.1, "b", None, None, None
+    rows = [(1, "M2", "football", 2, early, 5.0, 90, *legs), (2, "M2", "football", 2, late, 4.0, 90, *legs),
+            (3, "M3", "football", 2, late, 4.0, 90, *legs)]
+    h = spark.createDataFrame(rows, """id long, match string, sport string, n_issues int, date_detection timestamp,
+        roi_pct double, score_ia int, event_a string, cote_a double, bookmaker_a string, event_b string, cote_b double,
+        bookmaker_b string, event_c string, cote_c double, bookmaker_c string""").withColumn("copy", F.lit(0))
+    monkeypatch.setattr(alert_plans.src, "history", lambda *_: h)
+    jobs = contract.queries()
+    first = {r["id"]: r["alertable"] for r in jobs["p09_first_signal_whole_history"](spark, "").collect()}
+    assert first == {2: False, 3: True}
+    assert jobs["p10_cycle_counters_whole_history"](spark, "").first().asDict() == dict(
+        detected=2, duplicates=1, silent=0, alerted=1)
