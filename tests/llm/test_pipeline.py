@@ -35,6 +35,29 @@ def test_stages_keep_columns_and_work_on_what_is_left(spark, tmp_path):
     assert {"doc_id", "ids", "sequence_id"} <= set(kept.columns)
 
 
+def test_run_with_labels_copies_and_secrets(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own = lambda i, n=60: " ".join(f"w{i}x{j}" for j in range(n))
+    texts = {i: own(i) + (" vilecur" if i < 20 else "") for i in range(100)}
+    texts |= {200: texts[30] + " tail", 210: 'my token = "0123456789abcdef0123456789abcdef" ok', 211: None, 212: ""}
+    shared = " ".join(f"p{j}" for j in range(60))
+    texts |= {220 + i: f"{own(f'a{i}', 20)} {shared} {own(f'b{i}', 20)}" for i in range(2)}
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i < 20)) for i in range(100)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {i: t for i, t in texts.items() if not (i < 20 or i == 200)}
+    want |= {210: 'my [SECRET]" ok'} | {220 + i: f"{own(f'a{i}', 20)} {own(f'b{i}', 20)}" for i in range(2)}
+    got = {}
+    for r in contract.queries()["pipeline"](spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got.keys() == want.keys()
+    lib = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    wrong = {i for i, t in want.items() if sorted(got[i]) != sorted(lib.encode(t or "", add_special_tokens=False).ids + [2])}
+    assert not wrong, wrong
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_all_are_registered():
     names = contract.queries()
