@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .registry import query, table
 
-WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_BPE, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 @query("op3_power_of_two_packing")
@@ -141,3 +141,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, extract
 
     return _span_digest(extract(table(spark, sf_dir, "documents")), KINDS)
+
+
+@query("op11_bit_sliced_spelling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group
+
+    return group(table(spark, sf_dir, "documents"))
+
+
+@query("op12_url_filter")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge, labelled_urls, train
+
+    return judge(table(spark, sf_dir, "pages"), train(labelled_urls(spark)))
+
+
+@query("op13_spill_counted_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
