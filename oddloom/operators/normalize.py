@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import constants as C
 from ..functions import text
 from ..functions.labels import normalize_market_label, team_scope_score
 from ..schemas import MAPPING_TYPE, as_quotes
+from .budget import grant
 
 LABEL_COLS = ["sport", "market_label", "selection_label", "home_team", "away_team"]
 
@@ -116,53 +114,12 @@ def pick_best_mapping(rule: Column, other: Column) -> Column:
     ).otherwise(rule)
 
 
-def _spend(limit: int, window_us: int, keep_edge: bool):
-    """Grant flags over rows sorted by key and time, carrying state between batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, granted = None, []
-        for batch in batches:
-            flags = []
-            for key, t in zip(batch["__key"], batch["__t"]):
-                if key != owner:
-                    owner, granted = key, []
-                horizon = t - window_us
-                granted = [g for g in granted if g > horizon or (keep_edge and g == horizon)]
-                ok = len(granted) < limit
-                if ok:
-                    granted.append(t)
-                flags.append(ok)
-            yield batch.assign(granted=flags)
-
-    return run
-
-
 def hourly_budget_flag(
     requests: DataFrame, max_per_window: int, by: list[str] | None = None, window_s: int = 3600, keep_edge: bool = True,
     order: str = "id",
 ) -> DataFrame:
-    """Add ``granted``: at most so many granted requests in any trailing window.
-
-    A denied request does not consume, so the rule is sequential. A quiet
-    stretch longer than the window resets it: each key's time line is cut
-    there first, and the pieces run in parallel. Inside a piece rows stream
-    through in order with the open grants as the only state.
-    """
-    keys = by or []
-    size = window_s * 1_000_000
-    staged = requests.withColumn("__t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
-        "__b", F.floor(F.col("__t") / size))
-    buckets = staged.groupBy(*keys, "__b").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
-    line = Window.partitionBy(*keys).orderBy("__b")
-    quiet = F.col("__lo") - F.lag("__hi").over(line) > size
-    pieces = buckets.withColumn(
-        "__piece", F.sum(F.when(quiet, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    ).select(*keys, "__b", "__piece")
-    joined = staged.join(pieces, [*keys, "__b"]) if keys else staged.join(pieces, "__b")
-    key = F.to_json(F.struct(*keys, "__piece"))
-    ready = joined.withColumn("__key", key).drop("__b", "__piece").repartition("__key").sortWithinPartitions("__key", "__t", order)
-    schema = T.StructType([*ready.schema.fields, T.StructField("granted", T.BooleanType())])
-    return ready.mapInPandas(_spend(max_per_window, size, keep_edge), schema).drop("__t", "__key")
+    """Add ``granted``: at most so many granted requests in any trailing window; a denied one does not consume."""
+    return grant(requests, max_per_window, by, window_s, keep_edge, order)
 
 
 def ambiguous_queue(labels: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import GATED_ROOM, PRIVILEGED_ROLES, PUBLISHING_ROLES
 from ..functions.text import canonical_email
-from .running import trailing_window
+from .budget import grant
 
 
 def _now(as_of: Column) -> Column:
@@ -114,18 +114,15 @@ def device_still_valid(requests: DataFrame, devices: DataFrame, profiles: DataFr
 
 
 def rate_limit_flags(
-    events: DataFrame, limit: int, window_s: int, by: list[str] | None = None, over: bool = False
+    events: DataFrame, limit: int, window_s: int, by: list[str] | None = None, over: bool = False, order: str = "event_id"
 ) -> DataFrame:
-    """Add ``blocked`` from the number of earlier attempts in the window.
+    """Add ``blocked`` from the number of earlier accepted attempts in the window.
 
-    ``over=False`` blocks from ``limit`` attempts on, ``over=True`` only above.
-    Rows exactly ``window_s`` old have left the window.
+    ``over=False`` blocks from ``limit`` accepted ones on, ``over=True`` only above; what is blocked leaves no row and does
+    not count. Rows exactly ``window_s`` old have left the window.
     """
-    counted = trailing_window(
-        events, by or [], "ts", window_s, {"recent": F.count("*")}, include_edge=False, include_self=False
-    )
-    hit = F.col("recent") > limit if over else F.col("recent") >= limit
-    return counted.withColumn("blocked", hit)
+    accepted = grant(events, limit + 1 if over else limit, by, window_s, keep_edge=False, order=order)
+    return accepted.withColumn("blocked", ~F.col("granted")).drop("granted")
 
 
 def _entitled(as_of: Column) -> Column:

@@ -13,6 +13,21 @@ def on(a: str, b: str, keys: str = K) -> str:
     return " AND ".join(f"{a}.{k.strip()} IS NOT DISTINCT FROM {b}.{k.strip()}" for k in keys.split(","))
 
 
+def global_walk_sql(limit: int, window_s: int, open_until: str) -> str:
+    """Tables r (all events in order) and walk (granted ones): one budget for all, from grant to grant.
+
+    Each grant is the first event after the one before that is also outside the window of the grant ``limit`` back.
+    """
+    return f"""r AS (SELECT event_id, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+walk AS (
+  SELECT 0 AS rn, 0 AS n, []::BIGINT[] AS last
+  UNION ALL
+  SELECT nxt.rn, w.n + 1, list_slice(list_append(w.last, nxt.t), greatest(1, len(w.last) + 2 - {limit}), len(w.last) + 1)
+  FROM walk w, LATERAL (SELECT min(r.rn) AS rn, arg_min(r.t, r.rn) AS t FROM r
+    WHERE r.rn > w.rn AND (w.n < {limit} OR r.t {open_until} w.last[1] + {window_s * 1_000_000})) nxt
+  WHERE nxt.rn IS NOT NULL)"""
+
+
 # Best combination per market by direct comparison: ranks, joins, and plain
 # enumeration of triplets for markets one bookmaker dominates.
 COMBOS_SQL = f"""

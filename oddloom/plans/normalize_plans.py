@@ -9,7 +9,7 @@ from ..functions.labels import normalize_market_label
 from ..operators import normalize as N
 from ..sources import adapters as src
 from ..sources.feeds import values_dim
-from .common import QUOTES_SQL
+from .common import QUOTES_SQL, global_walk_sql
 from .label_cases import AWAY, CASES, HOME, sql_values
 from .registry import query, with_ctes
 
@@ -182,6 +182,14 @@ def budget(spark, sf_dir):
     return N.hourly_budget_flag(ev, 4, ["user_id"], 2 * 86400, order="event_id").select("event_id", "granted")
 
 
+@query("n11_global_budget", f"""
+WITH RECURSIVE {global_walk_sql(20, 6 * 3600, ">")}
+SELECT event_id, walk.rn IS NOT NULL AS granted FROM r LEFT JOIN walk USING (rn)""")
+def global_budget(spark, sf_dir):
+    ev = src.table(spark, sf_dir, "events").select("event_id", "ts")
+    return N.hourly_budget_flag(ev, 20, window_s=6 * 3600, order="event_id").select("event_id", "granted")
+
+
 @query("n12_outcome_market_label", with_ctes(QUOTES_SQL, """
 SELECT CASE WHEN selection IN ('over', 'under') THEN concat(CASE selection WHEN 'over' THEN 'Plus de ' ELSE 'Moins de ' END, line,
     CASE team_scope WHEN 'home' THEN ' dom.' WHEN 'away' THEN ' ext.' ELSE '' END)

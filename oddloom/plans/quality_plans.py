@@ -10,6 +10,7 @@ from ..sources import adapters as src
 from ..sources.adapters import (
     DEVICES_SQL, MESSAGES_SQL, PAYMENTS_SQL, PROFILES_SQL, SIGNALS_SQL, canonical_mail_sql, stamp,
 )
+from .common import global_walk_sql
 from .registry import query, with_ctes
 
 AS_OF = "2000-06-01 00:00:00"
@@ -101,17 +102,22 @@ def valid(spark, sf_dir):
 
 
 @query("d08_rate_limit_flags", """
-SELECT event_id, count(*) OVER w AS recent, count(*) OVER w >= 5 AS blocked FROM events
-WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 172799999999 MICROSECONDS PRECEDING
-  AND INTERVAL 1 MICROSECOND PRECEDING)""")
+WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+walk AS (
+  SELECT event_id, user_id, rn, FALSE AS blocked, [t] AS taken FROM r WHERE rn = 1
+  UNION ALL
+  SELECT event_id, user_id, rn, len(recent) >= 5, CASE WHEN len(recent) >= 5 THEN recent ELSE list_append(recent, t) END
+  FROM (SELECT n.*, list_filter(w.taken, lambda x: n.t - x < 172800000000) AS recent
+        FROM walk w JOIN r n ON n.user_id = w.user_id AND n.rn = w.rn + 1))
+SELECT event_id, blocked FROM walk""")
 def limits(spark, sf_dir):
     ev = src.table(spark, sf_dir, "events")
-    return D.rate_limit_flags(ev, 5, 2 * 86400, ["user_id"]).select("event_id", "recent", "blocked")
+    return D.rate_limit_flags(ev, 5, 2 * 86400, ["user_id"]).select("event_id", "blocked")
 
 
-@query("d08_global_rate_limit", """
-SELECT event_id, count(*) OVER w > 20 AS blocked FROM events
-WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)""")
+@query("d08_global_rate_limit", f"""
+WITH RECURSIVE {global_walk_sql(21, 3600, ">=")}
+SELECT event_id, walk.rn IS NULL AS blocked FROM r LEFT JOIN walk USING (rn)""")
 def global_limit(spark, sf_dir):
     ev = src.table(spark, sf_dir, "events")
     return D.rate_limit_flags(ev, 20, 3600, over=True).select("event_id", "blocked")
