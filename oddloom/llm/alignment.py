@@ -42,9 +42,9 @@ from ..session import cut_lineage
 from .arrow import slices
 from .pieces import SPACE, PieceEncoder
 
-RADIX, SALTS, RUN_DOCS, RUN_RECORDS, FAN_IN, CHUNK = 128, 16, 4096, 1 << 20, 64, 8192
-#: Units remembered by a task, and the length up to which they outlive the others.
-UNITS, SHORT = 200_000, 10
+RADIX, SALTS, RUN_DOCS, RUN_RECORDS, FAN_IN, CHUNK = 128, 16, 4096, 1 << 19, 64, 8192
+#: Units remembered by a task, the length up to which they outlive the others, and the one from which they are forgotten.
+UNITS, SHORT, LONG = 160_000, 10, 64
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _CUT_SPACE = re.compile(r"(?<=\S)(?= )")
@@ -57,19 +57,6 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(others)}}
 
 
-def overlaps(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of token numbers whose ranges overlap, in order, and the number of pairs at the end of every group."""
-    pairs, closed, i, j = [], [], 0, 0
-    while i < len(a_ends) and j < len(b_ends):
-        pairs.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        if a == b:
-            closed.append(len(pairs))
-        i += a <= b
-        j += b <= a
-    return pairs, closed
-
-
 class Aligner:
     """Encodes texts with both tokenizers; a unit's value is (n_a, n_b, n_groups, groups as text, raw pair codes)."""
 
@@ -87,7 +74,9 @@ class Aligner:
         self.b = pieces.decoder
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        self.mark = self.b.piece_to_id(SPACE)
+        self.a_size, self.b_size = (np.array([len(t) for t in each], np.int64) for each in (self.a_bytes, self.b_bytes))
+        numbers = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.text = {mark: np.array([n + mark for n in numbers], object) for mark in ",|;"}
         plain = pieces.normalizer
         before = spec.get("pre_tokenizer") or {}
         own_a = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
@@ -96,28 +85,50 @@ class Aligner:
         self.cut = (_CUT if pieces.cuts_lines else _CUT_SPACE) if own_a and own_b else None
         self.known: dict[str, tuple | None] = {}
 
-    def _ids(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        a = self.a.encode_batch(units, add_special_tokens=False)
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for unit, x, y in zip(units, a, b):
-            yield x.ids, y if unit[0] == " " else y[1:]  # the mark put before a unit that starts a line
+    def _alone(self, unit: str) -> tuple | None:
+        """None where the tokens do not spell the unit."""
+        a = self.a.encode(unit, add_special_tokens=False).ids
+        b = self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode(unit)[1:]  # no mark before a unit that starts a line
+        x, y, whole = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], unit.encode()
+        if b"".join(x) != whole or b"".join(y) != whole:
+            return None
+        return self._cut(a, b, np.array([len(whole)]))[0]
 
     def _values(self, units: list[str]) -> list[tuple | None]:
-        """None where the tokens do not spell the unit."""
-        out: list[tuple | None] = []
-        for unit, (a, b) in zip(units, self._ids(units)):
-            x, y, whole = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], unit.encode()
-            if b"".join(x) != whole or b"".join(y) != whole:
-                out.append(None)
-                continue
-            pairs, closed = overlaps(np.cumsum([len(t) for t in x]).tolist(), np.cumsum([len(t) for t in y]).tolist())
-            groups, begin = [], 0
-            for end in closed:
-                (i, j), (k, m) = pairs[begin], pairs[end - 1]
-                groups.append(",".join(map(str, a[i:k + 1])) + "|" + ",".join(map(str, b[j:m + 1])))
-                begin = end
-            codes = np.array([b[j] << 32 | a[i] for i, j in pairs], np.uint64)
-            out.append((len(a), len(b), len(groups), ";".join(groups), codes.tobytes()))
+        """The units' values; those that may follow each other in a text are encoded as one text."""
+        together = [u for u in units if not u[-1].isspace() and SPACE not in u] if self.cut else []
+        done: dict[str, tuple | None] = {}
+        if together:
+            text = "".join(together)
+            first = text[0] == " "
+            a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
+            b = self.b.encode(text[1:]) if first else self.b.encode(text)[1:]
+            if b"".join(map(self.b_bytes.__getitem__, b)) == text.encode():
+                done = dict(zip(together, self._cut(a, b, np.cumsum([len(u.encode()) for u in together]))))
+        return [done[u] if u in done else self._alone(u) for u in units]
+
+    def _cut(self, a: list[int], b: list[int], unit_ends: np.ndarray) -> list[tuple]:
+        """The values of neighbouring units whose tokens are ``a`` and ``b``.
+
+        Between two neighbouring ends of any token lies the overlap of exactly one pair: these stretches are the links.
+        """
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.union1d(a_ends, b_ends)
+        i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        codes = (b[j] << 32 | a[i]).astype(np.uint64).tobytes()
+        common = ends[(a_ends[i] == ends) & (b_ends[j] == ends)]
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        texts = np.empty(len(a) + len(b), object)
+        texts[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = np.where(
+            common[a_group] == a_ends, self.text["|"][a], self.text[","][a])
+        texts[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = np.where(
+            common[b_group] == b_ends, self.text[";"][b], self.text[","][b])
+        texts = texts.tolist()
+        at = [[0, *(np.searchsorted(e, unit_ends) + 1).tolist()] for e in (a_ends, b_ends, common, ends)]
+        out = []
+        for (x, x2), (y, y2), (g, g2), (l, l2) in zip(*(zip(e, e[1:]) for e in at)):
+            out.append((x2 - x, y2 - y, g2 - g, "".join(texts[x + y:x2 + y2])[:-1], codes[8 * l:8 * l2]))
         return out
 
     def units(self, text: str) -> list[str]:
@@ -130,23 +141,21 @@ class Aligner:
             self.known = {u: v for u, v in self.known.items() if len(u) <= SHORT}
             if len(self.known) > UNITS // 2:
                 self.known = {}
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        if new:
-            fresh = dict(zip(new, self._values(new)))
-            looked = {**self.known, **fresh}
-            self.known.update((u, v) for u, v in fresh.items() if len(u) <= 64)
-        else:
-            looked = self.known
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, self._values(new)))
         out = []
         for text, units in zip(texts, cut):
-            values = [looked[u] for u in units]
+            values = [self.known[u] for u in units]
             if None in values:  # its tokens may yet spell the text as a whole
-                values = self._values([" " + text])
+                values = [self._alone(" " + text)]
             if not values or None in values:
                 out.append(None)
                 continue
             n_a, n_b, n_groups, groups, codes = zip(*values)
             out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(codes)))
+        for unit in new:
+            if len(unit) > LONG:
+                del self.known[unit]
         return out
 
 
