@@ -1,15 +1,19 @@
 """Teams and matches across bookmakers by fuzzy names.
 
 Names are scored, never rows: a similarity join over the distinct names of
-one squad level, with candidate keys that provably miss no pair over the
-threshold, and no cap on partners. Matches are then compared only through
-the name pairs found.
+one squad level (and sport), with candidate keys that provably miss no pair
+over the threshold, and no cap on partners. Before any text is compared, the
+letters that two names share must be enough, counted by class of letter.
+Matches are then compared only through the name pairs found: home names bring
+them together within their sport and day, away names confirm.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import MATCH_THRESHOLD
@@ -46,8 +50,22 @@ def _forms(names: DataFrame, word_sets: bool) -> DataFrame:
     """Each name's words as scored: with repeats for the sorted score, once for the set score."""
     words = _words(F.col("name"))
     forms = F.array_distinct(F.array(words, F.array_distinct(words))) if word_sets else F.array(words)
-    return names.select("level", "name", F.explode(forms).alias("words")).withColumn(
-        "size", F.length(F.array_join("words", " ")))
+    formed = names.select("level", "name", F.explode(forms).alias("words")).withColumn("text", F.array_join("words", " "))
+    return formed.withColumn("size", F.length("text")).withColumn("bag", _bag(F.col("text"))).drop("text")
+
+
+_CLASSES = 32
+
+
+def _bag(text: Column) -> Column:
+    """How many letters of each class a text holds."""
+    classes = F.transform(F.split(text, ""), lambda c: F.ascii(c) % _CLASSES)
+    return F.transform(F.sequence(F.lit(0), F.lit(_CLASSES - 1)), lambda k: F.size(F.filter(classes, lambda c: c == k)))
+
+
+def _shared(a: str, b: str) -> Column:
+    """At least as many letters as two texts can have in common, in any order."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
 
 
 def _grams(words: Column, g: Column) -> Column:
@@ -85,23 +103,24 @@ def _piece_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Da
     long_side = (
         left.withColumn("budget", budget)
         .withColumn("g", F.array_max(ample)).filter(F.col("g").isNotNull())
-        .select("level", "name", "words", "size", "budget", "g", F.posexplode(_pieces(F.col("words"), F.col("g"))).alias("p", "gram"))
+        .select("level", "name", "words", "size", "bag", "budget", "g", F.posexplode(_pieces(F.col("words"), F.col("g"))).alias("p", "gram"))
     )
     short_side = right.select(
-        "level", "name", "size", F.explode(lengths).alias("g"), "words"
-    ).select("level", "name", "size", "g", F.explode(_grams(F.col("words"), F.col("g"))).alias("gram"))
+        "level", "name", "size", "bag", F.explode(lengths).alias("g"), "words"
+    ).select("level", "name", "size", "bag", "g", F.explode(_grams(F.col("words"), F.col("g"))).alias("gram"))
     spread = short_side.groupBy("level", "g", "gram").agg(F.count("*").alias("freq"))
     rare = Window.partitionBy("level", "name", "words").orderBy(F.coalesce("freq", F.lit(0)), "gram", "p")
     keys = (
         long_side.join(spread, ["level", "g", "gram"], "left")
         .withColumn("rank", F.row_number().over(rare)).filter(F.col("rank") <= F.col("budget") + 1)
-        .select("level", "g", "gram", "name", "size").distinct()
+        .select("level", "g", "gram", "name", "size", "bag").distinct()
     )
     ratio = threshold / (200 - threshold)
     x, y = keys.alias("x"), short_side.alias("y")
     near = (F.col("y.size") <= F.col("x.size")) & (F.col("y.size") >= F.col("x.size") * ratio - 1e-9)
     same = (F.col("x.level") == F.col("y.level")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.gram") == F.col("y.gram"))
-    return x.join(y, same & near).select(
+    enough = _shared("x.bag", "y.bag") >= (F.col("x.size") + F.col("y.size")) * (threshold / 200) - 1e-9
+    return x.join(y, same & near & enough).select(
         F.col("x.level").alias("level"), F.col("x.name").alias("a"), F.col("y.name").alias("b"))
 
 
@@ -184,57 +203,62 @@ def with_side_keys(df: DataFrame, home: str = "home_team", away: str = "away_tea
     )
 
 
-def _side_names(df: DataFrame) -> DataFrame:
-    sides = F.explode(F.array(*[
-        F.struct(F.col(f"{s}_level").alias("level"), F.col(f"{s}_key").alias("name")) for s in ("home", "away")]))
-    return df.select(sides.alias("n")).select("n.level", "n.name").distinct()
-
-
-def _neighbours(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """Replace a side's key by every similar key, one row each."""
-    p = pairs.select(
-        F.col("level").alias(f"{side}_level"), F.col("left_name").alias(f"{side}_key"), F.col("right_name").alias("__to"))
-    return df.join(p, [f"{side}_level", f"{side}_key"]).withColumn(f"{side}_key", F.col("__to")).drop("__to")
+def _side_names(df: DataFrame, side: str, block: list[str]) -> DataFrame:
+    level = F.concat_ws("|", *block, f"{side}_level")
+    return df.select(level.alias("level"), F.col(f"{side}_key").alias("name")).distinct()
 
 
-def similar_matches(left: DataFrame, right: DataFrame, on: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
+def similar_matches(
+    left: DataFrame, right: DataFrame, on: list[str], threshold: float = MATCH_THRESHOLD, block: list[str] | None = None
+) -> DataFrame:
     """Pairs (left id, right id) with both sides similar and equal ``on`` columns.
 
-    Left rows are rewritten to the similar keys of both sides and meet right
-    rows by equality, so only true pairs are ever produced.
+    Home names of equal ``block`` columns (some of ``on``) are compared once. Left rows are rewritten to the similar home
+    names and meet right rows by equality; the pair of away names must then be among the similar ones.
     """
-    pairs = cut_lineage(similar_names(_side_names(left), _side_names(right), threshold), "names")
-    reach = _neighbours(_neighbours(left, pairs, "home"), pairs, "away")
+    block = block or []
+    lefts, rights = (_side_names(d, "home", block).union(_side_names(d, "away", block)) for d in (left, right))
+    pairs = cut_lineage(similar_names(lefts, rights, threshold), "names")
+    home, away = (pairs.select(F.col("level").alias(f"__{s}"), F.col("left_name").alias(f"__{s}_l"), F.col("right_name").alias(f"__{s}_r"))
+                  for s in ("home", "away"))
+    reach = left.withColumn("__home", F.concat_ws("|", *block, "home_level")).join(
+        home.withColumnRenamed("__home_l", "home_key"), ["__home", "home_key"]).withColumn("home_key", F.col("__home_r")).drop("__home", "__home_r")
     l, r = reach.alias("l"), right.alias("r")
     cond = F.lit(True)
-    for k in [*on, *SIDE]:
+    for k in [*on, "home_level", "home_key", "away_level"]:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    return l.join(r, cond)
+    level = F.concat_ws("|", *[F.col(f"l.{c}") for c in block], F.col("l.away_level"))
+    alike = (F.col("__away") == level) & (F.col("__away_l") == F.col("l.away_key")) & (F.col("__away_r") == F.col("r.away_key"))
+    return l.join(r, cond).join(away, alike, "left_semi")
 
 
-def _greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Leader of every node when nodes are taken in ``seq`` order.
+def _leaders(edges: DataFrame, group: list[str]) -> DataFrame:
+    """node, leader: where every node follows the earliest leader before it that it is similar to, or leads itself.
 
-    A node follows the earliest leader it is similar to and otherwise leads.
-    Rounds settle all nodes whose earlier neighbours are settled; the loop
-    ends when none is open, and each round is written out so that no plan
-    grows with the number of rounds. ``edges``: node and earlier neighbour.
+    ``edges``: node and earlier similar node, both by their place in the feed. Edges stay within a ``group`` (a day of a
+    sport, by squad levels), whose nodes stream through in feed order; what is kept is who follows. One pass, however
+    long the chains are.
     """
-    settled = nodes.join(edges.select("node").distinct(), "node", "left_anti").select("node", F.lit(True).alias("leads"))
-    settled = cut_lineage(settled, "leaders")
-    open_edges = edges.select("node", "earlier")
-    while not open_edges.isEmpty():
-        seen = open_edges.join(settled.select(F.col("node").alias("earlier"), "leads"), "earlier", "left")
-        state = seen.groupBy("node").agg(
-            F.bool_or(F.coalesce("leads", F.lit(False))).alias("follows"), F.count_if(F.col("leads").isNull()).alias("open"))
-        new = cut_lineage(
-            state.filter(F.col("follows") | (F.col("open") == 0)).select("node", (~F.col("follows")).alias("leads")), "round")
-        settled = settled.unionByName(new)
-        open_edges = cut_lineage(open_edges.join(new.select("node"), "node", "left_anti"), "open")
-    leads = settled.filter("leads").select(F.col("node").alias("earlier"))
-    chosen = edges.join(leads, "earlier").groupBy("node").agg(F.min_by("earlier", "earlier_seq").alias("leader"))
-    followers = settled.filter(~F.col("leads")).select("node").join(chosen, "node")
-    return settled.filter("leads").select("node", F.col("node").alias("leader")).unionByName(followers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, follows, node, settled = None, set(), None, False
+        for batch in batches:
+            nodes, leaders = [], []
+            for key, at, earlier in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if key != current:
+                    current, follows, node = key, set(), None
+                if at != node:
+                    node, settled = at, False
+                if not settled and earlier not in follows:
+                    settled = True
+                    follows.add(at)
+                    nodes.append(at)
+                    leaders.append(earlier)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(leaders, pa.int64())], names=["node", "leader"])
+
+    key = F.to_json(F.struct(*group)).alias("key")
+    laid = edges.select(key, "node", "earlier").repartition("key").sortWithinPartitions("key", "node", "earlier")
+    return laid.mapInArrow(run, "node long, leader long")
 
 
 def canonical_matches(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -243,18 +267,18 @@ def canonical_matches(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) ->
     reps = quotes.groupBy("match_id").agg(first.alias("r"), F.min("ingest_seq").alias("seq")).select(
         "match_id", "seq", "r.*").withColumn("day", F.to_date("start_time"))
     keyed = cut_lineage(with_side_keys(reps).select("match_id", "seq", "sport", "day", *SIDE), "matches")
-    # Equal keys behave alike: one node stands for all of them, however many there are.
+    # Equal keys behave alike: the first of them stands for all, however many there are.
     group = ["sport", "day", *SIDE]
-    nodes = cut_lineage(
-        keyed.groupBy(*group).agg(F.min("seq").alias("seq"), F.min_by("match_id", "seq").alias("node")), "nodes")
-    edges = cut_lineage(
-        similar_matches(nodes, nodes, ["sport", "day"], threshold)
-        .filter(F.col("r.seq") < F.col("l.seq"))
-        .select(F.col("l.node").alias("node"), F.col("r.node").alias("earlier"), F.col("r.seq").alias("earlier_seq"))
-        .distinct(), "edges")
-    leaders = _greedy_leaders(nodes.select("node"), edges)
-    named = nodes.join(leaders, "node").select(*group, F.col("leader").alias("canonical_id"))
-    return keyed.join(named, group).filter(F.col("canonical_id") != F.col("match_id")).select("match_id", "canonical_id")
+    nodes = cut_lineage(keyed.groupBy(*group).agg(F.min(F.struct("seq", "match_id")).alias("first")).select(
+        *group, F.col("first.seq").alias("seq"), F.col("first.match_id").alias("node")), "nodes")
+    edges = similar_matches(nodes, nodes, ["sport", "day"], threshold, ["sport"]).filter(F.col("r.seq") < F.col("l.seq")).select(
+        "l.sport", "l.day", "l.home_level", "l.away_level", F.col("l.seq").alias("node"), F.col("r.seq").alias("earlier"))
+    leaders = _leaders(edges, ["sport", "day", "home_level", "away_level"])
+    named = nodes.join(leaders, nodes["seq"] == leaders["node"], "left").select(
+        *group, nodes["node"].alias("own"), F.coalesce("leader", "seq").alias("leader"))
+    canon = nodes.select(F.col("seq").alias("leader"), F.col("node").alias("canonical_id"))
+    changed = named.join(canon, "leader").select(*group, "canonical_id")
+    return keyed.join(changed, group).filter(F.col("canonical_id") != F.col("match_id")).select("match_id", "canonical_id")
 
 
 def reconcile_pool(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
