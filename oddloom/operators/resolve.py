@@ -1,7 +1,7 @@
 """Teams and matches across bookmakers by fuzzy names.
 
 Names are scored, never rows: a similarity join over the distinct names of
-one squad level (and sport), with candidate keys that provably miss no pair
+one squad level (and day of a sport), with candidate keys that provably miss no pair
 over the threshold, and no cap on partners. Before any text is compared, the
 letters that two names share must be enough, counted by class of letter.
 Matches are then compared only through the name pairs found: home names bring
@@ -50,10 +50,12 @@ def _forms(names: DataFrame, word_sets: bool) -> DataFrame:
     """Each name's words as scored: with repeats for the sorted score, once for the set score."""
     words = _words(F.col("name"))
     forms = F.array_distinct(F.array(words, F.array_distinct(words))) if word_sets else F.array(words)
-    formed = names.select("level", "name", F.explode(forms).alias("words")).withColumn("text", F.array_join("words", " "))
+    formed = names.select(*_NAME, F.explode(forms).alias("words")).withColumn("text", F.array_join("words", " "))
     return formed.withColumn("size", F.length("text")).withColumn("bag", _bag(F.col("text"))).drop("text")
 
 
+#: A name as compared: on which side, in which block, and whether it asks for partners or only answers.
+_NAME = ["side", "level", "name", "asks"]
 _CLASSES = 32
 
 
@@ -88,8 +90,20 @@ def _pieces(words: Column, g: Column) -> Column:
     return F.flatten(F.transform(words, of_word))
 
 
-def _piece_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose texts may be within the edit budget, the longer text on the left.
+def _met(x: DataFrame, y: DataFrame, keys: list[str], more: Column) -> DataFrame:
+    """Pairs of different sides with equal ``keys``, of which one asks, the left side first."""
+    x, y = x.alias("x"), y.alias("y")
+    on = (F.col("x.side") != F.col("y.side")) & (F.col("x.asks") | F.col("y.asks"))
+    for k in ["level", *keys]:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    swap = F.col("x.side") > F.col("y.side")
+    return x.join(y, on & more).select(
+        F.col("x.level").alias("level"), F.when(swap, F.col("y.name")).otherwise(F.col("x.name")).alias("a"),
+        F.when(swap, F.col("x.name")).otherwise(F.col("y.name")).alias("b"))
+
+
+def _piece_candidates(forms: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose texts may be within the edit budget.
 
     A score of t needs at most (1-t)(|x|+|y|) <= 2(1-t)|x| inserted or deleted
     letters for the longer text x. Each spoils one piece, so of any more pieces
@@ -101,49 +115,39 @@ def _piece_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Da
     lengths = F.sequence(F.lit(1), F.lit(widest))
     ample = F.filter(lengths, lambda g: F.size(_pieces(F.col("words"), g)) > F.col("budget"))
     long_side = (
-        left.withColumn("budget", budget)
+        forms.withColumn("budget", budget)
         .withColumn("g", F.array_max(ample)).filter(F.col("g").isNotNull())
-        .select("level", "name", "words", "size", "bag", "budget", "g", F.posexplode(_pieces(F.col("words"), F.col("g"))).alias("p", "gram"))
+        .select(*_NAME, "words", "size", "bag", "budget", "g", F.posexplode(_pieces(F.col("words"), F.col("g"))).alias("p", "gram"))
     )
-    short_side = right.select(
-        "level", "name", "size", "bag", F.explode(lengths).alias("g"), "words"
-    ).select("level", "name", "size", "bag", "g", F.explode(_grams(F.col("words"), F.col("g"))).alias("gram"))
+    short_side = forms.select(*_NAME, "size", "bag", F.explode(lengths).alias("g"), "words").select(
+        *_NAME, "size", "bag", "g", F.explode(_grams(F.col("words"), F.col("g"))).alias("gram"))
     spread = short_side.groupBy("level", "g", "gram").agg(F.count("*").alias("freq"))
-    rare = Window.partitionBy("level", "name", "words").orderBy(F.coalesce("freq", F.lit(0)), "gram", "p")
+    rare = Window.partitionBy("side", "level", "name", "words").orderBy(F.coalesce("freq", F.lit(0)), "gram", "p")
     keys = (
         long_side.join(spread, ["level", "g", "gram"], "left")
         .withColumn("rank", F.row_number().over(rare)).filter(F.col("rank") <= F.col("budget") + 1)
-        .select("level", "g", "gram", "name", "size", "bag").distinct()
+        .select(*_NAME, "g", "gram", "size", "bag").distinct()
     )
     ratio = threshold / (200 - threshold)
-    x, y = keys.alias("x"), short_side.alias("y")
     near = (F.col("y.size") <= F.col("x.size")) & (F.col("y.size") >= F.col("x.size") * ratio - 1e-9)
-    same = (F.col("x.level") == F.col("y.level")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.gram") == F.col("y.gram"))
     enough = _shared("x.bag", "y.bag") >= (F.col("x.size") + F.col("y.size")) * (threshold / 200) - 1e-9
-    return x.join(y, same & near & enough).select(
-        F.col("x.level").alias("level"), F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    return _met(keys, short_side, ["g", "gram"], near & enough)
 
 
-def _word_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _word_candidates(forms: DataFrame, threshold: float) -> DataFrame:
     """Pairs that may share enough whole words: all of one side's, or most of its letters.
 
     The words a side may leave unshared hold a bounded share of its letters;
     its rarest words beyond that share therefore include a shared one.
     """
     loose = 1 - threshold / (200 - threshold)
-    right_words = right.select("level", "name", F.explode(F.array_distinct("words")).alias("word")).distinct()
-    freq = right_words.groupBy("level", "word").agg(F.count("*").alias("freq"))
-    order = Window.partitionBy("level", "name").orderBy(F.coalesce("freq", F.lit(0)), "word")
+    words = forms.select(*_NAME, F.explode(F.array_distinct("words")).alias("word")).distinct()
+    freq = words.groupBy("level", "word").agg(F.count("*").alias("freq"))
+    order = Window.partitionBy("side", "level", "name").orderBy("freq", "word")
     before = F.coalesce(F.sum(F.length("word")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     letters = F.length(F.array_join(F.array_distinct(_words(F.col("name"))), " "))
-    prefix = (
-        left.select("level", "name", F.explode(F.array_distinct("words")).alias("word")).distinct()
-        .join(freq, ["level", "word"], "left").withColumn("before", before)
-        .filter(F.col("before") <= letters * loose + 1e-9)
-    )
-    x, y = prefix.alias("x"), right_words.alias("y")
-    return x.join(y, (F.col("x.level") == F.col("y.level")) & (F.col("x.word") == F.col("y.word"))).select(
-        F.col("x.level").alias("level"), F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    prefix = words.join(freq, ["level", "word"]).withColumn("before", before).filter(F.col("before") <= letters * loose + 1e-9)
+    return _met(prefix, words, ["word"], F.lit(True))
 
 
 def similar_names(
@@ -151,18 +155,23 @@ def similar_names(
 ) -> DataFrame:
     """All pairs (level, left_name, right_name, score) at or over the threshold.
 
-    Inputs hold ``level`` (squad level, never NULL) and ``name``. With
-    ``word_sets=False`` only the sorted-word score counts.
+    Inputs hold ``level`` (squad level or a finer block, never NULL), ``name`` and, if only some names look for partners,
+    ``asks``; of two names that both do not ask nothing is said. With ``word_sets=False`` only the sorted-word score counts.
     """
-    lf, rf = _forms(left.distinct(), word_sets), _forms(right.distinct(), word_sets)
-    swap = ("level", F.col("b").alias("a"), F.col("a").alias("b"))
-    found = _piece_candidates(lf, rf, threshold).unionByName(_piece_candidates(rf, lf, threshold).select(*swap))
+    sides = [d if "asks" in d.columns else d.withColumn("asks", F.lit(True)) for d in (left, right)]
+    named = [d.distinct().withColumn("side", F.lit(s)).select(*_NAME) for d, s in zip(sides, "lr")]
+    forms = cut_lineage(_forms(named[0].unionByName(named[1]), word_sets), "forms")
+    found = _piece_candidates(forms, threshold)
     if word_sets:
-        found = found.unionByName(_word_candidates(lf, rf, threshold)).unionByName(
-            _word_candidates(rf, lf, threshold).select(*swap))
-    score = similar_ratio if word_sets else token_sort_ratio
-    pairs = found.distinct().withColumn("score", score(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
-    return pairs.select("level", F.col("a").alias("left_name"), F.col("b").alias("right_name"), "score")
+        found = found.unionByName(_word_candidates(forms, threshold))
+    found = found.distinct()
+    close = scored_pairs(found, threshold, similar_ratio if word_sets else token_sort_ratio)
+    return found.join(close, ["a", "b"]).select("level", F.col("a").alias("left_name"), F.col("b").alias("right_name"), "score")
+
+
+def scored_pairs(pairs: DataFrame, threshold: float, score=similar_ratio) -> DataFrame:
+    """a, b, score of the distinct pairs of names at or over the threshold, wherever they occur."""
+    return pairs.select("a", "b").distinct().withColumn("score", score(F.col("a"), F.col("b"))).filter(F.col("score") >= threshold)
 
 
 def _level(col: Column) -> Column:
@@ -203,41 +212,55 @@ def with_side_keys(df: DataFrame, home: str = "home_team", away: str = "away_tea
     )
 
 
-def _side_names(df: DataFrame, side: str, block: list[str]) -> DataFrame:
-    level = F.concat_ws("|", *block, f"{side}_level")
-    return df.select(level.alias("level"), F.col(f"{side}_key").alias("name")).distinct()
+_REGULAR = 8
 
 
-def similar_matches(
-    left: DataFrame, right: DataFrame, on: list[str], threshold: float = MATCH_THRESHOLD, block: list[str] | None = None
-) -> DataFrame:
+def _home_names(left: DataFrame, right: DataFrame, on: list[str]) -> list[DataFrame]:
+    """The home names of both sides, in the blocks in which they are to be compared.
+
+    A regular (on at least ``_REGULAR`` values of the ``on`` columns) is compared with the other regulars once; any other
+    name with all that share its few blocks. A pair of names in one block is thus always compared, and neither the blocks
+    of a name nor the names in all blow up.
+    """
+    block, whole = F.to_json(F.struct(*on, "home_level", "away_level")), F.col("home_level")
+    if not on:
+        return [d.select(whole.alias("level"), F.col("home_key").alias("name")) for d in (left, right)]
+    seen = [d.select(block.alias("block"), whole.alias("home_level"), F.col("home_key").alias("name")).distinct() for d in (left, right)]
+    often = seen[0].union(seen[1]).groupBy("home_level", "name").agg((F.count_distinct("block") >= _REGULAR).alias("regular"))
+    known = [d.join(often, ["home_level", "name"]) for d in seen]
+    asked = known[0].union(known[1]).filter("NOT regular").select("block").distinct()
+    out = []
+    for d in known:
+        once = d.filter("regular").select(F.col("home_level").alias("level"), "name", F.lit(True).alias("asks")).distinct()
+        daily = d.join(asked, "block", "left_semi").select(F.col("block").alias("level"), "name", (~F.col("regular")).alias("asks"))
+        out.append(once.unionByName(daily))
+    return out
+
+
+def similar_matches(left: DataFrame, right: DataFrame, on: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Pairs (left id, right id) with both sides similar and equal ``on`` columns.
 
-    Home names of equal ``block`` columns (some of ``on``) are compared once. Left rows are rewritten to the similar home
-    names and meet right rows by equality; the pair of away names must then be among the similar ones.
+    Left rows are rewritten to the similar home names and meet right rows by equality of those, of the ``on`` columns and
+    of both squad levels; the away names that come together so are then scored, once a pair of names.
     """
-    block = block or []
-    lefts, rights = (_side_names(d, "home", block).union(_side_names(d, "away", block)) for d in (left, right))
-    pairs = cut_lineage(similar_names(lefts, rights, threshold), "names")
-    home, away = (pairs.select(F.col("level").alias(f"__{s}"), F.col("left_name").alias(f"__{s}_l"), F.col("right_name").alias(f"__{s}_r"))
-                  for s in ("home", "away"))
-    reach = left.withColumn("__home", F.concat_ws("|", *block, "home_level")).join(
-        home.withColumnRenamed("__home_l", "home_key"), ["__home", "home_key"]).withColumn("home_key", F.col("__home_r")).drop("__home", "__home_r")
+    pairs = cut_lineage(similar_names(*_home_names(left, right, on), threshold).select(
+        F.col("left_name").alias("__own"), F.col("right_name").alias("__to")).distinct(), "names")
+    reach = left.join(pairs, F.col("home_key") == F.col("__own")).withColumn("home_key", F.col("__to")).drop("__own", "__to")
     l, r = reach.alias("l"), right.alias("r")
     cond = F.lit(True)
     for k in [*on, "home_level", "home_key", "away_level"]:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    level = F.concat_ws("|", *[F.col(f"l.{c}") for c in block], F.col("l.away_level"))
-    alike = (F.col("__away") == level) & (F.col("__away_l") == F.col("l.away_key")) & (F.col("__away_r") == F.col("r.away_key"))
-    return l.join(r, cond).join(away, alike, "left_semi")
+    met = cut_lineage(l.join(r, cond).select(
+        F.struct("l.*").alias("l"), F.struct("r.*").alias("r"), F.col("l.away_key").alias("a"), F.col("r.away_key").alias("b")), "met")
+    return met.join(scored_pairs(met, threshold), ["a", "b"]).select("l", "r")
 
 
 def _leaders(edges: DataFrame, group: list[str]) -> DataFrame:
-    """node, leader: where every node follows the earliest leader before it that it is similar to, or leads itself.
+    """node, leader: the nodes that follow an earlier leader, the earliest that they are similar to; all others lead.
 
-    ``edges``: node and earlier similar node, both by their place in the feed. Edges stay within a ``group`` (a day of a
-    sport, by squad levels), whose nodes stream through in feed order; what is kept is who follows. One pass, however
-    long the chains are.
+    ``edges``: node and earlier similar node, each with its place ``seq`` or ``earlier_seq`` (equal places go by name).
+    Edges stay within a ``group`` (a day of a sport, by squad levels), whose nodes stream through in feed order; what is
+    kept is who follows. One pass, however long the chains are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +277,11 @@ def _leaders(edges: DataFrame, group: list[str]) -> DataFrame:
                     follows.add(at)
                     nodes.append(at)
                     leaders.append(earlier)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(leaders, pa.int64())], names=["node", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(leaders, pa.string())], names=["node", "leader"])
 
-    key = F.to_json(F.struct(*group)).alias("key")
-    laid = edges.select(key, "node", "earlier").repartition("key").sortWithinPartitions("key", "node", "earlier")
-    return laid.mapInArrow(run, "node long, leader long")
+    laid = edges.select(F.to_json(F.struct(*group)).alias("key"), "node", "earlier", "seq", "earlier_seq").repartition("key")
+    ordered = laid.sortWithinPartitions("key", "seq", "node", "earlier_seq", "earlier")
+    return ordered.select("key", "node", "earlier").mapInArrow(run, "node string, leader string")
 
 
 def canonical_matches(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
@@ -271,14 +294,12 @@ def canonical_matches(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) ->
     group = ["sport", "day", *SIDE]
     nodes = cut_lineage(keyed.groupBy(*group).agg(F.min(F.struct("seq", "match_id")).alias("first")).select(
         *group, F.col("first.seq").alias("seq"), F.col("first.match_id").alias("node")), "nodes")
-    edges = similar_matches(nodes, nodes, ["sport", "day"], threshold, ["sport"]).filter(F.col("r.seq") < F.col("l.seq")).select(
-        "l.sport", "l.day", "l.home_level", "l.away_level", F.col("l.seq").alias("node"), F.col("r.seq").alias("earlier"))
+    earlier = F.struct("r.seq", "r.node") < F.struct("l.seq", "l.node")
+    edges = similar_matches(nodes, nodes, ["sport", "day"], threshold).filter(earlier).select(
+        "l.sport", "l.day", "l.home_level", "l.away_level", "l.node", "l.seq", F.col("r.node").alias("earlier"), F.col("r.seq").alias("earlier_seq"))
     leaders = _leaders(edges, ["sport", "day", "home_level", "away_level"])
-    named = nodes.join(leaders, nodes["seq"] == leaders["node"], "left").select(
-        *group, nodes["node"].alias("own"), F.coalesce("leader", "seq").alias("leader"))
-    canon = nodes.select(F.col("seq").alias("leader"), F.col("node").alias("canonical_id"))
-    changed = named.join(canon, "leader").select(*group, "canonical_id")
-    return keyed.join(changed, group).filter(F.col("canonical_id") != F.col("match_id")).select("match_id", "canonical_id")
+    named = nodes.join(leaders, "node", "left").select(*group, F.coalesce("leader", "node").alias("canonical_id"))
+    return keyed.join(named, group).filter(F.col("canonical_id") != F.col("match_id")).select("match_id", "canonical_id")
 
 
 def reconcile_pool(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:

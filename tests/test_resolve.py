@@ -127,6 +127,42 @@ def test_reconcile_equals_the_sequential_rule(spark):
     assert rep["match_ids_before"] == len(want) and rep["match_ids_after"] == len(set(want.values()))
 
 
+def test_reconcile_with_regular_and_rare_names(spark):
+    """Names of many days are compared once, the others on their days; pairs of both kinds must be found."""
+    rng = random.Random(9)
+    often, seldom = noisy_names(rng, 12) + ["Arges", "FC Arges", "Home 12", "Home 123"], noisy_names(rng, 60) + [f"Home {i}" for i in range(200)]
+    rows = []
+    for i in range(1500):
+        h, a = (rng.choice(often if rng.random() < 0.5 else seldom) for _ in range(2))
+        rows.append(("b" + str(i % 4), "1x2", "home", None, 2.0, {
+            "home_team": h, "away_team": a, "start_time": datetime(2026, 7, 1 + rng.randrange(25), 18), "sport": "football", "match_id": None}))
+    q = quotes(spark, rows).withColumn("match_id", X.make_match_id(F.col("home_team"), F.col("away_team"), F.col("start_time")))
+    q = spark.createDataFrame(q.collect(), q.schema)
+    want = python_reconcile([r.asDict() for r in q.orderBy("ingest_seq").collect()])
+    before = {r["ingest_seq"]: r["match_id"] for r in q.collect()}
+    assert {(before[r["ingest_seq"]], r["match_id"]) for r in R.reconcile_pool(q).collect()} == set(want.items())
+    assert sum(k != v for k, v in want.items()) > 20
+
+
+def test_candidates_stay_near_the_number_of_names(spark):
+    """Thousands of names that share a word: only those of one day meet."""
+    left = spark.range(6000).select(
+        F.concat(F.lit("home "), "id").alias("home_key"), F.lit("first").alias("home_level"), F.lit("first").alias("away_level"),
+        F.lit("como").alias("away_key"), (F.col("id") % 1000).alias("day"), F.col("id").alias("seq"))
+    named = [d.withColumn("side", F.lit(s)).select(*R._NAME) for d, s in zip(R._home_names(left, left, ["day"]), "lr")]
+    forms = R._forms(named[0].union(named[1]), True)
+    found = R._piece_candidates(forms, 85).union(R._word_candidates(forms, 85))
+    assert found.count() <= 6000 * 6 * 6
+
+
+def test_leaders_of_a_long_chain(spark):
+    """Every node is like the one before it only: every second one leads."""
+    edges = spark.range(1, 3000).select(F.lit(1).alias("day"), F.format_string("%05d", "id").alias("node"), F.col("id").alias("seq"),
+                                        F.format_string("%05d", F.col("id") - 1).alias("earlier"), (F.col("id") - 1).alias("earlier_seq"))
+    got = {r["node"]: r["leader"] for r in R._leaders(edges, ["day"]).collect()}
+    assert got == {f"{i:05}": f"{i - 1:05}" for i in range(1, 3000, 2)}
+
+
 def test_reconcile_golden(spark):
     def pool(*rows):
         q = quotes(spark, [(b, "1x2", s, None, o, {"home_team": h, "away_team": a, "start_time": d, "match_id": None}) for b, s, o, h, a, d in rows])
