@@ -8,7 +8,7 @@ from ..functions import scoring as S
 from ..operators import alerts as P
 from ..sources import adapters as src
 from .common import HISTORY_SQL, SEASON_OPPS_SQL
-from .registry import _SQL, query, with_ctes
+from .registry import query, with_ctes
 
 
 @query("p01_freshness_score", """
@@ -91,17 +91,15 @@ def duplicates(spark, sf_dir):
     return P.drop_exact_duplicates(h.filter("copy = 1"), h.filter("copy = 0")).select("id")
 
 
+# Matches without history are left by an early year.
 FIRST_SQL = """
-late AS (SELECT * FROM hist WHERE year(date_detection) >= 1998),
-early AS (SELECT * FROM hist WHERE year(date_detection) < 1998 AND n_issues = 3)"""
+late AS (SELECT * FROM hist WHERE year(date_detection) >= 1993),
+early AS (SELECT * FROM hist WHERE year(date_detection) < 1993)"""
 
 
 def _split(spark, sf_dir):
     h = src.history(spark, sf_dir)
-    return (
-        h.filter(F.year("date_detection") >= 1998),
-        h.filter((F.year("date_detection") < 1998) & (F.col("n_issues") == 3)),
-    )
+    return h.filter(F.year("date_detection") >= 1993), h.filter(F.year("date_detection") < 1993)
 
 
 @query("p09_first_signal_per_match", with_ctes(HISTORY_SQL, FIRST_SQL, """
@@ -128,27 +126,6 @@ def counters(spark, sf_dir):
     return P.cycle_counters(*_split(spark, sf_dir))
 
 
-# The two queries above take three-way signals alone as earlier history, as their SQL says. These take every earlier row,
-# and an earlier year, so that some matches have no history.
-def _whole(sql: str) -> str:
-    return sql.replace(" AND n_issues = 3", "").replace("1998", "1993")
-
-
-def _since(spark, sf_dir):
-    h = src.history(spark, sf_dir)
-    return h.filter(F.year("date_detection") >= 1993), h.filter(F.year("date_detection") < 1993)
-
-
-@query("p09_first_signal_whole_history", _whole(_SQL["p09_first_signal_per_match"]))
-def first_of_all(spark, sf_dir):
-    return P.first_signal_per_match(*_since(spark, sf_dir)).select("id", "alertable")
-
-
-@query("p10_cycle_counters_whole_history", _whole(_SQL["p10_cycle_counters"]))
-def counters_of_all(spark, sf_dir):
-    return P.cycle_counters(*_since(spark, sf_dir))
-
-
 @query("p11_alert_text", with_ctes(SEASON_OPPS_SQL, """
 parts AS (SELECT *, concat('https://x.example/?a=1&amp;b=') AS site, [bk1, bk2, bk3] AS bks, [sel1, sel2, sel3] AS sels,
   [odds1, odds2, odds3] AS os, [mise_a, mise_b, mise_c] AS ms FROM scored),

@@ -10,9 +10,10 @@ from ..schemas import MARKET_KEYS
 from ..sources import adapters as src
 from ..sources.adapters import stamp
 from .common import COMBOS_SQL, OPPS_SQL, QUOTES_SQL, K, flat_legs, on, r6
+from .reconciled import reconciled_sql
 from .registry import query, with_ctes
 
-AS_OF = "2000-01-01 00:00:00"
+AS_OF, SPELLED_AS_OF = "2000-01-01 00:00:00", "1996-06-01 00:00:00"
 
 
 def _owned(spark, sf_dir):
@@ -143,31 +144,38 @@ def find3(spark, sf_dir):
     return _opp_rows(A.find_three_way(_owned(spark, sf_dir), 1.0, 1000.0).orderBy(F.desc("roi_pct")))
 
 
-@query("a13_rank_cross_book", with_ctes(
-    QUOTES_SQL.replace("quotes AS (", "all_quotes AS ("),
-    f"quotes AS (SELECT * FROM all_quotes WHERE start_time > TIMESTAMP '{AS_OF}')",
-    COMBOS_SQL, MATCHES_SQL, f"""
-SELECT match_label AS match, sport, competition, {K}, n_outcomes AS n_issues, round(margin, 6) AS margin,
-  {brand('bk1')} AS bk1, odds1, {brand('bk2')} AS bk2, odds2, {brand('bk3')} AS bk3, odds3, margin < 1 AS is_arbitrage
-FROM combos JOIN matches USING (match_id)
+# What the quote of the first leg says; of equal quotes the one that comes first by these very facts.
+FIRST_LEG_SQL = f"""
+first_leg AS (
+  SELECT {K}, selection, bookmaker, odds, arg_min((sport, competition, home_team, away_team), (ingest_seq, url, sport, competition, home_team, away_team)) AS f
+  FROM quotes GROUP BY ALL)"""
+
+
+@query("a13_rank_cross_book", f"""
+WITH RECURSIVE {reconciled_sql(f"SELECT * FROM spelled WHERE start_time > TIMESTAMP '{SPELLED_AS_OF}'")}, {COMBOS_SQL}, {FIRST_LEG_SQL}
+SELECT concat(f[3], ' - ', f[4]) AS match, f[1] AS sport, f[2] AS competition, {", ".join("c." + k for k in MARKET_KEYS)}, n_outcomes AS n_issues,
+  round(margin, 6) AS margin, bk1, odds1, bk2, odds2, bk3, odds3, margin < 1 AS is_arbitrage
+FROM combos c JOIN first_leg l ON {on('c', 'l')} AND l.selection = sel1 AND l.bookmaker = bk1 AND l.odds = odds1
 WHERE op1 <> op2 OR (op3 IS NOT NULL AND op3 <> op1)
-ORDER BY combos.margin, match_id, market_type, line NULLS FIRST, team_scope NULLS FIRST LIMIT 40"""))
+ORDER BY c.margin, c.match_id, c.market_type, c.line NULLS FIRST, c.team_scope NULLS FIRST LIMIT 40""")
 def rank(spark, sf_dir):
-    r = A.rank_cross_book(_owned(spark, sf_dir), F.lit(AS_OF), reconcile=False)
+    r = A.rank_cross_book(src.spelled_quotes(spark, sf_dir), F.lit(SPELLED_AS_OF))
     return r.select("match", "sport", "competition", *MARKET_KEYS, "n_issues", r6("margin"), *flat_legs(r), "is_arbitrage")
 
 
-@query("a14_evaluate", with_ctes(QUOTES_SQL, COMBOS_SQL, OPPS_SQL, f"""
-SELECT {K}, round(roi_pct, 6) AS roi_pct,
+STAKED_SQL = """
   CASE WHEN odds1 >= odds2 AND odds1 >= coalesce(odds3, 0)
        THEN round_even(50000 - r2 - coalesce(r3, 0), 0) ELSE r1 END AS stake1,
   CASE WHEN odds2 > odds1 AND odds2 >= coalesce(odds3, 0)
        THEN round_even(50000 - r1 - coalesce(r3, 0), 0) ELSE r2 END AS stake2,
   CASE WHEN odds3 > odds1 AND odds3 > odds2 THEN round_even(50000 - r1 - r2, 0) ELSE r3 END AS stake3
 FROM (SELECT *, round_even(50000 / (odds1 * margin), 0) AS r1, round_even(50000 / (odds2 * margin), 0) AS r2,
-             round_even(50000 / (odds3 * margin), 0) AS r3 FROM opps)"""))
+             round_even(50000 / (odds3 * margin), 0) AS r3 FROM opps)"""
+
+
+@query("a14_evaluate", f"WITH RECURSIVE {reconciled_sql()}, {COMBOS_SQL}, {OPPS_SQL} SELECT {K}, round(roi_pct, 6) AS roi_pct, {STAKED_SQL}")
 def evaluate(spark, sf_dir):
-    o = A.evaluate(_owned(spark, sf_dir), reconcile=False)
+    o = A.evaluate(src.spelled_quotes(spark, sf_dir))
     return o.select(*MARKET_KEYS, r6("roi_pct"), *[
         F.get(F.col("legs"), F.lit(i))["stake"].alias(f"stake{i + 1}") for i in range(3)])
 

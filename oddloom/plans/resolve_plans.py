@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import resolve as R
-from ..schemas import QUOTE_COLUMNS
 from ..sources import adapters as src
 from ..sources.adapters import TEAM_NAME_SQL, stamp, team_name
+from .reconciled import LCS, MARK, close_sql, reconciled_sql
 from .registry import query
 
 NAMED = f"named AS (SELECT p_partkey, {TEAM_NAME_SQL.format(v='p_partkey % 5', n='p_name')} AS name FROM part)"
@@ -28,26 +28,11 @@ def alias(spark, sf_dir):
     return src.table(spark, sf_dir, "part").select("p_partkey", X.resolve_alias(raw).alias("resolved"))
 
 
-MARK = r"""CASE WHEN regexp_matches({c}, '(?i)\bu-?\s?(?:15|16|17|18|19|20|21|22|23)\b|\byouth\b|\bjunior|\bjeunes?\b') THEN 'youth'
-  WHEN regexp_matches({c}, '(?i)\breserves?\b|\bres\.\b|\bII\b|\bB\b|\bacademy\b') THEN 'reserve'
-  WHEN regexp_matches({c}, '(?i)\b(?:women|dames|ladies)\b') THEN 'women' END"""
-
-
 @query("r02_squad_marker", f"WITH {NAMED} SELECT p_partkey, {MARK.format(c='name')} AS marker FROM named")
 def marker(spark, sf_dir):
     return _named(spark, sf_dir).select("p_partkey", X.squad_marker(F.col("name")).alias("marker"))
 
 
-# Longest common subsequence by recursion over the letters of the left text.
-LCS = """
-lcs AS (
-  SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS line FROM texts
-  UNION ALL
-  SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_slice(step, 1, j)))
-  FROM (SELECT *, list_transform(range(1, length(b) + 2), lambda k: CASE WHEN k = 1 THEN 0
-          WHEN substr(b, k - 1, 1) = substr(a, i + 1, 1) THEN line[k - 1] + 1 ELSE line[k] END) AS step
-        FROM lcs WHERE i < length(a))),
-ratio AS (SELECT a, b, 200.0::DOUBLE * line[length(b) + 1] / (length(a) + length(b)) AS score FROM lcs WHERE i = length(a))"""
 PAIRED = NAMED + f""",
 pairs AS (SELECT x.p_partkey, x.name AS na, y.name AS nb, lower(x.name) AS ka, lower(y.name) AS kb,
     {MARK.format(c='x.name')} IS NOT DISTINCT FROM {MARK.format(c='y.name')} AS level
@@ -84,29 +69,6 @@ def similar(spark, sf_dir):
     return R.teams_similar(_pairs(spark, sf_dir)).select("p_partkey", F.round("score", 6).alias("score"), "similar")
 
 
-def close_sql(names: str, score_sets: bool = True) -> str:
-    """Tables up to ``close`` (a, b): pairs of ``names`` (a, b), canonical and of equal level, that score at least 85.
-
-    Pairs whose lengths alone rule them out are left out first, which no pair over the threshold is.
-    """
-    fits = "200.0 * least(length({a}), length({b})) >= 85 * (length({a}) + length({b}))"
-    words = "list_filter(string_split({0}, ' '), lambda w: {1} list_contains(string_split({2}, ' '), w))"
-    return f"""
-asked AS (SELECT DISTINCT a, b FROM ({names})),
-sorted AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM asked),
-split AS (SELECT *, list_sort(list_distinct({words.format('a', '', 'b')})) AS common,
-    list_sort(list_distinct({words.format('a', 'NOT', 'b')})) AS xa, list_sort(list_distinct({words.format('b', 'NOT', 'a')})) AS xb FROM sorted),
-whole AS (SELECT *, array_to_string(list_concat(common, xa), ' ') AS fa, array_to_string(list_concat(common, xb), ' ') AS fb,
-  length(array_to_string(common, ' ')) AS shared FROM split),
-texts AS (SELECT DISTINCT sa AS a, sb AS b FROM whole WHERE {fits.format(a='sa', b='sb')}
-  {"UNION SELECT DISTINCT fa, fb FROM whole WHERE " + fits.format(a='fa', b='fb') if score_sets else ""}), {LCS},
-scored AS (SELECT w.a, w.b, greatest(coalesce(s.score, 0), {"""CASE WHEN len(common) > 0 AND (len(xa) = 0 OR len(xb) = 0) THEN 100
-    WHEN len(common) > 0 THEN greatest(coalesce(f.score, 0), 200.0::DOUBLE * shared / (shared + length(fa)), 200.0::DOUBLE * shared / (shared + length(fb)))
-    ELSE coalesce(f.score, 0) END""" if score_sets else "0"}) AS score
-  FROM whole w LEFT JOIN ratio s ON s.a = sa AND s.b = sb LEFT JOIN ratio f ON f.a = fa AND f.b = fb),
-close AS (SELECT a, b, score FROM scored WHERE score >= 85)"""
-
-
 @query("r05_best_team_match", f"""WITH RECURSIVE {NAMED},
 registry AS (SELECT concat('FC ', p_name) AS candidate, min(p_partkey) AS pos FROM part GROUP BY 1),
 {close_sql(f"SELECT name AS a, candidate AS b FROM (SELECT DISTINCT name FROM named WHERE {MARK.format(c='name')} IS NULL), registry", False)},
@@ -118,70 +80,20 @@ def best(spark, sf_dir):
     return R.best_team_match(_named(spark, sf_dir), registry).select("p_partkey", "name", "candidate", F.round("score", 6).alias("score"))
 
 
-def spelled_quotes(spark, sf_dir):
-    """Quotes whose home team is spelled the bookmaker's way, two of them alike."""
-    li = src.spread(src.table(spark, sf_dir, "lineitem"), "l_orderkey")
-    p = src.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("l_partkey"), "p_name", F.concat_ws(" ", F.col("p_brand"), F.col("p_type")).alias("away"))
-    joined = src.quote_projection(li).alias("q").join(p, F.col("q.match_id").cast("bigint") == p["l_partkey"])
-    book = F.right(F.col("bookmaker"), F.lit(1)).cast("int")
-    form = F.get(F.array(*[F.lit(x) for x in (0, 3, 3, 2, 4, 1)]), book)
-    start = F.timestamp_seconds(F.lit(820454400) + (F.col("l_partkey") % 365) * 86400 + 64800)
-    return (
-        joined.withColumn("home_team", team_name(F.col("p_name"), form)).withColumn("away_team", F.col("away"))
-        .withColumn("start_time", start)
-        .withColumn("match_id", X.make_match_id(F.col("home_team"), F.col("away_team"), F.col("start_time")))
-        .select(*QUOTE_COLUMNS)
-    )
-
-
-# One row per spelled match, and the spellings of a day in feed order: each follows the earliest leader it is similar to.
-SPELLED = f"""
-spelled AS (
-  SELECT q.*, CASE form {TEAM_NAME_SQL.format(v='form', n='p_name').removeprefix('CASE form')} AS home,
-    concat(p_brand, ' ', p_type) AS away, q.l_partkey % 365 AS day, q.l_partkey % 4 = 0 AS sport
-  FROM (SELECT *, [0, 3, 3, 2, 4, 1][l_suppkey % 6 + 1] AS form, (l_orderkey * 8 + l_linenumber) * 10000 + l_suppkey % 10000 AS ingest_seq
-        FROM lineitem) q JOIN part ON p_partkey = q.l_partkey),
-nodes AS (
-  SELECT *, row_number() OVER (ORDER BY first_seq, substr(sha1(concat_ws('|', trim(regexp_replace(h, '[^a-z0-9]+', ' ', 'g')),
-    trim(regexp_replace(w, '[^a-z0-9]+', ' ', 'g')), strftime(DATE '1996-01-01' + CAST(day AS INTEGER), '%Y-%m-%d'))), 1, 16)) AS seq
-  FROM (SELECT lower(home) AS h, lower(away) AS w, day, any_value({MARK.format(c='home')}) AS level,
-          arg_min(sport, ingest_seq) AS sport, min(ingest_seq) AS first_seq
-        FROM spelled GROUP BY 1, 2, 3)),
-{close_sql("""SELECT x.h AS a, y.h AS b FROM (SELECT DISTINCT h, level FROM nodes) x JOIN (SELECT DISTINCT h, level FROM nodes) y
-    ON x.level IS NOT DISTINCT FROM y.level
-  UNION SELECT x.w, y.w FROM (SELECT DISTINCT w FROM nodes) x, (SELECT DISTINCT w FROM nodes) y""")},
-edges AS (
-  SELECT x.day, x.seq, list(y.seq ORDER BY y.seq) AS earlier FROM nodes x JOIN nodes y
-    ON x.day = y.day AND x.sport = y.sport AND y.seq < x.seq AND x.level IS NOT DISTINCT FROM y.level
-  JOIN close h ON h.a = x.h AND h.b = y.h JOIN close w ON w.a = x.w AND w.b = y.w
-  GROUP BY 1, 2),
-line AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seq) AS rn FROM edges),
-walk AS (
-  SELECT day, 0 AS rn, 0::BIGINT AS seq, NULL::BIGINT AS leader, []::BIGINT[] AS followers FROM (SELECT DISTINCT day FROM line)
-  UNION ALL
-  SELECT day, rn, seq, leader, CASE WHEN leader IS NULL THEN followers ELSE list_append(followers, seq) END
-  FROM (SELECT n.day, n.rn, n.seq, w.followers, list_filter(n.earlier, lambda x: NOT list_contains(w.followers, x))[1] AS leader
-        FROM walk w JOIN line n ON n.day = w.day AND n.rn = w.rn + 1)),
-matched AS (
-  SELECT s.*, n.seq AS own, coalesce(k.leader, n.seq) AS leader FROM spelled s
-  JOIN nodes n ON n.h = lower(s.home) AND n.w = lower(s.away) AND n.day = s.day LEFT JOIN walk k ON k.seq = n.seq)"""
-
-
-@query("r06_reconcile_pool", f"""WITH RECURSIVE {SPELLED}
-SELECT count(*) AS n, count(DISTINCT l_suppkey % 6) AS books, min(ingest_seq) AS first_seq FROM matched GROUP BY leader""")
+@query("r06_reconcile_pool", f"""WITH RECURSIVE {reconciled_sql()}
+SELECT match_id, count(*) AS n, count(DISTINCT bookmaker) AS books FROM quotes GROUP BY match_id""")
 def reconcile(spark, sf_dir):
-    q = R.reconcile_pool(spelled_quotes(spark, sf_dir))
-    return q.groupBy("match_id").agg(F.count("*").alias("n"), F.count_distinct("bookmaker").alias("books"), F.min("ingest_seq").alias("first_seq")).drop("match_id")
+    q = R.reconcile_pool(src.spelled_quotes(spark, sf_dir))
+    return q.groupBy("match_id").agg(F.count("*").alias("n"), F.count_distinct("bookmaker").alias("books"))
 
 
-@query("r07_reconciliation_report", f"""WITH RECURSIVE {SPELLED},
-books AS (SELECT leader, count(DISTINCT l_suppkey % 6) AS books FROM matched GROUP BY 1),
-counted AS (SELECT count(DISTINCT own) AS before FROM matched)
+@query("r07_reconciliation_report", f"""WITH RECURSIVE {reconciled_sql()},
+books AS (SELECT match_id, count(DISTINCT bookmaker) AS books FROM quotes GROUP BY 1),
+counted AS (SELECT count(DISTINCT match_id) AS before FROM spelled)
 SELECT before AS match_ids_before, count(*) AS match_ids_after, count(*) FILTER (books >= 2) AS cross_book_matches, before - count(*) AS merged
 FROM books, counted GROUP BY before""")
 def report(spark, sf_dir):
-    q = spelled_quotes(spark, sf_dir)
+    q = src.spelled_quotes(spark, sf_dir)
     return R.reconciliation_report(q, R.reconcile_pool(q))
 
 

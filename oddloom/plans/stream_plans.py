@@ -10,6 +10,7 @@ from ..sources import adapters as src
 from ..sources.adapters import LOG_SQL, stamp
 from ..streaming import live as T
 from .common import BRANDED_SQL, COMBOS_SQL, HISTORY_SQL, OPPS_SQL, QUOTES_SQL, K, r6
+from .reconciled import reconciled_sql
 from .registry import query, with_ctes
 from .scout_plans import TRAJECTORY_SQL, observations, trajectory_rows
 
@@ -54,11 +55,18 @@ def evict(spark, sf_dir):
     return pool.select("bookmaker", "match_id", "market_type", "selection", "odds")
 
 
-@query("t03_evaluation_loop", with_ctes(LIVE_SQL, COMBOS_SQL, OPPS_SQL, f"""
-SELECT {K}, round(margin, 6) AS margin, round(roi_pct, 6) AS roi_pct FROM opps"""))
+NEWEST_SQL = """SELECT * FROM spelled JOIN (SELECT bookmaker, max(year(scraped_at)) AS y FROM spelled GROUP BY 1) USING (bookmaker)
+  WHERE year(scraped_at) = y"""
+
+
+@query("t03_evaluation_loop", f"""
+WITH RECURSIVE {reconciled_sql(NEWEST_SQL)}, {COMBOS_SQL}, {OPPS_SQL}
+SELECT {K}, round(margin, 6) AS margin, round(roi_pct, 6) AS roi_pct FROM opps""")
 def loop(spark, sf_dir):
     out, mark = _paths(spark, "loop")
-    run = T.evaluation_loop(_quote_stream(spark, sf_dir), out, mark, interval=None, reconcile=False)
+    landed = src.quote_projection(T.table_stream(src.prepare(spark), sf_dir, "lineitem"))
+    stream = src.spelled(landed, src.table(spark, sf_dir, "part")).withColumn("batch_ts", F.date_trunc("year", "scraped_at"))
+    run = T.evaluation_loop(stream, out, mark, interval=None)
     run.awaitTermination()
     return T.latest_version(spark, f"{out}/opportunities", run).select(*MARKET_KEYS, r6("margin"), r6("roi_pct"))
 

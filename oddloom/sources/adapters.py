@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import make_match_id
 from ..schemas import QUOTE_COLUMNS
-from ..session import prepare
+from ..session import cut_lineage, prepare
 
 # Owner groups of the derived bookmakers.
 OWNERS = {"book_0": "north-group", "book_1": "north-group", "book_2": "north-group"}
@@ -342,6 +343,23 @@ def branded(quotes_df: DataFrame) -> DataFrame:
     return quotes_df.withColumn("bookmaker", name)
 
 
+def spelled(quotes_df: DataFrame, parts: DataFrame) -> DataFrame:
+    """The quotes with matches named after parts, the home team spelled the bookmaker's way, two of them alike."""
+    p = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name", F.concat_ws(" ", F.col("p_brand"), F.col("p_type")).alias("away"))
+    joined = quotes_df.alias("q").join(p, F.col("q.match_id").cast("bigint") == p["l_partkey"])
+    form = F.get(F.array(*[F.lit(x) for x in (0, 3, 3, 2, 4, 1)]), F.right(F.col("bookmaker"), F.lit(1)).cast("int"))
+    start = F.timestamp_seconds(F.lit(820454400) + (F.col("l_partkey") % 365) * 86400 + 64800)
+    return branded(
+        joined.withColumn("home_team", team_name(F.col("p_name"), form)).withColumn("away_team", F.col("away"))
+        .withColumn("start_time", start)
+        .withColumn("match_id", make_match_id(F.col("home_team"), F.col("away_team"), F.col("start_time")))
+        .select(*quotes_df.columns))
+
+
+def spelled_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelled(spread_quotes(spark, sf_dir), table(spark, sf_dir, "part"))
+
+
 def season_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes pooled by fixture (twenty parts) and year: one detection cycle a year."""
     number = F.floor(F.col("match_id").cast("bigint") / 20).cast("bigint")
@@ -381,16 +399,15 @@ def season_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History rows: every detection, a third seen again, half of those at a new price."""
+    """The stored history: every detection, a third seen again, half of those at a new price."""
     from ..operators.history import legs_to_wide
 
     first = legs_to_wide(season_opportunities(spark, sf_dir), ["id"]).withColumn("copy", F.lit(0))
     twice = F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     again = first.drop("copy").withColumn("copy", twice)
     moved = (F.col("copy") == 1) & (F.col("id") % 2 == 0)
-    return (
+    return cut_lineage(
         again.withColumn("cote_a", F.when(moved, F.round(F.col("cote_a") + 0.05, 2)).otherwise(F.col("cote_a")))
         .withColumn("date_detection", F.when(
             F.col("copy") == 1, F.col("date_detection") + F.expr("INTERVAL 2 HOURS")).otherwise(F.col("date_detection")))
-        .withColumn("id", F.col("id") * 2 + F.col("copy"))
-    )
+        .withColumn("id", F.col("id") * 2 + F.col("copy")), "history")
