@@ -30,6 +30,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -159,6 +160,12 @@ class Aligner:
         return out
 
 
+@lru_cache(1)
+def _aligner(a_path: str, b_path: str) -> Aligner:
+    """One for all tasks that a Python worker runs, units seen so far included."""
+    return Aligner(a_path, b_path)
+
+
 # Runs ------------------------------------------------------------------------------------
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -411,7 +418,7 @@ def pairs(docs: DataFrame, a_path: str, b_path: str, radix: int = RADIX, salts:
 
 def _counted(docs: DataFrame, a_path: str, b_path: str, radix: int, salts: int) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    written = cut_lineage(aligned_runs(docs, lambda: Aligner(a_path, b_path), radix, kind), "runs")
+    written = cut_lineage(aligned_runs(docs, lambda: _aligner(a_path, b_path), radix, kind), "runs")
     return written, cut_lineage(pair_counts(written.filter("radix IS NOT NULL"), salts), "counts")
 
 
