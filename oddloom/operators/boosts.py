@@ -163,15 +163,15 @@ def price_condition(conditions: DataFrame, boosts: DataFrame, quotes: DataFrame)
 
 
 def value_boost(boosts: DataFrame, priced: DataFrame) -> DataFrame:
-    """fair price and edge of offers whose conditions are all priced."""
+    """fair price and edge of offers whose conditions are all priced, with the conditions as ``legs`` in their order."""
+    leg = F.struct("pos", F.coalesce("detail", "raw").alias("label"), "raw", "fair_odds", "bookmaker")
     per = priced.groupBy("boost_id").agg(
-        F.count_if(F.col("fair_odds").isNull()).alias("unpriced_count"),
-        F.array_sort(F.collect_list(F.struct("pos", "fair_odds"))).alias("legs"))
+        F.count_if(F.col("fair_odds").isNull()).alias("unpriced_count"), F.array_sort(F.collect_list(leg)).alias("legs"))
     fair = F.aggregate("legs", F.lit(1.0), lambda acc, x: acc * x["fair_odds"])
     out = boosts.join(per, "boost_id", "left").withColumn("unpriced_count", F.coalesce("unpriced_count", F.lit(0)))
     complete = F.col("legs").isNotNull() & (F.col("unpriced_count") == 0)
     return out.withColumn("complete", complete).withColumn("fair_odds", F.when(complete, fair)).withColumn(
-        "edge_pct", (F.try_divide(F.col("boosted_odds"), F.col("fair_odds")) - 1.0) * 100.0).drop("legs")
+        "edge_pct", (F.try_divide(F.col("boosted_odds"), F.col("fair_odds")) - 1.0) * 100.0)
 
 
 def complement_quote(

@@ -173,8 +173,8 @@ def report_columns(opportunities: DataFrame) -> DataFrame:
 
 
 def boost_listing(valuations: DataFrame) -> DataFrame:
-    """Valuations by edge, incomplete ones last, display rounding."""
-    return (
-        valuations.orderBy(F.desc("complete"), F.col("edge_pct").desc_nulls_last(), "boost_id")
-        .withColumn("fair_odds", half_even(F.col("fair_odds"), 2)).withColumn("edge_pct", half_even(F.col("edge_pct"), 1))
-    )
+    """Valuations with their conditions, rounded for display; by shown edge, those without one last, ties by id."""
+    legs = F.transform("legs", lambda leg: leg.withField("fair_odds", half_even(leg["fair_odds"], 2)))
+    shown = valuations.withColumn("legs", legs).withColumn("fair_odds", half_even(F.col("fair_odds"), 2)).withColumn(
+        "edge_pct", half_even(F.col("edge_pct"), 1))
+    return shown.orderBy(F.col("edge_pct").desc_nulls_last(), "boost_id")

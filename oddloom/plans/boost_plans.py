@@ -120,16 +120,22 @@ def team(spark, sf_dir):
     return B.condition_team(B.parse_boost(offers(spark, sf_dir))).select("boost_id", "pos", "named_team")
 
 
-@query("f05_price_condition", with_ctes(POOL_SQL, CONDS_SQL, PRICED_SQL, """
-SELECT boost_id, pos, round(fair, 6) AS fair_odds, CASE WHEN kind = 'win' THEN 'victoire (1X2)' WHEN kind = 'btts' THEN 'BTTS oui'
-    WHEN kind = 'unknown' THEN 'condition non reconnue'
-    WHEN fair IS NULL AND each_team THEN concat(stat, ' par equipe absent de 1xBet')
-    WHEN fair IS NULL THEN concat(stat, ' (ligne ', line, ') absent de 1xBet')
-    ELSE concat(stat, ' >= ', CAST(line + 0.5 AS INTEGER), CASE WHEN each_team THEN ' chaque equipe' ELSE '' END) END AS detail
-FROM priced"""))
+DETAIL_SQL = """
+detailed AS (
+  SELECT p.*, CASE WHEN kind = 'win' THEN 'victoire (1X2)' WHEN kind = 'btts' THEN 'BTTS oui'
+      WHEN kind = 'unknown' THEN 'condition non reconnue'
+      WHEN fair IS NULL AND each_team THEN concat(stat, ' par equipe absent de 1xBet')
+      WHEN fair IS NULL THEN concat(stat, ' (ligne ', line, ') absent de 1xBet')
+      ELSE concat(stat, ' >= ', CAST(line + 0.5 AS INTEGER), CASE WHEN each_team THEN ' chaque equipe' ELSE '' END) END AS detail,
+    CASE WHEN kind <> 'unknown' AND (kind <> 'threshold' OR fair IS NOT NULL) THEN book END AS bookmaker
+  FROM priced p JOIN ref USING (cls, p_type))"""
+
+
+@query("f05_price_condition", with_ctes(POOL_SQL, CONDS_SQL, PRICED_SQL, DETAIL_SQL, """
+SELECT boost_id, pos, round(fair, 6) AS fair_odds, bookmaker, detail FROM detailed"""))
 def price(spark, sf_dir):
     p = B.price_condition(_conditions(spark, sf_dir), offers(spark, sf_dir), match_quotes(spark, sf_dir))
-    return p.select("boost_id", "pos", F.round("fair_odds", 6).alias("fair_odds"), "detail")
+    return p.select("boost_id", "pos", F.round("fair_odds", 6).alias("fair_odds"), "bookmaker", "detail")
 
 
 VALUE_SQL = """
@@ -150,11 +156,17 @@ def value(spark, sf_dir):
         "boost_id", "unpriced_count", "complete", F.round("fair_odds", 6).alias("fair_odds"), F.round("edge_pct", 6).alias("edge_pct"))
 
 
-@query("h12_boost_listing", with_ctes(POOL_SQL, CONDS_SQL, PRICED_SQL, VALUE_SQL, """
-SELECT boost_id, unpriced_count = 0 AS complete, round_even(fair_odds, 2) AS fair_odds,
-  round_even((boosted / fair_odds - 1) * 100, 1) AS edge_pct FROM val"""))
+@query("h12_boost_listing", with_ctes(POOL_SQL, CONDS_SQL, PRICED_SQL, DETAIL_SQL, VALUE_SQL, """
+listed AS (SELECT boost_id, boosted, unpriced_count, unpriced_count = 0 AS complete, round_even(fair_odds, 2) AS fair_odds,
+  round_even((boosted / fair_odds - 1) * 100, 1) AS edge_pct FROM val)""", """
+SELECT boost_id, complete, l.fair_odds, edge_pct, unpriced_count,
+  pos, detail AS label, raw, round_even(fair, 2) AS leg_fair_odds, bookmaker
+FROM listed l JOIN detailed USING (boost_id)"""))
 def listing(spark, sf_dir):
-    return H.boost_listing(_valued(spark, sf_dir)).select("boost_id", "complete", "fair_odds", "edge_pct")
+    rows = H.boost_listing(_valued(spark, sf_dir)).select(
+        "boost_id", "complete", "fair_odds", "edge_pct", "unpriced_count", F.explode("legs").alias("leg"))
+    return rows.select("boost_id", "complete", "fair_odds", "edge_pct", "unpriced_count", "leg.pos", "leg.label", "leg.raw",
+                       F.col("leg.fair_odds").alias("leg_fair_odds"), "leg.bookmaker")
 
 
 @query("f07_complement_quote", with_ctes(POOL_SQL, CONDS_SQL, COVER_SQL, """

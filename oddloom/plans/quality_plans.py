@@ -85,19 +85,19 @@ def devices(spark, sf_dir):
 
 
 @query("d07_device_still_valid", with_ctes(DEVICES_SQL, PROFILES_SQL, KEPT_SQL, f"""
-known AS (SELECT * FROM kept WHERE user_id % 3 <> 0),
-req AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN ''
+req AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN user_id + 1000000000 ELSE user_id END AS user_id, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN ''
   ELSE concat(event_type, '-', hour(ts) % 4) END AS session_id FROM events)""", f"""
 SELECT event_id, coalesce(session_id, '') = '' OR user_id IN (SELECT id FROM profiles WHERE role IN {TEAM})
-  OR user_id NOT IN (SELECT user_id FROM known)
-  OR EXISTS (SELECT 1 FROM known k WHERE k.user_id = r.user_id AND k.session_id = r.session_id) AS valid FROM req r"""))
+  OR user_id NOT IN (SELECT user_id FROM kept)
+  OR EXISTS (SELECT 1 FROM kept k WHERE k.user_id = r.user_id AND k.session_id = r.session_id) AS valid FROM req r"""))
 def valid(spark, sf_dir):
     p = src.profiles(spark, sf_dir)
-    known = D.keep_recent_devices(src.devices(spark, sf_dir), p, 3).filter(F.col("user_id") % 3 != 0)
+    known = D.keep_recent_devices(src.devices(spark, sf_dir), p, 3)
     at = F.col("ts").cast("timestamp")
     session = F.when(F.col("event_type") == "click", "").when(
         F.col("event_type") != "view", F.concat_ws("-", F.col("event_type"), (F.hour(at) % 4).cast("string")))
-    req = src.table(spark, sf_dir, "events").select("event_id", "user_id", session.alias("session_id"))
+    user = F.when(F.col("event_id") % 5 == 0, F.col("user_id") + 1000000000).otherwise(F.col("user_id"))  # some have no device
+    req = src.table(spark, sf_dir, "events").select("event_id", user.alias("user_id"), session.alias("session_id"))
     return D.device_still_valid(req, known, p).select("event_id", "valid")
 
 
@@ -181,23 +181,24 @@ def per_user(spark, sf_dir):
 
 @query("d15_stamp_identity", with_ctes(MESSAGES_SQL, PROFILES_SQL, """
 SELECT conv_id, turn, coalesce(role, 'user') AS sender_role, coalesce(username, split_part(coalesce(email, ''), '@', 1)) AS username,
-  email, length(text) AS n_chars FROM messages LEFT JOIN profiles ON id = user_id AND id % 4 <> 0"""))
+  email, length(text) AS n_chars FROM (SELECT * REPLACE (CASE WHEN conv_id % 4 = 0 THEN user_id + 1000000000 ELSE user_id END AS user_id)
+  FROM messages) LEFT JOIN profiles ON id = user_id"""))
 def stamped(spark, sf_dir):
-    m = src.messages(spark, sf_dir).withColumn("sender_role", F.lit("admin"))
-    s = D.stamp_identity(m, src.profiles(spark, sf_dir).filter(F.col("id") % 4 != 0))
+    sender = F.when(F.col("conv_id") % 4 == 0, F.col("user_id") + 1000000000).otherwise(F.col("user_id"))  # some are unknown
+    m = src.messages(spark, sf_dir).withColumn("sender_role", F.lit("admin")).withColumn("user_id", sender)
+    s = D.stamp_identity(m, src.profiles(spark, sf_dir))
     return s.select("conv_id", "turn", "sender_role", "username", "email", F.length("text").alias("n_chars"))
 
 
 SIGNUPS_SQL = """
 signups AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 1000000000 END AS id, concat('new', c_custkey, '@mail.example') AS email,
   CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(CASE WHEN c_custkey % 2 = 0 THEN 'NAME' ELSE 'Name' END, c_custkey - c_custkey % 9, 'x') END AS username
-  FROM customer),
-known AS (SELECT * FROM profiles WHERE id % 2 = 0)"""
+  FROM customer)"""
 
 
 @query("d16_signup_defaults", with_ctes(PROFILES_SQL, SIGNUPS_SQL, """
-fresh AS (SELECT *, row_number() OVER (PARTITION BY lower(username) ORDER BY id) AS rn FROM signups WHERE id NOT IN (SELECT id FROM known))""", """
-SELECT id, email, CASE WHEN username <> '' AND rn = 1 AND NOT EXISTS (SELECT 1 FROM known k WHERE lower(k.username) = lower(f.username))
+fresh AS (SELECT *, row_number() OVER (PARTITION BY lower(username) ORDER BY id) AS rn FROM signups WHERE id NOT IN (SELECT id FROM profiles))""", """
+SELECT id, email, CASE WHEN username <> '' AND rn = 1 AND NOT EXISTS (SELECT 1 FROM profiles k WHERE lower(k.username) = lower(f.username))
   THEN username END AS username, 'user' AS role, 'pending' AS status FROM fresh f"""))
 def signup(spark, sf_dir):
     key = F.col("c_custkey")
@@ -206,7 +207,7 @@ def signup(spark, sf_dir):
         F.when(key % 3 == 0, key).otherwise(key + 1000000000).alias("id"),
         F.concat(F.lit("new"), key.cast("string"), F.lit("@mail.example")).alias("email"),
         F.when(key % 4 == 0, "").otherwise(name).alias("username"))
-    return D.signup_defaults(signups, src.profiles(spark, sf_dir).filter(F.col("id") % 2 == 0))
+    return D.signup_defaults(signups, src.profiles(spark, sf_dir))
 
 
 @query("d17_guarded_update", with_ctes(PROFILES_SQL, """

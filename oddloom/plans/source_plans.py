@@ -170,23 +170,35 @@ def code_market(spark, sf_dir):
     return S.code_market_resolve(df).select("p_partkey", "resolved.market_type", "resolved.team_scope")
 
 
-@query("s06_stat_subgame_explode", with_ctes(QUOTES_SQL, """
-SELECT home_team, concat('corners', CASE WHEN team_scope IS NULL THEN '_total' ELSE '_team' END) AS market_type, selection, line, team_scope, odds
-FROM quotes WHERE market_type LIKE 'corners%'"""))
+# How the feed names the statistics, and what they are called here.
+STATS = [("  CORNERS ", "corners"), ("Tirs cadrés", "shots_on_target"), ("Tirs vers le but", "shots"), ("Fautes", "fouls"),
+         ("Cartons Jaunes", "cards"), ("cartons", "cards"), ("Tacles", "tackles"), ("Dégagements de but", "goalkicks"),
+         ("Sauvetages", "saves"), ("CONTRÔLES VAR", "var"), ("Hors-jeu", "offside"), ("Touches", "throwins")]
+
+
+@query("s06_stat_subgame_explode", with_ctes(QUOTES_SQL, f"""
+names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{stat}')" for i, (_, stat) in enumerate(STATS))}) t(s, stat)),
+subs AS (SELECT *, ingest_seq // 10000 % 12 AS s, CAST(match_id AS BIGINT) AS k FROM quotes WHERE n_outcomes = 2)""", """
+SELECT home_team, concat(stat, CASE WHEN team_scope IS NULL THEN '_total' ELSE '_team' END) AS market_type, selection, line, team_scope, odds
+FROM subs JOIN names USING (s) WHERE CASE s WHEN 4 THEN k % 2 = 0 WHEN 5 THEN k % 2 = 1 ELSE TRUE END"""))
 def stats(spark, sf_dir):
-    q = src.spread_quotes(spark, sf_dir).filter(F.col("market_type").startswith("corners"))
-    part = src.table(spark, sf_dir, "part")
+    """All two-way quotes, dealt over the sub-games of every statistic; of the two names for cards the one listed first counts."""
+    q = src.spread_quotes(spark, sf_dir).filter("n_outcomes = 2")
     key = F.col("p_partkey")
 
     def sg(name, ident):
-        return F.struct(F.lit(name).alias("TG"), ident.alias("I"))
-
-    listing = F.array(sg("Inconnu", key * 3), sg("  CORNERS ", key * 3 + 1), sg("Corners", key * 3 + 2), sg("Tirs Cadrés", key * 3 + 2))
-    main = part.select(
+        return F.struct(F.lit(name).alias("TG"), ident.cast("bigint").alias("I"))
+
+    first = F.when(key % 2 == 0, 4).otherwise(5)
+    listed = [sg("Inconnu", key), sg("Fautes", F.lit(0))]  # an unknown name, and a sub-game without an id
+    cards = [F.struct(F.when(at == 4, STATS[4][0]).otherwise(STATS[5][0]).alias("TG"), (key * 20 + at + 1).cast("bigint").alias("I"))
+             for at in (first, 9 - first)]
+    listed += cards + [sg(name, key * 20 + i + 1) for i, (name, stat) in enumerate(STATS) if stat != "cards"] + [sg("Corners", key)]
+    main = src.table(spark, sf_dir, "part").select(
         key.alias("event_id"), F.concat(F.lit("Home "), key.cast("string")).alias("home_team"),
         F.concat(F.lit("Away "), key.cast("string")).alias("away_team"), F.lit("L").alias("competition"),
         F.lit("2001-01-01 12:00:00").cast("timestamp").alias("start_time"), F.lit("u").alias("url"),
-        F.lit(None).cast("timestamp").alias("scraped_at"), F.to_json(F.struct(listing.alias("SG"))).alias("payload"))
+        F.lit(None).cast("timestamp").alias("scraped_at"), F.to_json(F.struct(F.array(*listed).alias("SG"))).alias("payload"))
     over, sc = F.col("selection") == "over", F.col("team_scope")
     g = F.when(sc == "home", 15).when(sc == "away", 62).otherwise(17)
     t = F.when(sc == "home", F.when(over, 11).otherwise(12)).when(sc == "away", F.when(over, 13).otherwise(14)).otherwise(
@@ -196,11 +208,11 @@ def stats(spark, sf_dir):
         return F.struct(gg.cast("int").alias("G"), tt.cast("int").alias("T"), p.alias("P"), F.col("odds").alias("C"))
 
     none = F.lit(None).cast("double")
+    number = F.floor(F.col("ingest_seq") / 10000) % 12
     subs = q.select(
-        (F.col("match_id").cast("bigint") * 3 + 1).alias("sub_id"), (F.col("ingest_seq") % 1000003).alias("feed_seq"),
+        (F.col("match_id").cast("bigint") * 20 + number + 1).alias("sub_id"), (F.col("ingest_seq") % 1000003).alias("feed_seq"),
         F.to_json(F.struct(F.array(entry(g, t, F.col("line")), entry(g, t, none), entry(F.lit(1), F.lit(1), F.col("line"))).alias("E"))).alias("payload"))
-    out = S.stat_subgame_explode(main, subs, ["corners"])
-    return out.select("home_team", "market_type", "selection", "line", "team_scope", "odds")
+    return S.stat_subgame_explode(main, subs).select("home_team", "market_type", "selection", "line", "team_scope", "odds")
 
 
 def _event_pages(spark, sf_dir):
