@@ -17,9 +17,23 @@ from .scout_plans import TRAJECTORY_SQL, observations, trajectory_rows
 AGE_DAYS = 20
 
 
+def _landed(spark, rows, at, bounds):
+    """The rows in landings by time: what is before each bound, and the rest."""
+    edges = [None, *bounds, None]
+    parts = [rows.filter((F.lit(True) if lo is None else F.col(at) >= lo) & (F.lit(True) if hi is None else F.col(at) < hi))
+             for lo, hi in zip(edges, edges[1:])]
+    return T.landed_stream(parts, scratch_path(spark, "landed"))
+
+
 def _quote_stream(spark, sf_dir):
-    q = src.branded(src.quote_projection(T.table_stream(src.prepare(spark), sf_dir, "lineitem")))
-    return q.withColumn("batch_ts", F.date_trunc("year", "scraped_at"))
+    """Quotes as they were collected, in four landings."""
+    rows = src.table(src.prepare(spark), sf_dir, "lineitem")
+    return src.quote_projection(_landed(spark, rows, "l_shipdate", ("1994-01-01", "1996-01-01", "1998-01-01")))
+
+
+def _events(spark, sf_dir):
+    """Events in three landings."""
+    return _landed(spark, src.table(src.prepare(spark), sf_dir, "events"), "ts", ("2024-01-11", "2024-01-20"))
 
 
 def _paths(spark, name):
@@ -29,9 +43,10 @@ def _paths(spark, name):
 
 def _pool(spark, sf_dir):
     out, mark = _paths(spark, "live")
-    run = T.live_pool(_quote_stream(spark, sf_dir), out, mark)
+    stream = src.branded(_quote_stream(spark, sf_dir)).withColumn("batch_ts", F.date_trunc("year", "scraped_at"))
+    run = T.live_pool(stream, out, mark)
     run.awaitTermination()
-    return T.latest_version(spark, out, run)
+    return T.latest(spark, out, run)
 
 
 BOOK = """CASE bookmaker WHEN 'book_0' THEN '1xBet' WHEN 'book_1' THEN 'MelBet' WHEN 'book_2' THEN 'Line Bet' ELSE bookmaker END"""
@@ -59,13 +74,30 @@ NEWEST_SQL = """SELECT * FROM spelled JOIN (SELECT bookmaker, max(year(scraped_a
   WHERE year(scraped_at) = y"""
 
 
+@query("t02_watermark_eviction", f"""
+WITH arrived AS (
+  SELECT event_id, event_type, user_id, ts, CASE WHEN event_id % 7 = 0 THEN 3 WHEN ts < TIMESTAMP '2024-01-11' THEN 1
+    WHEN ts < TIMESTAMP '2024-01-20' THEN 2 ELSE 3 END AS landing FROM events),
+marks AS (SELECT landing, epoch_ms(max(ts)) - {AGE_DAYS // 4} * 86400000 AS seen FROM arrived GROUP BY 1)
+SELECT event_id FROM arrived a
+WHERE epoch_us(ts) > 1000 * coalesce((SELECT max(seen) FROM marks m WHERE m.landing < a.landing - 1), -1)""")
+def watermark(spark, sf_dir):
+    """Every seventh event comes with the last landing; those behind the watermark that the batch before it ran with are gone."""
+    ev = src.table(src.prepare(spark), sf_dir, "events").withColumn("scraped_at", F.col("ts").cast("timestamp"))
+    late, at = F.col("event_id") % 7 == 0, F.col("ts")
+    landing = F.when(late, 3).when(at < "2024-01-11", 1).when(at < "2024-01-20", 2).otherwise(3)
+    stream = T.landed_stream([ev.filter(landing == i) for i in (1, 2, 3)], scratch_path(spark, "landed"))
+    out, mark = _paths(spark, "evicted")
+    T.append_files(T.evict_stale(stream, ["event_id"], AGE_DAYS // 4 * 86400), out, mark).awaitTermination()
+    return spark.read.parquet(out).select("event_id")
+
+
 @query("t03_evaluation_loop", f"""
 WITH RECURSIVE {reconciled_sql(NEWEST_SQL)}, {COMBOS_SQL}, {OPPS_SQL}
 SELECT {K}, round(margin, 6) AS margin, round(roi_pct, 6) AS roi_pct FROM opps""")
 def loop(spark, sf_dir):
     out, mark = _paths(spark, "loop")
-    landed = src.quote_projection(T.table_stream(src.prepare(spark), sf_dir, "lineitem"))
-    stream = src.spelled(landed, src.table(spark, sf_dir, "part")).withColumn("batch_ts", F.date_trunc("year", "scraped_at"))
+    stream = src.spelled(_quote_stream(spark, sf_dir), src.table(spark, sf_dir, "part")).withColumn("batch_ts", F.date_trunc("year", "scraped_at"))
     run = T.evaluation_loop(stream, out, mark, interval=None)
     run.awaitTermination()
     return T.latest_version(spark, f"{out}/opportunities", run).select(*MARKET_KEYS, r6("margin"), r6("roi_pct"))
@@ -84,7 +116,7 @@ def cadence(spark, sf_dir):
 
 
 def _log_stream(spark, sf_dir):
-    return src.log_projection(T.table_stream(src.prepare(spark), sf_dir, "events"))
+    return src.log_projection(_events(spark, sf_dir))
 
 
 @query("t05_health_state", with_ctes(LOG_SQL, """
@@ -96,7 +128,7 @@ def health(spark, sf_dir):
     out, mark = _paths(spark, "health")
     run = T.health_stream(_log_stream(spark, sf_dir), out, mark)
     run.awaitTermination()
-    h = T.latest_version(spark, out, run)
+    h = T.latest(spark, out, run)
     return h.withColumn("last_ok", stamp(F.col("last_ok"))).withColumn("last_fail", stamp(F.col("last_fail")))
 
 
@@ -114,14 +146,13 @@ def outage(spark, sf_dir):
 
 @query("t07_trajectory_state", TRAJECTORY_SQL)
 def trajectory(spark, sf_dir):
-    ev = T.table_stream(src.prepare(spark), sf_dir, "events")
-    ticks = ev.select(
+    ticks = _events(spark, sf_dir).select(
         F.col("event_type").alias("bookmaker"), F.col("user_id").cast("string").alias("match_id"),
         F.col("ts").cast("timestamp").alias("ts"), (1.01 + F.col("value") / 50).alias("price"))
     out, mark = _paths(spark, "trajectory")
     run = T.trajectory_stream(observations(ticks), out, mark)
     run.awaitTermination()
-    return trajectory_rows(T.latest_version(spark, out, run))
+    return trajectory_rows(T.latest(spark, out, run))
 
 
 DUP = "match, n_issues, event_a, cote_a, bookmaker_a, event_b, cote_b, bookmaker_b, event_c, cote_c, bookmaker_c"
@@ -147,7 +178,7 @@ def dedup(spark, sf_dir):
 @query("t09_running_counters", with_ctes(QUOTES_SQL, """
 SELECT market_type, bookmaker, count(*) AS n FROM quotes GROUP BY 1, 2"""))
 def counters(spark, sf_dir):
-    stream = src.quote_projection(T.table_stream(src.prepare(spark), sf_dir, "lineitem"))
+    stream = _quote_stream(spark, sf_dir)
     out, mark = _paths(spark, "counters")
     run = T.running_counters(stream, ["market_type", "bookmaker"], out, mark)
     run.awaitTermination()

@@ -1,25 +1,26 @@
 """Continuous mode: the batch operators applied micro-batch by micro-batch.
 
-State that outlives a batch is a table: version ``n`` is written from version
-``n - 1`` and batch ``n``, so a replayed batch writes the same version again,
-and a lost executor loses nothing. Folding happens per batch with ordinary
-aggregations, which combine before the shuffle, so one very busy bookmaker is
-not processed by one task.
+State that outlives a batch is a keyed table (``streaming/keyed.py``): a batch
+reads and rewrites the buckets of its own keys, a replayed batch writes the
+same again, and a lost executor loses nothing. Folding happens per batch with
+ordinary aggregations, which combine before the shuffle, so one very busy
+bookmaker is not processed by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import MAX_AGE_S, NEVER_OK_FAILURES, OUTAGE_AFTER_S, TRAJECTORY_KEEP
-from ..operators.alerts import drop_exact_duplicates, first_signal_per_match
+from ..operators.alerts import DUPLICATE_KEYS, drop_exact_duplicates, first_signal_per_match
 from ..operators.arbitrage import evaluate
 from ..operators.pool import fresh_only, latest_contribution
 from ..operators.running import last_before
 from ..operators.scout import TRAJECTORY_KEY, margin_trajectory
+from .keyed import KeyedTable, forget_versions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,19 +36,30 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def versioned(path: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A batch function that folds every batch into the next version of a state table."""
+def landed_stream(landings: list[DataFrame], path: str, files: int = 2) -> DataFrame:
+    """Landings written one after another and streamed in that order, one landing a batch."""
+    for rows in landings:
+        rows.repartition(files).write.mode("append").parquet(path)
+    stream = landings[0].sparkSession.readStream.schema(landings[0].schema)
+    return stream.option("maxFilesPerTrigger", files).parquet(path)
+
+
+def keyed(path: str, keys: list[str], step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A batch function that folds every batch into a keyed state table."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = spark.read.parquet(f"{path}/v={batch_id - 1}") if batch_id > 0 else None
-        step(previous, batch).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        KeyedTable(batch.sparkSession, path, keys).fold(batch, batch_id, step)
 
     return apply
 
 
+def latest(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
+    """A keyed state table after the last finished batch of a query."""
+    return KeyedTable(spark, path, []).read(query.lastProgress["batchId"])
+
+
 def latest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The state after the last finished batch of a query."""
+    """What the last finished batch of a query wrote."""
     return spark.read.parquet(f"{path}/v={query.lastProgress['batchId']}")
 
 
@@ -64,7 +76,7 @@ def _merge(previous: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 def live_pool(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Table of current quotes, each bookmaker's newest ``batch_ts`` only."""
-    return start(stream, checkpoint, versioned(path, lambda p, b: latest_contribution(_merge(p, b))), interval)
+    return start(stream, checkpoint, keyed(path, ["bookmaker"], lambda p, b: latest_contribution(_merge(p, b))), interval)
 
 
 def visible(pool: DataFrame, as_of: Column, max_age_s: float = MAX_AGE_S) -> DataFrame:
@@ -85,14 +97,15 @@ def evaluation_loop(
     bankroll: float = 50_000.0, reconcile: bool = True,
 ) -> StreamingQuery:
     """Refresh the pool, evaluate the snapshot when it is not empty, keep one result per cycle."""
-    refresh = versioned(f"{path}/pool", lambda p, b: latest_contribution(_merge(p, b)))
+    refresh = keyed(f"{path}/pool", ["bookmaker"], lambda p, b: latest_contribution(_merge(p, b)))
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         refresh(batch, batch_id)
-        pool = batch.sparkSession.read.parquet(f"{path}/pool/v={batch_id}")
-        if not pool.isEmpty():
+        pool = KeyedTable(batch.sparkSession, f"{path}/pool", ["bookmaker"]).read(batch_id)
+        if pool is not None and not pool.isEmpty():
             found = evaluate(pool.drop("batch_ts"), min_roi, bankroll, reconcile)
             found.write.mode("overwrite").parquet(f"{path}/opportunities/v={batch_id}")
+            forget_versions(batch.sparkSession, f"{path}/opportunities", "v=", batch_id)
 
     return start(stream, checkpoint, cycle, interval)
 
@@ -143,7 +156,7 @@ def health_state(log: DataFrame, previous: DataFrame | None = None) -> DataFrame
 
 
 def health_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    return start(stream, checkpoint, versioned(path, lambda p, b: health_state(b, p)), interval)
+    return start(stream, checkpoint, keyed(path, ["bookmaker"], lambda p, b: health_state(b, p)), interval)
 
 
 def outage_alert_once(
@@ -181,17 +194,16 @@ def outage_alert_once(
 
 def outage_stream(stream: DataFrame, path: str, checkpoint: str, after_s: int = OUTAGE_AFTER_S, interval: str | None = None) -> StreamingQuery:
     """T06 over a stream: alerts of a batch go to ``alerts/v=<batch>``, once per outage."""
-    fold = versioned(f"{path}/health", lambda p, b: health_state(b, p))
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        health = alerted = None
-        if batch_id > 0:
-            health = spark.read.parquet(f"{path}/health/v={batch_id - 1}")
-            alerted = spark.read.schema("bookmaker string, since timestamp, alert_ts timestamp, v int").parquet(
-                f"{path}/alerts").filter(F.col("v") < batch_id).drop("v")
-        outage_alert_once(batch, after_s, health, alerted).write.mode("overwrite").parquet(f"{path}/alerts/v={batch_id}")
-        fold(batch, batch_id)
+        health, alerted = (KeyedTable(spark, f"{path}/{name}", ["bookmaker"]) for name in ("health", "alerted"))
+        before, known = health.touched(batch, batch_id), alerted.touched(batch, batch_id)
+        target = f"{path}/alerts/v={batch_id}"
+        outage_alert_once(batch, after_s, before, known).write.mode("overwrite").parquet(target)
+        new = spark.read.parquet(target).select("bookmaker", "since")
+        alerted.write(_merge(known, new), batch, batch_id)
+        health.write(health_state(batch, before), batch, batch_id)
 
     return start(stream, checkpoint, cycle, interval)
 
@@ -208,24 +220,25 @@ def trajectory_state(previous: DataFrame | None, observations: DataFrame, keep:
 
 
 def trajectory_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    return start(stream, checkpoint, versioned(path, trajectory_state), interval)
+    return start(stream, checkpoint, keyed(path, TRAJECTORY_KEY, trajectory_state), interval)
 
 
 def stream_dedup(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Append only new detections to history, flagged when they may alert.
 
-    History is append-only, one folder per batch; a batch reads the folders
-    before it, so a replay decides the same.
+    History is append-only, one folder per batch. Beside it a keyed table holds what identifies the stored detections; a
+    batch reads the buckets of its own matches only, however long the history is.
     """
+    known = [*DUPLICATE_KEYS, "sport"]
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        history = batch.limit(0)
-        if batch_id > 0:
-            stored = T.StructType([*batch.schema.fields, T.StructField("alertable", T.BooleanType()), T.StructField("batch", T.IntegerType())])
-            history = spark.read.schema(stored).parquet(path).filter(F.col("batch") < batch_id)
+        index = KeyedTable(batch.sparkSession, f"{path}/_known", ["match"])
+        stored = index.touched(batch, batch_id)
+        history = batch.limit(0).select(*known) if stored is None else stored
         kept = first_signal_per_match(drop_exact_duplicates(batch, history), history)
         kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        new = batch.sparkSession.read.schema(kept.schema).parquet(f"{path}/batch={batch_id}").select(*known)
+        index.write(history.unionByName(new).distinct(), batch, batch_id)
 
     return start(stream, checkpoint, cycle, interval)
 
@@ -236,6 +249,7 @@ def running_counters(stream: DataFrame, keys: list[str], path: str, checkpoint:
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        forget_versions(batch.sparkSession, path, "v=", batch_id)
 
     return start(stream.groupBy(*keys).agg(F.count("*").alias("n")), checkpoint, publish, interval, mode="complete")
 

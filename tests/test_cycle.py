@@ -130,7 +130,7 @@ def test_health_and_outages_over_many_batches(spark, tmp_path):
     stream = land(spark, str(tmp_path / "in"), rows, LOG, 6)
     run = T.health_stream(stream, str(tmp_path / "h"), str(tmp_path / "hc"))
     run.awaitTermination()
-    got = {r["bookmaker"]: r for r in T.latest_version(spark, str(tmp_path / "h"), run).collect()}
+    got = {r["bookmaker"]: r for r in T.latest(spark, str(tmp_path / "h"), run).collect()}
     for book, s in state.items():
         assert {k: got[book][k] for k in ("last_ok", "last_fail", "streak", "cycles", "quotes")} == {k: v for k, v in s.items() if k != "alerted"}
     T.outage_stream(stream, str(tmp_path / "o"), str(tmp_path / "oc")).awaitTermination()
@@ -149,7 +149,7 @@ def test_live_pool_replaces_whole_batches(spark, tmp_path):
     stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     run = T.live_pool(stream, str(tmp_path / "p"), str(tmp_path / "pc"))
     run.awaitTermination()
-    pool = T.latest_version(spark, str(tmp_path / "p"), run)
+    pool = T.latest(spark, str(tmp_path / "p"), run)
     assert sorted((r["bookmaker"], r["odds"]) for r in pool.collect()) == [("a", 2.05), ("b", 2.16), ("b", 3.9), ("c", 3.3)]
     loop = T.evaluation_loop(stream, str(tmp_path / "e"), str(tmp_path / "ec"), None, bankroll=1000.0, reconcile=False)
     loop.awaitTermination()
@@ -205,7 +205,7 @@ def test_two_way_signals_are_history(spark, monkeypatch):
         bookmaker_b string, event_c string, cote_c double, bookmaker_c string""").withColumn("copy", F.lit(0))
     monkeypatch.setattr(alert_plans.src, "history", lambda *_: h)
     jobs = contract.queries()
-    first = {r["id"]: r["alertable"] for r in jobs["p09_first_signal_whole_history"](spark, "").collect()}
+    first = {r["id"]: r["alertable"] for r in jobs["p09_first_signal_per_match"](spark, "").collect()}
     assert first == {2: False, 3: True}
-    assert jobs["p10_cycle_counters_whole_history"](spark, "").first().asDict() == dict(
+    assert jobs["p10_cycle_counters"](spark, "").first().asDict() == dict(
         detected=2, duplicates=1, silent=0, alerted=1)
