@@ -3,7 +3,8 @@
 A line is a chain of its white-space words, tagged B (a secret begins), I (it goes on) or O. A word's emission adds
 what its own shape says, what the two words before and the one after say, and the share of coded-looking words in the
 file; the transition weights do the rest. The field is fitted by maximum likelihood on the rule matches of a bounded
-sample (``FIT_DOCS`` texts with a match and a third as many without) and decoded by Viterbi over every line.
+sample (``FIT_DOCS`` texts with a match and a third as many without, of up to ``FIT_CHARS`` characters) and decoded by
+Viterbi over every line. A neighbouring word counts by its first 24 letters; the word itself is always looked at whole.
 
 Where every word's best secret emission is too far below its O emission to be made up by transitions, the all-O path
 is the Viterbi path, so only lines with a word beyond that bound are decoded step by step.
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .arrow import map_texts, replace_text
 
 # The rules whose matches every result holds.
@@ -234,10 +236,12 @@ def _examples(texts: list[str]) -> list[tuple[list[str], list[int], int]]:
                 tags.append(O if hit is None else I if hit == last else B)
                 last = hit
             if any(tags):
-                hits = [i for i, t in enumerate(tags) if t]
-                for i in hits[:1] + hits[-1:]:
-                    cut = slice(max(0, i - WINDOW), i + WINDOW)
-                    out.append(([w for w, _, _ in line[cut]], tags[cut], file))
+                covered = 0
+                for i, tag in enumerate(tags):
+                    if tag and i >= covered:  # every secret of the line is in one window at least
+                        covered = i + WINDOW
+                        cut = slice(max(0, i - WINDOW), covered)
+                        out.append(([w for w, _, _ in line[cut]], tags[cut], file))
             elif line and not taken and (at := at + 1) > n % 3:
                 odd = next((i for i, (w, _, _) in enumerate(line) if any(map(str.isdigit, w))), (7 * n) % len(line))
                 cut = slice(max(0, odd - WINDOW), odd + WINDOW)
@@ -320,15 +324,18 @@ def fit(texts: list[str], rounds: int = 80, rate: float = 0.1, decay: float = 1e
 def train(docs: DataFrame, rows: int = FIT_DOCS, chars: int = FIT_CHARS) -> Field | None:
     """Fit on up to ``rows`` distinct texts with a rule match and a third as many others, lowest text hash first.
 
-    The hashes are chosen first, so that only the sample's texts come to the driver.
+    Texts of more than ``chars`` characters are not learned from. Whether a rule matches is asked once a text; only the
+    sample's texts come to the driver.
     """
-    text = docs.select("text").filter((F.length("text") > 0) & (F.length("text") <= chars))
-    hit = F.col("text").rlike(f"(?i:{ASSIGN})|{ACCESS[:-1]}{{{ACCESS_LEAST - 4}}}|{HEX[:-1]}{{{HEX_LEAST}}}")
-    found = text.select("text", F.xxhash64("text").alias("h"), hit.alias("hit"))
-    known = found.select("h", "hit").distinct()
-    cuts = [known.filter(F.col("hit") == h).orderBy("h").limit(n).agg(F.max("h")).first()[0] for h, n in ((True, rows), (False, rows // 3))]
-    sample = found.filter(" OR ".join(f"(hit = {h} AND h <= {cut})" for h, cut in zip(("true", "false"), cuts) if cut is not None) or "false")
-    picked = sample.groupBy("h", "hit").agg(F.min("text").alias("text")).orderBy(F.desc("hit"), "h").collect()
+    text = docs.select("text", F.xxhash64("text").alias("h")).filter((F.length("text") > 0) & (F.length("text") <= chars))
+    marked = F.contains("text", F.lit(":")) | F.contains("text", F.lit("="))
+    hit = ((marked & F.col("text").rlike(f"(?i:{ASSIGN})"))
+           | (F.contains("text", F.lit("AKIA")) & F.col("text").rlike(f"{ACCESS[:-1]}{{{ACCESS_LEAST - 4}}}"))
+           | F.col("text").rlike(f"{HEX[:-1]}{{{HEX_LEAST}}}"))
+    known = cut_lineage(text.select("h", hit.alias("hit")).distinct(), "hits")
+    lowest = [known.filter(F.col("hit") == h).orderBy("h").limit(n) for h, n in ((True, rows), (False, rows // 3))]
+    sample = F.broadcast(lowest[0].unionByName(lowest[1]))  # at most rows + rows // 3 rows
+    picked = text.join(sample, "h").groupBy("h", "hit").agg(F.min("text").alias("text")).orderBy(F.desc("hit"), "h").collect()
     return fit([r["text"] for r in picked])
 
 
