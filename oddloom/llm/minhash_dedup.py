@@ -6,8 +6,10 @@ similarity 0.8 meet in none of 36 bands with probability below 1e-6. Links are c
 
 Equal sets form a class that is read once. Within a bucket no pairs are listed: in each of ``ROUNDS`` rounds every class
 is compared with one bucket mate, the pivot (smallest under that round's order) with which it shares most buckets, and
-confirmed links are joined to components. Then only bucket mates of different components are left; of these, all pairs
-whose signatures agree within five deviations of the threshold are confirmed, so no link between components is lost.
+confirmed links are joined to components. Then only bucket mates of different components are left. Their buckets are cut
+into blocks, and every pair whose signatures agree within five deviations of the threshold is decided in the first bucket
+it shares: first the signatures tell whose sets are needed, then the sets decide. A block gives out only links that join
+two components within it, fewer than it has members; no link between components is lost.
 
 Cases: a null or empty text has the empty set and links with nothing; texts of fewer words than a shingle are one
 shingle; repeated rows are one class; null ids take part but never name a component unless alone; other columns are
@@ -17,7 +19,8 @@ left out (``mark``) or kept (``keep_one``); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from .bitmap import narrowed
 from .components import components
 from .substring_dedup import Sums, WordHashes, content_key
 
-WORDS, PERMUTATIONS, PER_BAND, SEED, ROUNDS = 4, 90, 5, 5, 3
+WORDS, PERMUTATIONS, PER_BAND, SEED, ROUNDS, TILE = 4, 90, 5, 5, 3, 1024
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -86,6 +89,13 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
         run, f"doc_id {kind}, text_key binary, set_key binary, n_shingles long, bands array<long>, sketch array<tinyint>")
 
 
+def _is_link(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([u, v])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(u) + len(v) - shared)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union."""
 
@@ -93,11 +103,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for part in slices(batches, 512):
             good = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([u, v])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(u) + len(v) - shared))
+                good.append(_is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     pivots = narrowed(sets, "cid", pairs.select(F.col("b").alias("cid")).distinct()).select(
@@ -129,17 +135,101 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
-def _alike(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """a, b: bucket mates of different components whose signatures agree in at least the share expected at the
-    threshold, less five deviations."""
+def _blocks(apart: DataFrame) -> DataFrame:
+    """bucket, i, j, tile, cid, root: buckets as blocks of at most two tiles, so that any two members meet in one block.
+
+    Members are dealt to tiles of about ``TILE`` by a hash; block (i, i) compares tile i with itself, (i, j) tile i with j.
+    """
+    sizes = apart.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    own = apart.join(sizes, "bucket").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    met = own.select("bucket", "cid", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    return met.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cid", "root")
+
+
+class _Block:
+    """The members of one block, and the pairs in it that only their full sets can decide."""
+
+    def __init__(self, bucket: int, crossed: bool, rows: list[tuple], least: float):
+        self.bucket, self.crossed, self.least = bucket, crossed, least
+        self.tile = np.array([r[0] for r in rows])
+        self.cid = np.array([r[1] for r in rows], np.int64)
+        self.root = np.array([r[2] for r in rows], np.int64)
+        self.sketch = np.array([r[3] for r in rows], np.int8)
+        bands = np.array([r[4] for r in rows], np.int64)
+        self.before = bands[:, :int(np.flatnonzero(bands[0] == bucket)[0])]
+
+    def mates(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of another component that look like member ``k`` and share no earlier bucket with it, and how
+        many signature values agree."""
+        far = self.root[k + 1:] != self.root[k]
+        if self.crossed:
+            far &= self.tile[k + 1:] != self.tile[k]
+        at = np.flatnonzero(far) + k + 1
+        agree = (self.sketch[at] == self.sketch[k]).sum(1)
+        good = (agree >= self.least) & ~(self.before[at] == self.before[k]).any(1)
+        return at[good], agree[good]
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        """All pairs of mates, those that agree most first."""
+        found = [(np.full(len(at), k), at, agree) for k in range(len(self.cid) - 1) for at, agree in [self.mates(k)] if len(at)]
+        if found:
+            k, at, agree = map(np.concatenate, zip(*found))
+            order = np.argsort(-agree, kind="stable")
+            yield from zip(k[order].tolist(), at[order].tolist())
+
+
+def _in_blocks(rows: DataFrame, percent: int, fields: str, each: Callable[[_Block, list[tuple]], list[tuple]]) -> DataFrame:
+    """``each`` over the blocks of ``rows`` (bucket, i, j, tile, cid, root, sketch, bands, more), one after another."""
     n, p = 2 * PERMUTATIONS, percent / 100
     least = n * (p - 5 * (p * (1 - p) / n) ** 0.5)
-    drawn = apart.join(sketches.select("cid", "sketch"), "cid")
-    left, right = (drawn.select("bucket", F.col("cid").alias(c), F.col("root").alias(r), F.col("sketch").alias(v))
-                   for c, r, v in (("a", "ra", "u"), ("b", "rb", "v")))
-    agree = F.size(F.filter(F.zip_with("u", "v", lambda x, y: x == y), lambda t: t))
-    on = (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (agree >= least)
-    return left.join(right, on).select("a", "b").distinct()
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def made(rows: list[tuple], key: tuple) -> pa.RecordBatch:
+        out = each(_Block(key[0], key[1] != key[2], [r[3:] for r in rows], least), rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * len(names), names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = (row for part in slices(batches, 512) for row in zip(*(c.to_pylist() for c in part.columns)))
+        for key, group in groupby(read, key=lambda r: r[:3]):
+            members = list(group)  # at most about two tiles
+            if len(members) > 1:
+                yield made(members, key)
+
+    laid = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
+    return laid.mapInArrow(run, fields)
+
+
+def _undecided(blocks: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """bucket, i, j, cid: the members of a block that look like a mate of another component."""
+
+    def each(block: _Block, rows: list[tuple]) -> list[tuple]:
+        needed: set[int] = set()
+        for k in range(len(rows) - 1):
+            mates, _ = block.mates(k)
+            if len(mates):
+                needed.add(k)
+                needed.update(mates.tolist())
+        return [(*rows[k][:3], int(block.cid[k])) for k in sorted(needed)]
+
+    drawn = blocks.join(wanted.select("cid", "sketch", "bands"), "cid").select("bucket", "i", "j", "tile", "cid", "root", "sketch", "bands")
+    return _in_blocks(drawn, percent, "bucket long, i long, j long, cid long", each)
+
+
+def _joining(blocks: DataFrame, needed: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links between bucket mates of different components, those that join two within a block alone."""
+
+    def each(block: _Block, rows: list[tuple]) -> list[tuple]:
+        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        links, root = [], block.root.copy()
+        for k, m in block.pairs():
+            if root[k] != root[m] and _is_link(sets[k], sets[m], percent):
+                links.append((int(block.cid[k]), int(block.cid[m])))
+                root[root == root[m]] = root[k]
+        return links
+
+    drawn = blocks.join(needed, ["bucket", "i", "j", "cid"], "left_semi").join(wanted.select("cid", "sketch", "bands"), "cid").join(sets, "cid")
+    drawn = drawn.select("bucket", "i", "j", "tile", "cid", "root", "sketch", "bands", "values")
+    return _in_blocks(drawn, percent, "a long, b long", each)
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,7 +254,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> tupl
     placed = classes.select("cid", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = cut_lineage(placed.join(shared, "bucket", "left_semi"), "buckets")
-    wanted = narrowed(classes.select("cid", "text_key", "sketch"), "cid", members.select("cid").distinct())
+    wanted = narrowed(classes.select("cid", "text_key", "sketch", "bands"), "cid", members.select("cid").distinct())
     wanted = cut_lineage(wanted, "wanted")
     sets = cut_lineage(_sets(docs, wanted.select("cid", "text_key"), words), "sets")
     spark = docs.sparkSession
@@ -177,9 +267,9 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> tupl
                   .groupBy(F.col("cid").alias("a"), F.col("pivot.cid").alias("b")).agg(F.count("*").alias("n")))
         best = offers.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")
         roots = _joined(roots, _linked(cut_lineage(best, "offers"), sets, percent))
-    apart = cut_lineage(_apart(members, roots), "apart")
-    rest = cut_lineage(_alike(apart, wanted, percent), "rest")
-    roots = _joined(roots, _linked(rest, sets, percent))
+    blocks = cut_lineage(_blocks(cut_lineage(_apart(members, roots), "apart")), "blocks")
+    needed = cut_lineage(_undecided(blocks, wanted, percent), "needed")
+    roots = _joined(roots, cut_lineage(_joining(blocks, needed, wanted, sets, percent), "joining"))
     rooted = classes.select("set_key", "cid", "first_id").join(roots, F.col("cid") == F.col("node"), "left").select(
         "set_key", F.coalesce("root", "cid").alias("root"), "first_id")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component"))

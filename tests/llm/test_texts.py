@@ -357,3 +357,74 @@ def test_secrets_without_matches(docs):
     field = secrets.train(docs(rows))
     assert field is None and all(r["spans"] == [] for r in secrets.find(docs(rows), field).collect())
     assert secrets.find(docs([]), secrets.train(docs([]))).filter(F.size("spans") > 0).count() == 0
+
+
+# groups of near copies that only one text links ------------------------------------------
+
+@pytest.mark.parametrize("tile", [minhash_dedup.TILE, 50])
+def test_near_copies_of_one_text(docs, monkeypatch, tile):
+    """Copies with one other word each: all are linked with the original, none with each other."""
+    monkeypatch.setattr(minhash_dedup, "TILE", tile)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(5000, " ".join(base))]
+    for i in range(1500):
+        own = list(base)
+        own[8 + i % 44] = f"x{i}"
+        rows.append((i + (i >= 700) * 9000, " ".join(own)))
+    rows += [(20_000 + i, " ".join(f"y{i}-{k % 30}" for k in range(40))) for i in range(40)]
+    got = minhash_dedup.mark(docs(rows)).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] < 20_000} == {0}
+    assert all(r["kept"] for r in got if r["doc_id"] >= 20_000)
+
+
+def test_blocks_bring_any_two_members_together(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "TILE", 4)
+    apart = spark.range(60).select((F.col("id") % 2).alias("bucket"), F.col("id").alias("cid"), F.col("id").alias("root"))
+    met = Counter()
+    blocks = {}
+    for r in minhash_dedup._blocks(apart).collect():
+        blocks.setdefault((r["bucket"], r["i"], r["j"]), []).append((r["tile"], r["cid"]))
+    for (_, i, j), members in blocks.items():
+        met.update((a, b) for s, a in members for t, b in members if a < b and (i == j or s != t))
+    assert met == Counter((a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2)
+
+
+# the field's decoding, the noisy-or ------------------------------------------------------
+
+def test_viterbi_against_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5):
+        for _ in range(40):
+            steps = rng.normal(size=(3, 3)) + np.where(np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]]) > 0, 0.0, secrets.OFF)
+            field = secrets.Field(np.zeros((secrets.BUCKETS, 3)), np.zeros((5, 3)), steps, frozenset())
+            emit = rng.normal(size=(n, 3)) * 2
+
+            def worth(path):
+                start = secrets.OFF if path[0] == secrets.I else 0
+                return start + sum(emit[i, t] for i, t in enumerate(path)) + sum(steps[a, b] for a, b in zip(path, path[1:]))
+
+            got = secrets.Tagger(field).viterbi(emit.tolist())
+            assert worth(got) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=n))))
+
+
+def test_every_secret_of_a_line_is_an_example():
+    keys = [f"password={i:02}abcdefgh" for i in range(30)]
+    made = secrets._examples([" ".join(w for k in keys for w in [k, *["und"] * 9])])
+    tagged = {w for words, tags, _ in made for w, t in zip(words, tags) if t}
+    assert tagged == set(keys)
+
+
+def test_noisy_or_against_its_formula():
+    scorer = toxicity.Scorer(toxicity.Model(np.zeros(toxicity.BUCKETS), -4.0, 0.01, 0.02))
+    p0 = 1 / (1 + np.exp(4.0))
+    rng = random.Random(4)
+    for _ in range(200):
+        own = [rng.choice([p0, p0 / 2, 0.03, 0.2, 0.5, 0.9]) for _ in range(rng.randint(0, 60))]
+        evidence = [1 - (1 - p) / (1 - p0) for p in own if p > p0]
+        keep = np.prod([1 - e for p, e in zip([p for p in own if p > p0], evidence) if p >= toxicity.STRONG] or [1.0])
+        weak = -sum(np.log(1 - e) for p, e in zip([p for p in own if p > p0], evidence) if p < toxicity.STRONG)
+        weak = max(weak - len(own) * 0.01 - toxicity.BEYOND * 0.02 * len(own) ** 0.5, 0)
+        want = max([1 - (1 - p0) * keep * np.exp(-weak), p0, *own])
+        assert scorer.document([(0, 1, p) for p in own]) == pytest.approx(want)
