@@ -171,13 +171,13 @@ def code_market(spark, sf_dir):
 
 
 # How the feed names the statistics, and what they are called here.
-STATS = [("  CORNERS ", "corners"), ("Tirs cadrés", "shots_on_target"), ("Tirs vers le but", "shots"), ("Fautes", "fouls"),
+SUBGAMES = [("  CORNERS ", "corners"), ("Tirs cadrés", "shots_on_target"), ("Tirs vers le but", "shots"), ("Fautes", "fouls"),
          ("Cartons Jaunes", "cards"), ("cartons", "cards"), ("Tacles", "tackles"), ("Dégagements de but", "goalkicks"),
          ("Sauvetages", "saves"), ("CONTRÔLES VAR", "var"), ("Hors-jeu", "offside"), ("Touches", "throwins")]
 
 
 @query("s06_stat_subgame_explode", with_ctes(QUOTES_SQL, f"""
-names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{stat}')" for i, (_, stat) in enumerate(STATS))}) t(s, stat)),
+names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{stat}')" for i, (_, stat) in enumerate(SUBGAMES))}) t(s, stat)),
 subs AS (SELECT *, ingest_seq // 10000 % 12 AS s, CAST(match_id AS BIGINT) AS k FROM quotes WHERE n_outcomes = 2)""", """
 SELECT home_team, concat(stat, CASE WHEN team_scope IS NULL THEN '_total' ELSE '_team' END) AS market_type, selection, line, team_scope, odds
 FROM subs JOIN names USING (s) WHERE CASE s WHEN 4 THEN k % 2 = 0 WHEN 5 THEN k % 2 = 1 ELSE TRUE END"""))
@@ -191,9 +191,9 @@ def stats(spark, sf_dir):
 
     first = F.when(key % 2 == 0, 4).otherwise(5)
     listed = [sg("Inconnu", key), sg("Fautes", F.lit(0))]  # an unknown name, and a sub-game without an id
-    cards = [F.struct(F.when(at == 4, STATS[4][0]).otherwise(STATS[5][0]).alias("TG"), (key * 20 + at + 1).cast("bigint").alias("I"))
+    cards = [F.struct(F.when(at == 4, SUBGAMES[4][0]).otherwise(SUBGAMES[5][0]).alias("TG"), (key * 20 + at + 1).cast("bigint").alias("I"))
              for at in (first, 9 - first)]
-    listed += cards + [sg(name, key * 20 + i + 1) for i, (name, stat) in enumerate(STATS) if stat != "cards"] + [sg("Corners", key)]
+    listed += cards + [sg(name, key * 20 + i + 1) for i, (name, stat) in enumerate(SUBGAMES) if stat != "cards"] + [sg("Corners", key)]
     main = src.table(spark, sf_dir, "part").select(
         key.alias("event_id"), F.concat(F.lit("Home "), key.cast("string")).alias("home_team"),
         F.concat(F.lit("Away "), key.cast("string")).alias("away_team"), F.lit("L").alias("competition"),

@@ -36,9 +36,25 @@ def _seq(place: Column) -> Column:
     return F.shiftleft(F.col("feed_seq").cast("bigint"), 31) + place
 
 
-def _leaves(outer: Column, inner: Callable[[Column], Column]) -> Column:
-    """The entries of ``inner`` over all elements of ``outer`` in order; missing ones have none."""
-    return F.flatten(F.filter(F.transform(outer, inner), lambda x: x.isNotNull()))
+def _count(col: Column) -> Column:
+    return F.coalesce(F.size(col), F.lit(0))
+
+
+def _total(elements: Column, leaves: Callable[[Column], Column]) -> Column:
+    """How many leaves all elements have together; a missing array or element has none."""
+    each = F.transform(elements, lambda x: F.coalesce(leaves(x), F.lit(0)))
+    return F.coalesce(F.aggregate(each, F.lit(0), lambda total, n: total + n), F.lit(0))
+
+
+def _numbered(elements: Column, leaves: Callable[[Column], Column], first: Column | None = None) -> Column:
+    """Each element as ``x`` with the place ``at`` of its first leaf: ``first`` and the leaves of the elements before it.
+
+    Levels are exploded one by one with these places, so that nothing above a leaf is copied into it.
+    """
+    each = F.transform(elements, lambda x: F.coalesce(leaves(x), F.lit(0)))
+    begin = F.array(F.lit(0) if first is None else first)
+    places = F.aggregate(each, begin, lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+    return F.zip_with(elements, F.slice(places, F.lit(1), F.size(elements)), lambda x, at: F.struct(x.alias("x"), at.alias("at")))
 
 
 def _has(col: Column, pattern: str) -> Column:
@@ -53,13 +69,12 @@ def linefeed_explode(
     codes = values_dim(
         raw.sparkSession, ["g", "t", "market_type", "n_outcomes", "selection", "team_scope"], C.LINE_FEED_CODES
     )
-    placed = _leaves(F.col("root"), lambda ev: F.transform(ev["E"], lambda e: F.struct(ev.dropFields("E").alias("ev"), e.alias("e"))))
-    entries = raw.select("feed_seq", F.from_json("payload", LINE_FEED)["Value"].alias("root")).select(
-        "feed_seq", F.posexplode(placed).alias("place", "leaf")
-    ).select("feed_seq", "place", "leaf.ev", "leaf.e").filter(
-        (F.coalesce("ev.O1", F.lit("")) != "") & (F.coalesce("ev.O2", F.lit("")) != "") & (F.coalesce("ev.S", F.lit(0)) != 0)
-        & ~F.col("e.G").isin(C.LINE_FEED_EXCLUDED_GROUPS) & (F.col("e.C") > 1.0)
-    )
+    events = raw.select("feed_seq", F.from_json("payload", LINE_FEED)["Value"].alias("root")).select(
+        "feed_seq", F.explode(_numbered(F.col("root"), lambda ev: _count(ev["E"]))).alias("n")
+    ).select("feed_seq", "n.at", F.col("n.x").alias("ev")).filter(
+        (F.coalesce("ev.O1", F.lit("")) != "") & (F.coalesce("ev.O2", F.lit("")) != "") & (F.coalesce("ev.S", F.lit(0)) != 0))
+    entries = events.select("feed_seq", "at", "ev", F.posexplode("ev.E").alias("j", "e")).filter(
+        ~F.col("e.G").isin(C.LINE_FEED_EXCLUDED_GROUPS) & (F.col("e.C") > 1.0))
     start = F.timestamp_seconds("ev.S")
     rows = entries.join(F.broadcast(codes), (F.col("e.G") == F.col("g")) & (F.col("e.T") == F.col("t")))
     return as_quotes(rows.select(
@@ -70,7 +85,7 @@ def linefeed_explode(
         "market_type", "n_outcomes", "selection", F.col("e.P").alias("line"), "team_scope", F.col("e.C").alias("odds"),
         F.concat(F.lit(base_url + "/line/football/"), F.coalesce(F.col("ev.I").cast("string"), F.lit(""))).alias("url"),
         (scraped_at if scraped_at is not None else F.lit(None)).alias("scraped_at"),
-        _seq(F.col("place")).alias("ingest_seq"),
+        _seq(F.col("at") + F.col("j")).alias("ingest_seq"),
     ))
 
 
@@ -111,21 +126,34 @@ def tree_flatten(
     scraped_at: Column | None = None,
 ) -> DataFrame:
     """Feed of maps keyed by id, sport -> competition -> game -> market -> event."""
-    def of_game(comp: Column, game: Column) -> Column:
-        return _leaves(F.map_values(game["market"]), lambda market: F.transform(F.map_values(market["event"]), lambda ev: F.struct(
-            F.coalesce(comp["name"], F.lit("")).alias("competition"), game["id"].alias("game_id"),
-            game["team1_name"].alias("home_team"), game["team2_name"].alias("away_team"), game["start_ts"].alias("start_ts"),
-            market["type"].alias("type"), ev.alias("ev"))))
-
-    placed = _leaves(F.map_values("root"), lambda sp: _leaves(F.map_values(sp["competition"]), lambda comp: _leaves(
-        F.map_values(comp["game"]), lambda game: of_game(comp, game))))
-    events = raw.select("feed_seq", F.from_json("payload", TREE_FEED)["sport"].alias("root")).select(
-        "feed_seq", F.posexplode(placed).alias("place", "leaf")
-    ).select("feed_seq", "place", "leaf.*").filter(
-        (F.coalesce("home_team", F.lit("")) != "") & (F.coalesce("away_team", F.lit("")) != "")
-        & (F.coalesce("start_ts", F.lit(0)) != 0)
-    ).withColumn("start_time", F.timestamp_seconds("start_ts"))
-    resolved = tree_market_resolve(events).filter(F.col("resolved").isNotNull())
+    def of_market(market: Column) -> Column:
+        return _count(market["event"])
+
+    def of_game(game: Column) -> Column:
+        return _total(F.map_values(game["market"]), of_market)
+
+    def of_competition(comp: Column) -> Column:
+        return _total(F.map_values(comp["game"]), of_game)
+
+    def of_sport(sport: Column) -> Column:
+        return _total(F.map_values(sport["competition"]), of_competition)
+
+    def level(rows: DataFrame, keep: list, elements: Column, leaves: Callable[[Column], Column], first: Column | None = None) -> DataFrame:
+        return rows.select(*keep, F.explode(_numbered(elements, leaves, first)).alias("n"))
+
+    at = F.col("n.at")
+    root = raw.select("feed_seq", F.from_json("payload", TREE_FEED)["sport"].alias("root"))
+    sports = level(root, ["feed_seq"], F.map_values("root"), of_sport)
+    comps = level(sports, ["feed_seq"], F.map_values("n.x.competition"), of_competition, at)
+    games = level(comps, ["feed_seq", F.coalesce("n.x.name", F.lit("")).alias("competition")], F.map_values("n.x.game"), of_game, at)
+    named = games.filter(
+        (F.coalesce("n.x.team1_name", F.lit("")) != "") & (F.coalesce("n.x.team2_name", F.lit("")) != "")
+        & (F.coalesce("n.x.start_ts", F.lit(0)) != 0))
+    teams = [F.col("n.x.id").alias("game_id"), F.col("n.x.team1_name").alias("home_team"), F.col("n.x.team2_name").alias("away_team"),
+             F.timestamp_seconds("n.x.start_ts").alias("start_time")]
+    markets = level(named, ["feed_seq", "competition", *teams], F.map_values("n.x.market"), of_market, at).withColumn("type", F.col("n.x.type"))
+    known = tree_market_resolve(markets).filter(F.col("resolved").isNotNull())
+    resolved = known.select(*[c for c in known.columns if c != "n"], at.alias("at"), F.posexplode(F.map_values("n.x.event")).alias("j", "ev"))
     selection = lookup(C.TREE_SELECTIONS, F.col("ev.type"))
     rows = resolved.withColumn("selection", selection).filter(F.col("selection").isNotNull() & (F.col("ev.price") > 1.0))
     return as_quotes(rows.select(
@@ -136,7 +164,7 @@ def tree_flatten(
         F.col("ev.price").alias("odds"),
         F.concat(F.lit(base_url + "/fr/sports/event/"), F.col("game_id").cast("string")).alias("url"),
         (scraped_at if scraped_at is not None else F.lit(None)).alias("scraped_at"),
-        _seq(F.col("place")).alias("ingest_seq"),
+        _seq(F.col("at") + F.col("j")).alias("ingest_seq"),
     ))
 
 
@@ -182,30 +210,36 @@ def grouped_feed_flatten(
     """Feed of event groups per sport id, outcomes in lists of one-key maps."""
     blank = F.lit("")
 
-    def of_market(grp: Column, ev: Column, market: Column) -> Column:
-        return _leaves(market["ou"], lambda o: F.transform(F.map_values(o), lambda out: F.struct(
-            F.coalesce(F.nullif(grp["trn"], blank), F.nullif(grp["ctn"], blank), blank).alias("competition"),
-            ev.dropFields("mr").alias("ev"), market.dropFields("ou").alias("market"), out.alias("out"))))
+    def of_market(market: Column) -> Column:
+        return _total(market["ou"], lambda o: _count(o))
+
+    def of_event(ev: Column) -> Column:
+        return _total(F.map_values(ev["mr"]), of_market)
 
-    placed = _leaves(F.col("root"), lambda grp: _leaves(grp["events"], lambda ev: _leaves(
-        F.map_values(ev["mr"]), lambda market: of_market(grp, ev, market))))
-    outs = raw.select(
+    at = F.col("n.at")
+    groups = raw.select(
         "feed_seq", F.try_element_at(F.from_json("payload", GROUPED_FEED), F.lit(str(sport_id))).alias("root")
-    ).select("feed_seq", F.posexplode(placed).alias("place", "leaf")).select("feed_seq", "place", "leaf.*")
-    left, right = split_pair(F.col("ev.nm"))
-    teams = F.col("ev.cms")
+    ).select("feed_seq", F.explode(_numbered(F.col("root"), lambda grp: _total(grp["events"], of_event))).alias("n"))
+    competition = F.coalesce(F.nullif("n.x.trn", blank), F.nullif("n.x.ctn", blank), blank).alias("competition")
+    listed = groups.select("feed_seq", competition, F.explode(_numbered(F.col("n.x.events"), of_event, at)).alias("n"))
+    left, right = split_pair(F.col("n.x.nm"))
+    teams = F.col("n.x.cms")
     named = (F.size(teams) == 2) & F.forall(teams, lambda t: F.coalesce(t, blank) != "")
-    events = outs.select(
-        "feed_seq", "place", "competition", "market", "out", F.col("ev.id").alias("event_id"),
+    events = listed.select(
+        "feed_seq", "competition", "n", F.col("n.x.id").alias("event_id"),
         F.when(named, F.get(teams, F.lit(0))).otherwise(left).alias("home_team"),
         F.when(named, F.get(teams, F.lit(1))).otherwise(right).alias("away_team"),
-        F.col("ev.tm").try_cast("timestamp").alias("start_time"),
+        F.col("n.x.tm").try_cast("timestamp").alias("start_time"),
     ).filter(F.col("home_team").isNotNull() & F.col("away_team").isNotNull() & F.col("start_time").isNotNull())
-    outcomes = code_market_resolve(
-        events.select("*", F.col("market.tp").alias("tp"), F.col("market.nm").alias("nm"), F.col("market.pn").alias("pn")))
+    facts = ["feed_seq", "competition", "event_id", "home_team", "away_team", "start_time"]
+    markets = code_market_resolve(events.select(*facts, F.explode(_numbered(F.map_values("n.x.mr"), of_market, at)).alias("n")).select(
+        *facts, "n", F.col("n.x.tp").alias("tp"), F.col("n.x.nm").alias("nm"), F.col("n.x.pn").alias("pn")))
+    facts += ["resolved", F.col("n.x.vl").alias("market_vl")]
+    lists = markets.select(*facts, F.explode(_numbered(F.col("n.x.ou"), lambda o: _count(o), at)).alias("n"))
+    outcomes = lists.select(*facts[:-1], "market_vl", at.alias("at"), F.posexplode(F.map_values("n.x")).alias("j", "out"))
     selection = lookup(C.GROUPED_SELECTIONS, F.col("out.nm"))
     line = F.coalesce(
-        F.nullif("out.vl", blank).try_cast("double"), F.nullif("market.vl", blank).try_cast("double"))
+        F.nullif("out.vl", blank).try_cast("double"), F.nullif("market_vl", blank).try_cast("double"))
     rows = outcomes.withColumn("selection", selection).filter(F.col("selection").isNotNull() & (F.col("out.kf") > 1.0))
     return as_quotes(rows.select(
         F.lit(bookmaker).alias("bookmaker"), F.lit(sport).alias("sport"), "competition",
@@ -214,7 +248,7 @@ def grouped_feed_flatten(
         line.alias("line"), "resolved.team_scope", F.col("out.kf").alias("odds"),
         F.concat(F.lit(base_url + "/en/sport/event/"), F.col("event_id")).alias("url"),
         (scraped_at if scraped_at is not None else F.lit(None)).alias("scraped_at"),
-        _seq(F.col("place")).alias("ingest_seq"),
+        _seq(F.col("at") + F.col("j")).alias("ingest_seq"),
     ))
 
 
