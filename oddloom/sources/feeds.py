@@ -51,10 +51,13 @@ def _numbered(elements: Column, leaves: Callable[[Column], Column], first: Colum
 
     Levels are exploded one by one with these places, so that nothing above a leaf is copied into it.
     """
-    each = F.transform(elements, lambda x: F.coalesce(leaves(x), F.lit(0)))
+    size = F.size(elements)
+    before = F.slice(elements, F.lit(1), F.greatest(size - 1, F.lit(0)))  # nothing comes after the last element
+    each = F.transform(before, lambda x: F.coalesce(leaves(x), F.lit(0)))
     begin = F.array(F.lit(0) if first is None else first)
     places = F.aggregate(each, begin, lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
-    return F.zip_with(elements, F.slice(places, F.lit(1), F.size(elements)), lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+    placed = F.zip_with(elements, places, lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+    return F.when(size > 0, placed)
 
 
 def _has(col: Column, pattern: str) -> Column:
@@ -234,9 +237,8 @@ def grouped_feed_flatten(
     facts = ["feed_seq", "competition", "event_id", "home_team", "away_team", "start_time"]
     markets = code_market_resolve(events.select(*facts, F.explode(_numbered(F.map_values("n.x.mr"), of_market, at)).alias("n")).select(
         *facts, "n", F.col("n.x.tp").alias("tp"), F.col("n.x.nm").alias("nm"), F.col("n.x.pn").alias("pn")))
-    facts += ["resolved", F.col("n.x.vl").alias("market_vl")]
-    lists = markets.select(*facts, F.explode(_numbered(F.col("n.x.ou"), lambda o: _count(o), at)).alias("n"))
-    outcomes = lists.select(*facts[:-1], "market_vl", at.alias("at"), F.posexplode(F.map_values("n.x")).alias("j", "out"))
+    outs = F.flatten(F.transform(F.filter("n.x.ou", lambda o: o.isNotNull()), lambda o: F.map_values(o)))
+    outcomes = markets.select(*facts, "resolved", F.col("n.x.vl").alias("market_vl"), at.alias("at"), F.posexplode(outs).alias("j", "out"))
     selection = lookup(C.GROUPED_SELECTIONS, F.col("out.nm"))
     line = F.coalesce(
         F.nullif("out.vl", blank).try_cast("double"), F.nullif("market_vl", blank).try_cast("double"))
