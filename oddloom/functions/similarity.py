@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -53,27 +54,67 @@ def _set_score(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(_MEMO)
 def _partial_score(a: str, b: str) -> float:
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not long:
-        return 100.0
-    if not short:
-        return 0.0
-    if len(a) == len(b):  # neither text is the shorter one: both directions count
-        return max(_best_window(a, b), _best_window(b, a))
-    return _best_window(short, long)
+    return _partial_scores([(a, b)])[0]
+
+
+_WORD, _PAIRS = 64, 4096  # letters of a machine word, pairs handled at once
+
+
+def _partial_scores(pairs: list[tuple[str, str]]) -> list[float]:
+    """Best ratio of the shorter text of each pair against any window of its length in the longer one."""
+    best, asked = [0.0] * len(pairs), []
+    for k, (a, b) in enumerate(pairs):
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        if not long:
+            best[k] = 100.0
+        elif short:
+            # of texts of equal length neither is the shorter one: both directions count
+            asked += [(k, short, long), (k, long, short)] if len(a) == len(b) else [(k, short, long)]
+    fits = [q for q in asked if len(q[1]) <= _WORD]
+    for at in range(0, len(fits), _PAIRS):
+        part = fits[at:at + _PAIRS]
+        for (k, _, _), score in zip(part, _best_windows([q[1:] for q in part]).tolist()):
+            best[k] = max(best[k], score)
+    for k, short, long in asked:
+        if len(short) > _WORD:
+            best[k] = max(best[k], _best_window(short, long))
+    return best
+
+
+def _best_windows(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The same for short texts of up to one machine word, all windows of all pairs in step.
+
+    One bit per letter of the short text says whether it is still unmatched; a letter of the window clears the next one
+    that equals it, by one addition for all bits.
+    """
+    n, m = (np.array([len(p[i]) for p in pairs]) for i in (0, 1))
+    masks: list[int] = []
+    for short, long in pairs:
+        where: dict[str, int] = {}
+        for i, letter in enumerate(short):
+            where[letter] = where.get(letter, 0) | (1 << i)
+        masks += [where.get(letter, 0) for letter in long]
+    letters, count = np.array(masks, np.uint64), n + m - 1
+    owner = np.repeat(np.arange(len(pairs)), count)
+    first = np.cumsum(count) - count
+    start = np.arange(len(owner)) - first[owner] + 1 - n[owner]
+    begin, end = np.maximum(start, 0), np.minimum(start + n[owner], m[owner])
+    place = (np.cumsum(m) - m)[owner] + begin
+    full = np.array([(1 << int(k)) - 1 for k in n], np.uint64)[owner]
+    row = full.copy()
+    for step in range(int(n.max())):
+        live = begin + step < end
+        hit = row & np.where(live, letters[np.minimum(place + step, len(letters) - 1)], np.uint64(0))
+        row = ((row + hit) | (row - hit)) & full
+    shared = n[owner] - np.bitwise_count(row)
+    return np.maximum.reduceat(200.0 * shared / (n[owner] + end - begin), first)
 
 
 def _best_window(short: str, long: str) -> float:
-    n, best = len(short), 0.0
-    for start in range(1 - n, len(long)):
-        score = _ratio(short, long[max(0, start):start + n])
-        if score > best:
-            best = score
-            if best == 100.0:
-                break
-    return best
+    """For longer texts, one window after another."""
+    n = len(short)
+    return max(_ratio(short, long[max(0, start):start + n]) for start in range(1 - n, len(long)))
 
 
 def _over_pairs(score, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -91,7 +132,10 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _over_pairs(_partial_score, a, b)
+    pairs = [(x, y) for x, y in zip(a, b)]
+    asked = list({p for p in pairs if p[0] is not None and p[1] is not None})
+    scores = dict(zip(asked, _partial_scores(asked)))
+    return pd.Series([scores.get(p) for p in pairs], dtype="float64")
 
 
 def _scored(function, a: Column, b: Column) -> Column:

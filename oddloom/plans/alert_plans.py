@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import alerts as P
+from ..operators import cycle as Y
+from ..session import cut_lineage
 from ..sources import adapters as src
-from .common import HISTORY_SQL, SEASON_OPPS_SQL
+from .arbitrage_plans import FIRST_LEG_SQL
+from .common import COMBOS_SQL, HISTORY_SQL, OPPS_SQL, SEASON_OPPS_SQL, on
+from .reconciled import reconciled_sql
 from .registry import query, with_ctes
 
 
@@ -146,3 +150,39 @@ def text(spark, sf_dir):
 SELECT id FROM dated WHERE least(mise_a * odds1, mise_b * odds2, mise_c * odds3) > 1000"""))
 def safe(spark, sf_dir):
     return P.safe_after_rounding(src.season_opportunities(spark, sf_dir)).select("id")
+
+
+CYCLE_AT, CYCLE_AGE_DAYS = "1996-06-01 00:00:00", 700
+
+CYCLE_SQL = f"""
+WITH RECURSIVE {reconciled_sql(f"""SELECT * FROM spelled WHERE start_time > TIMESTAMP '{CYCLE_AT}'
+  AND scraped_at >= TIMESTAMP '{CYCLE_AT}' - INTERVAL {CYCLE_AGE_DAYS} DAYS""")}, {COMBOS_SQL}, {OPPS_SQL}, {FIRST_LEG_SQL},
+new AS (
+  SELECT CAST(concat('0x', substr(sha1(concat_ws('|', c.match_id, c.market_type, coalesce(CAST(c.line AS VARCHAR), ''), coalesce(c.team_scope, ''))), 1, 15))
+      AS BIGINT) AS id, concat(f[3], ' - ', f[4]) AS match, f[1] AS sport, n_outcomes AS n_issues,
+    bk1, odds1, sel1, bk2, odds2, sel2, bk3, odds3, sel3, c.market_type, c.line, roi_pct,
+    CAST(round_even(100 * greatest(0, least(1, (0.30 + 0.35::DOUBLE * 0.85 + 0.20::DOUBLE * 0.85 + 0.15)
+      * CASE WHEN c.market_type IN ('1x2', 'goals_total') AND roi_pct > 25 THEN 0 WHEN roi_pct > 40 THEN 0.15 ELSE 1 END)), 0) AS INTEGER) AS score_ia
+  FROM opps c JOIN first_leg l ON {on('c', 'l')} AND l.selection = sel1 AND l.bookmaker = bk1 AND l.odds = odds1),
+known AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN round(odds1 + 0.05, 2) ELSE odds1 END AS odds1) FROM new WHERE id % 3 = 0),
+stored AS (
+  SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM known h WHERE h.match = n.match AND h.n_issues = n.n_issues AND h.odds1 = n.odds1
+    AND h.odds2 = n.odds2 AND h.odds3 IS NOT DISTINCT FROM n.odds3 AND h.bk1 = n.bk1 AND h.bk2 = n.bk2 AND h.bk3 IS NOT DISTINCT FROM n.bk3
+    AND h.sel1 = n.sel1 AND h.market_type = n.market_type AND h.line IS NOT DISTINCT FROM n.line)
+  QUALIFY row_number() OVER (PARTITION BY match, n_issues, market_type, line, sel1, bk1, odds1, bk2, odds2, bk3, odds3 ORDER BY roi_pct DESC, id) = 1),
+flagged AS (
+  SELECT *, row_number() OVER (PARTITION BY match, sport ORDER BY roi_pct DESC, id) = 1
+    AND NOT EXISTS (SELECT 1 FROM known k WHERE k.match = s.match AND k.sport = s.sport) AS alertable FROM stored s)
+SELECT id, match, sport, n_issues, round(roi_pct, 6) AS roi_pct, score_ia, alertable, alertable AND roi_pct >= 3 AND score_ia >= 70 AS alert
+FROM flagged"""
+
+
+@query("p13_full_cycle", CYCLE_SQL)
+def cycle(spark, sf_dir):
+    """A cycle whose history holds a third of its detections, half of those at another price."""
+    at = F.lit(CYCLE_AT)
+    found = cut_lineage(Y.detect(src.spelled_quotes(spark, sf_dir), at, CYCLE_AGE_DAYS * 86400), "detections")
+    moved = F.when(F.col("id") % 2 == 0, F.round(F.col("cote_a") + 0.05, 2)).otherwise(F.col("cote_a"))
+    known = found.filter(F.col("id") % 3 == 0).withColumn("cote_a", moved)
+    return Y.store_and_alert(found, known).select(
+        "id", "match", "sport", "n_issues", F.round("roi_pct", 6).alias("roi_pct"), "score_ia", "alertable", "alert")

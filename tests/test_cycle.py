@@ -209,3 +209,22 @@ def test_two_way_signals_are_history(spark, monkeypatch):
     assert first == {2: False, 3: True}
     assert jobs["p10_cycle_counters"](spark, "").first().asDict() == dict(
         detected=2, duplicates=1, silent=0, alerted=1)
+
+
+def test_cycle_from_quotes_to_alerts(spark):
+    from oddloom.operators.cycle import run_cycle
+
+    at, soon = F.lit(str(AS_OF)), AS_OF + timedelta(seconds=30)
+    late = {"match_id": "m2", "home_team": "Lyon", "away_team": "Nice", "scraped_at": AS_OF - timedelta(seconds=90)}
+    begun = {"match_id": "m3", "home_team": "Metz", "away_team": "Lens", "start_time": AS_OF - timedelta(minutes=1)}
+    rows = THREE + TWO + [(*r, late) for r in TWO] + [(*r, begun) for r in TWO]
+    pool = quotes(spark, [(*r[:5], {"match_id": "other", "home_team": "FC Ghana"}) if i == 1 else r for i, r in enumerate(rows)])
+    first = run_cycle(pool, wide(spark, TWO, 1).limit(0), at, bankroll=1000.0)
+    got = [(r["n_issues"], r["alertable"], r["alert"]) for r in first.orderBy("n_issues").collect()]
+    assert got == [(2, False, False), (3, True, True)]  # old and begun ones are out, spellings joined, the better one signals
+    stored = spark.createDataFrame(first.collect(), first.schema)
+    again = run_cycle(pool, stored, at, bankroll=1000.0)
+    assert again.isEmpty()
+    moved = quotes(spark, [("b", "goals_total", "over", 2.5, 2.20, {"scraped_at": soon}), (*TWO[1], {"scraped_at": soon})])
+    later = run_cycle(moved, stored, F.lit(str(soon)), bankroll=1000.0).collect()
+    assert [(r["cote_a"], r["alertable"], r["alert"]) for r in later] == [(2.20, False, False)]

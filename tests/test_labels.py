@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,42 @@ def test_raw_rows_become_quotes(spark):
     ).withColumn("start_time", F.lit("2026-07-24 10:00:00").cast("timestamp"))
     rows = N.raw_to_quotes(df).collect()
     assert [(r["market_type"], r["selection"], r["odds"]) for r in rows] == [("1x2", "home", 1.57)]
+
+
+def plain_partial(a, b):
+    from oddloom.functions import similarity as sim
+
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short or not long:
+        return 100.0 if not long else 0.0
+    sides = [(short, long), (long, short)] if len(a) == len(b) else [(short, long)]
+    return max(sim._ratio(s, t[max(0, i):i + len(s)]) for s, t in sides for i in range(1 - len(s), len(t)))
+
+
+def test_windows_in_step_equal_one_by_one():
+    from oddloom.functions import similarity as sim
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["a" * 64, "ab" * 33, "b" * 70]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(1500)]
+    assert sim._partial_scores(pairs) == pytest.approx([plain_partial(a, b) for a, b in pairs])
+
+
+def test_scope_decided_without_scoring_is_the_same(spark):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 9))).strip() for _ in range(40)] + ["Ghana", "FC Ghana"]
+    rows = [(rng.choice(["Total ", "", "x "]) + rng.choice(names), rng.choice([*names, None]), rng.choice([*names, None])) for _ in range(900)]
+
+    def key(text):
+        from oddloom.constants import TEAM_ALIASES
+
+        k = " ".join((text or "").lower().split())
+        return TEAM_ALIASES.get(k, k)
+
+    want = []
+    for label, home, away in rows:
+        h, a = (plain_partial(key(label), key(n)) for n in (home, away))
+        want.append(None if max(h, a) < 85 else "home" if h >= a else "away")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, label string, home string, away string")
+    got = [r["team_scope"] for r in N.team_scope_in_label(df, "label", "home", "away").orderBy("id").collect()]
+    assert got == want and len({*want}) == 3
