@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions.labels import team_scope_score
 from ..functions.similarity import similar_ratio
 from ..functions.text import lookup, plain_number, same_squad_level, strip_accents
+from ..session import cut_lineage
 from ..sources.feeds import split_pair
 from .resolve import SIDE, canonical_key, similar_matches, with_side_keys
 
@@ -75,10 +76,11 @@ def _offer_sides(boosts: DataFrame) -> DataFrame:
 
 
 def match_pools(boosts: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which quoted matches belong to which offer, and each offer's first quote.
+    """Which quoted matches belong to which offer, and each offer's first quote: the index all pricing shares.
 
     Returns (boost_id + side keys of the quotes, boost_id + reference teams
-    and bookmaker). Quotes are first reduced to one row per spelled match.
+    and bookmaker). Quotes are first reduced to one row per spelled match; the
+    index is written once, and callers that price an offer several ways pass it on.
     """
     offers = _offer_sides(boosts).select("boost_id", *SIDE)
     spelled = with_side_keys(
@@ -93,7 +95,7 @@ def match_pools(boosts: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFr
         F.col("l.home_level").alias("home_level"), F.col("l.o_home").alias("home_key"), F.col("l.away_level").alias("away_level"),
         F.col("l.o_away").alias("away_key"), F.col("r.home_key").alias("q_home"), F.col("r.away_key").alias("q_away"),
         F.col("r.seq").alias("seq"), F.col("r.ref").alias("ref"))
-    pool = offers.join(linked, SIDE)
+    pool = cut_lineage(offers.join(linked, SIDE), "offer-matches")
     refs = pool.groupBy("boost_id").agg(F.min_by("ref", "seq").alias("ref")).select(
         "boost_id", F.col("ref.home_team").alias("ref_home"), F.col("ref.away_team").alias("ref_away"),
         F.col("ref.bookmaker").alias("book"))
@@ -116,8 +118,13 @@ def _priced_stat(scoped: Column) -> Column:
     return F.when(known, F.concat("stat", F.when(scoped, "_team").otherwise("_total")))
 
 
-def price_condition(conditions: DataFrame, boosts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """add fair odds, bookmaker and detail to every condition."""
+def _scope_key(col: str) -> Column:
+    return F.coalesce(col, F.lit("")).alias("scope")
+
+
+def price_condition(conditions: DataFrame, boosts: DataFrame, quotes: DataFrame, feed: str | None = None) -> DataFrame:
+    """add fair odds, bookmaker and detail to every condition; with ``feed`` by that bookmaker's prices alone."""
+    quotes = quotes if feed is None else quotes.filter(F.col("bookmaker") == feed)
     keys, refs = match_pools(boosts, quotes)
     rows = conditions.join(refs, "boost_id", "left").withColumn("side", _side_of(F.col("team")))
     kind, each = F.col("kind"), F.col("each_team")
@@ -130,17 +137,18 @@ def price_condition(conditions: DataFrame, boosts: DataFrame, quotes: DataFrame)
     scopes = F.when(each, F.array(F.lit("home"), F.lit("away"))).otherwise(F.array(scope))
     needs = rows.filter(market.isNotNull() & pick.isNotNull()).select(
         "boost_id", "pos", market.alias("market_type"), pick.alias("selection"), "line", F.explode(scopes).alias("team_scope"))
-    best = quotes.groupBy("home_team", "away_team", "market_type", "selection", "line", "team_scope").agg(
-        F.max("odds").alias("odds"))
-    # Needs are placed on the quoted matches first: the join with prices is then an equality.
-    n, p = needs.join(keys, "boost_id").alias("n"), with_side_keys(best).alias("p")
-    fits = F.col("n.team_scope").eqNullSafe(F.col("p.team_scope")) & (
-        F.col("n.line").isNull() | (F.col("n.line") == F.col("p.line")))
-    for k in [*SIDE, "market_type", "selection"]:
-        fits = fits & (F.col(f"n.{k}") == F.col(f"p.{k}"))
-    legs = n.join(p, fits).groupBy(F.col("n.boost_id").alias("boost_id"), F.col("n.pos").alias("pos")).agg(
-        F.max(F.when(F.coalesce("n.team_scope", F.lit("")) != "away", F.col("p.odds"))).alias("o1"),
-        F.max(F.when(F.col("n.team_scope") == "away", F.col("p.odds"))).alias("o2"))
+    # Needs are placed on the quoted matches first: the joins with prices are then equalities, by line where one is asked.
+    best = with_side_keys(quotes.groupBy("home_team", "away_team", "market_type", "selection", "line", "team_scope").agg(
+        F.max("odds").alias("odds")))
+    market_keys = [*SIDE, "market_type", "selection", "scope"]
+    priced = cut_lineage(best.select(*SIDE, "market_type", "selection", _scope_key("team_scope"), "line", "odds"), "prices")
+    placed = cut_lineage(needs.join(keys, "boost_id").select(
+        "boost_id", "pos", *SIDE, "market_type", "selection", "line", _scope_key("team_scope")), "needs")
+    lined = placed.filter("line IS NOT NULL").join(priced, [*market_keys, "line"])
+    loose = placed.filter("line IS NULL").drop("line").join(priced.groupBy(*market_keys).agg(F.max("odds").alias("odds")), market_keys)
+    fits = ["boost_id", "pos", "scope", "odds"]
+    legs = lined.select(*fits).unionByName(loose.select(*fits)).groupBy("boost_id", "pos").agg(
+        F.max(F.when(F.col("scope") != "away", F.col("odds"))).alias("o1"), F.max(F.when(F.col("scope") == "away", F.col("odds"))).alias("o2"))
     out = rows.join(legs, ["boost_id", "pos"], "left")
     fair = F.when(each, F.col("o1") * F.col("o2")).otherwise(F.coalesce("o1", "o2"))
     out = out.withColumn("fair_odds", fair)
@@ -175,17 +183,21 @@ def value_boost(boosts: DataFrame, priced: DataFrame) -> DataFrame:
 
 
 def complement_quote(
-    conditions: DataFrame, boosts: DataFrame, quotes: DataFrame, excluded: str = C.BOOST_BOOKMAKER
+    conditions: DataFrame, boosts: DataFrame, quotes: DataFrame, excluded: str = C.BOOST_BOOKMAKER,
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """add ``cover``: the best opposite quote elsewhere, NULL when in doubt."""
+    """add ``cover``: the best opposite quote elsewhere, NULL when in doubt.
+
+    ``index``: the ``match_pools`` of the quotes without the excluded bookmaker, where the caller has it.
+    """
     others = quotes.filter(F.col("bookmaker") != excluded)
-    keys, refs = match_pools(boosts, others)
+    keys, refs = index or match_pools(boosts, others)
     rows = conditions.join(refs, "boost_id", "left").withColumn("side", _side_of(F.col("team")))
     kind = F.col("kind")
     usable = (kind == "threshold") & ~F.col("each_team") & (F.col("team").isNull() | F.col("side").isNotNull())
     market = F.when(kind == "btts", "btts").when(usable, _priced_stat(F.col("team").isNotNull()))
-    needs = rows.select("boost_id", "pos", "kind", market.alias("need"), "line", F.when(kind != "btts", F.col("side")).alias("scope")).filter(
-        F.col("need").isNotNull())
+    needs = rows.select("boost_id", "pos", "kind", market.alias("market_type"), "line", F.col("side").alias("team_scope")).filter(
+        F.col("market_type").isNotNull())
     under = others.filter(F.col("selection") == "under")
     info = F.struct(
         "bookmaker", "market_type", "selection", F.col("line").alias("line"), "team_scope", "odds", "url", "match_id", "sport",
@@ -194,14 +206,16 @@ def complement_quote(
         under.groupBy("home_team", "away_team", "market_type", "line", "team_scope").agg(
             F.max_by(info, F.struct("odds", -F.col("ingest_seq"))).alias("q"),
             F.max(F.struct("odds", -F.col("ingest_seq"))).alias("rank")))
-    n, p = needs.join(keys, "boost_id").alias("n"), best.alias("p")
-    fits = (F.col("n.need") == F.col("p.market_type")) & (
-        (F.col("n.kind") == "btts")
-        | ((F.col("n.line") == F.col("p.line")) & F.col("n.scope").eqNullSafe(F.col("p.team_scope"))))
-    for k in SIDE:
-        fits = fits & (F.col(f"n.{k}") == F.col(f"p.{k}"))
-    covers = n.join(p, fits).groupBy(F.col("n.boost_id").alias("boost_id"), F.col("n.pos").alias("pos")).agg(
-        F.max_by("p.q", "p.rank").alias("cover"))
+    priced = cut_lineage(best.select(*SIDE, "market_type", _scope_key("team_scope"), "line", "q", "rank"), "prices")
+    placed = cut_lineage(needs.join(keys, "boost_id").select(
+        "boost_id", "pos", "kind", *SIDE, "market_type", "line", _scope_key("team_scope")), "needs")
+    market_keys = [*SIDE, "market_type"]
+    # both teams scoring has neither line nor scope to meet; a threshold has to meet both
+    loose = placed.filter("kind = 'btts'").drop("line", "scope").join(
+        priced.groupBy(*market_keys).agg(F.max_by("q", "rank").alias("q"), F.max("rank").alias("rank")), market_keys)
+    lined = placed.filter("kind <> 'btts'").join(priced, [*market_keys, "line", "scope"])
+    fits = ["boost_id", "pos", "q", "rank"]
+    covers = lined.select(*fits).unionByName(loose.select(*fits)).groupBy("boost_id", "pos").agg(F.max_by("q", "rank").alias("cover"))
     return conditions.join(covers, ["boost_id", "pos"], "left")
 
 
@@ -220,9 +234,9 @@ def named_team_guard(conditions: DataFrame, boosts: DataFrame) -> DataFrame:
         "ambiguous", F.col("team").isNull() & F.coalesce(hit, F.lit(False))).drop("__h", "__a")
 
 
-def _covered(boosts: DataFrame, conditions: DataFrame, quotes: DataFrame, excluded: str) -> DataFrame:
+def _covered(boosts: DataFrame, conditions: DataFrame, quotes: DataFrame, excluded: str, index=None) -> DataFrame:
     """Offers with their conditions, covers and doubts, one row each."""
-    flagged = named_team_guard(complement_quote(conditions, boosts, quotes, excluded), boosts)
+    flagged = named_team_guard(complement_quote(conditions, boosts, quotes, excluded, index), boosts)
     cell = F.struct("pos", "raw", "kind", "each_team", "unknown", "ambiguous", "cover")
     per = flagged.groupBy("boost_id").agg(F.array_sort(F.collect_list(cell), lambda a, b: a["pos"] - b["pos"]).alias("conds"))
     return boosts.join(per, "boost_id", "left").withColumn("conds", F.coalesce("conds", F.array()))
@@ -236,10 +250,11 @@ def _margin() -> Column:
 def find_boost_arbitrage(
     boosts: DataFrame, quotes: DataFrame, bankroll: float = 0.0, min_roi: float = 1.0, excluded: str = C.BOOST_BOOKMAKER,
     conditions: DataFrame | None = None, max_conditions: int = C.BOOST_MAX_CONDITIONS,
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """offers that distinct opposite quotes cover completely at a profit."""
     conds = conditions if conditions is not None else parse_condition(parse_boost(boosts))
-    rows = _covered(boosts, conds, quotes, excluded)
+    rows = _covered(boosts, conds, quotes, excluded, index)
     size = F.size("conds")
     marks = F.transform("conds", lambda c: F.struct(
         c["cover"]["bookmaker"].alias("a"), c["cover"]["market_type"].alias("b"), c["cover"]["line"].alias("c"),
@@ -275,11 +290,11 @@ def find_boost_arbitrage(
 
 def diagnose_boost(
     boosts: DataFrame, quotes: DataFrame, excluded: str = C.BOOST_BOOKMAKER, conditions: DataFrame | None = None,
-    max_conditions: int = C.BOOST_MAX_CONDITIONS,
+    max_conditions: int = C.BOOST_MAX_CONDITIONS, index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """all reasons why an offer cannot be covered, or its margin; a display may shorten them."""
     conds = conditions if conditions is not None else parse_condition(parse_boost(boosts))
-    rows = _covered(boosts, conds, quotes, excluded)
+    rows = _covered(boosts, conds, quotes, excluded, index)
     missing = F.array_compact(F.transform("conds", lambda c: F.when(
         c["kind"] == "win", "une condition de victoire (son inverse demande 2 paris)"
     ).when(c["each_team"], "un « chaque equipe » (inverse non unitaire)").when(

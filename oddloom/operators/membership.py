@@ -175,7 +175,7 @@ def passive_accounts(
     return (
         paid.join(count(bets, "bets"), "id", "left").filter("bets IS NULL").join(count(bankroll, "movements"), "id", "left").join(count(messages, "messages"), "id", "left")
         .select(
-            "id", "username", F.greatest(F.lit(0), days).cast("int").alias("days_since_signup"),
+            "id", "username", "email", F.greatest(F.lit(0), days).cast("int").alias("days_since_signup"),
             (F.col("sub_expires_at") > now).alias("subscribed"), F.coalesce("bets", F.lit(0)).alias("bets"),
             F.coalesce("movements", F.lit(0)).alias("movements"), F.coalesce("messages", F.lit(0)).alias("messages"),
             "created_at",

@@ -121,7 +121,7 @@ def tiers(spark, sf_dir):
 
 
 @query("m09_passive_accounts", with_ctes(BETS_SQL, PROFILES_SQL, MESSAGES_SQL, f"""
-SELECT id, username, CAST(date_diff('second', created_at, TIMESTAMP '{AS_OF}') // 86400 AS INTEGER) AS days_since_signup,
+SELECT id, username, email, CAST(date_diff('second', created_at, TIMESTAMP '{AS_OF}') // 86400 AS INTEGER) AS days_since_signup,
   sub_expires_at > TIMESTAMP '{AS_OF}' AS subscribed, (SELECT count(*) FROM bets b WHERE b.user_id = p.id) AS bets,
   (SELECT count(*) FROM events e WHERE e.user_id = p.id) AS movements,
   (SELECT count(*) FROM messages m WHERE m.user_id = p.id) AS messages

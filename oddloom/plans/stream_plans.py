@@ -25,10 +25,9 @@ def _landed(spark, rows, at, bounds):
     return T.landed_stream(parts, scratch_path(spark, "landed"))
 
 
-def _quote_stream(spark, sf_dir):
-    """Quotes as they were collected, in four landings."""
-    rows = src.table(src.prepare(spark), sf_dir, "lineitem")
-    return src.quote_projection(_landed(spark, rows, "l_shipdate", ("1994-01-01", "1996-01-01", "1998-01-01")))
+def _quote_stream(spark, sf_dir, bounds=("1994-01-01", "1996-01-01", "1998-01-01")):
+    """Quotes as they were collected, in several landings."""
+    return src.quote_projection(_landed(spark, src.table(src.prepare(spark), sf_dir, "lineitem"), "l_shipdate", bounds))
 
 
 def _events(spark, sf_dir):
@@ -97,7 +96,7 @@ WITH RECURSIVE {reconciled_sql(NEWEST_SQL)}, {COMBOS_SQL}, {OPPS_SQL}
 SELECT {K}, round(margin, 6) AS margin, round(roi_pct, 6) AS roi_pct FROM opps""")
 def loop(spark, sf_dir):
     out, mark = _paths(spark, "loop")
-    stream = src.spelled(_quote_stream(spark, sf_dir), src.table(spark, sf_dir, "part")).withColumn("batch_ts", F.date_trunc("year", "scraped_at"))
+    stream = src.spelled(_quote_stream(spark, sf_dir, ("1996-01-01",)), src.table(spark, sf_dir, "part")).withColumn("batch_ts", F.date_trunc("year", "scraped_at"))
     run = T.evaluation_loop(stream, out, mark, interval=None)
     run.awaitTermination()
     return T.latest_version(spark, f"{out}/opportunities", run).select(*MARKET_KEYS, r6("margin"), r6("roi_pct"))
