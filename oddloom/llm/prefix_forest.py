@@ -5,12 +5,12 @@ descends every tree to its longest matching prefix; then all trees ascend togeth
 under the shortened prefixes joins the candidates, until they are ``share`` of the shard and ``k`` besides the rows
 of the query's own id, or the whole shard. Candidates are ranked by exact inner product.
 
-Rows are dealt round-robin into shards of about ``SHARD`` rows, each with its own forest; the queries come in blocks,
+Rows are dealt by a hash of their id into shards of about ``SHARD`` rows, each with its own forest; queries come in blocks,
 every block meets every shard, and the best of all shards are merged. One task holds one shard and one block.
 
 Cases: rows without an id and vectors that are null, zero or hold null or non-finite components take no part; vectors
 of different lengths are not compared; rows that carry the query's own id are not its neighbours; a repeated id may
-appear twice; other columns are left out; an empty table gives no rows.
+appear twice; equal scores go by the smaller id; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,6 +79,11 @@ class Forest:
         return out
 
 
+def products(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Inner products, every row's summed in the same order wherever it stands, so that equal rows score alike."""
+    return np.ascontiguousarray(rows * vector).sum(axis=1)
+
+
 def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
@@ -90,7 +95,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
         "vec_id", doubles(vectors, "embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(asking / block))
-    number = F.monotonically_increasing_id()
+    number = F.xxhash64("vec_id")  # the same shards however the rows are laid out
     held = rows.select(F.pmod(number, F.lit(shards)).alias("shard"), "vec_id", "embedding", F.lit(False).alias("asks"))
     held = held.withColumn("block", F.explode(_numbers(blocks)))
     asked = rows.filter("asks").select(F.pmod(number, F.lit(blocks)).alias("block"), "vec_id", "embedding", "asks")
@@ -110,10 +115,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
             least = k + np.where(kinds[at] == query_ids, counts[at], 0)
             for q, vector, at in zip(query_ids, queries, forest.candidates(queries, share, least)):
                 at = at[own_ids[at] != q]
-                score = own[at] @ vector
+                score = products(own[at], vector)
                 if len(at) > k:
-                    at = at[score >= np.partition(score, -k)[-k]]
-                    score = own[at] @ vector
+                    good = score >= np.partition(score, -k)[-k]
+                    at, score = at[good], score[good]
                 best = np.lexsort((own_ids[at], -score))[:k]
                 found.append((np.full(len(best), q), own_ids[at][best], score[best]))
         parts = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3)]

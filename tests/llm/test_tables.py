@@ -155,3 +155,19 @@ def test_layout_is_gapless(spark):
     for start, size in got:
         assert start == at
         at += size
+
+
+def test_equal_vectors_tie_by_id_in_any_layout(spark):
+    rng = np.random.default_rng(12)
+    same = rng.normal(size=64).astype(np.float32)
+    rows = [(i, [float(x) for x in (same if i % 3 == 1 else rng.normal(size=64).astype(np.float32))], 1, "x", "x") for i in range(400)]
+    rows[20] = (20, [float(x) for x in same + 0.01], 1, "x", "x")
+    random.Random(3).shuffle(rows)
+    seen = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        got = nearest(df, F.col("vec_id") % 20 == 0, k=20, shard=100, block=8).orderBy("query_id", "rank").collect()
+        seen.append([tuple(r) for r in got])
+    assert seen[0] == seen[1]
+    mine = [r for r in seen[0] if r[0] == 20]
+    assert [r[2] for r in mine] == sorted(r[2] for r in mine) and len({r[3] for r in mine}) == 1
