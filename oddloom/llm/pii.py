@@ -3,8 +3,9 @@
 The rules give seed entities. Every identifier-like word (one with a digit or an at sign) is a mention with the words
 around it; patterns are the word before, the two words before, and the words on both sides. Patterns and instances
 form a graph that is scored in turns: a pattern's confidence in a kind is the mean score of its distinct instances,
-an instance's score is what its confident patterns together leave no doubt of (noisy-or), and seeds score 1. Mentions
-in a pattern of high confidence that no rule covers are the unseen identifiers.
+an instance's score is what its confident patterns together leave no doubt of (noisy-or), and seeds score 1. A pattern
+needs ``SUPPORT`` instances of a high score, whether rules or other patterns found them, so what one turn finds can make
+a pattern of the next. Mentions in a pattern of high confidence that no rule covers are the unseen identifiers.
 
 Only DataFrame functions are used. The texts are read once; positions come from the lengths of what lies between and
 in the matches, summed in blocks. The rules are written with possessive repeats and guarded starts, which match the
@@ -114,14 +115,19 @@ def mentions(text: Column) -> Column:
         return F.lower(F.regexp_replace(F.try_element_at(words, F.lit(-n)), EDGE, ""))
 
     def around(spans: Column, tail: Column, s: Column, i: Column) -> Column:
+        # a mention may itself be the word before; a text begins with a mark
+        prior = F.when(i == 0, F.lit("^")).otherwise(F.lower(F.regexp_replace(F.get(spans, i - 1)["word"], EDGE, "")))
         after = F.coalesce(F.get(spans, i + 1)["gap"], tail)
+        later = F.lower(F.regexp_replace(F.get(spans, i + 1)["word"], EDGE, ""))
+        follows = F.lower(F.regexp_replace(F.regexp_extract(after, rf"^{SPACE}*([^\x20\x09-\x0D]+)", 1), EDGE, ""))
         head = F.regexp_extract(s["word"], r"^[^\p{L}\p{N}+@]+", 0)
         bare = F.regexp_replace(s["word"], EDGE, "")
         start = s["start"] + F.when(F.length(bare) > 0, F.length(head)).otherwise(0)
         return let(F.filter(F.split(s["gap"], SPACE + "+"), lambda w: w != ""), lambda words: F.struct(
             start.alias("start"), (start + F.length(bare)).alias("end"), F.lower(bare).alias("word"),
-            last(words, 1).alias("one"), last(words, 2).alias("two"),
-            F.lower(F.regexp_replace(F.regexp_extract(after, rf"^{SPACE}*([^\x20\x09-\x0D]+)", 1), EDGE, "")).alias("next")))
+            F.when(F.size(words) > 0, last(words, 1)).otherwise(prior).alias("one"),
+            F.when(F.size(words) > 1, last(words, 2)).when(F.size(words) == 1, prior).alias("two"),
+            F.when(~after.rlike(r"[^\x20\x09-\x0D]"), F.coalesce(later, F.lit(""))).otherwise(follows).alias("next")))
 
     def made(spans: Column) -> Column:
         return let(F.element_at(F.split(text, MENTION, -1), -1), lambda tail: F.filter(
@@ -137,15 +143,15 @@ def extract(docs: DataFrame, turns: int = TURNS, confident: float = CONFIDENT, s
     held = cut_lineage(read.select("row", "doc_id", rule_spans(F.col("text")).alias("base"), mentions(F.col("text")).alias("mentions")), "pii")
     seen = held.select("row", "base", F.explode("mentions").alias("m")).select("row", "base", "m.*")
     cover = F.filter("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    seen = cut_lineage(seen.withColumn("kind", F.get(cover, F.lit(0))["kind"]).drop("base").filter("one IS NOT NULL"), "mentions")
+    seen = cut_lineage(seen.withColumn("kind", F.get(cover, F.lit(0))["kind"]).drop("base"), "mentions")
     patterns = F.array(
         F.concat_ws(" ", F.lit("<"), "one"), F.when(F.col("two").isNotNull(), F.concat_ws(" ", F.lit("<<"), "two", "one")),
         F.when(F.col("next") != "", F.concat_ws(" ", F.lit("<>"), "one", F.lit("_"), "next")))
     at = seen.select("row", "start", "end", "word", "kind", F.explode(F.array_compact(patterns)).alias("pattern"))
     # each distinct edge once; a hot pattern or word is folded before the shuffle
     edges = cut_lineage(at.groupBy("pattern", "word").agg(F.max("kind").alias("kind")), "edges")
-    # patterns without seeds can never become confident
-    live = edges.groupBy("pattern").agg(F.count("kind").alias("seeds")).filter(F.col("seeds") >= support).select("pattern")
+    # patterns of too few words can never become confident, whatever the turns find
+    live = edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("pattern")
     edges = cut_lineage(edges.join(live, "pattern", "left_semi"), "live")
     scores = _scores_of_seeds(edges)
     strong = None
@@ -172,6 +178,6 @@ def _confident(edges: DataFrame, scores: DataFrame, confident: float, support: i
     """pattern, about, confidence of the patterns whose distinct instances mostly belong to one kind."""
     total = edges.groupBy("pattern").agg(F.count("*").alias("instances"))
     sums = edges.join(scores, "word").groupBy("pattern", "about").agg(
-        F.sum("score").alias("mass"), F.count_if(F.col("kind") == F.col("about")).alias("seeds"))
+        F.sum("score").alias("mass"), F.count_if(F.col("score") >= confident).alias("known"))
     rated = sums.join(total, "pattern").withColumn("confidence", F.col("mass") / F.col("instances"))
-    return rated.filter((F.col("seeds") >= support) & (F.col("confidence") >= confident)).select("pattern", "about", "confidence")
+    return rated.filter((F.col("known") >= support) & (F.col("confidence") >= confident)).select("pattern", "about", "confidence")

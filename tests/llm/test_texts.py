@@ -276,6 +276,26 @@ def test_pii_rules(docs):
     assert pii.extract(docs([])).count() == 0
 
 
+def test_pii_patterns_of_found_instances_find_more(docs):
+    """Seeds make "mail x"; what it finds besides makes "badge x", which no seed ever stands in, in the next turn."""
+    rows = [(i, f"please mail a{i}@site.example today") for i in range(40)]
+    rows += [(100 + i, f"please mail user{i}9 today") for i in range(6)]
+    rows += [(200 + i, f"his badge user{i}9 shown") for i in range(6)] + [(300, "his badge other77 shown")]
+    found = {}
+    for turns in (1, 3):
+        got = pii.extract(docs(rows), turns=turns).collect()
+        found[turns] = {r["doc_id"] for r in got if any(s["kind"] == "context" for s in r["spans"])}
+    assert found[1] == {*range(100, 106)} and found[3] == {*range(100, 106), *range(200, 206), 300}
+
+
+def test_pii_mentions_at_the_start_and_after_another(docs):
+    rows = [(1, "ab12 cd34 ends"), (2, "ext 4: ab12cd now")]
+    made = {r["doc_id"]: [(m["start"], m["end"], m["word"], m["one"], m["two"], m["next"]) for m in r["m"]]
+            for r in docs(rows).select("doc_id", pii.mentions(F.col("text")).alias("m")).collect()}
+    assert made[1] == [(0, 4, "ab12", "^", None, "cd34"), (5, 9, "cd34", "ab12", None, "ends")]
+    assert made[2] == [(4, 5, "4", "ext", "^", "ab12cd"), (7, 13, "ab12cd", "4", None, "now")]
+
+
 def test_pii_patterns_find_unseen_identifiers(docs):
     rows = [(i, f"some words card number 4111{i:04d} and mail me: user{i}@mail.example now") for i in range(12)]
     rows += [(50, "text with mail me: user77(at)host7 now"), (51, "other 1999 things"), (52, "in 1999 things")]
