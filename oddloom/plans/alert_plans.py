@@ -130,18 +130,21 @@ def counters(spark, sf_dir):
     return P.cycle_counters(*_split(spark, sf_dir))
 
 
-@query("p11_alert_text", with_ctes(SEASON_OPPS_SQL, """
+PARTS_SQL = """
 parts AS (SELECT *, concat('https://x.example/?a=1&amp;b=') AS site, [bk1, bk2, bk3] AS bks, [sel1, sel2, sel3] AS sels,
   [odds1, odds2, odds3] AS os, [mise_a, mise_b, mise_c] AS ms FROM scored),
 legs AS (SELECT id, string_agg(format('{}. <b>{}</b> @ <code>{}</code> chez <b>{}</b> → miser <code>{:.0f}</code> HTG', i, sels[i],
     os[i], bks[i], ms[i]) || chr(10) || format('   <a href="{}{}">Placer le pari</a>', site, bks[i]), chr(10) ORDER BY i) AS block
-  FROM parts CROSS JOIN (VALUES (1), (2), (3)) n(i) WHERE bks[i] IS NOT NULL GROUP BY id)""", """
-SELECT id, concat(format('<b>SUREBET {:.2f}%</b> — {}', roi_pct, match), chr(10), '<i>', sport, ' · ', market_type,
+  FROM parts CROSS JOIN (VALUES (1), (2), (3)) n(i) WHERE bks[i] IS NOT NULL GROUP BY id)"""
+
+TEXT_SQL = """concat(format('<b>SUREBET {:.2f}%</b> — {}', roi_pct, match), chr(10), '<i>', sport, ' · ', market_type,
   CASE WHEN line IS NOT NULL THEN concat(' · ligne ', line) ELSE '' END, ' · ', n_outcomes, ' issues</i>', chr(10), chr(10),
   format('Marge M : <code>{:.4f}</code>', margin), chr(10),
   format('Bankroll : <code>1000</code> HTG → Profit garanti : <b>{:.0f} HTG</b>', profit), chr(10),
-  'Score IA : <code>', score_ia, '/100</code>', chr(10), chr(10), block) AS text
-FROM parts JOIN legs USING (id)"""))
+  'Score IA : <code>', score_ia, '/100</code>', chr(10), chr(10), block)"""
+
+
+@query("p11_alert_text", with_ctes(SEASON_OPPS_SQL, PARTS_SQL, f"SELECT id, {TEXT_SQL} AS text FROM parts JOIN legs USING (id)"))
 def text(spark, sf_dir):
     return P.alert_text(src.season_opportunities(spark, sf_dir)).select("id", "text")
 

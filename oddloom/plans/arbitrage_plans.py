@@ -9,7 +9,7 @@ from ..operators import arbitrage as A
 from ..schemas import MARKET_KEYS
 from ..sources import adapters as src
 from ..sources.adapters import stamp
-from .common import COMBOS_SQL, OPPS_SQL, QUOTES_SQL, K, flat_legs, on, r6
+from .common import COMBOS_SQL, OPPS_SQL, QUOTES_SQL, K, flat_legs, label_sql, on, r6
 from .reconciled import reconciled_sql
 from .registry import query, with_ctes
 
@@ -120,18 +120,27 @@ SELECT {OPP_COLS} FROM (SELECT o.*, m.sport, m.match_label, {bankroll} AS bankro
 FROM opps o JOIN matches m USING (match_id)) WHERE {where}""")
 
 
+def _leg_sql(i: int) -> str:
+    book = brand(f"bk{i}")
+    there = f"CASE WHEN bk{i} IS NOT NULL THEN {{}} END"
+    site = there.format(f"concat('https://', {book}, '.example')")
+    return f"sel{i} AS selection{i}, {book} AS bookmaker{i}, odds{i}, {site} AS site{i}, {label_sql(i)} AS event_label{i}"
+
+
 @query("a10_make_opportunity", with_ctes(QUOTES_SQL, COMBOS_SQL, OPPS_SQL, MATCHES_SQL, f"""
-SELECT {K}, sel1 AS selection, {brand('bk1')} AS bookmaker,
-  concat('https://', {brand('bk1')}, '.example') AS site,
-  concat(market_type, ' ', sel1, CASE WHEN line IS NOT NULL THEN concat(' ', line) ELSE '' END) AS event_label,
-  strftime(start_time, '%Y-%m-%d %H:%M:%S') AS match_date
+SELECT {K}, {", ".join(_leg_sql(i) for i in (1, 2, 3))}, n_outcomes, sport, match_label, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS match_date,
+  round(margin, 6) AS margin, round(roi_pct, 6) AS roi_pct, round(1000 * (1 / margin - 1), 4) AS profit
 FROM opps JOIN matches USING (match_id)"""))
 def opportunity(spark, sf_dir):
     q = _owned(spark, sf_dir).withColumn("url", F.concat(F.lit("https://"), F.col("bookmaker"), F.lit(".example")))
-    leg = F.col("legs")[0]
+    legs = []
+    for i in (1, 2, 3):
+        leg = F.get(F.col("legs"), F.lit(i - 1))
+        legs += [leg[f].alias(f"{n}{i}") for f, n in (("selection", "selection"), ("bookmaker", "bookmaker"), ("odds", "odds"),
+                                                      ("url", "site"), ("event_label", "event_label"))]
     return A.make_opportunity(A.best_combos(q), q, 1000.0, 1.0).select(
-        *MARKET_KEYS, leg["selection"].alias("selection"), leg["bookmaker"].alias("bookmaker"),
-        leg["url"].alias("site"), leg["event_label"].alias("event_label"), stamp(F.col("match_date")).alias("match_date"))
+        *MARKET_KEYS, *legs, "n_outcomes", "sport", "match_label", stamp(F.col("match_date")).alias("match_date"),
+        r6("margin"), r6("roi_pct"), F.round("profit", 4).alias("profit"))
 
 
 @query("a11_find_two_way", _opp_sql("n_outcomes = 2", 1000.0))

@@ -119,7 +119,7 @@ quotes AS (
   FROM branded)"""
 
 
-def _label(i: int) -> str:
+def label_sql(i: int) -> str:
     return (f"CASE WHEN bk{i} IS NOT NULL THEN concat(market_type, ' ', sel{i}, "
             f"CASE WHEN line IS NOT NULL THEN concat(' ', line) ELSE '' END) END")
 
@@ -157,9 +157,9 @@ scored AS (
 HISTORY_SQL = SEASON_OPPS_SQL + f""",
 hist AS (
   SELECT id * 2 + copy AS id, copy, CASE WHEN copy = 1 THEN seen_at + INTERVAL 2 HOURS ELSE seen_at END AS date_detection,
-    match, sport, match_date, n_outcomes AS n_issues, bk1 AS bookmaker_a, {_label(1)} AS event_a,
+    match, sport, match_date, n_outcomes AS n_issues, bk1 AS bookmaker_a, {label_sql(1)} AS event_a,
     CASE WHEN copy = 1 AND id % 2 = 0 THEN round(odds1 + 0.05, 2) ELSE odds1 END AS cote_a,
-    bk2 AS bookmaker_b, {_label(2)} AS event_b, odds2 AS cote_b, bk3 AS bookmaker_c, {_label(3)} AS event_c,
+    bk2 AS bookmaker_b, {label_sql(2)} AS event_b, odds2 AS cote_b, bk3 AS bookmaker_c, {label_sql(3)} AS event_c,
     odds3 AS cote_c, mise_a, mise_b, mise_c, margin AS marge_m, roi_pct, profit, 1000.0 AS init_balance,
     1000 + profit AS final_balance, score_ia, statut
   FROM scored CROSS JOIN (VALUES (0), (1)) c(copy) WHERE copy = 0 OR id % 3 = 0)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..sources import adapters as src
 from ..sources.adapters import stamp
-from .common import HISTORY_SQL, SEASON_OPPS_SQL
+from .common import HISTORY_SQL, SEASON_OPPS_SQL, label_sql
 from .registry import query, with_ctes
 
 AS_OF = "2001-12-01 00:00:00"
@@ -128,15 +128,18 @@ def median_roi(spark, sf_dir):
     return H.upper_median_roi(src.history(spark, sf_dir)).withColumn("median_roi", F.round("median_roi", 6))
 
 
-@query("h11_report_columns", with_ctes(SEASON_OPPS_SQL, """
+REPORT_SQL = f"""
 SELECT strftime(seen_at, '%Y-%m-%d %H:%M') AS bet_date, strftime(match_date, '%Y-%m-%d %H:%M') AS match_date,
   1000.0 AS init_balance, round_even(1000 + profit, 2) AS final_balance, round_even(roi_pct, 2) AS pct, round_even(profit, 2) AS profit,
-  sport, match, bk1 AS book_a, odds1 AS odds_a, round_even(mise_a, 2) AS mise_a, bk2 AS book_b,
-  coalesce(bk3, '') AS book_c, coalesce(CAST(odds3 AS VARCHAR), '') AS odds_c, coalesce(CAST(mise_c AS VARCHAR), '') AS mise_c
-FROM scored"""))
+  sport, match, bk1 AS book_a, {label_sql(1)} AS event_a, odds1 AS odds_a, round_even(mise_a, 2) AS mise_a,
+  bk2 AS book_b, {label_sql(2)} AS event_b, odds2 AS odds_b, round_even(mise_b, 2) AS mise_b,
+  coalesce(bk3, '') AS book_c, coalesce({label_sql(3)}, '') AS event_c, coalesce(CAST(odds3 AS VARCHAR), '') AS odds_c,
+  coalesce(CAST(mise_c AS VARCHAR), '') AS mise_c
+FROM scored"""
+REPORT_NAMES = ["bet_date", "match_date", "init_balance", "final_balance", "pct", "profit", "sport", "match",
+                *[f"{c}_{leg}" for leg in "abc" for c in ("book", "event", "odds", "mise")]]
+
+
+@query("h11_report_columns", with_ctes(SEASON_OPPS_SQL, REPORT_SQL))
 def report(spark, sf_dir):
-    r = H.report_columns(src.season_opportunities(spark, sf_dir))
-    names = {"BET DATE": "bet_date", "MATCH DATE": "match_date", "INIT BALANCE": "init_balance", "FINAL BALANCE": "final_balance",
-             "% SUREBET": "pct", "PROFIT": "profit", "SPORT": "sport", "MATCH": "match", "BOOKMAKER A": "book_a", "ODDS A": "odds_a",
-             "MISE A": "mise_a", "BOOKMAKER B": "book_b", "BOOKMAKER C": "book_c", "ODDS C": "odds_c", "MISE C": "mise_c"}
-    return r.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+    return H.report_columns(src.season_opportunities(spark, sf_dir)).toDF(*REPORT_NAMES)

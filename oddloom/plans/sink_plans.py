@@ -8,7 +8,9 @@ from ..operators.alerts import first_signal_per_match
 from ..session import scratch_path
 from ..sinks import tables as O
 from ..sources import adapters as src
+from .alert_plans import PARTS_SQL, TEXT_SQL
 from .common import HISTORY_SQL, QUOTES_SQL, SEASON_OPPS_SQL
+from .history_plans import REPORT_NAMES, REPORT_SQL
 from .registry import query, with_ctes
 
 
@@ -50,15 +52,13 @@ def retention(spark, sf_dir):
     return O.snapshots_to_drop(days, 3)
 
 
-@query("o04_report_file", with_ctes(SEASON_OPPS_SQL, """
-SELECT match, sport, bk1 AS book_a, coalesce(bk3, '') AS book_c, count(*) AS n FROM scored GROUP BY ALL"""))
+@query("o04_report_file", with_ctes(SEASON_OPPS_SQL, REPORT_SQL))
 def report(spark, sf_dir):
     path = scratch_path(spark, "report")
     O.report_file(src.season_opportunities(spark, sf_dir), path)
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy(
-        F.col("MATCH").alias("match"), F.col("SPORT").alias("sport"), F.col("`BOOKMAKER A`").alias("book_a"),
-        F.coalesce("`BOOKMAKER C`", F.lit("")).alias("book_c")).agg(F.count("*").alias("n"))
+    back = spark.read.option("header", True).csv(path).toDF(*REPORT_NAMES)
+    numbers = {"init_balance", "final_balance", "pct", "profit", "odds_a", "mise_a", "odds_b", "mise_b"}
+    return back.select(*[F.col(c).cast("double") if c in numbers else F.coalesce(c, F.lit("")).alias(c) for c in REPORT_NAMES])
 
 
 @query("o05_json_rows", with_ctes(QUOTES_SQL, """
@@ -68,13 +68,14 @@ def documents(spark, sf_dir):
     return O.json_rows(src.quotes(spark, sf_dir).select("bookmaker", "match_id", "n_outcomes", "selection", "team_scope"))
 
 
-@query("o06_alert_table", with_ctes(SEASON_OPPS_SQL, """
-flagged AS (SELECT *, row_number() OVER (PARTITION BY match, sport ORDER BY seen_at, roi_pct DESC, id) = 1 AS alertable FROM scored)""", """
-SELECT id, match, format('<b>SUREBET {:.2f}%</b> — {}', roi_pct, match) AS head FROM flagged WHERE alertable AND roi_pct >= 3 AND score_ia >= 70"""))
+@query("o06_alert_table", with_ctes(SEASON_OPPS_SQL, PARTS_SQL, """
+flagged AS (SELECT *, row_number() OVER (PARTITION BY match, sport ORDER BY seen_at, roi_pct DESC, id) = 1 AS alertable FROM scored)""", f"""
+SELECT id, match, {TEXT_SQL} AS text FROM parts JOIN legs USING (id)
+WHERE id IN (SELECT id FROM flagged WHERE alertable AND roi_pct >= 3 AND score_ia >= 70)"""))
 def alerts(spark, sf_dir):
     opp = src.season_opportunities(spark, sf_dir)
     rows = opp.withColumn("match", F.col("match_label")).withColumn("date_detection", F.col("detected_at"))
     none = rows.limit(0)
     path = scratch_path(spark, "alerts")
     O.alert_table(first_signal_per_match(rows, none), path)
-    return spark.read.parquet(path).select("id", "match", F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
+    return spark.read.parquet(path).select("id", "match", "text")
