@@ -1,18 +1,53 @@
 """Running totals over a whole table without a single-task window.
 
 Rows are range-partitioned on the full order, so one hot time stamp or key is
-cut by its tie-breaking columns. Each partition is summed once, the few
+cut by its tie-breaking columns. Sums run inside each sorted partition, the few
 partition totals are accumulated, and every row adds its own partition's
 start. No task ever sees more than one range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 
 
+def _accumulated(width: int, floats: list[bool], inclusive: bool):
+    """Running sums of the last ``width`` columns inside every key, over sorted rows; the key is the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, carried = None, [0] * width
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0)
+            cut = np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1
+            first = np.concatenate(([0], cut))
+            if key[0].as_py() != current:
+                carried = [0] * width
+            out = []
+            for i, is_float in enumerate(floats):
+                own = pc.fill_null(batch.column(batch.num_columns - width + i), 0).to_numpy(zero_copy_only=False)
+                own = own.astype(np.float64 if is_float else np.int64)
+                total = np.cumsum(own)
+                before = np.concatenate(([0], total))[first]  # what earlier keys of this batch add up to
+                before[0] -= carried[i]
+                total -= np.repeat(before, np.diff(np.append(first, len(own))))
+                carried[i] = total[-1]
+                out.append(pa.array(total if inclusive else total - own))
+            current = key[batch.num_rows - 1].as_py()
+            names = [*batch.schema.names, *(f"__r_{i}" for i in range(width))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=names)
+
+    return run
+
+
 def running_sums(
     df: DataFrame,
     order: list[str],
@@ -21,45 +56,33 @@ def running_sums(
     inclusive: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``name = running sum of expr`` in ``order`` (within ``by`` groups).
+    """Add ``name = running sum of expr`` (whole or floating numbers) in ``order`` (within ``by`` groups).
 
     ``order`` must be a total order inside a group. With ``inclusive=False``
-    a row's own value is left out.
+    a row's own value is left out. The one shuffle is the range partitioning:
+    sums run inside the sorted partitions as they stream through.
     """
     spark = df.sparkSession
     keys = by or []
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    staged = df
-    for name, expr in sums.items():
-        staged = staged.withColumn(f"__v_{name}", expr)
+    staged = df.select(
+        (F.to_json(F.struct(*keys)) if keys else F.lit("")).alias("__key"), "*",
+        *[expr.alias(f"__v_{name}") for name, expr in sums.items()])
+    floats = [isinstance(staged.schema[f"__v_{name}"].dataType, (T.DoubleType, T.FloatType, T.DecimalType)) for name in sums]
+    staged = staged.withColumns({
+        f"__v_{name}": F.col(f"__v_{name}").cast("double" if f else "bigint") for name, f in zip(sums, floats)})
+    sorted_ = staged.repartitionByRange(n, *[F.col(c) for c in keys + order]).sortWithinPartitions(*keys, *order)
+    made = [T.StructField(f"__r_{i}", T.DoubleType() if f else T.LongType()) for i, f in enumerate(floats)]
+    schema = T.StructType([*staged.schema.fields, *made])
     ranged = cut_lineage(
-        staged.repartitionByRange(n, *[F.col(c) for c in keys + order])
-        .withColumn("__pid", F.spark_partition_id()),
-        "running",
-    )
-    starts = ranged.groupBy("__pid", *keys).agg(
-        *[F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums]
-    )
-    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(
-        F.col("__pid").alias("__p"), *[F.col(k).alias(f"__k_{k}") for k in keys],
-        *[F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__s_{name}") for name in sums],
-    )
-    on = F.col("__pid") == F.col("__p")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    within = (
-        Window.partitionBy("__pid", *keys).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    out = ranged.join(starts, on)
-    for name in sums:
-        out = out.withColumn(
-            name, F.coalesce(F.sum(f"__v_{name}").over(within), F.lit(0)) + F.col(f"__s_{name}")
-        )
-    drop = ["__pid", "__p", *[f"__k_{k}" for k in keys]]
-    drop += [p + name for name in sums for p in ("__v_", "__s_")]
-    return out.drop(*drop)
+        sorted_.mapInArrow(_accumulated(len(sums), floats, inclusive), schema).withColumn("__pid", F.spark_partition_id()), "running")
+    starts = ranged.groupBy("__pid", "__key").agg(*[F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums])
+    before = Window.partitionBy("__key").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("__pid", "__key", *[F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__s_{name}") for name in sums])
+    out = ranged.join(starts, ["__pid", "__key"])
+    return out.select(
+        *[F.col(f"`{c}`") for c in df.columns if c not in sums],
+        *[(F.col(f"__r_{i}") + F.col(f"__s_{name}")).alias(name) for i, name in enumerate(sums)])
 
 
 def last_before(

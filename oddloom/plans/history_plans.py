@@ -130,7 +130,7 @@ def median_roi(spark, sf_dir):
 
 REPORT_SQL = f"""
 SELECT strftime(seen_at, '%Y-%m-%d %H:%M') AS bet_date, strftime(match_date, '%Y-%m-%d %H:%M') AS match_date,
-  1000.0 AS init_balance, round_even(1000 + profit, 2) AS final_balance, round_even(roi_pct, 2) AS pct, round_even(profit, 2) AS profit,
+  1000.0::DOUBLE AS init_balance, round_even(1000 + profit, 2) AS final_balance, round_even(roi_pct, 2) AS pct, round_even(profit, 2) AS profit,
   sport, match, bk1 AS book_a, {label_sql(1)} AS event_a, odds1 AS odds_a, round_even(mise_a, 2) AS mise_a,
   bk2 AS book_b, {label_sql(2)} AS event_b, odds2 AS odds_b, round_even(mise_b, 2) AS mise_b,
   coalesce(bk3, '') AS book_c, coalesce({label_sql(3)}, '') AS event_c, coalesce(CAST(odds3 AS VARCHAR), '') AS odds_c,
