@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,8 @@ class WordEncoder:
         out: list[bytes] = []
         for at in range(0, len(words), 256):
             part = words[at:at + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            joined = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]  # without offsets
+            ids = np.array(joined.ids, np.uint32)
             ends = np.nonzero(self.closes[ids])[0] + 1
             if len(ends) != len(part):
                 out += [array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in part]
@@ -86,6 +88,12 @@ class WordEncoder:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+@lru_cache(1)
+def _encoder(tokenizer_path: str) -> WordEncoder:
+    """One for all tasks that a Python worker runs, words seen so far included."""
+    return WordEncoder(tokenizer_path)
+
+
 def binary_lengths(n: int, longest: int) -> list[int]:
     """``longest`` as often as it fits, then the binary digits of the rest, descending."""
     whole, rest = divmod(n, longest)
@@ -102,7 +110,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int = 4096)
         raise ValueError("max_len must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, task = _encoder(tokenizer_path), TaskContext.get().partitionId()
         end, filled = np.array([end_id], "<u4").tobytes(), Counter()
         for part in slices(batches):
             rows, starts, sizes, raw, totals, groups = [], [], [], [], [], []
