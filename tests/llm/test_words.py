@@ -7,7 +7,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 from oddloom.llm import alignment, spelling, url_filter
 
