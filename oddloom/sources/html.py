@@ -49,7 +49,6 @@ def page_start_time(text: Column, as_of: Column) -> Column:
     An explicit day wins when it is a real date; otherwise today, or tomorrow
     when the text says so.
     """
-    head = text
     clock = r"\b([01]?\d|2[0-3])[:h]([0-5]\d)\b"
     date = r"\b(\d{1,2})[/.](\d{1,2})(?:[/.](\d{2,4}))?\b"
 
