@@ -53,7 +53,7 @@ def page_start_time(text: Column, as_of: Column) -> Column:
     date = r"\b(\d{1,2})[/.](\d{1,2})(?:[/.](\d{2,4}))?\b"
 
     def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(head, pattern, i).try_cast("int")
+        return F.regexp_extract(text, pattern, i).try_cast("int")
 
     hour, minute = F.coalesce(part(clock, 1), F.lit(0)), F.coalesce(part(clock, 2), F.lit(0))
     now = as_of.cast("timestamp")
@@ -62,7 +62,7 @@ def page_start_time(text: Column, as_of: Column) -> Column:
     day = F.try_to_timestamp(
         F.format_string("%04d-%02d-%02d", year, part(date, 2), part(date, 1)), F.lit("yyyy-MM-dd"))
     base = F.date_trunc("day", now)
-    base = F.when(head.rlike(r"(?i)\bdemain\b|\btomorrow\b|\bdemen\b"), base + F.expr("INTERVAL 1 DAY")).otherwise(base)
+    base = F.when(text.rlike(r"(?i)\bdemain\b|\btomorrow\b|\bdemen\b"), base + F.expr("INTERVAL 1 DAY")).otherwise(base)
     return F.coalesce(day, base) + F.make_dt_interval(hours=hour, mins=minute)
 
 
