@@ -33,6 +33,7 @@ from .components import components
 from .substring_dedup import Sums, WordHashes, content_key
 
 WORDS, PERMUTATIONS, PER_BAND, SEED, ROUNDS, TILE = 4, 90, 5, 5, 3, 1024
+_PAIRS = 4096  # pairs of a block handed on at once
 MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 62, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -171,11 +172,15 @@ class _Block:
 
     def pairs(self) -> Iterator[tuple[int, int]]:
         """All pairs of mates, those that agree most first."""
-        found = [(np.full(len(at), k), at, agree) for k in range(len(self.cid) - 1) for at, agree in [self.mates(k)] if len(at)]
+        found = [(np.full(len(at), k, np.int32), at.astype(np.int32), agree.astype(np.int16))
+                 for k in range(len(self.cid) - 1) for at, agree in [self.mates(k)] if len(at)]
         if found:
             k, at, agree = map(np.concatenate, zip(*found))
-            order = np.argsort(-agree, kind="stable")
-            yield from zip(k[order].tolist(), at[order].tolist())
+            del found
+            order = np.argsort(-agree, kind="stable").astype(np.int32)
+            for begin in range(0, len(order), _PAIRS):
+                part = order[begin:begin + _PAIRS]
+                yield from zip(k[part].tolist(), at[part].tolist())
 
 
 def _in_blocks(rows: DataFrame, percent: int, fields: str, each: Callable[[_Block, list[tuple]], list[tuple]]) -> DataFrame:
