@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
 from ..schemas import MAPPING_TYPE
-from .similarity import partial_ratio
+from .similarity import named_side
 from .text import canonical_name, once, resolve_alias
 
 
@@ -58,33 +58,13 @@ def _family(market: Column) -> Column:
     return expr
 
 
-def _holds(a: Column, b: Column) -> Column:
-    """Whether one text stands whole in the other, which is the full score; an empty one stands in an empty one only."""
-    return F.when((a == "") | (b == ""), a == b).otherwise(a.contains(b) | b.contains(a))
-
-
-def _may_reach(a: Column, b: Column, threshold: int) -> Column:
-    """Whether the letters two texts share could make a window of that score: 2 s / (n + s) with s of n letters shared."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    shared = F.aggregate(F.array_distinct(F.split(short, "")), F.lit(0), lambda total, c: total + F.least(
-        F.length(short) - F.length(F.replace(short, c, F.lit(""))), F.length(long) - F.length(F.replace(long, c, F.lit("")))))
-    return 200.0 * shared >= threshold * (F.length(short) + shared) - 1e-9
-
-
 def team_scope_score(label: Column, home: Column, away: Column, threshold: int = C.MATCH_THRESHOLD) -> Column:
     """Which team a label names, home winning ties; NULL for neither.
 
-    A name that stands whole in the label has the full score, and names that share too few letters with it cannot reach
-    the threshold; only what is left is scored, once per distinct pair of texts.
+    Texts are brought to their canonical form once a row and then decided in batches.
     """
-    text = canonical_name(resolve_alias(label))
-    names = [canonical_name(resolve_alias(F.coalesce(team, F.lit("")))) for team in (home, away)]
-    whole = [_holds(text, name) for name in names]
-    open_ = ~whole[0] & ~whole[1]
-    near = [F.coalesce(partial_ratio(F.when(open_ & _may_reach(text, name, threshold), text), name), F.lit(0.0)) for name in names]
-    scored = F.when(
-        (near[0] >= threshold) | (near[1] >= threshold), F.when(near[0] >= near[1], "home").otherwise("away"))
-    return F.when(label.isNull(), F.lit(None)).when(whole[0], "home").when(whole[1], "away").otherwise(scored)
+    text, *names = [canonical_name(resolve_alias(c)) for c in (label, F.coalesce(home, F.lit("")), F.coalesce(away, F.lit("")))]
+    return named_side(text, *names, threshold)
 
 
 def normalize_market_label(

@@ -106,7 +106,7 @@ FROM (SELECT p_partkey, p_name AS h, concat(split_part(p_name, ' ', 2), ' ', spl
 def scope(spark, sf_dir):
     k = F.col("p_partkey")
     words = F.split("p_name", " ")
-    df = src.table(spark, sf_dir, "part").select(
+    df = src.spread(src.table(spark, sf_dir, "part"), "p_partkey").select(
         k, F.col("p_name").alias("home"), F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(0))).alias("away"))
     label = F.when(k % 3 == 0, F.concat(F.lit("Total de buts de "), "home")).when(
         k % 3 == 1, F.concat(F.lit("Total de buts de "), "away")).otherwise("Quelque match 1ere mi-temps")
