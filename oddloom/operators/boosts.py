@@ -8,7 +8,7 @@ from .. import constants as C
 from ..functions.labels import team_scope_score
 from ..functions.similarity import similar_ratio
 from ..functions.text import lookup, plain_number, same_squad_level, strip_accents
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 from ..sources.feeds import split_pair
 from .resolve import SIDE, canonical_key, similar_matches, with_side_keys
 
@@ -83,12 +83,13 @@ def match_pools(boosts: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFr
     index is written once, and callers that price an offer several ways pass it on.
     """
     offers = _offer_sides(boosts).select("boost_id", *SIDE)
-    spelled = with_side_keys(
-        quotes.groupBy("home_team", "away_team").agg(
-            F.min("ingest_seq").alias("seq"), F.min_by("bookmaker", "ingest_seq").alias("bookmaker"))
+    # By bookmaker first: whole numbers are reduced as they are read, texts would be sorted by match for it.
+    first = quotes.groupBy("home_team", "away_team", "bookmaker").agg(F.min("ingest_seq").alias("seq"))
+    spelled = cut_lineage(with_side_keys(
+        first.groupBy("home_team", "away_team").agg(F.min("seq").alias("seq"), F.min_by("bookmaker", "seq").alias("bookmaker"))
     ).groupBy(*SIDE).agg(
-        F.min("seq").alias("seq"), F.min_by(F.struct("home_team", "away_team", "bookmaker"), "seq").alias("ref"))
-    wanted = offers.select(*SIDE).distinct()
+        F.min("seq").alias("seq"), F.min_by(F.struct("home_team", "away_team", "bookmaker"), "seq").alias("ref")), "spelled")
+    wanted = cut_lineage(offers.select(*SIDE).distinct(), "wanted")
     hits = similar_matches(
         wanted.withColumn("o_home", F.col("home_key")).withColumn("o_away", F.col("away_key")), spelled, [])
     linked = hits.select(
@@ -104,6 +105,11 @@ def match_pools(boosts: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFr
     return keys, refs
 
 
+def _sided(conditions: DataFrame, refs: DataFrame) -> DataFrame:
+    """Conditions with their offer's first quote and the side of their team; read twice, so written once."""
+    return cut_lineage(conditions.join(shuffled(refs), "boost_id", "left").withColumn("side", _side_of(F.col("team"))), "conditions")
+
+
 def _side_of(team: Column) -> Column:
     """home or away, by similarity to the reference teams."""
     def like(ref: str) -> Column:
@@ -126,7 +132,7 @@ def price_condition(conditions: DataFrame, boosts: DataFrame, quotes: DataFrame,
     """add fair odds, bookmaker and detail to every condition; with ``feed`` by that bookmaker's prices alone."""
     quotes = quotes if feed is None else quotes.filter(F.col("bookmaker") == feed)
     keys, refs = match_pools(boosts, quotes)
-    rows = conditions.join(refs, "boost_id", "left").withColumn("side", _side_of(F.col("team")))
+    rows = _sided(conditions, refs)
     kind, each = F.col("kind"), F.col("each_team")
     market = (
         F.when(kind == "win", "1x2").when(kind == "btts", "btts")
@@ -142,14 +148,14 @@ def price_condition(conditions: DataFrame, boosts: DataFrame, quotes: DataFrame,
         F.max("odds").alias("odds")))
     market_keys = [*SIDE, "market_type", "selection", "scope"]
     priced = cut_lineage(best.select(*SIDE, "market_type", "selection", _scope_key("team_scope"), "line", "odds"), "prices")
-    placed = cut_lineage(needs.join(keys, "boost_id").select(
+    placed = cut_lineage(needs.join(shuffled(keys), "boost_id").select(
         "boost_id", "pos", *SIDE, "market_type", "selection", "line", _scope_key("team_scope")), "needs")
     lined = placed.filter("line IS NOT NULL").join(priced, [*market_keys, "line"])
     loose = placed.filter("line IS NULL").drop("line").join(priced.groupBy(*market_keys).agg(F.max("odds").alias("odds")), market_keys)
     fits = ["boost_id", "pos", "scope", "odds"]
     legs = lined.select(*fits).unionByName(loose.select(*fits)).groupBy("boost_id", "pos").agg(
         F.max(F.when(F.col("scope") != "away", F.col("odds"))).alias("o1"), F.max(F.when(F.col("scope") == "away", F.col("odds"))).alias("o2"))
-    out = rows.join(legs, ["boost_id", "pos"], "left")
+    out = rows.join(shuffled(legs), ["boost_id", "pos"], "left")
     fair = F.when(each, F.col("o1") * F.col("o2")).otherwise(F.coalesce("o1", "o2"))
     out = out.withColumn("fair_odds", fair)
     count = plain_number(F.col("line") + 0.5)
@@ -176,7 +182,7 @@ def value_boost(boosts: DataFrame, priced: DataFrame) -> DataFrame:
     per = priced.groupBy("boost_id").agg(
         F.count_if(F.col("fair_odds").isNull()).alias("unpriced_count"), F.array_sort(F.collect_list(leg)).alias("legs"))
     fair = F.aggregate("legs", F.lit(1.0), lambda acc, x: acc * x["fair_odds"])
-    out = boosts.join(per, "boost_id", "left").withColumn("unpriced_count", F.coalesce("unpriced_count", F.lit(0)))
+    out = boosts.join(shuffled(per), "boost_id", "left").withColumn("unpriced_count", F.coalesce("unpriced_count", F.lit(0)))
     complete = F.col("legs").isNotNull() & (F.col("unpriced_count") == 0)
     return out.withColumn("complete", complete).withColumn("fair_odds", F.when(complete, fair)).withColumn(
         "edge_pct", (F.try_divide(F.col("boosted_odds"), F.col("fair_odds")) - 1.0) * 100.0)
@@ -192,7 +198,7 @@ def complement_quote(
     """
     others = quotes.filter(F.col("bookmaker") != excluded)
     keys, refs = index or match_pools(boosts, others)
-    rows = conditions.join(refs, "boost_id", "left").withColumn("side", _side_of(F.col("team")))
+    rows = _sided(conditions, refs)
     kind = F.col("kind")
     usable = (kind == "threshold") & ~F.col("each_team") & (F.col("team").isNull() | F.col("side").isNotNull())
     market = F.when(kind == "btts", "btts").when(usable, _priced_stat(F.col("team").isNotNull()))
@@ -207,7 +213,7 @@ def complement_quote(
             F.max_by(info, F.struct("odds", -F.col("ingest_seq"))).alias("q"),
             F.max(F.struct("odds", -F.col("ingest_seq"))).alias("rank")))
     priced = cut_lineage(best.select(*SIDE, "market_type", _scope_key("team_scope"), "line", "q", "rank"), "prices")
-    placed = cut_lineage(needs.join(keys, "boost_id").select(
+    placed = cut_lineage(needs.join(shuffled(keys), "boost_id").select(
         "boost_id", "pos", "kind", *SIDE, "market_type", "line", _scope_key("team_scope")), "needs")
     market_keys = [*SIDE, "market_type"]
     # both teams scoring has neither line nor scope to meet; a threshold has to meet both
@@ -216,7 +222,7 @@ def complement_quote(
     lined = placed.filter("kind <> 'btts'").join(priced, [*market_keys, "line", "scope"])
     fits = ["boost_id", "pos", "q", "rank"]
     covers = lined.select(*fits).unionByName(loose.select(*fits)).groupBy("boost_id", "pos").agg(F.max_by("q", "rank").alias("cover"))
-    return conditions.join(covers, ["boost_id", "pos"], "left")
+    return rows.select(*conditions.columns).join(shuffled(covers), ["boost_id", "pos"], "left")
 
 
 def _significant_words(team: Column) -> Column:
@@ -230,7 +236,7 @@ def named_team_guard(conditions: DataFrame, boosts: DataFrame) -> DataFrame:
     teams = boosts.select("boost_id", home.alias("__h"), away.alias("__a"))
     words = F.concat(_significant_words(F.col("__h")), _significant_words(F.col("__a")))
     hit = F.exists(words, lambda w: F.lower("raw").contains(w))
-    return conditions.join(teams, "boost_id", "left").withColumn(
+    return conditions.join(shuffled(teams), "boost_id", "left").withColumn(
         "ambiguous", F.col("team").isNull() & F.coalesce(hit, F.lit(False))).drop("__h", "__a")
 
 
@@ -239,7 +245,7 @@ def _covered(boosts: DataFrame, conditions: DataFrame, quotes: DataFrame, exclud
     flagged = named_team_guard(complement_quote(conditions, boosts, quotes, excluded, index), boosts)
     cell = F.struct("pos", "raw", "kind", "each_team", "unknown", "ambiguous", "cover")
     per = flagged.groupBy("boost_id").agg(F.array_sort(F.collect_list(cell), lambda a, b: a["pos"] - b["pos"]).alias("conds"))
-    return boosts.join(per, "boost_id", "left").withColumn("conds", F.coalesce("conds", F.array()))
+    return boosts.join(shuffled(per), "boost_id", "left").withColumn("conds", F.coalesce("conds", F.array()))
 
 
 def _margin() -> Column:
@@ -321,5 +327,5 @@ def wanted_stats_by_match(conditions: DataFrame, boosts: DataFrame) -> DataFrame
     teams = boosts.select("boost_id", home.alias("home_team"), away.alias("away_team")).filter(
         F.col("home_team").isNotNull() & F.col("away_team").isNotNull())
     stats = conditions.filter((F.col("kind") == "threshold") & F.col("stat").isNotNull())
-    return stats.join(teams, "boost_id").groupBy("home_team", "away_team").agg(
+    return stats.join(shuffled(teams), "boost_id").groupBy("home_team", "away_team").agg(
         F.array_join(F.sort_array(F.collect_set("stat")), ",").alias("stats"))

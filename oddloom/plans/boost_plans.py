@@ -18,7 +18,8 @@ from .registry import query, with_ctes
 
 
 def offers(spark, sf_dir):
-    p = src.table(spark, sf_dir, "part")
+    # Dealt out: offers cost their time per text, however few files and row groups hold them.
+    p = src.spread(src.table(spark, sf_dir, "part"), "p_partkey")
     k, home, away = F.col("p_partkey") % 6, F.col("p_name"), F.col("p_type")
     text = (
         F.when(k == 0, F.concat(home, F.lit(" gagne & les deux equipes marquent")))

@@ -70,6 +70,15 @@ def cut_lineage(df: DataFrame, label: str = "stage", partition_by: list[str] | N
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the right side of a join that deals both sides out by their keys.
+
+    For sides that grow with the input. The size of rows that are exploded from a small, well packed file is guessed far
+    too low, and a guess below the threshold sends them whole through the driver.
+    """
+    return df.hint("merge")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -117,3 +117,16 @@ def test_wanted_stats(spark):
     r = B.wanted_stats_by_match(B.parse_condition(B.parse_boost(o)), o).first()
     assert (r["home_team"], r["away_team"], r["stats"]) == ("A", "B", "corners,goals")
     assert not B.is_parsable(B.parse_condition(B.parse_boost(offer(spark, 2, "xyz", "A - B")))).first()["parsable"]
+
+
+def test_offers_are_dealt_out(spark, tmp_path):
+    """Texts of offers are read by as many tasks as the session asks for, whatever the files; no offer goes through the driver."""
+    from oddloom.plans.boost_plans import offers
+
+    names = [(i, f"old plate {i}", "SMALL", i) for i in range(40)]
+    spark.createDataFrame(names, "p_partkey long, p_name string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    o = offers(spark, str(tmp_path))
+    assert o._jdf.queryExecution().toRdd().getNumPartitions() == 4
+    guarded = B.named_team_guard(B.parse_condition(B.parse_boost(o)), o)
+    assert guarded.count() == 61
+    assert "BroadcastHashJoin" not in guarded._jdf.queryExecution().executedPlan().toString()
