@@ -194,7 +194,7 @@ def stats(spark, sf_dir):
     cards = [F.struct(F.when(at == 4, SUBGAMES[4][0]).otherwise(SUBGAMES[5][0]).alias("TG"), (key * 20 + at + 1).cast("bigint").alias("I"))
              for at in (first, 9 - first)]
     listed += cards + [sg(name, key * 20 + i + 1) for i, (name, stat) in enumerate(SUBGAMES) if stat != "cards"] + [sg("Corners", key)]
-    main = src.table(spark, sf_dir, "part").select(
+    main = src.spread(src.table(spark, sf_dir, "part"), "p_partkey").select(
         key.alias("event_id"), F.concat(F.lit("Home "), key.cast("string")).alias("home_team"),
         F.concat(F.lit("Away "), key.cast("string")).alias("away_team"), F.lit("L").alias("competition"),
         F.lit("2001-01-01 12:00:00").cast("timestamp").alias("start_time"), F.lit("u").alias("url"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import constants as C
 from ..functions.text import lookup, make_match_id, strip_accents
 from ..schemas import GROUPED_FEED, LINE_FEED, STAT_MAIN, STAT_SUB, TREE_FEED, as_quotes
+from ..session import shuffled
 
 
 def values_dim(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
@@ -274,7 +275,7 @@ def stat_subgame_explode(
     entries = subgames.select("sub_id", "feed_seq", F.posexplode(F.from_json("payload", STAT_SUB)["E"]).alias("j", "e")).filter(
         (F.col("e.C") > 1.0) & F.col("e.P").isNotNull()
     ).join(F.broadcast(codes), (F.col("e.G") == F.col("g")) & (F.col("e.T") == F.col("t")))
-    rows = chosen.join(entries, "sub_id")
+    rows = entries.join(shuffled(chosen), "sub_id")
     return as_quotes(rows.select(
         F.lit(bookmaker).alias("bookmaker"), F.lit("football").alias("sport"), "competition",
         make_match_id(F.col("home_team"), F.col("away_team"), F.col("start_time")).alias("match_id"),

@@ -140,3 +140,17 @@ def test_links_and_meta(spark):
     r = X.page_meta(pages(spark, meta, "<b>vide</b>"), F.lit("2026-03-04")).collect()
     assert len(r) == 1 and (r[0]["home_team"], r[0]["away_team"], r[0]["competition"]) == ("Club", "A - B", "Ligue 1")
     assert r[0]["start_time"].strftime("%d %H:%M") == "24 18:00"
+
+
+def test_chosen_sub_games_are_not_broadcast(spark, tmp_path):
+    """Events explode into sub-games and so outgrow what their file's size lets expect: both sides are dealt out by sub-game."""
+    main = spark.createDataFrame(
+        [(1, "A", "B", "L", "u", '{"SG":[{"TG":"Corners","I":7},{"TG":"Fautes","I":8}]}')],
+        "event_id long, home_team string, away_team string, competition string, url string, payload string",
+    ).withColumn("start_time", F.lit("2001-01-01 12:00:00").cast("timestamp")).withColumn("scraped_at", F.col("start_time"))
+    main.write.parquet(f"{tmp_path}/main")
+    subs = spark.createDataFrame([(7, 1, '{"E":[{"G":17,"T":9,"P":4.5,"C":1.9}]}')], "sub_id long, feed_seq long, payload string")
+    found = S.stat_subgame_explode(spark.read.parquet(f"{tmp_path}/main"), subs)
+    assert [(r["market_type"], r["odds"]) for r in found.collect()] == [("corners_total", 1.9)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
