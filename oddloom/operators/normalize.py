@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions import text
 from ..functions.labels import normalize_market_label, team_scope_score
 from ..schemas import MAPPING_TYPE, as_quotes
+from ..session import cut_lineage
 from .budget import grant
 
 LABEL_COLS = ["sport", "market_label", "selection_label", "home_team", "away_team"]
@@ -57,8 +58,10 @@ def normalization_cache_join(labels: DataFrame, cache: DataFrame, threshold: flo
     """Rule mappings at or over the threshold stand; others take the cached one.
 
     ``labels`` carries the rule result as ``mapping``. Confident rows bypass
-    the join, so the shuffled side holds only the unsettled labels.
+    the join, so the shuffled side holds only the unsettled labels. The labels
+    are written once: both ways start from their rule result.
     """
+    labels = cut_lineage(labels, "labels")
     sure = F.coalesce(F.col("mapping.confidence") >= threshold, F.lit(False))
     settled = labels.filter(sure).withColumn("cache_key", F.lit(None).cast("string")).withColumn("source", F.lit("rule"))
     n = F.when(F.col("c_selection").isin("home", "draw", "away"), 3).otherwise(2)
