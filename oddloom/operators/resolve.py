@@ -4,8 +4,8 @@ Names are scored, never rows: a similarity join over the distinct names of
 one squad level (and day of a sport), with candidate keys that provably miss no pair
 over the threshold, and no cap on partners. Before any text is compared, the
 letters that two names share must be enough, counted by class of letter.
-Matches are then compared only through the name pairs found: home names bring
-them together within their sport and day, away names confirm.
+Matches are then compared only through the name pairs found: those of both
+sides bring them together within their sport and day.
 """
 
 from __future__ import annotations
@@ -215,23 +215,23 @@ def with_side_keys(df: DataFrame, home: str = "home_team", away: str = "away_tea
 _REGULAR = 8
 
 
-def _home_names(left: DataFrame, right: DataFrame, on: list[str]) -> list[DataFrame]:
-    """The home names of both sides, in the blocks in which they are to be compared.
+def _home_names(left: DataFrame, right: DataFrame, on: list[str], side: str = "home") -> list[DataFrame]:
+    """The home (or away) names of both sides, in the blocks in which they are to be compared.
 
     A regular (on at least ``_REGULAR`` values of the ``on`` columns) is compared with the other regulars once; any other
     name with all that share its few blocks. A pair of names in one block is thus always compared, and neither the blocks
     of a name nor the names in all blow up.
     """
-    block, whole = F.to_json(F.struct(*on, "home_level", "away_level")), F.col("home_level")
+    block, whole, key = F.to_json(F.struct(*on, "home_level", "away_level")), F.col(f"{side}_level"), F.col(f"{side}_key")
     if not on:
-        return [d.select(whole.alias("level"), F.col("home_key").alias("name")) for d in (left, right)]
-    seen = [d.select(block.alias("block"), whole.alias("home_level"), F.col("home_key").alias("name")).distinct() for d in (left, right)]
-    often = seen[0].union(seen[1]).groupBy("home_level", "name").agg((F.count_distinct("block") >= _REGULAR).alias("regular"))
-    known = [d.join(often, ["home_level", "name"]) for d in seen]
+        return [d.select(whole.alias("level"), key.alias("name")) for d in (left, right)]
+    seen = [d.select(block.alias("block"), whole.alias("whole"), key.alias("name")).distinct() for d in (left, right)]
+    often = seen[0].union(seen[1]).groupBy("whole", "name").agg((F.count_distinct("block") >= _REGULAR).alias("regular"))
+    known = [d.join(often, ["whole", "name"]) for d in seen]
     asked = known[0].union(known[1]).filter("NOT regular").select("block").distinct()
     out = []
     for d in known:
-        once = d.filter("regular").select(F.col("home_level").alias("level"), "name", F.lit(True).alias("asks")).distinct()
+        once = d.filter("regular").select(F.col("whole").alias("level"), "name", F.lit(True).alias("asks")).distinct()
         daily = d.join(asked, "block", "left_semi").select(F.col("block").alias("level"), "name", (~F.col("regular")).alias("asks"))
         out.append(once.unionByName(daily))
     return out
@@ -240,19 +240,22 @@ def _home_names(left: DataFrame, right: DataFrame, on: list[str]) -> list[DataFr
 def similar_matches(left: DataFrame, right: DataFrame, on: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Pairs (left id, right id) with both sides similar and equal ``on`` columns.
 
-    Left rows are rewritten to the similar home names and meet right rows by equality of those, of the ``on`` columns and
-    of both squad levels; the away names that come together so are then scored, once a pair of names.
+    Left rows are rewritten to the similar home and away names and meet right rows by equality of those, of the ``on``
+    columns and of both squad levels: only similar matches ever come together, however many a team plays.
     """
-    pairs = cut_lineage(similar_names(*_home_names(left, right, on), threshold).select(
-        F.col("left_name").alias("__own"), F.col("right_name").alias("__to")).distinct(), "names")
-    reach = left.join(pairs, F.col("home_key") == F.col("__own")).withColumn("home_key", F.col("__to")).drop("__own", "__to")
+    reach = left
+    for side in ("home", "away"):
+        found = similar_names(*_home_names(left, right, on, side), threshold).select("left_name", "right_name")
+        if side == "away":  # two blank away names are alike, and have no letters to be found by
+            found = found.union(left.sparkSession.sql("SELECT '' AS left_name, '' AS right_name"))
+        pairs = cut_lineage(found.select(F.col("left_name").alias("__own"), F.col("right_name").alias("__to")).distinct(), "names")
+        key = f"{side}_key"
+        reach = reach.join(pairs, F.col(key) == F.col("__own")).withColumn(key, F.col("__to")).drop("__own", "__to")
     l, r = reach.alias("l"), right.alias("r")
     cond = F.lit(True)
-    for k in [*on, "home_level", "home_key", "away_level"]:
+    for k in [*on, *SIDE]:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    met = cut_lineage(l.join(r, cond).select(
-        F.struct("l.*").alias("l"), F.struct("r.*").alias("r"), F.col("l.away_key").alias("a"), F.col("r.away_key").alias("b")), "met")
-    return met.join(scored_pairs(met, threshold), ["a", "b"]).select("l", "r")
+    return l.join(r, cond).select(F.struct("l.*").alias("l"), F.struct("r.*").alias("r"))
 
 
 def _leaders(edges: DataFrame, group: list[str]) -> DataFrame:
