@@ -147,14 +147,14 @@ def plan_of(df):
 
 def test_scope_reads_each_text_once(spark):
     """The canonical forms are worked out once a row, not again for every letter compared."""
-    df = spark.createDataFrame([("Total PSG", "PSG", "Lyon")], "label string, home string, away string")
+    df = spark.createDataFrame([("Total Ghana", "Ghana", "Colombie")], "label string, home string, away string")
     scoped = N.team_scope_in_label(df, "label", "home", "away")
     assert scoped.first()["team_scope"] == "home"
     assert plan_of(scoped).count("regexp_replace") <= 6
 
 
 def test_cache_join_normalises_once(spark):
-    df = spark.createDataFrame([("football", "Nombre de buts", "> 2.5", "A", "B")], "sport string, market_label string, selection_label string, home_team string, away_team string")
+    df = spark.createDataFrame([("football", "Nombre de buts", "> 2.5", "Ghana", "Colombie")], "sport string, market_label string, selection_label string, home_team string, away_team string")
     cache = spark.createDataFrame([], "cache_key string, market_type string, selection string, line double, team_scope string, confidence double")
     out = N.normalization_cache_join(N.normalize_market_label(df), cache)
     assert [(r["source"], r["mapping"]["market_type"]) for r in out.collect()] == [("rule", "goals_total")]
