@@ -20,9 +20,7 @@ DUPLICATE_KEYS = [
 
 def price_volatility(ticks: DataFrame, by: list[str], window_s: int = 300) -> DataFrame:
     """Deviation of the price over its mean in the trailing window, and its score."""
-    spread = trailing_window(
-        ticks, by, "ts", window_s, {"__dev": F.stddev_pop("price"), "__mean": F.avg("price")}
-    )
+    spread = trailing_window(ticks, by, "ts", window_s, F.col("price"), {"__dev": "deviation", "__mean": "mean"})
     return (
         spread.withColumn("volatility", F.coalesce(F.try_divide("__dev", "__mean"), F.lit(0.0)))
         .withColumn("volatility_score", S.volatility_score(F.col("volatility")))

@@ -132,23 +132,38 @@ def middle_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def trailing_window(
-    df: DataFrame, by: list[str], ts: str, size_s: int, aggs: dict[str, Column],
+    df: DataFrame, by: list[str], ts: str, size_s: int, value: Column, aggs: dict[str, str],
     include_edge: bool = True, include_self: bool = True,
 ) -> DataFrame:
-    """Add aggregates over the last ``size_s`` seconds of every row's key.
+    """Add ``name = rows | mean | deviation`` of ``value`` over the last ``size_s`` seconds of every row's key.
 
-    Time is cut into buckets of the window's length; a row is a result in its
-    own bucket and context in the next one, so a hot key becomes many window
-    partitions. ``include_edge`` keeps rows exactly ``size_s`` old.
+    Time is cut into buckets of the window's length, so a window is the end of
+    one bucket and the start of the next. Both grow from row to row and are
+    never computed anew: the work follows the rows, however many a window
+    holds, and a hot key becomes many window partitions. ``include_edge`` keeps
+    rows exactly ``size_s`` old.
     """
     size = size_s * 1_000_000
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    staged = df.withColumn("__t", at).withColumn("__b", F.floor(F.col("__t") / size))
+    staged = df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("__x", value)
+    staged = staged.withColumn("__b", F.floor(F.col("__t") / size))
+    # A row counts in its own bucket, and in the next one until it is ``size`` old.
     spread = staged.withColumn("__k", F.explode(F.array(F.col("__b"), F.col("__b") + 1)))
-    span = (
-        Window.partitionBy(*by, "__k").orderBy("__t")
-        .rangeBetween(-(size if include_edge else size - 1), 0 if include_self else -1)
-    )
-    for name, expr in aggs.items():
-        spread = spread.withColumn(name, expr.over(span))
-    return spread.filter(F.col("__k") == F.col("__b")).drop("__t", "__b", "__k")
+    own = F.col("__k") == F.col("__b")
+    spread = spread.withColumn("__at", F.when(own, F.col("__t")).otherwise(F.col("__t") + size))
+    bucket = Window.partitionBy(*by, "__k")
+    old = bucket.orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0 if include_edge else -1)
+    new = bucket.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0 if include_self else -1)
+    for part, rows, span in (("o", ~own, old), ("n", own, new)):
+        x = F.when(rows, F.col("__x"))
+        spread = spread.withColumns({
+            f"__{part}_rows": F.count_if(rows).over(span), f"__{part}_n": F.count(x).over(span),
+            f"__{part}_mean": F.avg(x).over(span), f"__{part}_var": F.var_pop(x).over(span)})
+    o_n, n_n, o_mean, n_mean = (F.col(f"__{part}_{name}") for name in ("n", "mean") for part in ("o", "n"))
+    n = o_n + n_n
+    squares = o_n * F.col("__o_var") + n_n * F.col("__n_var") + (o_mean - n_mean) * (o_mean - n_mean) * o_n * n_n / n
+    made = {
+        "rows": F.col("__o_rows") + F.col("__n_rows"),
+        "mean": F.when(n_n == 0, o_mean).when(o_n == 0, n_mean).otherwise((o_n * o_mean + n_n * n_mean) / n),
+        "deviation": F.sqrt(F.when(n_n == 0, F.col("__o_var")).when(o_n == 0, F.col("__n_var")).otherwise(squares / n)),
+    }
+    return spread.filter(own).select(*df.columns, *[made[kind].alias(name) for name, kind in aggs.items()])

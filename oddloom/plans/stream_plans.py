@@ -207,7 +207,7 @@ def trailing(spark, sf_dir):
     from ..operators.running import trailing_window
 
     ev = src.table(spark, sf_dir, "events")
-    t = trailing_window(ev, ["event_type"], "ts", 3600, {"n": F.count("*"), "deviation": F.stddev_pop("value")})
+    t = trailing_window(ev, ["event_type"], "ts", 3600, F.col("value"), {"n": "rows", "deviation": "deviation"})
     return t.select("event_id", "n", F.round("deviation", 6).alias("deviation"))
 
 
