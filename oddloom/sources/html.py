@@ -21,23 +21,28 @@ def _open(tag: str, name: str) -> str:
 def _inner(col: Column, name: str) -> Column:
     """Text of the first element of a class, NULL when absent."""
     pattern = rf'(?s)<([a-z][a-z0-9-]*)\b[^>]*\bclass="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</\1>'
+    # an empty text needs a second look: the element may be absent
     return let(
-        F.regexp_extract(col, pattern, 0), lambda e: F.when(e != "", strip_tags(F.regexp_extract(e, pattern, 2))))
+        F.regexp_extract(col, pattern, 2),
+        lambda t: F.when(t != "", strip_tags(t)).when(F.regexp_extract(col, pattern, 0) != "", F.lit("")))
 
 
 def _blocks(col: Column, opening: str) -> Column:
     """Pieces of ``col`` that start at each ``opening``."""
-    parts = F.split(col, opening)
-    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return let(F.split(col, opening), lambda parts: F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
+
+
+def _cut(rows: DataFrame, keep: list[str], name: str, opening: str, position: str, piece: str) -> DataFrame:
+    """A row per piece of a column that starts at ``opening``; what comes before the first one is dropped as a row."""
+    pieces = rows.select(*keep, F.posexplode(F.split(F.col(name), opening)).alias(position, piece)).filter(F.col(position) > 0)
+    return pieces.withColumn(position, F.col(position) - 1)
 
 
 def html_market_extract(pages: DataFrame) -> DataFrame:
     """(page_id, position, title, selection label, odds text) of event pages."""
-    markets = pages.select("page_id", F.posexplode(_blocks(F.col("html"), _open("div", "bet-type"))).alias("m", "block"))
+    markets = _cut(pages, ["page_id"], "html", _open("div", "bet-type"), "m", "block")
     items = once(markets, "title", _inner(F.col("block"), "bet-type-infos")).filter(F.col("title").isNotNull())
-    cells = items.select(
-        "page_id", "m", "title", F.posexplode(_blocks(F.col("block"), r"<hg-event-bet-type-item\b[^>]*>")).alias("i", "item")
-    )
+    cells = _cut(items, ["page_id", "m", "title"], "block", r"<hg-event-bet-type-item\b[^>]*>", "i", "item")
     both = F.struct(_inner(F.col("item"), "name").alias("selection_label"), _inner(F.col("item"), "odds").alias("odds_text"))
     return once(cells, "cell", both).select("page_id", "m", "i", "title", "cell.selection_label", "cell.odds_text").filter(
         F.col("selection_label").isNotNull() & F.col("odds_text").isNotNull())
@@ -49,21 +54,27 @@ def page_start_time(text: Column, as_of: Column) -> Column:
     An explicit day wins when it is a real date; otherwise today, or tomorrow
     when the text says so.
     """
-    clock = r"\b([01]?\d|2[0-3])[:h]([0-5]\d)\b"
-    date = r"\b(\d{1,2})[/.](\d{1,2})(?:[/.](\d{2,4}))?\b"
+    clock = r"(?=\d)\b([01]?\d|2[0-3])[:h]([0-5]\d)\b"
+    date = r"(?=\d)\b(\d{1,2})[/.](\d{1,2})(?:[/.](\d{2,4}))?\b"
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, pattern, i).try_cast("int")
-
-    hour, minute = F.coalesce(part(clock, 1), F.lit(0)), F.coalesce(part(clock, 2), F.lit(0))
     now = as_of.cast("timestamp")
-    year = F.coalesce(part(date, 3), F.year(now))
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    day = F.try_to_timestamp(
-        F.format_string("%04d-%02d-%02d", year, part(date, 2), part(date, 1)), F.lit("yyyy-MM-dd"))
     base = F.date_trunc("day", now)
     base = F.when(text.rlike(r"(?i)\bdemain\b|\btomorrow\b|\bdemen\b"), base + F.expr("INTERVAL 1 DAY")).otherwise(base)
-    return F.coalesce(day, base) + F.make_dt_interval(hours=hour, mins=minute)
+
+    def part(found: Column, pattern: str, i: int) -> Column:
+        return F.regexp_extract(found, pattern, i).try_cast("int")
+
+    def day(found: Column) -> Column:
+        year = let(F.coalesce(part(found, date, 3), F.year(now)), lambda y: F.when(y < 100, y + 2000).otherwise(y))
+        zero = F.lit(0)
+        return F.try_make_timestamp(year, part(found, date, 2), part(found, date, 1), zero, zero, zero)
+
+    def time(found: Column) -> Column:
+        return F.make_dt_interval(
+            hours=F.coalesce(part(found, clock, 1), F.lit(0)), mins=F.coalesce(part(found, clock, 2), F.lit(0)))
+
+    # The text is searched once a pattern; the parts are read off what was found.
+    return F.coalesce(let(F.regexp_extract(text, date, 0), day), base) + let(F.regexp_extract(text, clock, 0), time)
 
 
 EVENT_LINK = r"(?i)(/sports/event/[a-z0-9\-]+m\d+)"
@@ -109,14 +120,12 @@ def page_meta(pages: DataFrame, as_of: Column) -> DataFrame:
     """Teams, competition and kick-off of event pages; unresolved pages are dropped."""
     title = rf'(?s)(?:{_open("[a-z0-9-]+", "informations")}|<hg-event\b[^>]*>).*?{_open("[a-z0-9-]+", "name")}(.*?)</(?:span|div|a|p)>'
     rival = r"(?s)(?:<hg-event-categories\b[^>]*>|" + _open("[a-z0-9-]+", "categories") + r")(.*?)</(?:hg-event-categories|span|div|p)>"
-    # The texts are named columns first: they are used several times below.
-    parts = pages.select(
-        "page_id", "url", strip_tags(F.regexp_extract("html", title, 1)).alias("name"),
-        strip_tags(F.regexp_extract("html", rival, 1)).alias("competition"),
-        strip_tags(F.col("html")).alias("head"),
-    )
+    # Each text is made once: the filter on the teams would else carry its own copies of the page down to the scan.
+    named = once(pages.select("page_id", "url", "html"), "name", strip_tags(F.regexp_extract("html", title, 1)))
     home, away = split_pair(F.col("name"))
-    return parts.select(
-        "page_id", "url", home.alias("home_team"), away.alias("away_team"), "competition",
-        page_start_time(F.col("head"), as_of).alias("start_time"),
-    ).filter(F.col("home_team").isNotNull() & F.col("away_team").isNotNull())
+    teams = once(named, "teams", F.struct(home.alias("home_team"), away.alias("away_team"))).filter(
+        F.col("teams.home_team").isNotNull() & F.col("teams.away_team").isNotNull())
+    texts = F.struct(strip_tags(F.regexp_extract("html", rival, 1)).alias("competition"), strip_tags(F.col("html")).alias("head"))
+    return once(teams, "texts", texts).select(
+        "page_id", "url", "teams.home_team", "teams.away_team", "texts.competition",
+        page_start_time(F.col("texts.head"), as_of).alias("start_time"))
