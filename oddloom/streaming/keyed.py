@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Also the most rows of a manifest, which come to the driver.
 BUCKETS = 64
@@ -40,18 +40,30 @@ class KeyedTable:
         """All rows as of a batch; None if there never were any."""
         return self._read(self.manifest(batch_id))
 
-    def touched(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
-        """What the batches before this one left in the buckets of this batch's keys."""
+    def _buckets_of(self, batch: DataFrame) -> set[int]:
+        return {r[0] for r in batch.select(self._bucket()).distinct().collect()}
+
+    def touched(self, batch: DataFrame, batch_id: int, mine: set[int] | None = None) -> DataFrame | None:
+        """What the batches before this one left in the buckets of this batch's keys (``mine``, if they are known)."""
         before = self.manifest(batch_id - 1)
-        mine = {r[0] for r in batch.select(self._bucket()).distinct().collect()}
+        mine = self._buckets_of(batch) if mine is None else mine
         return self._read({b: v for b, v in before.items() if b in mine})
 
-    def write(self, rows: DataFrame, batch: DataFrame, batch_id: int) -> None:
+    def _dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """Rows by bucket; where buckets are fewer than the shuffle's tasks, each one is shared out among several."""
+        shares = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // max(1, buckets)
+        keyed = rows.withColumn("bucket", self._bucket())
+        if shares < 2:
+            return keyed.repartition("bucket")
+        whole = [f"`{f.name}`" for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+        return keyed.repartition("bucket", F.pmod(F.xxhash64(*whole), F.lit(shares)))
+
+    def write(self, rows: DataFrame, batch: DataFrame, batch_id: int, mine: set[int] | None = None) -> None:
         """Replace the buckets of this batch's keys by ``rows``."""
         before = self.manifest(batch_id - 1)
         data = f"{self.path}/data/batch={batch_id}"
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
-        mine = {r[0] for r in batch.select(self._bucket()).distinct().collect()}
+        mine = self._buckets_of(batch) if mine is None else mine
+        self._dealt(rows, len(mine)).write.mode("overwrite").partitionBy("bucket").parquet(data)
         filled = set(subfolders(self.spark, data, "bucket="))
         after = {b: v for b, v in before.items() if b not in mine} | {b: batch_id for b in filled}
         listed = self.spark.createDataFrame(sorted(after.items()), "bucket int, batch long")
@@ -60,7 +72,8 @@ class KeyedTable:
 
     def fold(self, batch: DataFrame, batch_id: int, step: Step) -> None:
         """Fold a batch in: ``step`` gets what is known of its buckets (None: nothing) and the batch."""
-        self.write(step(self.touched(batch, batch_id), batch), batch, batch_id)
+        mine = self._buckets_of(batch)
+        self.write(step(self.touched(batch, batch_id, mine), batch), batch, batch_id, mine)
 
     def _forget(self, batch_id: int, before: dict[int, int], after: dict[int, int]) -> None:
         kept = set(before.items()) | set(after.items())
@@ -88,6 +101,12 @@ def subfolders(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
 
 
+def count_files(spark: SparkSession, path: str) -> int:
+    """How many data files a folder holds; none if there is no folder."""
+    where, store = _folder(spark, path)
+    return sum(s.getPath().getName().startswith("part-") for s in store.listStatus(where)) if store.exists(where) else 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where, store = _folder(spark, path)
     store.delete(where, True)

@@ -20,7 +20,7 @@ from ..operators.arbitrage import evaluate
 from ..operators.pool import fresh_only, latest_contribution
 from ..operators.running import last_before
 from ..operators.scout import TRAJECTORY_KEY, margin_trajectory
-from .keyed import KeyedTable, forget_versions
+from .keyed import KeyedTable, count_files, forget_versions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,12 +36,23 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def landed_stream(landings: list[DataFrame], path: str, files: int = 2) -> DataFrame:
-    """Landings written one after another and streamed in that order, one landing a batch."""
-    for rows in landings:
+#: Rows of a landed file, about; a task writes one file.
+FILE_ROWS = 1_000_000
+
+
+def landed_stream(landings: list[DataFrame], path: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Landings written one after another and streamed in that order, one landing a batch.
+
+    A trigger takes so many files, so every landing has as many as the largest one needs: few rows are filled up with
+    files without rows.
+    """
+    spark, schema = landings[0].sparkSession, landings[0].schema
+    files = max(2, *[-(-rows.count() // file_rows) for rows in landings])
+    for i, rows in enumerate(landings, 1):
         rows.repartition(files).write.mode("append").parquet(path)
-    stream = landings[0].sparkSession.readStream.schema(landings[0].schema)
-    return stream.option("maxFilesPerTrigger", files).parquet(path)
+        for _ in range(i * files - count_files(spark, path)):
+            spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def keyed(path: str, keys: list[str], step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
