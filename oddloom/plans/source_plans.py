@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..operators.pool import branded_feed_union
 from ..session import scratch_path
 from ..sources import adapters as src
@@ -68,6 +69,11 @@ def brands(spark, sf_dir):
     return q.groupBy("bookmaker", "market_type", "selection").agg(F.count("*").alias("n"))
 
 
+def _landed(q, document):
+    """One document per quote, written in a step of its own: in one with the parser, all of it would be interpreted."""
+    return once(q.withColumn("feed_seq", F.col("ingest_seq") % 1000003), "payload", document).select("feed_seq", "payload")
+
+
 def _map1(key, value):
     return F.create_map(key, value)
 
@@ -150,8 +156,7 @@ def grouped(spark, sf_dir):
             F.lit("h1"), market("MainTime", F.col("odds")), F.lit("h2"), market("OvertimePenalties", F.col("odds")),
             F.lit("h3"), market("MainTime", F.col("odds"), F.lit(999))).alias("mr"))
     group = F.struct(F.lit("").alias("trn"), F.col("competition").alias("ctn"), F.array(event).alias("events"))
-    raw = q.select((F.col("ingest_seq") % 1000003).alias("feed_seq"), F.to_json(_map1(F.lit("1"), F.array(group))).alias("payload"))
-    return _rows(S.grouped_feed_flatten(raw))
+    return _rows(S.grouped_feed_flatten(_landed(q, F.to_json(_map1(F.lit("1"), F.array(group))))))
 
 
 @query("s05_code_market_resolve", f"""

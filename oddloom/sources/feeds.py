@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
-from ..functions.text import lookup, make_match_id, strip_accents
+from ..functions.text import lookup, make_match_id, once, strip_accents
 from ..schemas import GROUPED_FEED, LINE_FEED, STAT_MAIN, STAT_SUB, TREE_FEED, as_quotes
 from ..session import shuffled
 
@@ -43,8 +43,7 @@ def _count(col: Column) -> Column:
 
 def _total(elements: Column, leaves: Callable[[Column], Column]) -> Column:
     """How many leaves all elements have together; a missing array or element has none."""
-    each = F.transform(elements, lambda x: F.coalesce(leaves(x), F.lit(0)))
-    return F.coalesce(F.aggregate(each, F.lit(0), lambda total, n: total + n), F.lit(0))
+    return F.coalesce(F.aggregate(elements, F.lit(0), lambda total, x: total + F.coalesce(leaves(x), F.lit(0))), F.lit(0))
 
 
 def _numbered(elements: Column, leaves: Callable[[Column], Column], first: Column | None = None) -> Column:
@@ -53,11 +52,12 @@ def _numbered(elements: Column, leaves: Callable[[Column], Column], first: Colum
     Levels are exploded one by one with these places, so that nothing above a leaf is copied into it.
     """
     size = F.size(elements)
-    before = F.slice(elements, F.lit(1), F.greatest(size - 1, F.lit(0)))  # nothing comes after the last element
-    each = F.transform(before, lambda x: F.coalesce(leaves(x), F.lit(0)))
+    before = F.slice(elements, F.lit(1), size - 1)  # nothing comes after the last element
     begin = F.array(F.lit(0) if first is None else first)
-    places = F.aggregate(each, begin, lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
-    placed = F.zip_with(elements, places, lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+    counted = F.aggregate(before, begin, lambda done, x: F.array_append(done, F.element_at(done, -1) + F.coalesce(leaves(x), F.lit(0))))
+    places = F.when(size > 1, counted).otherwise(begin)
+    # zipped whole: a function of each pair would copy every element once more
+    placed = F.arrays_zip(F.struct(elements.alias("x"))["x"], F.struct(places.alias("at"))["at"])
     return F.when(size > 0, placed)
 
 
@@ -189,7 +189,8 @@ def code_market_resolve(df: DataFrame, tp: str = "tp", nm: str = "nm", pn: str =
         F.col("__market").alias("market_type"), F.col("__n").alias("n_outcomes"), F.col("__scope").alias("team_scope"))
     joined = df.join(F.broadcast(listed), F.col(tp) == F.col("__tp"), "left")
     base = F.when(F.col("__tp").isNotNull(), known).otherwise(market_from_name(F.col(nm)))
-    out = joined.withColumn("__base", base).withColumn("__suffix", lookup(C.GROUPED_PERIODS, F.col(pn)))
+    # made once a row: with the patterns in a filter as well, the generated method is too long to be compiled
+    out = once(joined, "__base", base).withColumn("__suffix", lookup(C.GROUPED_PERIODS, F.col(pn)))
     return (
         out.filter(F.col("__base").isNotNull() & F.col("__suffix").isNotNull())
         .withColumn("resolved", F.col("__base").withField("market_type", F.concat("__base.market_type", "__suffix")))
@@ -199,11 +200,10 @@ def code_market_resolve(df: DataFrame, tp: str = "tp", nm: str = "nm", pn: str =
 
 def split_pair(name: Column) -> tuple[Column, Column]:
     """Both sides of "A - B" at the first separator, blank as NULL."""
-    pair = F.split(name, " - ", 2)
-    there = name.contains(" - ")
+    at = F.instr(name, " - ")
     return (
-        F.when(there, F.nullif(F.trim(F.get(pair, F.lit(0))), F.lit(""))),
-        F.when(there, F.nullif(F.trim(F.get(pair, F.lit(1))), F.lit(""))),
+        F.when(at > 0, F.nullif(F.trim(F.substring(name, F.lit(1), at - 1)), F.lit(""))),
+        F.when(at > 0, F.nullif(F.trim(F.substring(name, at + 3, F.length(name))), F.lit(""))),
     )
 
 
@@ -228,13 +228,14 @@ def grouped_feed_flatten(
     listed = groups.select("feed_seq", competition, F.explode(_numbered(F.col("n.x.events"), of_event, at)).alias("n"))
     left, right = split_pair(F.col("n.x.nm"))
     teams = F.col("n.x.cms")
-    named = (F.size(teams) == 2) & F.forall(teams, lambda t: F.coalesce(t, blank) != "")
-    events = listed.select(
-        "feed_seq", "competition", "n", F.col("n.x.id").alias("event_id"),
-        F.when(named, F.get(teams, F.lit(0))).otherwise(left).alias("home_team"),
-        F.when(named, F.get(teams, F.lit(1))).otherwise(right).alias("away_team"),
+    one, two = F.get(teams, F.lit(0)), F.get(teams, F.lit(1))
+    named = (F.size(teams) == 2) & (F.coalesce(one, blank) != "") & (F.coalesce(two, blank) != "")
+    # made once a row: a filter would make them anew
+    events = once(listed, "of", F.struct(
+        F.when(named, one).otherwise(left).alias("home_team"), F.when(named, two).otherwise(right).alias("away_team"),
         F.col("n.x.tm").try_cast("timestamp").alias("start_time"),
-    ).filter(F.col("home_team").isNotNull() & F.col("away_team").isNotNull() & F.col("start_time").isNotNull())
+    )).select("feed_seq", "competition", "n", F.col("n.x.id").alias("event_id"), "of.*").filter(
+        F.col("home_team").isNotNull() & F.col("away_team").isNotNull() & F.col("start_time").isNotNull())
     facts = ["feed_seq", "competition", "event_id", "home_team", "away_team", "start_time"]
     markets = code_market_resolve(events.select(*facts, F.explode(_numbered(F.map_values("n.x.mr"), of_market, at)).alias("n")).select(
         *facts, "n", F.col("n.x.tp").alias("tp"), F.col("n.x.nm").alias("nm"), F.col("n.x.pn").alias("pn")))

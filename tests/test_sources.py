@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,44 @@ def test_chosen_sub_games_are_not_broadcast(spark, tmp_path):
     assert [(r["market_type"], r["odds"]) for r in found.collect()] == [("corners_total", 1.9)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def landed(spark, tmp_path, *docs):
+    """Documents read from a file: rows made in the driver would be worked on while planning."""
+    path = str(tmp_path / "landed")
+    spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "feed_seq bigint, payload string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("flatten", [S.grouped_feed_flatten])
+def test_feed_methods_are_short_enough_to_be_compiled(spark, tmp_path, capsys, flatten):
+    """The JVM never compiles a method of more than 8,000 bytes: every row would be interpreted."""
+    df = flatten(landed(spark, tmp_path, {}))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_names_of_a_pair(spark):
+    names = ["A - B", "A - B - C", " - B", "A - ", "A-B", "", None, "É - ñ  -  x", "  -  "]
+    pairs = spark.createDataFrame([(n,) for n in names], "n string").select(*S.split_pair(F.col("n"))).collect()
+    assert [tuple(r) for r in pairs] == [("A", "B"), ("A", "B - C"), (None, "B"), ("A", None), (None, None), (None, None), (None, None),
+                                         ("É", "ñ  -  x"), (None, None)]
+
+
+def test_places_count_entries_of_all_levels_before(spark, tmp_path):
+    """Blank, missing and dropped elements take their places too; two documents do not share any."""
+    def market(n, tp=4):
+        return {"tp": tp, "pn": "MainTime", "nm": "M", "vl": "2.5", "ou": [{str(i): {"nm": "Over", "kf": 2.0 + i, "vl": ""}} for i in range(n)]}
+
+    def event(*markets, nm="A - B"):
+        return {"id": "1", "nm": nm, "tm": "2026-07-24T08:30:00Z", "mr": {str(i): m for i, m in enumerate(markets)}}
+
+    doc = {"1": [{"ctn": "x", "events": [event(market(2), market(1, 999), market(2)), event(market(3), nm="nobody")]}, {"ctn": "y", "events": []},
+                 None, {"ctn": "z", "events": [event(market(1))]}]}
+    rows = S.grouped_feed_flatten(landed(spark, tmp_path, doc, doc)).collect()
+    assert sorted(r["ingest_seq"] for r in rows) == [(d << 31) + at for d in (0, 1) for at in (0, 1, 3, 4, 8)]
