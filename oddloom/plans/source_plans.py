@@ -99,8 +99,7 @@ def tree(spark, sf_dir):
         F.create_map(F.lit("m1"), market, F.lit("m2"), exotic).alias("market"))
     comp = F.struct(F.col("competition").alias("name"), _map1(F.lit("g"), game).alias("game"))
     root = F.struct(_map1(F.lit("1"), F.struct(_map1(F.lit("c"), comp).alias("competition"))).alias("sport"))
-    raw = q.select((F.col("ingest_seq") % 1000003).alias("feed_seq"), F.to_json(root).alias("payload"))
-    return _rows(S.tree_flatten(raw))
+    return _rows(S.tree_flatten(_landed(q, F.to_json(root))))
 
 
 STATS = [("corners", "Corners"), ("cards", "YellowCards"), ("fouls", "Fouls"), ("shots_on_target", "ShotsOnTarget"),

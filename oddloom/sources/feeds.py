@@ -118,11 +118,10 @@ def tree_market_resolve(df: DataFrame, type_col: str = "type") -> DataFrame:
     )
     known = F.struct(
         F.col("__market").alias("market_type"), F.col("__n").alias("n_outcomes"), F.col("__scope").alias("team_scope"))
-    return (
-        df.join(F.broadcast(listed), F.col(type_col) == F.col("__type"), "left")
-        .withColumn("resolved", F.when(F.col("__type").isNotNull(), known).otherwise(tree_pattern_market(F.col(type_col))))
-        .drop("__type", "__market", "__n", "__scope")
-    )
+    joined = df.join(F.broadcast(listed), F.col(type_col) == F.col("__type"), "left")
+    resolved = F.when(F.col("__type").isNotNull(), known).otherwise(tree_pattern_market(F.col(type_col)))
+    # made once a row: with the patterns in a filter as well, the generated method is too long to be compiled
+    return once(joined, "resolved", resolved).drop("__type", "__market", "__n", "__scope")
 
 
 def tree_flatten(

@@ -164,7 +164,7 @@ def landed(spark, tmp_path, *docs):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("flatten", [S.grouped_feed_flatten])
+@pytest.mark.parametrize("flatten", [S.tree_flatten, S.grouped_feed_flatten])
 def test_feed_methods_are_short_enough_to_be_compiled(spark, tmp_path, capsys, flatten):
     """The JVM never compiles a method of more than 8,000 bytes: every row would be interpreted."""
     df = flatten(landed(spark, tmp_path, {}))
