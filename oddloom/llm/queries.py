@@ -28,7 +28,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).alias("last_byte"))
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.try_element_at("ends", F.lit(-1)).alias("last_byte"))
 
 
 @query("op7_noisy_or_toxicity")

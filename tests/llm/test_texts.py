@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from oddloom.llm import minhash_dedup, packing, pieces, pii, secrets, substring_dedup, toxicity
 
 from .conftest import AWKWARD
@@ -99,6 +100,15 @@ def test_encode_frame(docs):
     assert pieces.encode(docs([]), PIECE).count() == 0
 
 
+def test_registered_pieces_of_texts_without_any(spark, docs, tmp_path):
+    """A null or empty text has no pieces and no last byte, whatever the session does on errors."""
+    docs(AWKWARD).write.parquet(f"{tmp_path}/documents.parquet")
+    got = contract.queries()["op8_offset_preserving_pieces"](spark, str(tmp_path)).collect()
+    want = [(i, len((t or "").encode()) or None) for i, t in AWKWARD]
+    assert sorted(((r["doc_id"], r["last_byte"]) for r in got), key=str) == sorted(want, key=str)
+    assert all((r["n_tokens"] == 0) == (r["last_byte"] is None) for r in got)
+
+
 # substring dedup -------------------------------------------------------------------------
 
 def brute_repeats(texts, window):
