@@ -237,6 +237,14 @@ def _home_names(left: DataFrame, right: DataFrame, on: list[str], side: str = "h
     return out
 
 
+def _alike(left: DataFrame, right: DataFrame, on: list[str], side: str, threshold: float) -> DataFrame:
+    """name, like: every pair of similar home (or away) names of the two sides."""
+    found = similar_names(*_home_names(left, right, on, side), threshold).select(F.col("left_name").alias("name"), F.col("right_name").alias("like"))
+    if side == "away":  # two blank away names are alike, and have no letters to be found by
+        found = found.union(left.sparkSession.sql("SELECT '' AS name, '' AS like"))
+    return cut_lineage(found.distinct(), "names")
+
+
 def similar_matches(left: DataFrame, right: DataFrame, on: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Pairs (left id, right id) with both sides similar and equal ``on`` columns.
 
@@ -245,10 +253,7 @@ def similar_matches(left: DataFrame, right: DataFrame, on: list[str], threshold:
     """
     reach = left
     for side in ("home", "away"):
-        found = similar_names(*_home_names(left, right, on, side), threshold).select("left_name", "right_name")
-        if side == "away":  # two blank away names are alike, and have no letters to be found by
-            found = found.union(left.sparkSession.sql("SELECT '' AS left_name, '' AS right_name"))
-        pairs = cut_lineage(found.select(F.col("left_name").alias("__own"), F.col("right_name").alias("__to")).distinct(), "names")
+        pairs = _alike(left, right, on, side, threshold).select(F.col("name").alias("__own"), F.col("like").alias("__to"))
         key = f"{side}_key"
         reach = reach.join(pairs, F.col(key) == F.col("__own")).withColumn(key, F.col("__to")).drop("__own", "__to")
     l, r = reach.alias("l"), right.alias("r")
@@ -287,6 +292,46 @@ def _leaders(edges: DataFrame, group: list[str]) -> DataFrame:
     return ordered.select("key", "node", "earlier").mapInArrow(run, "node string, leader string")
 
 
+def _first_leaders(nodes: DataFrame, on: list[str], threshold: float) -> DataFrame:
+    """node, leader: what ``_leaders`` says of the pairs that ``similar_matches`` lists, and no pair of matches is ever a row.
+
+    ``nodes``: node, its place ``seq``, the ``on`` columns and both sides, which differ. A block (``on`` columns and squad
+    levels) streams through one task: first its names with those they are similar to, then its matches in feed order, each
+    looked up among the leaders before it. What is kept is the names and the leaders of one block.
+    """
+    placed = nodes.na.drop(subset=[*on, *SIDE]).select(
+        F.to_json(F.struct(*on, "home_level", "away_level")).alias("block"), "seq", "node", "home_key", "away_key")
+    rows = placed.select("block", F.lit(2).alias("kind"), "seq", F.col("node").alias("name"), "home_key", "away_key", F.lit(None).cast("array<string>").alias("like"))
+    for kind, side in enumerate(("home", "away")):
+        lists = _alike(nodes, nodes, on, side, threshold).groupBy("name").agg(F.collect_list("like").alias("like"))
+        names = placed.select("block", F.col(f"{side}_key").alias("name")).distinct().join(lists, "name").withColumn("kind", F.lit(kind))
+        rows = rows.unionByName(names, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known, alike, leaders, place = None, {}, ({}, {}), {}, 0
+        for batch in batches:
+            nodes, found = [], []
+            for block, kind, name, home, away, like in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if block != current:
+                    current, known, alike, leaders = block, {}, ({}, {}), {}
+                if kind < 2:
+                    alike[kind][name] = {known.setdefault(x, x) for x in like}
+                    continue
+                aways = alike[1].get(away, frozenset())
+                met = [leaders[h] for h in alike[0].get(home, ()) if h in leaders]
+                best = min((led[a] for led in met for a in led.keys() & aways), default=None)
+                if best is None:
+                    place += 1
+                    leaders.setdefault(home, {})[away] = (place, name)
+                else:
+                    nodes.append(name)
+                    found.append(best[1])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(found, pa.string())], names=["node", "leader"])
+
+    ordered = rows.repartition("block").sortWithinPartitions("block", "kind", "seq", "name")
+    return ordered.select("block", "kind", "name", "home_key", "away_key", "like").mapInArrow(run, "node string, leader string")
+
+
 def canonical_matches(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """(match_id, canonical_id) for matches that are spellings of an earlier one."""
     first = F.min_by(F.struct("sport", "home_team", "away_team", "start_time"), "ingest_seq")
@@ -297,10 +342,7 @@ def canonical_matches(quotes: DataFrame, threshold: float = MATCH_THRESHOLD) ->
     group = ["sport", "day", *SIDE]
     nodes = cut_lineage(keyed.groupBy(*group).agg(F.min(F.struct("seq", "match_id")).alias("first")).select(
         *group, F.col("first.seq").alias("seq"), F.col("first.match_id").alias("node")), "nodes")
-    earlier = F.struct("r.seq", "r.node") < F.struct("l.seq", "l.node")
-    edges = similar_matches(nodes, nodes, ["sport", "day"], threshold).filter(earlier).select(
-        "l.sport", "l.day", "l.home_level", "l.away_level", "l.node", "l.seq", F.col("r.node").alias("earlier"), F.col("r.seq").alias("earlier_seq"))
-    leaders = _leaders(edges, ["sport", "day", "home_level", "away_level"])
+    leaders = _first_leaders(nodes, ["sport", "day"], threshold)
     named = nodes.join(leaders, "node", "left").select(*group, F.coalesce("leader", "node").alias("canonical_id"))
     return keyed.join(named, group).filter(F.col("canonical_id") != F.col("match_id")).select("match_id", "canonical_id")
 

@@ -163,6 +163,38 @@ def test_leaders_of_a_long_chain(spark):
     assert got == {f"{i:05}": f"{i - 1:05}" for i in range(1, 3000, 2)}
 
 
+def sides(spark, rows):
+    return spark.createDataFrame(
+        [(f"m{i:04}", i, *r) for i, r in enumerate(rows)], "node string, seq long, sport string, day int, home_key string, away_key string").withColumn(
+        "home_level", F.lit("first")).withColumn("away_level", F.lit("first"))
+
+
+def test_leaders_by_block_equal_leaders_of_listed_pairs(spark):
+    rng = random.Random(4)
+    pool = noisy_names(rng, 8) + [f"springfield {i}" for i in range(10, 20)] + ["arges", "fc arges", ""]
+    rows = {(rng.choice(["football", "tennis", None]), rng.choice([1, 2, None]), rng.choice(pool), rng.choice([*pool, None])) for _ in range(500)}
+    nodes = sides(spark, sorted(rows, key=str))
+    earlier = F.struct("r.seq", "r.node") < F.struct("l.seq", "l.node")
+    listed = R.similar_matches(nodes, nodes, ["sport", "day"]).filter(earlier).select(
+        "l.sport", "l.day", "l.node", "l.seq", F.col("r.node").alias("earlier"), F.col("r.seq").alias("earlier_seq"))
+    want = {tuple(r) for r in R._leaders(listed, ["sport", "day"]).select("node", "leader").collect()}
+    assert {tuple(r) for r in R._first_leaders(nodes, ["sport", "day"], 85).select("node", "leader").collect()} == want
+    assert len(want) > 20
+
+
+def test_alike_matches_of_a_day_are_never_paired_in_rows(spark, monkeypatch):
+    """All names of a day are alike: rows dealt out grow with the matches and the names, not with pairs of them."""
+    names = [f"athletic springfield {i}" for i in range(10, 35)]
+    rows = [("b", "1x2", "home", None, 2.0, {"home_team": h, "away_team": "fc " + a, "start_time": datetime(2026, 7, 24, 18), "sport": "football",
+                                             "match_id": f"{h}|{a}"}) for h in names for a in names]
+    q, dealt = quotes(spark, rows), []
+    frame = type(q)
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: dealt.append(self.count()) or plain(self, *by))
+    assert R.canonical_matches(q).count() == len(rows) - 1
+    assert dealt and max(dealt) <= 2 * len(rows)
+
+
 def test_reconcile_golden(spark):
     def pool(*rows):
         q = quotes(spark, [(b, "1x2", s, None, o, {"home_team": h, "away_team": a, "start_time": d, "match_id": None}) for b, s, o, h, a, d in rows])
