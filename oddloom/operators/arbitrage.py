@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import odds as O
 from ..functions import text
 from ..schemas import MARKET_KEYS
+from ..session import cut_lineage
 from .running import middle_values
 
 
@@ -236,19 +237,28 @@ def with_margin(combos: DataFrame) -> DataFrame:
     return combos.withColumn("margin", margin).withColumn("roi_pct", O.roi_of_margin(F.col("margin")))
 
 
+#: Legs up to which their places (a number each) are sent to the quotes.
+FEW_LEGS = 2_000_000
+
+
 def attach_quotes(combos: DataFrame, quotes: DataFrame) -> DataFrame:
     """Fetch what the legs' quotes say (URL, teams, start) for chosen combinations.
 
-    ``combos`` is the small survivor set: adaptive execution measures it and
-    sends it to the scan of ``quotes`` when it fits, and otherwise shuffles
-    both on the quote's identity.
+    ``combos`` is the survivor set, written once and counted. The places of
+    few legs are sent to the scan of ``quotes``, so that only quotes in such a
+    place are joined or shuffled; the rest meet on the quote's identity.
     """
+    combos = cut_lineage(combos, "combos")
     keys = [*MARKET_KEYS, "selection", "bookmaker", "odds"]
     facts = ["url", "sport", "competition", "home_team", "away_team", "start_time"]
     legs = combos.select(*MARKET_KEYS, F.posexplode("legs").alias("pos", "leg")).select(
         *MARKET_KEYS, "pos", "leg.selection", "leg.bookmaker", "leg.odds", F.col("leg.seq").alias("ingest_seq")
     )
     info = quotes.select(*keys, "ingest_seq", *facts)
+    if (combos.agg(F.sum(F.size("legs"))).first()[0] or 0) <= FEW_LEGS:
+        places = legs.select(F.xxhash64("ingest_seq").alias("place")).distinct()
+        # asked as a filter, which Spark moves below the joins that made the quotes, as it does no join
+        info = info.filter(F.xxhash64("ingest_seq").isin(places.hint("broadcast")))
     payload = F.struct(
         *[F.col(f"l.{c}") for c in ("pos", "bookmaker", "selection", "odds")], *[F.col(f"q.{c}") for c in facts]
     )

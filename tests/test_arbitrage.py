@@ -175,3 +175,20 @@ def test_pool_operators(spark):
     assert B.fresh_only(q, F.lit("2026-07-24 10:01:01")).count() == 1
     assert one(B.latest_contribution(q))["selection"] == "draw"
     assert B.pool_union([q, q.drop("url")], ["a"]).isEmpty()
+
+
+def test_facts_are_fetched_for_the_legs_alone(spark, monkeypatch):
+    """Only quotes in the place of a leg reach the joins, whether quotes have a place or not; the rows stay the same."""
+    rows = [(b, "1x2", side, None, odds, {"match_id": str(m), "home_team": f"Home {m}"})
+            for m in range(6) for b, side, odds in (("a", "home", 3.55), ("b", "draw", 3.9), ("c", "away", 3.3), ("a", "away", 1.1))]
+    plain = quotes(spark, rows).withColumn("ingest_seq", F.when(F.col("match_id") != "0", F.col("ingest_seq")))
+    renamed = spark.createDataFrame([("1", "x")], "match_id string, canonical_id string")
+    pool = plain.join(renamed, "match_id", "left").withColumn("match_id", F.coalesce("canonical_id", "match_id")).select(*plain.columns)
+    combos = A.best_combos(pool)
+    few = A.attach_quotes(combos, pool)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("LeftOuter") < plan.find("LeftSemi")
+    monkeypatch.setattr(A, "FEW_LEGS", 0)
+    many = A.attach_quotes(combos, pool)
+    assert "LeftSemi" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() == 6
