@@ -35,11 +35,12 @@ def prematch_only(quotes: DataFrame, as_of: Column, grace_minutes: float = 0.0)
 def latest_contribution(batches: DataFrame, batch: str = "batch_ts") -> DataFrame:
     """Only each bookmaker's most recent batch; older quotes vanish.
 
-    The newest batch per bookmaker is one small row each, so the big table is
-    filtered by a join whose right side is tiny, never sorted per bookmaker.
+    The newest batch per bookmaker is one small row each, sent to the big table,
+    which is filtered where it lies: dealt out by bookmaker and batch, all of it
+    would be written to disk on few keys before that row count is known.
     """
     newest = batches.groupBy("bookmaker").agg(F.max(batch).alias(batch))
-    return batches.join(newest, ["bookmaker", batch], "left_semi")
+    return batches.join(F.broadcast(newest), ["bookmaker", batch], "left_semi")
 
 
 def pool_stats(quotes: DataFrame, as_of: Column, max_age_s: float = MAX_AGE_S) -> DataFrame:

@@ -34,3 +34,16 @@ def test_few_buckets_are_written_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(glob.glob(f"{tmp_path}/s/data/batch=0/bucket=*/part-*")) > 1
     assert sorted(r["id"] for r in table.read(0).collect()) == list(range(4000))
+
+
+def test_newest_batches_are_sent_to_the_pool(spark):
+    """The pool is not dealt out by bookmaker, however small Spark takes a small table to be."""
+    rows = spark.range(1000).selectExpr("id", "concat('b', id % 3) AS bookmaker", "timestamp_seconds(id DIV 100) AS batch_ts")
+    key, known = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        newest = L.latest_contribution(rows)
+        assert "SortMergeJoin" not in newest._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["id"] for r in newest.collect()) == list(range(900, 1000))
+    finally:
+        spark.conf.set(key, known)
